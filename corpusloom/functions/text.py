@@ -65,9 +65,18 @@ def squeeze(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text without BOM; a final line break opens no extra line."""
-    body = F.regexp_replace(text, "^\ufeff", "")
-    lines = F.split(body, LINE_BREAK, -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    body = F.regexp_replace(text, r"^\x{FEFF}", "")
+    lines = F.split(F.regexp_replace(body, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK, -1)
+    return F.when(F.length(body) > 0, lines).otherwise(F.array().cast("array<string>"))
+
+
+def elements(items: Column) -> Column:
+    """Array to explode, null when empty.
+
+    Exploding a plain column makes the optimizer add a size filter below the projection that built it, which would
+    evaluate an expensive array expression twice; a conditional expression is left alone.
+    """
+    return F.when(F.size(items) > 0, items)
 
 
 def contains_any(text: Column, needles) -> Column:

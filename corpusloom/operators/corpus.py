@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.keyed import position, running_total, top_per_key
 from corpusloom.functions.text import (
-    CJK, numeral_value, safe_title, squeeze, split_lines, strip,
+    CJK, elements, numeral_value, safe_title, squeeze, split_lines, strip,
 )
 
 # --- fixed values ---------------------------------------------------------------------------------------------
@@ -111,15 +111,16 @@ def _heads(lines: Column, rules) -> Column:
     return F.filter(tags, lambda h: h["tag"].isNotNull())
 
 
-def _blocks(texts: DataFrame, rules, key: str, text: str) -> DataFrame:
-    """Row per block of a text: (key, lines, seq, head, stop); block 0 stands before the first heading."""
+def _blocks(texts: DataFrame, rules, key: str, text: str, need_heading: bool) -> DataFrame:
+    """Row per block of a text: (key, lines, seq, tag, at, stop); block 0 stands before the first heading."""
     heads = texts.select(key, split_lines(F.col(text)).alias("lines")).withColumn("heads", _heads(F.col("lines"), rules))
     none = F.array(F.lit(None).cast(heads.schema["heads"].dataType.elementType))
+    blocks = F.concat(none, F.col("heads"))
     return heads.select(
-        key, "lines", "heads", F.posexplode(F.concat(none, F.col("heads"))).alias("seq", "head")
+        key, "lines", "heads",
+        F.posexplode(F.when(F.size("heads") > (0 if need_heading else -1), blocks)).alias("seq", "head"),
     ).select(
-        key, "lines", F.size("heads").alias("headings"), "seq", "head.tag",
-        F.coalesce(F.col("head.at"), F.lit(0)).alias("at"),
+        key, "lines", "seq", "head.tag", F.coalesce(F.col("head.at"), F.lit(0)).alias("at"),
         F.coalesce(F.get("heads", F.col("seq"))["at"], F.size("lines") + 1).alias("stop"),
     )
 
@@ -132,14 +133,13 @@ def split_chapters(texts: DataFrame, rules=HEADING_RULES, key: str = "novel_id",
     body = strip(F.array_join(F.slice("lines", F.col("at") + 1, F.col("stop") - F.col("at") - 1), "\n"))
     name = F.rtrim(F.concat(F.format_string("Chapter %04d ", F.col("seq")), safe_title(F.col("tag.title"))))
     return (
-        _blocks(texts, rules, key, text)
+        _blocks(texts, rules, key, text, True)
         .select(
-            key, F.col("seq").cast("long").alias("seq"), "headings", "tag.number", "tag.title", "tag.heading",
+            key, F.col("seq").cast("long").alias("seq"), "tag.number", "tag.title", "tag.heading",
             body.alias("body"),
             F.when(F.col("seq") == 0, "Intro.md").otherwise(F.concat(name, F.lit(".md"))).alias("file"),
         )
-        .filter((F.col("headings") > 0) & ((F.col("seq") > 0) | (F.col("body") != "")))
-        .drop("headings")
+        .filter((F.col("seq") > 0) | (F.col("body") != ""))
     )
 
 
@@ -159,7 +159,7 @@ def split_simple(texts: DataFrame, rules, key: str = "novel_id", text: str = "te
     """Second split form: blank lines dropped, empty chapters dropped, default heading before the first one."""
     inside = F.slice("lines", F.col("at") + 1, F.col("stop") - F.col("at") - 1)
     return (
-        _blocks(texts, rules, key, text)
+        _blocks(texts, rules, key, text, False)
         .select(
             key, F.col("seq").cast("long").alias("block"),
             F.when(F.col("at") > 0, strip(F.get("lines", F.col("at") - 1))).otherwise(DEFAULT_HEADING).alias("heading"),
@@ -185,7 +185,7 @@ def segment_manifest(chapters: DataFrame, index: str, text: str = "text", *keep:
     return (
         chapters.select(*keep, index, F.sha2(F.col(text), 256).alias("chapter_hash"), kept.alias("_s"))
         .withColumn("segment_count", F.size("_s").cast("long"))
-        .withColumn("_s", F.explode("_s"))
+        .withColumn("_s", F.explode(elements(F.col("_s"))))
         .select(
             *keep, index, chapter_id(F.col(index)).alias("chapter_id"), F.col("_s.id").alias("id"),
             F.format_string("chapter_%04d:seg_%04d", F.col(index), F.col("_s.id")).alias("segment_id"),
