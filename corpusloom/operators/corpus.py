@@ -203,7 +203,8 @@ def split_long(paragraphs: DataFrame, key: list[str], text: str = "text", senten
     """
     whole = strip(F.col(text))
     sentences = F.regexp_extract_all(whole, F.lit(f"({sentence})"), F.lit(1))
-    tail = strip(F.regexp_replace(whole, f"(?s)^(?:{sentence})*", ""))
+    # Sentences follow each other without a gap, so the tail starts after their total length.
+    tail = strip(F.substring(whole, F.length(F.array_join(sentences, "")) + 1, F.length(whole)))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc, piece):

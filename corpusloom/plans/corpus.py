@@ -228,7 +228,7 @@ WITH titled AS (SELECT page_id, url, regexp_extract(html, '(?is)<title\\b[^>]*>(
 based AS (
   SELECT *, lower(trim(regexp_replace(trim(title), '[^A-Za-z0-9_\\-]+', '_', 'g'), '_')) AS b FROM titled)
 SELECT page_id, substr(CASE WHEN b = '' THEN 'novel' ELSE b END, 1, 48) || '_' || substr(sha1(url), 1, 8) AS novel_id,
-  trim(regexp_replace(regexp_replace(strip_accents(title), '[^\\w\\s\\-]', '', 'g'), '\\s+', ' ', 'g')) AS branch,
+  trim(regexp_replace(regexp_replace(strip_accents(title), '[^\\p{L}\\p{N}\\p{M}_\\s\\-]', '', 'g'), '\\s+', ' ', 'g')) AS branch,
   substr(trim(regexp_replace(regexp_replace(title, '[\\\\/:*?"<>|]', '', 'g'), '\\s+', ' ', 'g')), 1, 120) AS file_title
 FROM based""")
 def make_ids(spark, sf_dir):
