@@ -15,8 +15,8 @@ BLOCK_TAGS = ("p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr",
 SKIP_TAGS = ("script", "style", "head")
 # --- end of fixed values --------------------------------------------------------------------------------------
 
-BLOCK_PATTERN = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?/?>"
-ANY_TAG = r"(?s)</?[A-Za-z!?][^>]*>"
+BLOCK_PATTERN = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?/?(?:>|\z)"
+ANY_TAG = r"(?s)</?[A-Za-z!?][^>]*(?:>|\z)"
 
 
 @F.pandas_udf(StringType())
@@ -75,32 +75,42 @@ def meta_content(html: Column, *names: str) -> Column:
     return F.coalesce(*[F.nullif(strip(t), F.lit("")) for t in tries])
 
 
-def join_url(base: Column, href: Column) -> Column:
-    """Absolute form of a link found on a page with address ``base``."""
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+def base_parts(base: Column) -> Column:
+    """Parts of a page address that links are resolved against, taken apart once per page."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
     folder = F.when(F.length(page) > F.length(origin), F.regexp_replace(page, r"[^/]*$", "")).otherwise(
-        F.concat(origin, F.lit("/"))
-    )
-    no_fragment = F.regexp_extract(base, r"^([^#]*)", 1)
-    relative = F.concat(folder, href)
-    # "x/../" and "./" steps inside a relative link are resolved by repeated removal.
-    tidy = F.regexp_replace(relative, r"(?<=/)\./", "")
+        F.concat(origin, F.lit("/")))
+    return F.struct(
+        base.alias("base"), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1).alias("scheme"),
+        origin.alias("origin"), page.alias("page"), folder.alias("folder"),
+        F.regexp_extract(base, r"^([^#]*)", 1).alias("whole"))
+
+
+def resolve(parts: Column, href: Column) -> Column:
+    """Absolute form of a link, given the parts of the page address."""
+    relative = F.concat(parts["folder"], href)
+    # "./" and "x/../" steps of a relative link are taken out one level at a time.
+    tidy = F.regexp_replace(relative, r"(?<=/)(?:\./)+", "")
     for _ in range(4):
         tidy = F.regexp_replace(tidy, r"(?<=[^/:]/)(?!\.\./)[^/?#]+/\.\./", "")
     return (
-        F.when(href.isNull() | (href == ""), base)
+        F.when(href == "", parts["base"])
+        .when(F.startswith(href, F.lit("//")), F.concat(parts["scheme"], F.lit(":"), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(parts["origin"], href))
+        .when(F.startswith(href, F.lit("#")), F.concat(parts["whole"], href))
+        .when(F.startswith(href, F.lit("?")), F.concat(parts["page"], href))
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-        .when(F.startswith(href, F.lit("#")), F.concat(no_fragment, href))
-        .when(F.startswith(href, F.lit("?")), F.concat(page, href))
-        .when(href.contains("./"), tidy)
+        .when(F.contains(href, F.lit("./")), tidy)
         .otherwise(relative)
     )
 
 
+def join_url(base: Column, href: Column) -> Column:
+    """Absolute form of a link found on the page ``base``."""
+    return resolve(base_parts(base), href)
+
+
 def url_host(url: Column) -> Column:
     """Lower-case host without a leading ``www.``; works on addresses a strict parser rejects."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))

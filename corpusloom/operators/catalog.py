@@ -133,11 +133,11 @@ def runnable(projects: DataFrame, locks: DataFrame, key: str) -> DataFrame:
 
     An empty permission table allows none. ``locks``: key, flag.
     """
-    overall = locks.agg(F.max("flag").alias("_any"), F.count("*").alias("_rows"))  # one row
-    joined = projects.join(locks.select(key, "flag"), key, "left").join(overall)
-    allowed = F.when(F.col("_rows") == 0, False).when(F.coalesce("_any", F.lit(False)), F.coalesce("flag", F.lit(False))).otherwise(
-        F.coalesce("flag", F.lit(True)))
-    return joined.filter(allowed).select(*projects.columns)
+    any_allowed, rows = locks.agg(F.max("flag"), F.count("*")).first()  # two scalars
+    if rows == 0:
+        return projects.limit(0)
+    joined = projects.join(locks.select(key, "flag"), key, "left")
+    return joined.filter(F.coalesce("flag", F.lit(not any_allowed))).select(*projects.columns)
 
 
 def cap_per_site(found: DataFrame, site: str, order: list[Column], n: int = SITE_CAP) -> DataFrame:

@@ -1 +1,352 @@
+"""Page queries over ``pages``, ``events`` and ``documents``."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import html as H
+from corpusloom.functions import text as T
+from corpusloom.operators import corpus as C
+from corpusloom.operators import pages as W
+from corpusloom.plans.registry import query, sql_text, table
+from corpusloom.sources import tables as S
+
+STRIP = sql_text(T.STRIP_CHARS)
+
+
+def entities(column: str) -> str:
+    """Character references that occur in the pages, decoded in SQL (the ampersand last)."""
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+        column = f"replace({column}, '{name}', '{char}')"
+    return f"regexp_replace({column}, '&amp;?', '&', 'g')"
+
+
+def squeezed(column: str) -> str:
+    return f"trim(regexp_replace({column}, '\\s+', ' ', 'g'), {STRIP})"
+
+
+ANY_TAG = "(?s)</?[A-Za-z!?][^>]*(?:>|\\z)"
+BLOCKS = "(?i)</?(?:p|div|br|h1|h2|h3|h4|h5|h6|li|tr|section|article|body|title|blockquote|hr)(?:\\s[^>]*)?/?(?:>|\\z)"
+
+
+def without(column: str, *tags: str) -> str:
+    for tag in tags:
+        column = f"regexp_replace({column}, '(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|\\z)', '', 'g')"
+    return column
+
+
+NO_COMMENT = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+FLAT = entities(f"regexp_replace(regexp_replace({without(NO_COMMENT, 'script', 'style', 'head')}, '{BLOCKS}', chr(10), 'g'), '{ANY_TAG}', '', 'g')")
+
+
+@query("s2_html_lines", f"""
+SELECT page_id, unnest(range(1, len(a) + 1)) AS line_no, unnest(a) AS line FROM (
+  SELECT page_id, string_split(regexp_replace({FLAT}, '\\n$', ''), chr(10)) AS a FROM pages)""")
+def html_lines(spark, sf_dir):
+    return S.html_to_lines(table(spark, sf_dir, "pages"))
+
+
+@query("s6_decode_pages", """
+SELECT page_id, kind, CASE kind WHEN 'gb' THEN 'gb18030' ELSE 'UTF-8' END AS charset, md5(replace(html, 'charset="utf-8"', 'charset="' || CASE kind WHEN 'gb' THEN 'gbk' WHEN 'none' THEN '' ELSE 'utf-8' END || '"')) AS digest
+FROM pages, (SELECT unnest(['gb', 'utf', 'none']) AS kind)""")
+def decode_pages(spark, sf_dir):
+    # The pages as bytes: declared and encoded as gb, as UTF-8, and as UTF-8 without a declared charset.
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    pages = table(spark, sf_dir, "pages")
+
+    def bytes_of(kind, declared, charset):
+        text = F.replace("html", F.lit('charset="utf-8"'), F.lit(f'charset="{declared}"'))
+        return pages.select("page_id", F.lit(kind).alias("kind"), F.encode(text, charset).alias("content"))
+
+    raw = bytes_of("gb", "gbk", "gb18030").unionByName(bytes_of("utf", "utf-8", "UTF-8")).unionByName(bytes_of("none", "", "UTF-8"))
+    return S.decode_pages(raw).select("page_id", "kind", "charset", F.md5("html").alias("digest"))
+
+
+@query("s5_read_status", """
+SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""")
+def read_status(spark, sf_dir):
+    # Error events carry a cut-off payload, which has to read as nulls.
+    payload = F.when(F.col("event_type") == "error", F.substring("props", 1, 4)).otherwise(F.col("props"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", payload.alias("payload"))
+    return S.parse_status(rows, "payload", "k bigint")
+
+
+@query("s7_import_sources", """
+SELECT event_id, 'https://s.example/' || CAST(json_extract(props, '$.k') AS VARCHAR) AS source_url, 'n' || user_id AS source_name
+FROM events WHERE event_type <> 'error'""")
+def import_sources(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    record = F.to_json(F.struct(
+        F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.lit("https://s.example/"), F.get_json_object("props", "$.k")))
+        .alias("bookSourceUrl"), F.concat(F.lit("n"), "user_id").alias("bookSourceName")))
+    kind = F.col("event_type")
+    payload = (
+        F.when(kind == "view", F.concat(F.lit("["), record, F.lit("]")))
+        .when(kind == "click", F.concat(F.lit('{"bookSources":['), record, F.lit(',{"bookSourceName":"no address"}]}')))
+        .when(kind == "purchase", F.concat(F.lit('{"sources":['), record, F.lit("]}")))
+        .otherwise(record))
+    return S.import_sources(events.select("event_id", payload.alias("payload"))).drop("raw")
+
+
+LINKS = f"""
+raw_links AS (
+  SELECT page_id, url, unnest(range(1, len(h) + 1)) AS pos, unnest(h) AS href, unnest(t) AS inner_html FROM (
+    SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]*)["'']?[^>]*>(.*?)</a\\s*>', 1) AS h,
+      regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]*)["'']?[^>]*>(.*?)</a\\s*>', 2) AS t FROM pages)),
+links AS (
+  SELECT page_id, min(pos) AS pos, arg_min(href, pos) AS href, arg_min({squeezed(entities(f"regexp_replace(inner_html, '{ANY_TAG}', ' ', 'g')"))}, pos) AS title, full_url AS url
+  FROM (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS full_url FROM raw_links) GROUP BY page_id, full_url)
+"""
+
+
+@query("w1_extract_links", f"WITH {LINKS} SELECT * FROM links")
+def extract_links(spark, sf_dir):
+    return W.extract_links(table(spark, sf_dir, "pages"))
+
+
+@query("w2_chapter_links", f"""
+WITH {LINKS} SELECT * FROM links WHERE (contains(title, 'e') OR contains(title, 'o')) AND title NOT IN ('the', 'de', 'of') AND NOT contains(title, 'an')""")
+def chapter_links(spark, sf_dir):
+    return W.chapter_links(W.extract_links(table(spark, sf_dir, "pages")), ("e", "o"), ("the", "de", "of"), "an")
+
+
+@query("w3_book_links", """
+WITH l AS (
+  SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, page_id, regexp_replace(url, '[?#].*$', '') AS url,
+    regexp_extract(url, '/([a-z]+)/[0-9]+', 1) || ' ' || page_id AS title FROM pages),
+ok AS (SELECT host, url, min(page_id) AS page_id, arg_min(title, page_id) AS title FROM l
+  WHERE regexp_matches(url, '/\\d+(_\\d+)?\\.html?$') OR regexp_matches(url, '/\\d+/$') GROUP BY host, url)
+SELECT host, url, page_id, title FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM ok) WHERE n <= 15""")
+def book_links(spark, sf_dir):
+    plain = F.regexp_replace("url", "[?#].*$", "")
+    links = table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), "page_id", plain.alias("url"), plain.alias("href"),
+        F.concat_ws(" ", F.regexp_extract("url", "/([a-z]+)/[0-9]+", 1), "page_id").alias("title"))
+    return W.book_links(links, "host", "page_id").drop("href")
+
+
+@query("w4_category_links", f"""
+WITH {LINKS} SELECT page_id, pos, title AS name, url FROM links WHERE length(title) BETWEEN 1 AND 10 AND NOT contains(href, '#')""")
+def category_links(spark, sf_dir):
+    return W.category_links(table(spark, sf_dir, "pages"), block=r"(?is)<nav\b[^>]*>(.*?)</nav\s*>")
+
+
+@query("w5_page_metadata", f"""
+SELECT page_id, {squeezed(entities("regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1), '" + ANY_TAG + "', ' ', 'g')"))} AS title,
+  CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS cover_url, url AS source_url FROM pages""")
+def page_metadata(spark, sf_dir):
+    return W.page_metadata(table(spark, sf_dir, "pages")).drop("description")
+
+
+ARTICLE = without(without("regexp_replace(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), '(?s)<!--.*?-->', '', 'g')",
+                          "title", "script", "style"), "a", "h1")
+
+
+@query("w6_page_text", f"""
+WITH cut AS (SELECT page_id, unnest(range(1, 1 + len(a))) AS i, trim(unnest(a), {STRIP}) AS line FROM (
+  SELECT page_id, regexp_split_to_array(regexp_replace({ARTICLE}, '{ANY_TAG}', chr(10), 'g'), '[\\r\\n]+') AS a FROM pages)),
+body AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) AS t FROM cut WHERE line <> '' GROUP BY 1)
+SELECT p.page_id, CASE WHEN length(t) >= 20 THEN {entities("t")} END AS text FROM pages p LEFT JOIN body b ON b.page_id = p.page_id""")
+def page_text(spark, sf_dir):
+    return W.page_text(table(spark, sf_dir, "pages"))
+
+
+@query("w6_page_text_by_rule", f"""
+SELECT page_id, CASE WHEN length({squeezed("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")}) >= 20 THEN {entities("trim(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1))")} END AS text FROM pages""")
+def page_text_by_rule(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    rules = pages.select(H.url_host(F.col("url")).alias("host"), F.lit("(?is)<h1>(.*?)</h1>").alias("pattern")).distinct()
+    return W.page_text(pages, rules, containers=())
+
+
+# The next page of a page is the one with the following number; chains start at the paged addresses.
+@query("w7_stitch_pages", """
+WITH RECURSIVE steps AS (
+  SELECT p.url, p.page_id, regexp_extract(p.html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1) AS t FROM pages p),
+chain AS (
+  SELECT url AS start_url, page_id, 1 AS hop, t AS text FROM steps WHERE contains(url, 'page=')
+  UNION ALL SELECT c.start_url, s.page_id, c.hop + 1, c.text || chr(10) || chr(10) || s.t FROM chain c JOIN steps s ON s.page_id = c.page_id + 1 WHERE c.hop < 4)
+SELECT start_url, max(hop) AS pages, arg_max(text, hop) AS text FROM chain GROUP BY start_url""")
+def stitch_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    following = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    linked = pages.select("page_id", "url", H.element(F.col("html"), "title").alias("text")).join(following, "page_id", "left")
+    return W.stitch_pages(pages.filter(F.contains("url", F.lit("page="))), linked, 4)
+
+
+@query("w8_canonical_url", """
+SELECT page_id, 'https://' || regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^(www|m|blog)\\.', '') || regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS canonical FROM pages""")
+def canonical_url(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    aliases = pages.select(host.alias("host"), F.regexp_replace(host, r"^(www|m|blog)\.", "").alias("main_host")).distinct()
+    return W.canonical_url(pages.select("page_id", "url"), aliases).select("page_id", "canonical")
+
+
+@query("w9_assign_site", """
+WITH h AS (SELECT page_id, url, regexp_extract(url, '([a-z0-9\\-]+\\.example\\.[a-z]+)', 1) AS d FROM pages)
+SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'fixed' WHEN contains(url, 'example.com') THEN d END AS site_id,
+  CASE WHEN page_id % 10 <> 0 AND contains(url, 'example.com') AND regexp_matches(url, '/([a-z]+)/([0-9]+)')
+    THEN 'https://' || d || '/toc/' || regexp_extract(url, '/([a-z]+)/([0-9]+)', 2) || '?lang=' || regexp_extract(url, '/([a-z]+)/([0-9]+)', 1) ELSE url END AS toc_url
+FROM h""")
+def assign_site(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("site", F.when(F.col("page_id") % 10 == 0, "fixed").otherwise(""))
+    domain = F.regexp_extract("url", r"([a-z0-9\-]+\.example\.[a-z]+)", 1)
+    sites = pages.filter(F.contains("url", F.lit("example.com"))).select(domain.alias("site_id")).distinct().select(
+        "site_id", F.xxhash64("site_id").alias("ord"), F.concat(F.lit("http://"), "site_id", F.lit("/top")).alias("catalog_url"),
+        F.lit(r"/([a-z]+)/([0-9]+)").alias("toc_pattern"), F.concat(F.lit("https://"), "site_id", F.lit(r"/toc/$2?lang=$1")).alias("toc_template"))
+    return W.assign_site(pages, sites, explicit="site")
+
+
+@query("w10_apply_rules", """
+WITH v AS (
+  SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS source, 'title' AS field, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS value FROM pages
+  UNION ALL SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', ''), 'lang', regexp_extract(html, '<html lang="([a-z]+)"', 1) FROM pages WHERE contains(url, 'example.com')
+  UNION ALL SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', ''), 'first_link', regexp_extract(html, '<a href="([^"]*)"', 1) FROM pages)
+SELECT * FROM v WHERE trim(value) <> ''""")
+def apply_rules(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.select(H.url_host(F.col("url")).alias("host"), F.contains("url", F.lit("example.com")).alias("com")).distinct()
+    rules = hosts.select("host", F.col("host").alias("source"), F.lit("regex").alias("kind"), F.explode(F.filter(F.array(
+        F.struct(F.lit("title").alias("field"), F.lit("(?is)<title>(.*?)</title>").alias("rule")),
+        F.when(F.col("com"), F.struct(F.lit("lang").alias("field"), F.lit('<html lang="([a-z]+)"').alias("rule"))),
+        F.struct(F.lit("first_link").alias("field"), F.lit('<a href="([^"]*)"').alias("rule"))), lambda r: r.isNotNull())).alias("r"))
+    return W.apply_rules(pages, rules.select("source", "host", "r.field", "kind", "r.rule"))
+
+
+@query("w10_apply_json_rules", """
+SELECT event_id, 'events' AS source, 'kind' AS field, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events""")
+def apply_json_rules(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("https://e"), F.col("user_id") % 7, F.lit(".example/")).alias("url"), F.col("props").alias("html"))
+    rules = events.select(H.url_host(F.col("url")).alias("host")).distinct().select(
+        F.lit("events").alias("source"), "host", F.lit("kind").alias("field"), F.lit("json").alias("kind"), F.lit("$.k").alias("rule"))
+    return W.apply_rules(events, rules, "event_id")
+
+
+@query("w11_json_extract", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k,
+  array_to_string([CAST(json_extract(props, '$.k') AS VARCHAR), CAST(user_id AS VARCHAR)], ',') AS deep,
+  CASE WHEN CAST(json_extract(props, '$.k') AS INT) >= 50 THEN CAST(event_id AS VARCHAR) ELSE '' END AS big, CAST(user_id AS VARCHAR) AS last
+FROM events""")
+def json_extract(spark, sf_dir):
+    # A nested record per event: the payload as first item of a list, the user as second.
+    events = table(spark, sf_dir, "events").select("event_id", F.concat(
+        F.lit('{"box":{"items":[{"id":'), "event_id", F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit('},{"k":'), "user_id",
+        F.lit(',"id":-1}]}}')).alias("payload"))
+    out = W.json_extract(events, "payload", "$.box.items[0].k", "k")
+    out = W.json_extract(out, "payload", "$..k", "deep")
+    out = W.json_extract(out, "payload", "$.box['items'][0:1][?(@.k >= 50)].id", "big")
+    # A filter looks at the items of a list, so the one-item slice above has to be wrapped again.
+    out = W.json_extract(out, "payload", "$.box.items[-1].k", "last")
+    wide = W.json_extract(out, "payload", "$.box.items[?(@.k >= 50)].id", "big")
+    return wide.select(
+        "event_id", F.array_join("k", ",").alias("k"), F.array_join("deep", ",").alias("deep"),
+        F.array_join(F.filter("big", lambda v: v != "-1"), ",").alias("big"), F.array_join("last", ",").alias("last"))
+
+
+@query("w12_combine_rules", """
+WITH r AS (SELECT page_id, regexp_extract_all(html, '<h2>(.*?)</h2>', 1) AS none, regexp_extract_all(html, '<h1>(.*?)</h1>', 1) AS h1, regexp_extract_all(html, '<title>(.*?)</title>', 1) AS title FROM pages)
+SELECT page_id, array_to_string(h1, '|') AS fallback, array_to_string(h1 || title, '|') AS joined,
+  array_to_string([x FOR x IN [regexp_replace(y, '[ae]', '', 'g') FOR y IN title] IF x <> ''], '|') AS cleaned,
+  array_to_string([x FOR x IN [regexp_replace(y, '[ae]', '_') FOR y IN title] IF x <> ''], '|') AS once FROM r""")
+def combine_rules(spark, sf_dir):
+    def every(tag):
+        return F.regexp_extract_all("html", F.lit(f"<{tag}>(.*?)</{tag}>"), F.lit(1))
+
+    h2, h1, title = every("h2"), every("h1"), every("title")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.array_join(W.first_filled(h2, h1, title), "|").alias("fallback"), F.array_join(W.joined(h1, h2, title), "|").alias("joined"),
+        F.array_join(W.regex_step(title, "[ae]"), "|").alias("cleaned"), F.array_join(W.regex_step(title, "[ae]", "_", True), "|").alias("once"))
+
+
+@query("w13_classify_sources", """
+WITH m AS (SELECT page_id, contains(html, '***') AS js, contains(html, '###') AS wv, contains(html, '$$$') AS login,
+  regexp_matches(html, '(^|[^\\w])\\$[.\\[]') OR contains(html, '@Json:') AS jp, regexp_matches(html, '(^|[@\\s])(/|//|@XPath:)') AS xp FROM pages)
+SELECT page_id, js AS needs_js, wv AS needs_webview, jp AS uses_jsonpath, xp AS uses_xpath,
+  CASE WHEN (wv OR login) AND js THEN 'partial' WHEN wv OR login THEN 'webview' WHEN js THEN 'rhino' ELSE 'native' END AS support_level,
+  concat_ws(',', CASE WHEN login THEN 'manual_login' END, CASE WHEN js THEN 'rhino' END, CASE WHEN wv THEN 'webview' END) AS reasons FROM m""")
+def classify_sources(spark, sf_dir):
+    return W.classify_sources(table(spark, sf_dir, "pages").select("page_id", "html"), "html", ("***",), ("###",), ("$$$",))
+
+
+@query("w14_source_cache", """
+SELECT host, page_id, 'source:' || substr(sha1(host), 1, 12) AS source_id FROM (
+  SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, min(page_id) AS page_id FROM pages GROUP BY 1)""")
+def source_cache(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), "page_id")
+    return W.source_cache(rows, "host", [F.col("page_id")])
+
+
+@query("w15_mine_links", """
+WITH l AS (
+  SELECT page_id, 1 AS pos, 'yuedu://booksource/importonline?src=' || url_encode(url_encode(url)) AS link, url AS target FROM pages
+  UNION ALL SELECT page_id, 2, 'https://files.example/' || page_id || '.json', 'https://files.example/' || page_id || '.json' FROM pages WHERE NOT contains(url, 'page='))
+SELECT * FROM l""")
+def mine_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    direct = F.when(F.contains("url", F.lit("page=")), "https://plain.example/x").otherwise(
+        F.concat(F.lit("https://files.example/"), "page_id", F.lit(".json")))
+    text = F.concat(
+        F.lit("import <a href='yuedu://booksource/importonline?src="), F.url_encode(F.url_encode("url")), F.lit("'>here</a> or ("),
+        direct, F.lit(") and again "), direct, F.lit("."))
+    return W.mine_links(pages.select("page_id", text.alias("text")), ["page_id"])
+
+
+@query("p2_chapter_index", """
+SELECT page_id, CAST(regexp_extract_all(url, '[0-9]{1,6}')[-1] AS BIGINT) AS chapter_index FROM pages""")
+def chapter_index(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.chapter_index(F.col("url")).alias("chapter_index"))
+
+
+@query("p4_flag_blocked", """
+SELECT page_id, contains(html, '###') OR contains(html, 'erste') OR contains(html, '%%%') AS blocked FROM pages""")
+def flag_blocked(spark, sf_dir):
+    return W.flag_blocked(table(spark, sf_dir, "pages"), ("###", "erste", "%%%")).select("page_id", "blocked")
+
+
+@query("j10_new_urls", """
+WITH f AS (SELECT regexp_replace(url, '[?#].*$', '') AS url, min(page_id) AS page_id FROM pages WHERE page_id % 3 <> 0 GROUP BY 1)
+SELECT url, page_id FROM f WHERE url NOT IN (SELECT regexp_replace(url, '[?#].*$', '') FROM pages WHERE page_id % 3 = 0)""")
+def new_urls(spark, sf_dir):
+    # The catalog holds every third page, the scan found the others.
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    known = rows.filter(F.col("page_id") % 3 == 0)
+    return W.new_urls(rows.filter(F.col("page_id") % 3 != 0), known, [F.col("page_id")])
+
+
+@query("g11_cap_per_site", """
+SELECT host, page_id FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM (
+  SELECT regexp_extract(url, '^[a-z]+://(?:www\\.)?([^/?#]*)', 1) AS host, page_id FROM pages)) WHERE n <= 20""")
+def cap_per_site(spark, sf_dir):
+    from corpusloom.operators.catalog import cap_per_site as cap
+
+    rows = table(spark, sf_dir, "pages").select(H.url_host(F.col("url")).alias("host"), "page_id")
+    return cap(rows, "host", [F.col("page_id")])
+
+
+@query("g2_reading_order", """
+WITH l AS (
+  SELECT regexp_extract(url, '^[a-z]+://(?:www\\.)?([^/?#]*)', 1) AS host, page_id AS pos,
+    CASE WHEN contains(url, 'utm_') THEN 'extra' ELSE regexp_replace(url, '^[a-z]+://[^/]*|[?#].*$', '', 'g') END AS url FROM pages),
+last AS (SELECT host, url, max(pos) AS pos FROM l GROUP BY 1, 2),
+i AS (SELECT *, CASE WHEN regexp_matches(url, '[0-9]') THEN CAST(regexp_extract_all(url, '[0-9]{1,6}')[-1] AS BIGINT) END AS chapter_index FROM last),
+c AS (SELECT *, count(chapter_index) OVER (PARTITION BY host) AS numbered FROM i)
+SELECT host, url, chapter_index, row_number() OVER (PARTITION BY host ORDER BY CASE WHEN numbered < 2 THEN 0 ELSE coalesce(chapter_index, 1099511627776) END, pos) AS place FROM c""")
+def reading_order(spark, sf_dir):
+    path = F.when(F.contains("url", F.lit("utm_")), "extra").otherwise(F.regexp_replace("url", "^[a-z]+://[^/]*|[?#].*$", ""))
+    links = table(spark, sf_dir, "pages").select(
+        H.url_host(F.col("url")).alias("host"), F.col("page_id").alias("pos"), F.lit("").alias("title"), path.alias("url"))
+    return W.reading_order(links, ["host"], width=64).select("host", "url", "chapter_index", "place")
+
+
+@query("x3_site_registry", """
+SELECT page_id, CASE WHEN contains(url, 'spam-farm') THEN 'special ' || page_id ELSE regexp_extract(html, '<title>(.*?)</title>', 1) END AS title FROM pages""")
+def site_registry(spark, sf_dir):
+    @W.site("spam-farm", "metadata")
+    def special(pages):
+        return pages.select("page_id", F.concat(F.lit("special "), "page_id").alias("title"))
+
+    pages = table(spark, sf_dir, "pages").withColumn(
+        "site_id", F.when(F.contains("url", F.lit("spam-farm")), "spam-farm").otherwise("other"))
+    return W.run_site_job(pages, "metadata", lambda p: p.select("page_id", H.element(F.col("html"), "title").alias("title")))
