@@ -5,11 +5,14 @@ Pages are processed row by row on the JVM side. Only joins with rule tables, sti
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from corpusloom.functions import html as H
 from corpusloom.functions.keyed import position, top_per_key
@@ -129,30 +132,38 @@ def flag_blocked(pages: DataFrame, markers=BLOCK_MARKERS, html: str = "html") ->
 
 def page_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Title, author, description and cover of a page, each from the first source that has one."""
-    doc = F.col(html)
-    body = H.drop_elements(H.drop_comments(doc), ("script", "style"))
-    first_part = lambda text: F.regexp_extract(text, f"(?s)^(.*?)(?:{TITLE_BREAK}|$)", 1)
     or_null = lambda text: F.nullif(text, F.lit(""))
-    title = F.coalesce(
-        F.nullif(squeeze(first_part(H.unescape(H.meta_content(doc, "og:title", "twitter:title")))), F.lit("")),
-        or_null(H.inline_text(H.element(doc, "h1"))), or_null(squeeze(first_part(H.inline_text(H.element(doc, "title"))))))
-    labelled = [F.regexp_replace(H.inline_text(H.element_by_id(body, r"\w+", "class", c)), AUTHOR_LABEL, "")
-                for c in ("author", "writer", "book-author")]
-    labelled.append(F.regexp_replace(H.inline_text(H.element_by_id(body, r"\w+", "id", "author")), AUTHOR_LABEL, ""))
-    in_text = F.regexp_extract(H.inline_text(body), AUTHOR_IN_TEXT, 1)
-    author = F.coalesce(*[or_null(a) for a in labelled], or_null(in_text))
-    intro = []
-    for attribute, value in (("id", "intro"), ("class", "intro"), ("class", "book-intro"), ("class", "bookintro"),
-                             ("class", "description"), ("class", "desc"), ("id", "bookintro")):
-        text = H.inline_text(H.element_by_id(body, r"\w+", attribute, value))
-        intro.append(F.when(F.length(text) >= DESCRIPTION_LENGTH, text))
-    description = F.coalesce(
-        or_null(squeeze(H.unescape(H.meta_content(doc, "og:description", "description", "twitter:description")))), *intro)
+    inner = lambda text: or_null(squeeze(F.regexp_replace(text, H.ANY_TAG, " ")))
+    rows = pages.select(key, F.col(url).alias("_url"), F.col(html).alias("_doc")).withColumn(
+        "_body", H.drop_elements(H.drop_comments(F.col("_doc")), ("script", "style")))
+    doc, body = F.col("_doc"), F.col("_body")
+    # Candidates are cut out of the page first; only the chosen small texts have their references decoded.
+    pick = lambda text, cut: F.when(text.isNotNull(), F.struct(text.alias("t"), F.lit(cut).alias("cut")))
+    title = F.coalesce(pick(H.meta_content(doc, "og:title", "twitter:title"), True),
+                       pick(inner(H.element(doc, "h1")), False), pick(inner(H.element(doc, "title")), True))
+    labels = [("class", "author"), ("class", "writer"), ("class", "book-author"), ("id", "author")]
+    author = F.coalesce(*[or_null(F.regexp_replace(inner(H.element_by_id(body, r"\w+", a, v)), AUTHOR_LABEL, ""))
+                          for a, v in labels])
+    intros = [("id", "intro"), ("class", "intro"), ("class", "book-intro"), ("class", "bookintro"),
+              ("class", "description"), ("class", "desc"), ("id", "bookintro")]
+    intro = [inner(H.element_by_id(body, r"\w+", a, v)) for a, v in intros]
+    description = F.coalesce(H.meta_content(doc, "og:description", "description", "twitter:description"),
+                             *[F.when(F.length(t) >= DESCRIPTION_LENGTH, t) for t in intro])
     image = F.regexp_extract(doc, r"""(?is)<img\b[^>]*?\b(?:src|data-src|data-original)\s*=\s*["']([^"']+)["']""", 1)
-    cover = F.coalesce(H.meta_content(doc, "og:image", "twitter:image"), or_null(image))
-    return pages.select(
-        key, title.alias("title"), author.alias("author"), description.alias("description"),
-        F.when(cover.isNotNull(), H.join_url(F.col(url), cover)).alias("cover_url"), F.col(url).alias("source_url"))
+    chosen = rows.select(
+        key, "_url", title.alias("_title"), author.alias("_author"), description.alias("_description"),
+        # Labelled only in running text: looked for in the text without tags.
+        or_null(F.regexp_extract(F.regexp_replace(body, H.ANY_TAG, " "), AUTHOR_IN_TEXT, 1)).alias("_named"),
+        F.coalesce(H.meta_content(doc, "og:image", "twitter:image"), or_null(image)).alias("_cover"))
+    decoded = chosen.select(
+        key, "_url", "_cover", F.col("_title.cut").alias("_cut"), H.unescape(F.col("_title.t")).alias("_t"),
+        H.unescape(F.coalesce("_author", "_named")).alias("_a"), H.unescape(F.col("_description")).alias("_d"))
+    whole = F.when(F.col("_cut"), F.regexp_extract("_t", f"(?s)^(.*?)(?:{TITLE_BREAK}|$)", 1)).otherwise(F.col("_t"))
+    return decoded.select(
+        key, or_null(squeeze(whole)).alias("title"), or_null(squeeze(F.col("_a"))).alias("author"),
+        or_null(squeeze(F.col("_d"))).alias("description"),
+        F.when(F.col("_cover").isNotNull(), H.join_url(F.col("_url"), F.col("_cover"))).alias("cover_url"),
+        F.col("_url").alias("source_url"))
 
 
 DEFAULT_CONTAINERS = (
@@ -274,13 +285,8 @@ PATH_STEP = re.compile(
 
 def _deep_values(payload: Column, name: str) -> Column:
     """All values of a field at any depth, in document order, as JSON texts (Arrow-batched helper)."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, StringType
-
     @F.pandas_udf(ArrayType(StringType()))
     def scan(texts: pd.Series) -> pd.Series:
-        import json
-
         def walk(node):
             if isinstance(node, dict):
                 if name in node:
@@ -323,52 +329,62 @@ def _matches(item: Column, name: str, op: str, want: str) -> Column:
     return F.coalesce(tests[op], F.lit(False))
 
 
+def _field(name: str):
+    return lambda value: F.try_variant_get(value, f"$['{name}']", "variant")
+
+
+def _item(place: int):
+    return lambda value: F.try_element_at(F.try_variant_get(value, "$", "array<variant>"), F.lit(place))
+
+
+def _slice(low: str, high: str):
+    def cut(value):
+        items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+        size = F.size(items)
+        bound = lambda n: F.least(F.lit(n), size) if n >= 0 else F.greatest(size + n, F.lit(0))
+        start = bound(int(low)) if low else F.lit(0)
+        stop = bound(int(high)) if high else size
+        return F.slice(items, start + 1, F.greatest(stop - start, F.lit(0)))
+
+    return cut
+
+
 def json_extract(df: DataFrame, payload: str, path: str, out: str = "values") -> DataFrame:
     """Values of a JSON path as an array of texts: fields, ``[*]``, indexes (also negative), slices, filters, ``..field``.
 
-    Steps run on variants inside the row. Fields of an object come in name order under ``*``.
+    Steps run on variants inside the row. Fields of an object come in name order under ``*``; a deep scan has to be
+    the first step.
     """
-    steps = [m.groupdict() for m in PATH_STEP.finditer(path.lstrip("$"))]
-    first = F.try_parse_json(F.col(payload))
-    current = F.filter(F.array(first), lambda v: v.isNotNull())
-    empty = F.array().cast("array<variant>")
-    for step in steps:
+    present = lambda v: v.isNotNull()
+    current = F.filter(F.array(F.try_parse_json(F.col(payload))), present)
+    for number, match in enumerate(PATH_STEP.finditer(path.lstrip("$"))):
+        step = match.groupdict()
         name = step["field"] or step["quoted"]
         if step["deep"]:
-            texts = F.flatten(F.transform(current, lambda v: F.array(F.to_json(v)))) if step is not steps[0] else None
-            if texts is not None:
+            if number:
                 raise ValueError("a deep scan has to be the first step of a path")
-            found = _deep_values(F.col(payload), step["deep"])
-            current = F.transform(found, lambda t: F.try_parse_json(t))
+            current = F.transform(_deep_values(F.col(payload), step["deep"]), lambda t: F.try_parse_json(t))
         elif name:
-            current = F.filter(F.transform(current, lambda v, n=name: F.try_variant_get(v, f"$['{n}']", "variant")),
-                               lambda v: v.isNotNull())
+            current = F.filter(F.transform(current, _field(name)), present)
         elif step["star"] or step["all"]:
             current = F.flatten(F.transform(current, _children))
         elif step["index"]:
             place = int(step["index"])
-            at = place + 1 if place >= 0 else place
-            current = F.filter(F.transform(current, lambda v, a=at: F.try_element_at(
-                F.try_variant_get(v, "$", "array<variant>"), F.lit(a))), lambda v: v.isNotNull())
+            current = F.filter(F.transform(current, _item(place + 1 if place >= 0 else place)), present)
         elif step["slice"]:
-            low, high = step["slice"].split(":")
-
-            def cut(v, low=low, high=high):
-                items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), empty)
-                size = F.size(items)
-                start = F.lit(int(low or 0)) if not low.startswith("-") else F.greatest(size + int(low), F.lit(0))
-                stop = size if high == "" else F.least(F.lit(int(high)), size) if not high.startswith("-") else size + int(high)
-                return F.slice(items, start + 1, F.greatest(stop - start, F.lit(0)))
-
-            current = F.flatten(F.transform(current, cut))
+            current = F.flatten(F.transform(current, _slice(*step["slice"].split(":"))))
         else:
-            field, op, want = step["f1"] or step["f2"], step["op"], step["want"]
-            current = F.filter(F.flatten(F.transform(current, _children)),
-                               lambda v, f=field, o=op, w=want: _matches(v, f, o, w))
+            test = (step["f1"] or step["f2"], step["op"], step["want"])
+            items = F.flatten(F.transform(current, _children))
+            current = F.filter(items, _tester(*test))
     texts = F.transform(current, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
     return df.withColumn(out, F.coalesce(texts, F.array().cast("array<string>")))
 
 
+def _tester(name: str, op: str, want: str):
+    return lambda item: _matches(item, name, op, want)
+
+
 def first_filled(*arrays: Column) -> Column:
     """Fallback rule: the first array that is not empty."""
     return F.coalesce(*[elements(a) for a in arrays], F.array().cast("array<string>"))

@@ -130,10 +130,11 @@ def schema_gate(payloads: DataFrame, keys: list[str], payload: str, required: di
         "number": lambda c: c.isin("BIGINT", "DOUBLE") | F.startswith(c, F.lit("DECIMAL")),
     }
     parsed = payloads.select(*keys, data.alias("_d"))
-    checks = [F.when(F.col("_d").isNull() | ~F.startswith(F.schema_of_variant("_d"), F.lit("OBJECT")), "not an object")]
+    is_object = F.col("_d").isNotNull() & F.startswith(F.schema_of_variant("_d"), F.lit("OBJECT"))
+    checks = [F.when(~is_object, "not an object")]
     for field, kind in required.items():
         value = F.schema_of_variant(F.try_variant_get("_d", f"$.{field}", "variant"))
-        checks.append(F.when(F.col("_d").isNotNull() & ~F.coalesce(kinds[kind](value), F.lit(False)), field))
+        checks.append(F.when(is_object & ~F.coalesce(kinds[kind](value), F.lit(False)), field))
     faults = F.filter(F.array(*checks), lambda f: f.isNotNull())
     return parsed.select(*keys, F.array_join(faults, ",").alias("faults")).withColumn("passed", F.col("faults") == "")
 

@@ -236,10 +236,8 @@ def json_extract(spark, sf_dir):
         F.lit(',"id":-1}]}}')).alias("payload"))
     out = W.json_extract(events, "payload", "$.box.items[0].k", "k")
     out = W.json_extract(out, "payload", "$..k", "deep")
-    out = W.json_extract(out, "payload", "$.box['items'][0:1][?(@.k >= 50)].id", "big")
-    # A filter looks at the items of a list, so the one-item slice above has to be wrapped again.
     out = W.json_extract(out, "payload", "$.box.items[-1].k", "last")
-    wide = W.json_extract(out, "payload", "$.box.items[?(@.k >= 50)].id", "big")
+    wide = W.json_extract(out, "payload", "$.box['items'][?(@.k >= 50)].id", "big")
     return wide.select(
         "event_id", F.array_join("k", ",").alias("k"), F.array_join("deep", ",").alias("deep"),
         F.array_join(F.filter("big", lambda v: v != "-1"), ",").alias("big"), F.array_join("last", ",").alias("last"))
