@@ -7,7 +7,7 @@ below the broadcast threshold are broadcast by Spark itself; larger ones shuffle
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import names as N
@@ -150,69 +150,69 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
     """Least-cost cover of each segment: one row per token (keys, pos, n_units, src, tgt, kind).
 
     ``spans``: (keys, pos, n_units, kind, target, tier, priority) with kind ``number``, ``dict`` or ``reading``.
-    Units outside the script pass for free, uncovered ones are unknown. Ties fall to number, longest entry,
-    reading, unknown. The fold runs right to left inside the segment and keeps only the costs the longest span can
-    reach.
+    Units outside the script pass for free, uncovered ones are unknown. Ties fall to number, longest entry, reading,
+    unknown.
+
+    Where no span crosses a boundary the cover falls apart, so a segment is cut into islands of overlapping spans and
+    each island is solved on its own: the fold stays short however long a segment is. One shuffle by segment serves
+    the grouping, the island numbers and the cover.
     """
     glue = "" if unit == "char" else " "
-    order = F.when(F.col("kind") == "number", 0).when(F.col("kind") == "dict", 1000 - F.col("n_units")).otherwise(2000)
-    weight = F.when(
-        F.col("kind") == "reading", F.lit(COST_READING + COST_TOKEN)
-    ).otherwise(
-        COST_DICT * F.coalesce(F.col("n_script"), F.col("n_units")) + COST_TOKEN
-        - COST_TIER * F.coalesce(F.col("tier"), F.lit(0)) + COST_PRIORITY * F.coalesce(F.col("priority"), F.lit(0)))
-    if "n_script" not in spans.columns:
-        spans = spans.withColumn("n_script", F.col("n_units"))
-    choice = F.struct(
-        weight.cast("double").alias("cost"), order.cast("int").alias("ord"), F.col("n_units").cast("int").alias("n"),
-        F.col("kind"), F.col("target").alias("tgt"))
-    by_pos = spans.groupBy(*keys, F.col("pos").cast("int").alias("_pos")).agg(F.collect_set(choice).alias("_c"))
-    by_segment = by_pos.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_pos", "_c"))).alias("_spans"),
-        F.max(F.array_max(F.transform("_c", lambda c: c["n"]))).alias("_reach"))
-    joined = segments.select(*keys, units(F.col(text), unit).alias("_u")).join(by_segment, keys, "left")
-    choice_type = "struct<cost:double,ord:int,n:int,kind:string,tgt:string>"
-    reach = F.coalesce(F.col("_reach"), F.lit(1))
-    start = F.struct(F.array(F.lit(0.0)).alias("costs"),
-                     F.array().cast(f"array<{choice_type}>").alias("picked"))
-
-    def step(acc, i):
-        unit_here = F.get("_u", i - 1)
-        plain = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(3000).alias("ord"), F.lit(1).alias("n"),
-                                 F.lit("pass").alias("kind"), unit_here.alias("tgt")))
-        unknown = F.array(F.struct(F.lit(COST_UNKNOWN + COST_TOKEN).alias("cost"), F.lit(3000).alias("ord"),
-                                   F.lit(1).alias("n"), F.lit("unknown").alias("kind"), unit_here.alias("tgt")))
-        found = F.coalesce(F.try_element_at(F.col("_spans"), i), F.array().cast(f"array<{choice_type}>"))
-        options = F.when(unit_here.rlike(script), F.concat(found, unknown)).otherwise(plain)
-        totals = F.transform(options, lambda c: F.struct(
-            (c["cost"] + F.get(acc["costs"], c["n"] - 1)).alias("total"), c["ord"].alias("o"), c.alias("c")))
-        return F.struct(acc["costs"].alias("costs"), acc["picked"].alias("picked"), F.array_min(totals).alias("best"))
-
-    # Each step is split in two folds over a one-element array so that the best option is computed once.
-    def full_step(acc, i):
-        return F.aggregate(
-            F.array(step(acc, i)), acc,
-            lambda _, s: F.struct(
-                F.slice(F.concat(F.array(s["best"]["total"]), s["costs"]), 1, F.greatest(reach, F.lit(1))).alias("costs"),
-                F.concat(F.array(s["best"]["c"]), s["picked"]).alias("picked")))
-
-    size = F.size("_u")
-    places = F.when(size > 0, F.sequence(size, F.lit(1), F.lit(-1)))
-    picked = joined.withColumn("_picked", F.aggregate(places, start, full_step, lambda acc: acc["picked"]))
-    token = "struct<pos:int,n:int,kind:string,tgt:string>"
+    size = F.col("n_units").cast("int")
+    order = F.when(F.col("kind") == "number", 0).when(F.col("kind") == "dict", 1000 - size).otherwise(2000)
+    counted = spans if "n_script" in spans.columns else spans.withColumn("n_script", F.col("n_units"))
+    weight = F.when(F.col("kind") == "reading", F.lit(COST_READING + COST_TOKEN)).otherwise(
+        COST_DICT * F.col("n_script") + COST_TOKEN - COST_TIER * F.coalesce("tier", F.lit(0))
+        + COST_PRIORITY * F.coalesce("priority", F.lit(0)))
+
+    def choice(cost, rank, n, kind, target):
+        return F.struct(cost.cast("double").alias("cost"), rank.cast("int").alias("ord"), n.cast("int").alias("n"),
+                        kind.alias("kind"), target.alias("tgt"))
+
+    none = F.lit(None).cast("string")
+    found = counted.select(*keys, F.col("pos").cast("int").alias("_pos"), none.alias("_unit"),
+                           choice(weight, order, size, F.col("kind"), F.col("target")).alias("_c"))
+    plain = segments.select(*keys, F.posexplode(elements(units(F.col(text), unit))).alias("_i", "_unit")).select(
+        *keys, (F.col("_i") + 1).alias("_pos"), "_unit", F.when(
+            F.col("_unit").rlike(script),
+            choice(F.lit(COST_UNKNOWN + COST_TOKEN), F.lit(3000), F.lit(1), F.lit("unknown"), F.col("_unit")),
+        ).otherwise(choice(F.lit(0.0), F.lit(3000), F.lit(1), F.lit("pass"), F.col("_unit"))).alias("_c"))
+    rows = found.unionByName(plain).repartition(*keys)
+    # A unit outside the script always passes; spans that start there do not count.
+    places = rows.groupBy(*keys, "_pos").agg(
+        F.max("_unit").alias("_unit"), F.collect_set("_c").alias("_all"),
+    ).withColumn("_c", F.when(F.col("_unit").rlike(script), F.col("_all")).otherwise(
+        F.filter("_all", lambda c: c["kind"] == "pass"))).withColumn(
+        "_end", F.col("_pos") + F.array_max(F.transform("_c", lambda c: c["n"])))
+    along = Window.partitionBy(*keys).orderBy("_pos")
+    before = F.max("_end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = places.withColumn("_new", F.when(before > F.col("_pos"), 0).otherwise(1)).withColumn(
+        "_island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = numbered.groupBy(*keys, "_island").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("pos"), F.col("_unit").alias("unit"), F.col("_c").alias("c")))).alias("_p"))
+    # Right to left: (costs from here on, choices from here on); the cost list starts with the end of the island.
+    kind = islands.schema["_p"].dataType.elementType["c"].dataType.simpleString()
+    start = F.struct(F.array(F.lit(0.0)).alias("costs"), F.array().cast(kind).alias("picked"))
+
+    def step(acc, place):
+        best = F.array_min(F.transform(
+            F.filter(place["c"], lambda c: c["n"] <= F.size(acc["costs"])),
+            lambda c: F.struct((c["cost"] + F.get(acc["costs"], c["n"] - 1)).alias("total"), c["ord"].alias("o"), c.alias("c"))))
+        return F.aggregate(F.array(best), acc, lambda a, b: F.struct(
+            F.concat(F.array(b["total"]), a["costs"]).alias("costs"), F.concat(F.array(b["c"]), a["picked"]).alias("picked")))
+
+    picked = islands.select(*keys, "_p", F.aggregate(F.reverse("_p"), start, step, lambda acc: acc["picked"]).alias("_picked"))
     walk = F.aggregate(
-        F.sequence(F.lit(1), F.size("_picked")),
-        F.struct(F.lit(1).alias("next"), F.array().cast(f"array<{token}>").alias("tokens")),
-        lambda acc, i: F.when(
-            i == acc["next"],
-            F.struct((i + F.get("_picked", i - 1)["n"]).alias("next"), F.concat(acc["tokens"], F.array(F.struct(
-                i.alias("pos"), F.get("_picked", i - 1)["n"].alias("n"), F.get("_picked", i - 1)["kind"].alias("kind"),
-                F.get("_picked", i - 1)["tgt"].alias("tgt")))).alias("tokens"))).otherwise(acc),
-        lambda acc: acc["tokens"])
-    rows = picked.select(*keys, "_u", F.explode(F.when(size > 0, walk)).alias("_t"))
-    return rows.select(
-        *keys, F.col("_t.pos").cast("long").alias("pos"), F.col("_t.n").cast("long").alias("n_units"),
-        F.array_join(F.slice("_u", F.col("_t.pos"), F.col("_t.n")), glue).alias("src"),
+        F.sequence(F.lit(0), F.size("_picked") - 1),
+        F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at")),
+        lambda acc, i: F.when(i == acc["next"], F.struct(
+            (i + F.get("_picked", i)["n"]).alias("next"), F.concat(acc["at"], F.array(i)).alias("at"))).otherwise(acc),
+        lambda acc: acc["at"])
+    at = F.when(F.size("_p") == 1, F.array(F.lit(0))).otherwise(walk)
+    tokens = picked.select(*keys, "_p", "_picked", F.explode(at).alias("_i")).withColumn("_t", F.get("_picked", F.col("_i")))
+    return tokens.select(
+        *keys, F.get("_p", F.col("_i"))["pos"].cast("long").alias("pos"), F.col("_t.n").cast("long").alias("n_units"),
+        F.array_join(F.transform(F.slice("_p", F.col("_i") + 1, F.col("_t.n")), lambda p: p["unit"]), glue).alias("src"),
         F.col("_t.tgt").alias("tgt"), F.col("_t.kind").alias("kind"))
 
 

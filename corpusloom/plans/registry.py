@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.sources.tables import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 
@@ -24,8 +26,13 @@ def query(name: str, twin: str | None = None):
     return add
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; text tables in too few pieces are spread over the cores."""
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(frame) if name in TEXT_TABLES else frame
 
 
 def sql_text(value: str) -> str:

@@ -16,6 +16,16 @@ GB_FAMILY = ("gb2312", "gbk", "gb18030")
 # --- end of fixed values --------------------------------------------------------------------------------------
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table that arrives in fewer pieces than there are cores.
+
+    A text table written as one row group is read by one task, which would then do all the row-wise work alone. A
+    table with enough pieces, which is every large one, is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_corpus_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: (novel_id, suffix, text). Bad bytes become the replacement character."""
     raw = (
