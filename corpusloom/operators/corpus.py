@@ -27,7 +27,8 @@ DEFAULT_HEADING = "Mở Đầu"
 FINAL_HEADING = "Chương %04d"
 LONG_PARAGRAPH = 500
 FLUSH_LENGTH = 200
-SENTENCE = r"[^。！？!?]*[。！？!?]+[”’\"'\])]*"
+SENTENCE_MARKS = "。！？!?"
+CLOSING_MARKS = "”’\"'\\])"
 SAMPLE_LIMIT = 8000
 SEED_CHAPTERS_FILE = 50
 SEED_CHAPTERS_CRAWL = 5
@@ -195,30 +196,32 @@ def segment_manifest(chapters: DataFrame, index: str, text: str = "text", *keep:
     )
 
 
-def split_long(paragraphs: DataFrame, key: list[str], text: str = "text", sentence: str = SENTENCE,
+def split_long(paragraphs: DataFrame, key: list[str], text: str = "text", marks: str = SENTENCE_MARKS,
                long: int = LONG_PARAGRAPH, flush: int = FLUSH_LENGTH) -> DataFrame:
     """Paragraphs over ``long`` characters are cut after sentence ends, flushed once over ``flush`` characters.
 
     A tail without sentence end is a piece of its own. The fold keeps (done pieces, open piece).
     """
     whole = strip(F.col(text))
-    sentences = F.regexp_extract_all(whole, F.lit(f"({sentence})"), F.lit(1))
-    # Sentences follow each other without a gap, so the tail starts after their total length.
-    tail = strip(F.substring(whole, F.length(F.array_join(sentences, "")) + 1, F.length(whole)))
+    # Every match runs to a sentence end or to the end of the text, so the scan is linear even without any end mark.
+    sentence = f"[^{marks}]*+(?:[{marks}]++[{CLOSING_MARKS}]*+|\\z)"
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc, piece):
-        grown = F.concat(acc["open"], piece)
-        return F.when(
+        # The grown piece is bound once by folding over a one-element array.
+        return F.aggregate(F.array(F.concat(acc["open"], piece)), acc, lambda a, grown: F.when(
             F.length(grown) > flush,
-            F.struct(F.concat(acc["done"], F.array(grown)).alias("done"), F.lit("").alias("open")),
-        ).otherwise(F.struct(acc["done"].alias("done"), grown.alias("open")))
-
-    folded = F.aggregate(sentences, start, step,
-                         lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    pieces = F.when(F.length(whole) <= long, F.array(whole)).otherwise(F.concat(folded, F.array(tail)))
+            F.struct(F.concat(a["done"], F.array(grown)).alias("done"), F.lit("").alias("open")),
+        ).otherwise(F.struct(a["done"].alias("done"), grown.alias("open"))))
+
+    cut = paragraphs.select(*key, whole.alias("_whole")).select(*key, "_whole", F.when(
+        F.length("_whole") > long, F.regexp_extract_all("_whole", F.lit(sentence), F.lit(0))).alias("_all"))
+    closed = F.filter("_all", lambda x: x.rlike(f"[{marks}]"))
+    tail = F.filter("_all", lambda x: ~x.rlike(f"[{marks}]"))
+    folded = F.aggregate(closed, start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    pieces = F.when(F.col("_all").isNull(), F.array("_whole")).otherwise(F.concat(folded, tail))
     tidy = F.filter(F.transform(pieces, strip), lambda p: p != "")
-    return paragraphs.select(*key, F.posexplode(tidy).alias("_p", "piece")).select(
+    return cut.select(*key, F.posexplode(tidy).alias("_p", "piece")).select(
         *key, (F.col("_p") + 1).cast("long").alias("piece_no"), "piece"
     )
 

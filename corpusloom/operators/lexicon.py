@@ -170,50 +170,55 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
                         kind.alias("kind"), target.alias("tgt"))
 
     none = F.lit(None).cast("string")
-    found = counted.select(*keys, F.col("pos").cast("int").alias("_pos"), none.alias("_unit"),
-                           choice(weight, order, size, F.col("kind"), F.col("target")).alias("_c"))
+    # Spans that start outside the script do not count: such a unit always passes.
+    usable = counted.filter(F.col("key").rlike(f"^{script}")) if "key" in spans.columns else counted
+    found = usable.select(*keys, F.col("pos").cast("int").alias("_pos"), none.alias("_unit"),
+                          choice(weight, order, size, F.col("kind"), F.col("target")).alias("_c"))
     plain = segments.select(*keys, F.posexplode(elements(units(F.col(text), unit))).alias("_i", "_unit")).select(
         *keys, (F.col("_i") + 1).alias("_pos"), "_unit", F.when(
             F.col("_unit").rlike(script),
-            choice(F.lit(COST_UNKNOWN + COST_TOKEN), F.lit(3000), F.lit(1), F.lit("unknown"), F.col("_unit")),
-        ).otherwise(choice(F.lit(0.0), F.lit(3000), F.lit(1), F.lit("pass"), F.col("_unit"))).alias("_c"))
+            choice(F.lit(COST_UNKNOWN + COST_TOKEN), F.lit(3000), F.lit(1), F.lit("unknown"), none),
+        ).otherwise(choice(F.lit(0.0), F.lit(3000), F.lit(1), F.lit("pass"), none)).alias("_c"))
     rows = found.unionByName(plain).repartition(*keys)
-    # A unit outside the script always passes; spans that start there do not count.
-    places = rows.groupBy(*keys, "_pos").agg(
-        F.max("_unit").alias("_unit"), F.collect_set("_c").alias("_all"),
-    ).withColumn("_c", F.when(F.col("_unit").rlike(script), F.col("_all")).otherwise(
-        F.filter("_all", lambda c: c["kind"] == "pass"))).withColumn(
-        "_end", F.col("_pos") + F.array_max(F.transform("_c", lambda c: c["n"])))
     along = Window.partitionBy(*keys).orderBy("_pos")
-    before = F.max("_end").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = places.withColumn("_new", F.when(before > F.col("_pos"), 0).otherwise(1)).withColumn(
-        "_island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = numbered.groupBy(*keys, "_island").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("pos"), F.col("_unit").alias("unit"), F.col("_c").alias("c")))).alias("_p"))
+    reach = F.max(F.col("_pos") + F.col("_c.n")).over(along.rangeBetween(Window.unboundedPreceding, -1))
+    numbered = rows.withColumn("_reach", reach).withColumn("_island", F.max(
+        F.when(F.col("_reach").isNull() | (F.col("_reach") <= F.col("_pos")), F.col("_pos"))
+    ).over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    islands = numbered.groupBy(*keys, "_island").agg(F.collect_list(F.struct(
+        F.col("_pos").alias("pos"), F.col("_unit").alias("unit"), F.col("_c").alias("c"))).alias("_o")).select(
+        *keys, "_island", "_o",
+        F.transform(F.array_sort(F.filter("_o", lambda o: o["unit"].isNotNull())), lambda o: o["unit"]).alias("_u"))
     # Right to left: (costs from here on, choices from here on); the cost list starts with the end of the island.
-    kind = islands.schema["_p"].dataType.elementType["c"].dataType.simpleString()
-    start = F.struct(F.array(F.lit(0.0)).alias("costs"), F.array().cast(kind).alias("picked"))
+    kind = islands.schema["_o"].dataType.elementType["c"].dataType.simpleString()
+    start = F.struct(F.array(F.lit(0.0)).alias("costs"), F.array().cast(f"array<{kind}>").alias("picked"))
 
     def step(acc, place):
         best = F.array_min(F.transform(
-            F.filter(place["c"], lambda c: c["n"] <= F.size(acc["costs"])),
-            lambda c: F.struct((c["cost"] + F.get(acc["costs"], c["n"] - 1)).alias("total"), c["ord"].alias("o"), c.alias("c"))))
+            F.filter("_o", lambda o: (o["pos"] == place) & (o["c"]["n"] <= F.size(acc["costs"]))),
+            lambda o: F.struct((o["c"]["cost"] + F.get(acc["costs"], o["c"]["n"] - 1)).alias("total"),
+                               o["c"]["ord"].alias("o"), o["c"].alias("c"))))
         return F.aggregate(F.array(best), acc, lambda a, b: F.struct(
             F.concat(F.array(b["total"]), a["costs"]).alias("costs"), F.concat(F.array(b["c"]), a["picked"]).alias("picked")))
 
-    picked = islands.select(*keys, "_p", F.aggregate(F.reverse("_p"), start, step, lambda acc: acc["picked"]).alias("_picked"))
+    last = F.col("_island") + F.size("_u") - 1
+    solved = F.aggregate(F.sequence(last, F.col("_island"), F.lit(-1)), start, step, lambda acc: acc["picked"])
+    alone = F.transform("_o", lambda o: o["c"])
+    picked = islands.select(*keys, "_island", "_u", F.when(F.size("_o") == 1, alone).otherwise(solved).alias("_picked"))
     walk = F.aggregate(
         F.sequence(F.lit(0), F.size("_picked") - 1),
         F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at")),
         lambda acc, i: F.when(i == acc["next"], F.struct(
             (i + F.get("_picked", i)["n"]).alias("next"), F.concat(acc["at"], F.array(i)).alias("at"))).otherwise(acc),
         lambda acc: acc["at"])
-    at = F.when(F.size("_p") == 1, F.array(F.lit(0))).otherwise(walk)
-    tokens = picked.select(*keys, "_p", "_picked", F.explode(at).alias("_i")).withColumn("_t", F.get("_picked", F.col("_i")))
+    at = F.when(F.size("_u") == 1, F.array(F.lit(0))).otherwise(walk)
+    tokens = picked.select(*keys, "_island", "_u", "_picked", F.explode(at).alias("_i")).withColumn(
+        "_t", F.get("_picked", F.col("_i")))
+    src = F.array_join(F.slice("_u", F.col("_i") + 1, F.col("_t.n")), glue)
     return tokens.select(
-        *keys, F.get("_p", F.col("_i"))["pos"].cast("long").alias("pos"), F.col("_t.n").cast("long").alias("n_units"),
-        F.array_join(F.transform(F.slice("_p", F.col("_i") + 1, F.col("_t.n")), lambda p: p["unit"]), glue).alias("src"),
-        F.col("_t.tgt").alias("tgt"), F.col("_t.kind").alias("kind"))
+        *keys, (F.col("_island") + F.col("_i")).cast("long").alias("pos"), F.col("_t.n").cast("long").alias("n_units"),
+        src.alias("src"), F.when(F.col("_t.kind").isin("pass", "unknown"), src).otherwise(F.col("_t.tgt")).alias("tgt"),
+        F.col("_t.kind").alias("kind"))
 
 
 def draft_text(tokens: DataFrame, keys: list[str]) -> DataFrame:

@@ -148,7 +148,7 @@ SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id, id ORDER BY i) AS pie
 """)
 def split_long(spark, sf_dir):
     segments = C.segment_manifest(table(spark, sf_dir, "documents"), "doc_id")
-    return C.split_long(segments, ["doc_id", "id"], "text", LONG_SENTENCE)
+    return C.split_long(segments, ["doc_id", "id"], "text", ".!?")
 
 
 def _word(column: str, word: str, replacement: str) -> str:
