@@ -205,26 +205,24 @@ def page_text(pages: DataFrame, rules: DataFrame | None = None, key: str = "page
 def stitch_pages(starts: DataFrame, pages: DataFrame, max_hops: int, glue: str = "\n\n") -> DataFrame:
     """Follow next-page links from each start address and join the texts in order: (start_url, pages, text).
 
-    ``pages``: url, text, next_url. A chain ends without a next link, at a page already seen, or after ``max_hops``
-    pages, so a chain holds a bounded number of texts however many pages there are.
+    ``pages``: url, text, next_url, one row per address. A chain ends without a next link, at a page already seen, or
+    after ``max_hops`` pages, so a chain holds a bounded number of texts however many pages there are.
     """
-    steps = pages.groupBy("url").agg(F.min_by(F.struct("text", "next_url"), F.struct("next_url", "text")).alias("_p")).select(
-        F.col("url").alias("_at"), F.col("_p.text").alias("_text"), F.col("_p.next_url").alias("_next"))
-    none = F.array().cast("array<string>")
+    # The walk moves addresses only; texts are fetched once, for the pages that were reached.
+    links = pages.filter(F.col("next_url").isNotNull()).groupBy(F.col("url").alias("_at")).agg(F.min("next_url").alias("_next"))
     chain = starts.select(F.col("url").alias("start_url")).distinct().select(
-        "start_url", F.col("start_url").alias("_at"), none.alias("_seen"), none.alias("_texts"))
-    for _ in range(max_hops):
-        alive = F.col("_at").isNotNull() & F.col("_text").isNotNull()
-        walked = chain.join(steps, "_at", "left")
-        seen = F.when(alive, F.concat("_seen", F.array("_at"))).otherwise(F.col("_seen"))
-        chain = walked.select(
-            "start_url",
-            F.when(alive & ~F.array_contains(seen, F.coalesce("_next", F.lit(""))), F.col("_next")).alias("_at"),
-            seen.alias("_seen"),
-            F.when(alive, F.concat("_texts", F.array("_text"))).otherwise(F.col("_texts")).alias("_texts"))
-    return chain.select(
-        "start_url", F.size("_seen").cast("long").alias("pages"),
-        F.array_join(F.filter("_texts", lambda t: t != ""), glue).alias("text"))
+        "start_url", F.col("start_url").alias("_at"), F.array("start_url").alias("_seen"))
+    for _ in range(max_hops - 1):
+        following = F.when(~F.array_contains("_seen", F.coalesce("_next", F.lit(""))), F.col("_next"))
+        chain = chain.join(links, "_at", "left").select("start_url", "_seen", following.alias("_at")).select(
+            "start_url", "_at", F.when(F.col("_at").isNotNull(), F.concat("_seen", F.array("_at"))).otherwise(F.col("_seen")).alias("_seen"))
+    texts = pages.groupBy("url").agg(F.min("text").alias("text"))
+    reached = chain.select("start_url", F.posexplode("_seen").alias("_hop", "url")).join(texts, "url")
+    joined_text = F.array_join(F.filter(F.transform(
+        F.array_sort(F.collect_list(F.struct("_hop", "text"))), lambda s: s["text"]), lambda t: t != ""), glue)
+    found = reached.groupBy("start_url").agg(F.count("*").alias("pages"), joined_text.alias("text"))
+    return chain.select("start_url").join(found, "start_url", "left").select(
+        "start_url", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def canonical_url(df: DataFrame, aliases: DataFrame, url: str = "url") -> DataFrame:

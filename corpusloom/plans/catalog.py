@@ -241,21 +241,14 @@ def search_library(spark, sf_dir):
 
 
 @query("k1_chapter_order", """
-SELECT name, CASE WHEN name LIKE 'Chapter%' THEN page_id END AS chapter_index, row_number() OVER (
-  ORDER BY CASE WHEN name LIKE 'Chapter%' THEN page_id END NULLS LAST, name) AS place FROM (
-  SELECT page_id, CASE WHEN url LIKE 'https:%' THEN 'Chapter ' || printf('%05d', page_id) || '.md' ELSE 'note ' || page_id || '.md' END AS name FROM pages)""")
+SELECT name, CASE WHEN name LIKE 'Chapter%' THEN page_id END AS chapter_index FROM (
+  SELECT page_id, CASE WHEN url LIKE 'https:%' THEN 'Chapter ' || printf('%05d', page_id) || '.md' ELSE 'note ' || page_id || '.md' END AS name FROM pages)
+ORDER BY chapter_index NULLS LAST, name""")
 def chapter_order(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     name = F.when(F.startswith("url", F.lit("https:")), F.format_string("Chapter %05d.md", "page_id")).otherwise(
         F.concat(F.lit("note "), "page_id", F.lit(".md")))
-    ordered = A.chapter_order(pages.select(name.alias("name")), "name")
-    # The place is read off the sorted rows: offsets of the range-sorted partitions plus the place inside each.
-    from corpusloom.functions.keyed import position
-
-    files = ordered.withColumn("_all", F.lit(0)).withColumn("_nul", F.col("chapter_index").isNull())
-    bucket = F.when(F.col("_nul"), F.lit(2**40)).otherwise(F.floor(F.col("chapter_index") / 4096))
-    return position(files, ["_all"], [F.col("_nul"), F.col("chapter_index"), F.col("name")], bucket, "place").select(
-        "name", "chapter_index", "place")
+    return A.chapter_order(pages.select(name.alias("name")), "name")
 
 
 @query("p8_clean_metadata", r"""

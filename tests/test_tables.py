@@ -187,3 +187,12 @@ def test_edge_jobs(spark):
     present = spark.createDataFrame([(1, "a"), (1, "b"), (2, "d")], "ch int, raw string")
     assert {(r.ch, r.edge) for r in O.edge_context(both, present, ["ch"]).collect()} == {(1, "a --(r)--> b"), (2, "c --(q)--> d")}
     assert {(r.ch, r.edge) for r in O.edge_context(both, present, ["ch"], both_ends=True).collect()} == {(1, "a --(r)--> b")}
+
+
+def test_sorted_lists(spark):
+    files = spark.createDataFrame([("b.md",), ("Chapter 10.md",), ("Chương 2.md",), ("a.md",)], "name string")
+    assert [r.name for r in A.chapter_order(files, "name").collect()] == ["Chương 2.md", "Chapter 10.md", "a.md", "b.md"]
+    names = spark.createDataFrame([(n,) for n in ("beta", "Alpha", "gamma", "Ring a", "a ring")], "name string")
+    assert [r.name for r in A.progress_list(names, "name", 3).collect()] == ["a ring", "Alpha", "beta"]
+    assert [r.name for r in A.page(names, [F.col("name")], 1, 2).collect()] == ["a ring", "beta"]
+    assert [r.name for r in A.search_library(names, "name", "RING").collect()] == ["Ring a", "a ring"]
