@@ -36,21 +36,18 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], b
         .agg(F.sum("_value").alias("_cell"))
     )
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.withColumn("_offset", F.coalesce(F.sum("_cell").over(before), F.lit(0)))
-    tagged = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    # Null keys or buckets form groups of their own, so the way back is a null-safe equi join.
-    left, right = tagged.alias("l"), offsets.alias("r")
-    matched = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_bucket"]]
-    condition = matched[0]
-    for part in matched[1:]:
-        condition = condition & part
-    joined = left.join(right, condition).select("l.*", "r._offset")
+    offsets = cells.select(
+        *keys, "_bucket", F.sum("_cell").over(before).alias("_value"), F.lit(0).alias("_row")
+    ).filter(F.col("_value").isNotNull())
+    # Each cell starts with one extra row that carries the sum of the cells before it. A union needs no join: the rows
+    # are shuffled once, and null keys are a key like any other.
+    rows = df.withColumn("_bucket", bucket).withColumn("_value", value).withColumn("_row", F.lit(1))
     inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return joined.withColumn(name, F.col("_offset") + F.sum("_value").over(inside)).drop(
-        "_bucket", "_value", "_offset"
+        Window.partitionBy(*keys, "_bucket").orderBy("_row", *order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    both = rows.unionByName(offsets, allowMissingColumns=True)
+    return both.withColumn(name, F.sum("_value").over(inside)).filter(F.col("_row") == 1).drop("_bucket", "_value", "_row")
 
 
 def position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str) -> DataFrame:
