@@ -277,6 +277,26 @@ def kpi_terms(mentions: DataFrame) -> DataFrame:
         F.round(F.count_if(F.col("targets") == 1) / F.count("*"), 4).alias("consistency"))
 
 
+def kpi_table(coverage: DataFrame, hits: DataFrame, aligned: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Indicators as rows (metric, value) from the small results of the other jobs.
+
+    ``coverage``: total_units, matched_units. ``hits``: segments, hits. ``aligned``: draft, final. ``mentions``: raw,
+    target, type.
+    """
+    share = lambda part, whole: F.round(part / whole, 4).cast("double")
+    parts = [
+        coverage.agg(share(F.sum("matched_units"), F.sum("total_units")).alias("graph_coverage")),
+        hits.agg(share(F.sum("hits"), F.sum("segments")).alias("memory_hit_rate")),
+        aligned.agg(share(F.count_if(F.col("draft") != F.col("final")), F.count("*")).alias("correction_rate")),
+        kpi_terms(mentions).select(*[F.col(c).cast("double").alias(c) for c in ("new_characters", "new_terms", "consistency")]),
+    ]
+    out = None
+    for part in parts:
+        rows = part.unpivot([], part.columns, "metric", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def mine_edits(aligned: DataFrame, draft: str, final: str, threshold: int = 3, longest: int = 30) -> DataFrame:
     """Word-level replacements between draft and final, short on both sides, counted; frequent ones are proposals.
 

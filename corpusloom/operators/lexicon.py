@@ -203,8 +203,9 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
 
     last = F.col("_island") + F.size("_u") - 1
     solved = F.aggregate(F.sequence(last, F.col("_island"), F.lit(-1)), start, step, lambda acc: acc["picked"])
-    alone = F.transform("_o", lambda o: o["c"])
-    picked = islands.select(*keys, "_island", "_u", F.when(F.size("_o") == 1, alone).otherwise(solved).alias("_picked"))
+    # An island of one unit needs no fold: the cheapest choice is the cover.
+    alone = F.array(F.array_min(F.transform("_o", lambda o: F.struct(o["c"]["cost"].alias("t"), o["c"]["ord"].alias("o"), o["c"].alias("c"))))["c"])
+    picked = islands.select(*keys, "_island", "_u", F.when(F.size("_u") == 1, alone).otherwise(solved).alias("_picked"))
     walk = F.aggregate(
         F.sequence(F.lit(0), F.size("_picked") - 1),
         F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at")),

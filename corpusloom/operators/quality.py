@@ -238,6 +238,25 @@ def parse_reply(replies: DataFrame, text: str = "reply", schema: str = REPLY_SCH
         *[c for c in replies.columns if c != text], "ok", F.when(F.col("ok"), F.col("_p").dropFields("_bad")).alias("reply"))
 
 
+def recover_reply(replies: DataFrame, expected: DataFrame, keys: list[str], text: str = "reply") -> DataFrame:
+    """Segments of a reply in either form: JSON segments where the reply holds any, else numbered lines."""
+    parsed = parse_reply(replies.select(*keys, F.col(text).alias("reply"), F.col(text).alias("_text")))
+    segments = F.filter(F.coalesce(F.col("reply.refined_segments"), F.array().cast(
+        "array<struct<id:bigint,refined_translation:string>>")),
+        lambda s: s["id"].isNotNull() & (strip(F.coalesce(s["refined_translation"], F.lit(""))) != ""))
+    split = parsed.select(*keys, "_text", segments.alias("_s"))
+    in_json = split.select(*keys, F.posexplode(F.when(F.size("_s") > 0, F.col("_s"))).alias("_i", "_x")).groupBy(
+        *keys, F.col("_x.id").alias("id")).agg(F.max_by(strip(F.col("_x.refined_translation")), "_i").alias("text"))
+    kept = in_json.join(expected.select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
+    in_lines = recover_segments(split.filter(F.size("_s") == 0).select(*keys, F.col("_text").alias("reply")), expected, keys)
+    return kept.unionByName(in_lines)
+
+
+def as_violations(faults: DataFrame, keys: list[str], level: Column | str, message: Column) -> DataFrame:
+    """Rows of one check in the common form (keys, level, message); union several for the gate."""
+    return faults.select(*keys, (F.lit(level) if isinstance(level, str) else level).alias("level"), message.alias("message"))
+
+
 def align_segments(raw: DataFrame, refined: DataFrame, keys: list[str], longer_than: int = 5) -> DataFrame:
     """Raw and refined text side by side for the memory; short sources are left out."""
     a = raw.filter(F.length("text") > longer_than).select(*keys, F.col("text").alias("raw_text"))

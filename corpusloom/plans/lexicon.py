@@ -444,9 +444,6 @@ def context_array(spark, sf_dir):
     return out.select("user_id", "event_id", F.coalesce(F.array_join("context", ";"), F.lit("")).alias("context"))
 
 
-KPI_TOKENS = f"{SPANS}"
-
-
 @query("a13_kpis", f"""
 WITH {SPANS}, m AS (
   SELECT doc_id, key AS raw, CASE WHEN doc_id % 100 = 0 THEN 'other' ELSE target END AS target, type FROM spans)
@@ -462,6 +459,33 @@ def kpis(spark, sf_dir):
     return kpi_terms(found)
 
 
+@query("a13_kpi_table", f"""
+WITH {SPANS}, m AS (SELECT key AS raw, CASE WHEN doc_id % 100 = 0 THEN 'other' ELSE target END AS target, type FROM spans),
+cov AS (SELECT count(*) AS total, count(l.key) AS hit FROM tokens t LEFT JOIN lex l ON l.key = t.token AND l.n = 1),
+tm AS (SELECT DISTINCT md5(trim(text, {STRIP})) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+talkpairs AS (SELECT u.text AS draft, a.text AS final FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')
+SELECT 'graph_coverage' AS metric, round(hit / total, 4) AS value FROM cov
+UNION ALL SELECT 'memory_hit_rate', round(count(*) FILTER (md5(trim(text, {STRIP})) IN (SELECT h FROM tm)) / count(*), 4) FROM documents
+UNION ALL SELECT 'correction_rate', round(count(*) FILTER (draft <> final) / count(*), 4) FROM talkpairs
+UNION ALL SELECT 'new_characters', CAST(count(DISTINCT raw) FILTER (type = 'name') AS DOUBLE) FROM m
+UNION ALL SELECT 'new_terms', CAST(count(DISTINCT raw) FILTER (type <> 'name') AS DOUBLE) FROM m
+UNION ALL SELECT 'consistency', round(count(*) FILTER (n = 1) / count(*), 4) FROM (SELECT raw, count(DISTINCT target) AS n FROM m GROUP BY raw)""")
+def kpi_table(spark, sf_dir):
+    from corpusloom.operators import memory as M
+    from corpusloom.operators.catalog import kpi_table as table_of
+    from corpusloom.plans.knowledge import doc_memory
+
+    found = spans(spark, sf_dir).select(
+        F.col("key").alias("raw"), F.when(F.col("doc_id") % 100 == 0, "other").otherwise(F.col("target")).alias("target"), "type")
+    covered = coverage(spark, sf_dir).filter("doc_id is not null").select("total_units", "matched_units")
+    hits = M.tm_hit_rate(table(spark, sf_dir, "documents"), doc_memory(spark, sf_dir), ["source"])
+    talk = table(spark, sf_dir, "conversations")
+    drafts = talk.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("draft"))
+    finals = talk.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("final"))
+    return table_of(covered, hits, drafts.join(finals, ["conv_id", "turn"]), found)
+
+
 @query("g8_recover_segments", r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(1, len(a) + 1)) AS line_no, unnest(a) AS raw FROM (

@@ -182,15 +182,23 @@ def publish_faults(spark, sf_dir):
 
 @query("q8_gate", f"""
 WITH {RECON},
-v AS (SELECT k, CASE WHEN fault IN ('segment_id', 'out_of_order') THEN 'warning' ELSE 'error' END AS level, fault || ' ' || id AS message FROM faults),
+v AS (SELECT k, CASE WHEN fault IN ('segment_id', 'out_of_order') THEN 'warning' ELSE 'error' END AS level, fault || ' ' || id AS message FROM faults
+  UNION ALL SELECT o_orderkey, 'error', 'segments 5/' || count(l_orderkey) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(l_orderkey) <> 5
+  UNION ALL SELECT l_orderkey, 'warning', 'short' FROM lineitem GROUP BY 1 HAVING count(*) * 2 - 1 < 10 AND max(l_tax) > 0.01
+  UNION ALL SELECT l_orderkey, 'error', 'empty' FROM lineitem GROUP BY 1 HAVING max(l_tax) <= 0.01),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY message) AS n FROM v WHERE level = 'error')
 SELECT k, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings, count(*) FILTER (level = 'error') = 0 AS passed,
   coalesce((SELECT string_agg(message, ' | ' ORDER BY message) FROM r WHERE r.k = v.k AND n <= 5), '') AS first_errors
 FROM v GROUP BY k""")
 def gate(spark, sf_dir):
-    faults = Q.reconcile(*order_segments(spark, sf_dir), ["k"])
-    level = F.when(F.col("fault").isin("segment_id", "out_of_order"), "warning").otherwise("error")
-    return Q.gate(faults.select("k", level.alias("level"), F.concat_ws(" ", "fault", "id").alias("message")), ["k"])
+    raw, refined = order_segments(spark, sf_dir)
+    faults, counts = Q.reconcile(raw, refined, ["k"]), Q.count_faults(raw, refined, ["k"])
+    short = Q.length_faults(refined, ["k"], "text")
+    soft = F.when(F.col("fault").isin("segment_id", "out_of_order", "short"), "warning").otherwise("error")
+    all_rows = Q.as_violations(faults, ["k"], soft, F.concat_ws(" ", "fault", "id")).unionByName(
+        Q.as_violations(counts, ["k"], "error", F.concat(F.lit("segments "), "raw_segments", F.lit("/"), "refined_segments"))
+    ).unionByName(Q.as_violations(short, ["k"], soft, F.col("fault")))
+    return Q.gate(all_rows, ["k"])
 
 
 @query("q9_retry_list", """

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.html import BLOCK_PATTERN, ANY_TAG, drop_comments, drop_elements, unescape, SKIP_TAGS
-from corpusloom.functions.text import split_lines, strip
+from corpusloom.functions.text import elements, split_lines, strip, url_unquote
 
 # --- fixed values ---------------------------------------------------------------------------------------------
 CORPUS_GLOB = "*.{txt,html,htm,xhtml,md}"
 EXCLUDED_SOURCES = ("cedict", "babylon")
 CHARSET_HEAD_BYTES = 4096
 GB_FAMILY = ("gb2312", "gbk", "gb18030")
+OTHER_CHARSETS = ("big5", "shift_jis", "euc-kr", "iso-8859-1", "windows-1252")
 # --- end of fixed values --------------------------------------------------------------------------------------
 
 
@@ -114,17 +115,21 @@ def decode_pages(pages: DataFrame, content: str = "content", header: Column | No
 
     A declared charset that does not fit the bytes falls back to UTF-8, then gb18030; UTF-8 validity decides.
     """
-    # gb18030 is outside the short list Spark allows by default.
+    # gb18030 is outside the short list Spark allows by default, and broken bytes shall read as replacement
+    # characters instead of failing the job.
     pages.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
+    pages.sparkSession.conf.set("spark.sql.legacy.codingErrorAction", "true")
     head = F.decode(F.substring(F.col(content), 1, CHARSET_HEAD_BYTES), "ISO-8859-1")
     hints = F.concat_ws(" ", header if header is not None else F.lit(""), head)
     declared = F.lower(F.regexp_extract(hints, r"(?i)charset=[\"']?([\w\-]+)", 1))
-    known = F.when(declared.isin(*GB_FAMILY), "gb18030").when(
-        declared.isin("big5", "shift_jis", "euc-kr", "iso-8859-1", "windows-1252"), declared
-    )
+    known = F.when(declared.isin(*GB_FAMILY), "gb18030").when(declared.isin(*OTHER_CHARSETS), declared)
     utf8 = F.is_valid_utf8(F.col(content).cast("string"))
-    charset = F.when(known.isNotNull(), known).when(utf8, "UTF-8").otherwise("gb18030")
-    return pages.withColumn("charset", charset).withColumn("html", F.expr(f"decode({content}, charset)")).drop(content)
+    # A declared charset counts when it reads the bytes without a gap, or when UTF-8 does not read them either.
+    clean = ~F.contains(F.expr(f"decode({content}, _known)"), F.lit("\ufffd"))
+    charset = F.when(F.col("_known").isNotNull() & (clean | ~F.col("_utf8")), F.col("_known")).when(
+        F.col("_utf8"), "UTF-8").otherwise("gb18030")
+    tagged = pages.withColumn("_known", known).withColumn("_utf8", utf8).withColumn("charset", charset)
+    return tagged.withColumn("html", F.expr(f"decode({content}, charset)")).drop(content, "_known", "_utf8")
 
 
 def import_sources(payloads: DataFrame, payload: str = "payload") -> DataFrame:
@@ -132,20 +137,32 @@ def import_sources(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
     Records without an address are dropped. The record itself is kept as a variant.
     """
-    data = F.try_parse_json(F.col(payload))
-    whole = F.try_variant_get(data, "$", "array<variant>")
-    books = F.try_variant_get(data, "$.bookSources", "array<variant>")
-    plain = F.try_variant_get(data, "$.sources", "array<variant>")
-    items = F.coalesce(whole, books, plain, F.array(data))
-    exploded = payloads.withColumn("_items", items).select(
-        *[c for c in payloads.columns if c != payload], F.explode("_items").alias("raw")
-    )
+    raw = strip(F.regexp_replace(F.col(payload), r"^\x{FEFF}", ""))
+
+    def sources(text):
+        data = F.try_parse_json(text)
+        # One of the list forms, else the value itself; only records with an address count.
+        items = F.coalesce(
+            F.try_variant_get(data, "$", "array<variant>"), F.try_variant_get(data, "$.bookSources", "array<variant>"),
+            F.try_variant_get(data, "$.sources", "array<variant>"), F.array(data))
+        return elements(F.filter(items, lambda v: F.length(strip(F.try_variant_get(v, "$.bookSourceUrl", "string"))) > 0))
+
+    # Lists inside other text (a script of a page, an encoded value) are looked for when the whole is no source list.
+    decoded = F.array(unescape(raw), url_unquote(raw))
+    embedded = F.flatten(F.transform(F.concat(F.array(raw), decoded), lambda t: F.array(
+        t, F.regexp_extract(t, r"(?s)(\[\s*\{.*\}\s*\])", 1), F.regexp_extract(t, r"(?s)(\{.*\})", 1))))
+    whole = payloads.withColumn("_raw", raw).withColumn("_whole", sources(F.col("_raw")))
+    wanted = F.col("_whole").isNull() & F.col("_raw").rlike("bookSource|sources")
+    tried = whole.withColumn("_texts", F.when(wanted, embedded)).withColumn(
+        "_found", F.get(F.filter(F.transform("_texts", sources), lambda x: x.isNotNull()), F.lit(0)))
+    exploded = tried.select(
+        *[c for c in payloads.columns if c != payload], F.explode(F.coalesce("_whole", "_found")).alias("raw"))
     return exploded.select(
         *[c for c in exploded.columns if c != "raw"],
         F.try_variant_get("raw", "$.bookSourceUrl", "string").alias("source_url"),
         F.try_variant_get("raw", "$.bookSourceName", "string").alias("source_name"),
         "raw",
-    ).filter(F.length(strip(F.col("source_url"))) > 0)
+    )
 
 
 def write_table(df: DataFrame, path: str, *partition: str) -> None:

@@ -146,12 +146,16 @@ def test_source_classes(spark):
 
 
 def test_import_sources(spark):
+    from urllib.parse import quote
+
     one = {"bookSourceUrl": "u1", "bookSourceName": "n1"}
     rows = [json.dumps([one, {"bookSourceName": "none"}]), json.dumps({"bookSources": [one]}), json.dumps({"sources": [one]}),
             json.dumps(one), "broken {", json.dumps({"bookSources": []})]
+    rows[4:4] = ['<html><script>\nwindow.sources = [{"bookSourceUrl":"u1","bookSourceName":"n1"}];\n</script></html>',
+                 json.dumps([one]).replace('"', "&quot;"), quote(json.dumps({"sources": [one]}))]
     frame = spark.createDataFrame(list(enumerate(rows)), "i int, payload string")
     out = S.import_sources(frame).orderBy("i").collect()
-    assert [(r.i, r.source_url, r.source_name) for r in out] == [(i, "u1", "n1") for i in range(4)]
+    assert [(r.i, r.source_url, r.source_name) for r in out] == [(i, "u1", "n1") for i in range(7)]
 
 
 def test_import_links(spark):
@@ -184,9 +188,11 @@ def test_decode_pages(spark):
     text = '<meta charset="gbk"><p>中文</p>'
     plain = "<p>中文</p>"
     frame = spark.createDataFrame([(1, text.encode("gb18030")), (2, plain.encode("utf-8")), (3, plain.encode("gb18030")),
-                                   (4, b'<meta charset="x-unknown">abc')], "id int, content binary")
+                                   (4, b'<meta charset="x-unknown">abc'), (5, b'<meta charset="gbk">' + "été 中".encode()),
+                                   (6, b'<meta charset="gbk">a\xff\xff')], "id int, content binary")
     out = {r.id: r.html for r in S.decode_pages(frame).collect()}
-    assert out == {1: text, 2: plain, 3: plain, 4: '<meta charset="x-unknown">abc'}
+    assert out == {1: text, 2: plain, 3: plain, 4: '<meta charset="x-unknown">abc', 5: '<meta charset="gbk">été 中',
+                   6: '<meta charset="gbk">a\ufffd\ufffd'}
 
 
 def test_unescape(spark):

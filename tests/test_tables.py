@@ -196,3 +196,12 @@ def test_sorted_lists(spark):
     assert [r.name for r in A.progress_list(names, "name", 3).collect()] == ["a ring", "Alpha", "beta"]
     assert [r.name for r in A.page(names, [F.col("name")], 1, 2).collect()] == ["a ring", "beta"]
     assert [r.name for r in A.search_library(names, "name", "RING").collect()] == ["Ring a", "a ring"]
+
+
+def test_reply_in_either_form(spark):
+    replies = spark.createDataFrame([
+        (1, '{"refined_segments":[{"id":1,"refined_translation":" a "},{"id":2,"refined_translation":""},{"id":9,"refined_translation":"x"}]}'),
+        (2, "[1] b\nthêm\n2. c"), (3, '{"refined_segments":[]}')], "ch int, reply string")
+    expected = spark.createDataFrame([(c, i) for c in (1, 2, 3) for i in (1, 2)], "ch int, id int")
+    out = {(r.ch, r.id, r.text) for r in Q.recover_reply(replies, expected, ["ch"]).collect()}
+    assert out == {(1, 1, "a"), (2, 1, "b\nthêm"), (2, 2, "c")}
