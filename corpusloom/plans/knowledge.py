@@ -367,7 +367,7 @@ def append_entities(spark, sf_dir):
 
 
 @query("u10_enqueue", """
-WITH open AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 90),
+WITH open AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 200),
 ranked AS (
   SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
   WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM open))
@@ -375,7 +375,7 @@ SELECT user_id, event_id FROM ranked WHERE n = 1""")
 def enqueue(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     jobs = events.filter("event_type = 'signup'").select(
-        "user_id", F.when(F.col("value") > 90, "running").otherwise("done").alias("status"))
+        "user_id", F.when(F.col("value") > 200, "running").otherwise("done").alias("status"))
     requests = events.filter("event_type = 'purchase'")
     return K.enqueue(jobs, requests, "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
 
