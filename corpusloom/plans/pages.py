@@ -75,7 +75,7 @@ def read_status(spark, sf_dir):
 SELECT event_id, 'https://s.example/' || CAST(json_extract(props, '$.k') AS VARCHAR) AS source_url, 'n' || user_id AS source_name
 FROM events WHERE event_type <> 'error'""")
 def import_sources(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
+    events = S.spread(table(spark, sf_dir, "events"))
     record = F.to_json(F.struct(
         F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.lit("https://s.example/"), F.get_json_object("props", "$.k")))
         .alias("bookSourceUrl"), F.concat(F.lit("n"), "user_id").alias("bookSourceName")))
@@ -231,7 +231,7 @@ SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k,
 FROM events""")
 def json_extract(spark, sf_dir):
     # A nested record per event: the payload as first item of a list, the user as second.
-    events = table(spark, sf_dir, "events").select("event_id", F.concat(
+    events = S.spread(table(spark, sf_dir, "events")).select("event_id", F.concat(
         F.lit('{"box":{"items":[{"id":'), "event_id", F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit('},{"k":'), "user_id",
         F.lit(',"id":-1}]}}')).alias("payload"))
     out = W.json_extract(events, "payload", "$.box.items[0].k", "k")

@@ -26,13 +26,13 @@ def query(name: str, twin: str | None = None):
     return add
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
+SPREAD_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; text tables in too few pieces are spread over the cores."""
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(frame) if name in TEXT_TABLES else frame
+    return spread(frame) if name in SPREAD_TABLES else frame
 
 
 def sql_text(value: str) -> str:

@@ -23,7 +23,9 @@ def places(spark, name):
 WITH {CHAPTERS} SELECT doc_id, seq, coalesce(heading, '') AS heading, length(body) AS body_chars FROM chapters WHERE seq > 0 OR body <> ''""")
 def stream_chapters(spark, sf_dir):
     path, checkpoint = places(spark, "chapters")
-    docs = J.table_stream(spark, sf_dir, "documents").select("doc_id", "text")
+    # One small file makes one task per batch; deal the texts out before the row-wise split.
+    docs = J.table_stream(spark, sf_dir, "documents").select("doc_id", "text").repartition(
+        spark.sparkContext.defaultParallelism)
     J.stream_chapters(docs, path, checkpoint, DEMO_RULES, "doc_id").awaitTermination()
     return spark.read.parquet(path).select(
         "doc_id", "seq", F.coalesce("heading", F.lit("")).alias("heading"), F.length("body").alias("body_chars"))

@@ -139,24 +139,28 @@ def import_sources(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """
     raw = strip(F.regexp_replace(F.col(payload), r"^\x{FEFF}", ""))
 
-    def sources(text):
-        data = F.try_parse_json(text)
+    def records(data):
         # One of the list forms, else the value itself; only records with an address count.
         items = F.coalesce(
             F.try_variant_get(data, "$", "array<variant>"), F.try_variant_get(data, "$.bookSources", "array<variant>"),
             F.try_variant_get(data, "$.sources", "array<variant>"), F.array(data))
-        return elements(F.filter(items, lambda v: F.length(strip(F.try_variant_get(v, "$.bookSourceUrl", "string"))) > 0))
-
-    # Lists inside other text (a script of a page, an encoded value) are looked for when the whole is no source list.
-    decoded = F.array(unescape(raw), url_unquote(raw))
-    embedded = F.flatten(F.transform(F.concat(F.array(raw), decoded), lambda t: F.array(
-        t, F.regexp_extract(t, r"(?s)(\[\s*\{.*\}\s*\])", 1), F.regexp_extract(t, r"(?s)(\{.*\})", 1))))
-    whole = payloads.withColumn("_raw", raw).withColumn("_whole", sources(F.col("_raw")))
-    wanted = F.col("_whole").isNull() & F.col("_raw").rlike("bookSource|sources")
-    tried = whole.withColumn("_texts", F.when(wanted, embedded)).withColumn(
-        "_found", F.get(F.filter(F.transform("_texts", sources), lambda x: x.isNotNull()), F.lit(0)))
-    exploded = tried.select(
-        *[c for c in payloads.columns if c != payload], F.explode(F.coalesce("_whole", "_found")).alias("raw"))
+        return F.filter(items, lambda v: F.length(strip(F.try_variant_get(v, "$.bookSourceUrl", "string"))) > 0)
+
+    def sources(text):
+        # Bound by a one-element transform, so the text is parsed once.
+        return F.get(F.transform(F.array(F.try_parse_json(text)), records), F.lit(0))
+
+    keep = [c for c in payloads.columns if c != payload]
+    whole = payloads.select(*keep, raw.alias("_raw")).withColumn("_items", sources(F.col("_raw")))
+    plain = whole.select(*keep, F.explode(elements(F.col("_items"))).alias("raw"))
+    # The second look is only for texts that name sources without being a list themselves.
+    other = whole.filter(F.col("_raw").rlike("bookSource|sources") & (F.size("_items") == 0)).select(
+        *keep, F.array(F.col("_raw"), unescape(F.col("_raw")), url_unquote(F.col("_raw"))).alias("_texts"))
+    tried = other.withColumn("_texts", F.flatten(F.transform("_texts", lambda t: F.array(
+        t, F.regexp_extract(t, r"(?s)(\[\s*\{.*\}\s*\])", 1), F.regexp_extract(t, r"(?s)(\{.*\})", 1)))))
+    found = tried.select(*keep, F.explode(F.get(F.filter(
+        F.transform("_texts", sources), lambda x: F.size(x) > 0), F.lit(0))).alias("raw"))
+    exploded = plain.unionByName(found)
     return exploded.select(
         *[c for c in exploded.columns if c != "raw"],
         F.try_variant_get("raw", "$.bookSourceUrl", "string").alias("source_url"),
