@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.keyed import position, running_total, top_per_key
 from corpusloom.functions.text import (
-    CJK, elements, numeral_value, safe_title, squeeze, split_lines, strip,
+    CJK, elements, fold_accents, numeral_value, safe_title, slug_id, split_lines, squeeze, strip,
 )
 
 # --- fixed values ---------------------------------------------------------------------------------------------
@@ -32,7 +32,6 @@ CLOSING_MARKS = "”’\"'\\])"
 SAMPLE_LIMIT = 8000
 SEED_CHAPTERS_FILE = 50
 SEED_CHAPTERS_CRAWL = 5
-MIN_TEXT = 20
 # --- end of fixed values --------------------------------------------------------------------------------------
 
 
@@ -302,8 +301,6 @@ def numeral_mentions(docs: DataFrame, key: str, text: str = "text") -> DataFrame
 
 
 def make_ids(df: DataFrame, title: str, url: str) -> DataFrame:
-    from corpusloom.functions.text import fold_accents, slug_id
-
     return df.withColumn("novel_id", slug_id(F.col(title), F.col(url))).withColumn(
         "branch", squeeze(F.regexp_replace(fold_accents(F.col(title)), r"(?U)[^\w\s\-]", ""))
     ).withColumn("file_title", safe_title(F.col(title)))

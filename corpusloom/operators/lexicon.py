@@ -127,8 +127,10 @@ def present_terms(chapters: DataFrame, terms: DataFrame, keys: list[str], text:
     return match_spans(chapters, lexicon, keys, text).select(*keys, F.col("key").alias(term)).distinct()
 
 
-def active_universes(chapters: DataFrame, markers: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Universes whose marker occurs in the chapter."""
+def active_universes(chapters: DataFrame, markers: DataFrame | None, keys: list[str], text: str = "text") -> DataFrame:
+    """Universes whose marker occurs in the chapter. ``markers``: marker, universe (the usual ones when None)."""
+    if markers is None:
+        markers = chapters.sparkSession.createDataFrame(list(N.UNIVERSE_MARKERS.items()), "marker string, universe string")
     found = present_terms(chapters, markers, keys, text, "marker")
     return found.join(markers, "marker").select(*keys, "universe").distinct()
 
@@ -268,12 +270,16 @@ def entity_counts(rows: DataFrame, order: Column, by: list[str] | None = None) -
         F.count("*").alias("frequency"), F.min_by("target", "_o").alias("target"))
 
 
-def read_names(names: DataFrame, readings: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+def read_names(names: DataFrame, readings: DataFrame, keys: list[str], raw: str = "raw",
+               overrides: dict[str, str] | None = None) -> DataFrame:
     """Reading of a name character by character (first reading of each), title case; unknown characters stay."""
+    fixed = F.lit(None).cast("string")
+    for char, reading in (N.READING_OVERRIDES if overrides is None else overrides).items():
+        fixed = F.when(F.col("_ch") == char, reading).otherwise(fixed)
     first = readings.select(F.col("key").alias("_ch"), strip(F.substring_index("value", ",", 1)).alias("_r"))
     chars = names.select(*keys, F.posexplode(elements(units(F.col(raw), "char"))).alias("_i", "_ch"))
     read = chars.join(first, "_ch", "left").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_r", "_ch").alias("r")))).alias("_l"))
+        F.array_sort(F.collect_list(F.struct("_i", F.coalesce(fixed, F.col("_r"), F.col("_ch")).alias("r")))).alias("_l"))
     return read.select(*keys, F.initcap(F.array_join(F.transform("_l", lambda s: s["r"]), " ")).alias("target"))
 
 

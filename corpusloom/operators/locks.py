@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.keyed import last_n_before
-from corpusloom.functions.text import CJK, LATIN, is_foreign_like, strip, target_text
+from corpusloom.functions.keyed import last_n_before, top_per_key
+from corpusloom.functions.text import CJK, LATIN, elements, is_foreign_like, strip, target_text
 from corpusloom.operators.lexicon import present_terms
 
 # --- fixed values ---------------------------------------------------------------------------------------------
 CONTEXT_EVENTS = 5
-LOCK_GROUPS = ("characters", "glossary")
-LOCK_SOURCES = ("project", "seed", "new_entities", "chapter_scan")
+FIRST_PERSON = "[我吾俺老夫本座]"
+THIRD_PERSON = "[他她它]"
+# Self-address forms of old-style and fantasy speech.
+SELF_FORMS = ("老夫", "本座", "朕", "贫道", "妾身", "晚辈", "本尊", "在下", "老朽")
+QUOTE = "“(.*?)”"
+NAME_QUOTE = "「([^」]+)」"
 # --- end of fixed values --------------------------------------------------------------------------------------
 
 
@@ -106,8 +110,6 @@ def recent_context(chapters: DataFrame, events: DataFrame, keys: list[str], at:
     found = last_n_before(chapters, dated, keys, at, when, n, order, width, event, "_dated", [*keys, at])
     undated = events.filter(F.col(when).isNull()).withColumn("_e", event)
     # At most n undated events per key matter; the group limit keeps the rest from travelling.
-    from corpusloom.functions.keyed import top_per_key
-
     last = top_per_key(undated, keys, [c.desc() for c in order], n, "_r").groupBy(*keys).agg(
         F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_e"))), lambda s: s["_e"])).alias("_undated"))
     joined = found.join(last, keys, "left")
@@ -117,8 +119,8 @@ def recent_context(chapters: DataFrame, events: DataFrame, keys: list[str], at:
     return joined.withColumn("context", tail).drop("_dated", "_undated")
 
 
-def pov(chapters: DataFrame, keys: list[str], text: str = "text", first: str = "[我吾俺老夫本座]",
-        third: str = "[他她它]") -> DataFrame:
+def pov(chapters: DataFrame, keys: list[str], text: str = "text", first: str = FIRST_PERSON,
+        third: str = THIRD_PERSON) -> DataFrame:
     """Point of view: third person when its pronouns outnumber those of the first."""
     counted = chapters.select(*keys, F.regexp_count(F.col(text), F.lit(first)).cast("long").alias("_f"),
                               F.regexp_count(F.col(text), F.lit(third)).cast("long").alias("_t"))
@@ -126,19 +128,11 @@ def pov(chapters: DataFrame, keys: list[str], text: str = "text", first: str = "
         "pov", F.when(F.col("third_person") > F.col("first_person"), 3).otherwise(1))
 
 
-# Self-address forms of old-style and fantasy speech (fixed values).
-SELF_FORMS = ("老夫", "本座", "朕", "贫道", "妾身", "晚辈", "本尊", "在下", "老朽")
-QUOTE = "“(.*?)”"
-NAME_QUOTE = "「([^」]+)」"
-
-
 def address_forms(chapters: DataFrame, keys: list[str], text: str = "text", forms=SELF_FORMS, quote: str = QUOTE) -> DataFrame:
     """Self-address forms that occur inside quotes, distinct per chapter."""
     quotes = F.regexp_extract_all(F.col(text), F.lit(quote), F.lit(1))
     wanted = F.array(*[F.lit(f) for f in forms])
     found = F.filter(wanted, lambda f: F.exists(quotes, lambda q: F.contains(q, f)))
-    from corpusloom.functions.text import elements
-
     return chapters.select(*keys, F.explode(elements(found)).alias("form")).distinct()
 
 
@@ -156,8 +150,6 @@ def classify_candidates(candidates: DataFrame, kb: DataFrame, scopes: DataFrame)
     ``kb``: key, target, type, tier, scope, priority, is_active. ``scopes``: (tier, scope) pairs in force. Of the five
     best entries by (tier desc, priority) the first one in scope wins, else the first one.
     """
-    from corpusloom.functions.keyed import top_per_key
-
     order = [F.col("tier").desc(), F.col("priority"), F.col("target")]
     five = top_per_key(kb.filter("is_active"), ["key"], order, 5, "_r")
     marked = five.join(scopes.withColumn("_in", F.lit(True)), ["tier", "scope"], "left")

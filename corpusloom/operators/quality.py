@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.keyed import position, top_per_key
-from corpusloom.functions.text import CJK, LATIN, has_residue, is_foreign_like, residue_count, strip
+from corpusloom.functions.text import CJK, has_residue, is_foreign_like, residue_count, strip
 from corpusloom.operators.lexicon import present_terms
 from corpusloom.operators.locks import usable_lock
 
@@ -262,8 +262,3 @@ def align_segments(raw: DataFrame, refined: DataFrame, keys: list[str], longer_t
     a = raw.filter(F.length("text") > longer_than).select(*keys, F.col("text").alias("raw_text"))
     b = refined.filter(F.coalesce(F.col("text"), F.lit("")) != "").select(*keys, F.col("text").alias("refined_translation"))
     return a.join(b, keys)
-
-
-def latin_share(text: Column) -> Column:
-    """Share of plain Latin letters."""
-    return F.regexp_count(text, F.lit(LATIN)) / F.length(text)

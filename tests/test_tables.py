@@ -205,3 +205,12 @@ def test_reply_in_either_form(spark):
     expected = spark.createDataFrame([(c, i) for c in (1, 2, 3) for i in (1, 2)], "ch int, id int")
     out = {(r.ch, r.id, r.text) for r in Q.recover_reply(replies, expected, ["ch"]).collect()}
     assert out == {(1, 1, "a"), (2, 1, "b\nthêm"), (2, 2, "c")}
+
+
+def test_universe_markers_and_readings(spark):
+    chapters = spark.createDataFrame([(1, "木叶和火影"), (2, "没有"), (3, "斯塔克去木叶")], "ch int, text string")
+    out = {(r.ch, r.universe) for r in L.active_universes(chapters, None, ["ch"]).collect()}
+    assert out == {(1, "naruto"), (3, "marvel"), (3, "naruto")}
+    readings = spark.createDataFrame([("释", "thích,x"), ("方", "phương, phường"), ("元", "nguyên")], "key string, value string")
+    names = spark.createDataFrame([(1, "释方元龙")], "id int, raw string")
+    assert L.read_names(names, readings, ["id"]).first().target == "Thích Phương Nguyên 龙"
