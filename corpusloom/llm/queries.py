@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, simhash, substring
+from corpusloom.llm import decontaminate, line_dedup, mixing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -40,3 +40,21 @@ def simhash_groups(spark, sf_dir):
 @query("op6_substring_dedup")
 def substring_dedup(spark, sf_dir):
     return substring.digests(substring.cut(table(spark, sf_dir, "documents")))
+
+
+@query("op3_line_dedup", """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, i, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] AS w FROM l, unnest(range(1, len(lines) - 1)) AS t(i)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM w),
+g AS (SELECT doc_id, list(i) AS starts FROM r WHERE n > 1 GROUP BY doc_id),
+k AS (SELECT doc_id, lines, CASE WHEN starts IS NULL THEN lines ELSE list_transform(list_filter(range(1, len(lines) + 1),
+  lambda j: NOT list_has_any(starts, [j, j - 1, j - 2])), lambda j: lines[j]) END AS kept FROM l LEFT JOIN g USING (doc_id))
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, (coalesce(len(lines), 0) - coalesce(len(kept), 0))::BIGINT AS n_removed,
+  CASE WHEN lines IS NOT NULL THEN sha256(coalesce(array_to_string(kept, chr(10)), '')) END AS kept_sha256 FROM k""")
+def line_windows(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_mixing")
+def mixed_sources(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
