@@ -24,6 +24,27 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """(id, text binary) with compressed texts, for a shuffle; ``unpacked`` gives a text back. Null stays null."""
+
+    def pack(batches):
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            out = [
+                None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True)
+                for t in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "text"])
+
+    return texts.select("id", "text").mapInArrow(pack, "id long, text binary")
+
+
+def unpacked(data: bytes | None) -> bytes | None:
+    if data is None:
+        return None
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (shifts and odd factors), so that the high bits depend on all bits."""
     h = h ^ (h >> np.uint64(33))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import covered, documents, mixed, rows_of, runs
+from corpusloom.llm.common import covered, documents, mixed, packed, rows_of, runs, unpacked
 from corpusloom.llm.sketch import SKETCH, repeated, sketch_of
 
 #: Windows held by a task at a time.
@@ -139,7 +139,7 @@ def cut(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             out = []
             for doc, text, spans in rows_of([batch], "id", "text", "spans"):
-                words = (text or b"").split()
+                words = (unpacked(text) or b"").split()
                 if spans:
                     packed = np.array(spans, np.int64)
                     gone = covered(len(words), packed >> 32, packed & 0xFFFFFFFF)
@@ -153,7 +153,7 @@ def cut(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "n_words", "n_removed", "kept", "removed"])
 
-    joined = texts.join(spans.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("id", "text", "spans")
+    joined = packed(texts).join(spans.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("id", "text", "spans")
     return joined.mapInArrow(
         apply, "id long, n_words long, n_removed long, kept binary, removed array<struct<start: int, end: int>>")
 
