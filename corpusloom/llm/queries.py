@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language_id, line_dedup, mixing, simhash, substring, topk
+from corpusloom.llm import decontaminate, language_id, line_dedup, mixing, simhash, substring, suffix, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -73,3 +73,13 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT * FROM r WHERE rank <= 20""")
 def nearest(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op5_warc")
+def archives(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op7_suffix_dedup")
+def repeated_bytes(spark, sf_dir):
+    return suffix.digests(suffix.cut(table(spark, sf_dir, "documents")))
