@@ -54,13 +54,19 @@ def _kept(lines, starts, size: int):
     return F.when(starts.isNull(), lines).otherwise(F.flatten(parts))
 
 
-def dedup_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents with all their columns, in place of the text what is left of it."""
+def dedup_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                length_col: str | None = None) -> DataFrame:
+    """All documents with all their columns, in place of the text what is left of it; ``length_col`` (characters), if
+    given, follows where lines went."""
     spans = repeated_spans(docs, size, id_col, text_col).select(F.col("id").alias("__of"), F.col("starts").alias("__starts"))
     kept = _kept(F.split(F.col(text_col).cast("string"), "\n"), F.col("__starts"), size)
     joined = docs.join(spans, F.col(id_col) == F.col("__of"), "left")
     text = F.when(F.col("__starts").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    changed = joined.withColumn(text_col, text)
+    if length_col is not None:
+        length = F.when(F.col("__starts").isNull(), F.col(length_col)).otherwise(F.length(text_col))
+        changed = changed.withColumn(length_col, length.cast(docs.schema[length_col].dataType))
+    return changed.select(*docs.columns)
 
 
 def report(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language_id, line_dedup, mixing, simhash, substring, suffix, topk, warc
+from corpusloom.llm import decontaminate, language_id, line_dedup, mixing, perplexity, simhash, substring, suffix, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -83,3 +83,8 @@ def archives(spark, sf_dir):
 @query("op7_suffix_dedup")
 def repeated_bytes(spark, sf_dir):
     return suffix.digests(suffix.cut(table(spark, sf_dir, "documents")))
+
+
+@query("op8_quality_lm")
+def quality(spark, sf_dir):
+    return perplexity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -10,8 +10,8 @@ earlier in the same one. Strings never cross documents and are judged on the inp
    nothing but an earlier one; the later ones are settled as spans at once.
 3. Segments with equal names meet in one task, in jobs of bounded size. A job cuts its segments into shards, sorts the
    rotations of each shard, and merges the shards' transforms by refining their interleave: from the order by the first
-   t bytes follows the order by the first t + 4, by a stable sort on the 4 bytes before each rotation, until ``size``
-   bytes are compared. No rotations are sorted again. Neighbours not split by then have a common prefix of ``size``
+   t bytes follows the order by the first t + 8, by a stable sort on the 8 bytes before each rotation, until ``size``
+   bytes are compared (the last step takes what is left over). No rotations are sorted again. Neighbours not split by then have a common prefix of ``size``
    bytes: a repeated interval, in which all but the first start are removed.
 4. A name with more segments than a job holds is cut again by a second, independent hash, and so on, round by round.
 
@@ -34,10 +34,11 @@ from corpusloom.llm.common import covered, documents, mixed, packed, rows_of, ru
 from corpusloom.llm.sketch import SKETCH, repeated, sketch_of
 from corpusloom.session import checkpointed
 
-GRAM, STRIDE = 32, 4
+GRAM, STRIDE = 32, 8
+#: What closes a rotation; strings that run over it are never compared.
+CLOSE = bytes(1)
 #: Bytes of text hashed at a time, strings of a segment, bytes of a merge job, of one of its shards, and of a crowded name.
-CHUNK, RUN, JOB, SHARD, CROWDED = 2_000_000, 2048, 2_000_000, 250_000, 8_000_000
-
+CHUNK, RUN, JOB, SHARD, CROWDED = 2_000_000, 2048, 400_000, 100_000, 8_000_000
 
 #: Odd factors of the doubling steps.
 FACTORS = {
@@ -85,12 +86,12 @@ class Chunk:
         self.inside = np.cumsum(inside[:len(self.names)], dtype=np.int8) > 0
 
     def places(self) -> np.ndarray:
-        """Hashes at the places that give some string its name; a hash comes once for each such place."""
+        """Hashes at the places that give some string its name, once for each such place; mixed, as the smallest crowd low."""
         width = self.size - GRAM + 1
         named = np.where(self.inside, self.names, np.uint64(0))
         edge = np.zeros(width - 1, np.uint64)
         most = sliding(np.concatenate((edge, named, edge)), width, np.maximum)
-        return self.hashes[self.hashes == most[:len(self.hashes)]]
+        return mixed(self.hashes[self.hashes == most[:len(self.hashes)]])
 
     def segments(self, may) -> tuple[np.ndarray, ...]:
         """Names, document indexes, starts in the text and numbers of strings of runs that may hold repeated strings."""
@@ -103,7 +104,7 @@ class Chunk:
         edges = np.flatnonzero(start | ~self.inside)
         after = np.searchsorted(edges, begin, "right")
         end = np.append(edges, len(self.names))[after]
-        chosen = may(self.names[begin])
+        chosen = may(mixed(self.names[begin]))
         begin, end = begin[chosen], end[chosen]
         pieces = -(-(end - begin) // RUN)
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -132,48 +133,66 @@ def _rank(keys: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Segments as rotations, padded with zeros to a multiple of STRIDE, sorted by at least ``size`` bytes."""
+    """Segments as rotations, each closed by zeros, sorted by at least ``size`` bytes, with the bytes before them."""
 
     def __init__(self, segments: list[bytes], size: int):
-        padded = [s + bytes(STRIDE + -len(s) % STRIDE) for s in segments]
+        padded = [s + CLOSE for s in segments]
         data = np.frombuffer(b"".join(padded), np.uint8)
-        lengths = np.array([len(p) for p in padded])
-        first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = np.arange(len(data)) - first
+        lengths = np.array([len(p) for p in padded], np.int32)
+        first = np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
         length = np.repeat(lengths, lengths)
-        front = np.zeros(len(data), np.uint64)
-        for step in range(8):
-            front = front << np.uint64(8) | data[first + (place + step) % length]
-        rank, width = _rank(front), 8
+        place = np.arange(len(data), dtype=np.int32) - first
+
+        def ahead(values, steps):
+            at = place + steps % length
+            return values[first + np.where(at >= length, at - length, at)]
+
+        front, width = data.astype(np.uint64), 1
+        while width < STRIDE:
+            front = front << np.uint64(8 * width) | ahead(front, width)
+            width *= 2
+        eight, rank = front, _rank(front)
         while width < size:
-            ahead = rank[first + (place + width) % length]
-            rank = _rank(rank * (int(ahead.max()) + 1) + ahead)
+            other = ahead(rank, width)
+            rank = _rank(rank * (int(other.max()) + 1) + other)
             width *= 2
         self.order = np.argsort(rank, kind="stable")
-        before = np.zeros(len(data), np.uint32)
-        for step in range(STRIDE, 0, -1):
-            before = before << np.uint32(8) | data[first + (place - step) % length]
+        #: The STRIDE bytes before each rotation, and the last ``size % STRIDE`` of them, in sorted order.
+        before = ahead(eight, length - STRIDE % length)
         self.before = before[self.order]
+        self.rest = self.before & np.uint64((1 << 8 * (size % STRIDE)) - 1)
+
+
+def _short(symbols: np.ndarray) -> list[np.ndarray]:
+    """Symbols as ranks in parts of 16 bits, the low part first: sorts of short numbers are radix sorts."""
+    rank = _rank(symbols)
+    parts = [(rank & 0xFFFF).astype(np.uint16)]
+    return parts + [(rank >> 16).astype(np.uint16)] if rank.max(initial=0) >> 16 else parts
 
 
 def merge(shards: list[Shard], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all shards, end to end, in merged order, and the number of each row's block of equal ``size``-byte prefixes."""
-    owner = np.concatenate([np.full(len(s.order), i) for i, s in enumerate(shards)]).astype(np.uint16)
-    symbol = np.concatenate([s.before for s in shards])
-    by_owner = np.arange(len(owner))
-    turn, row, block = owner, by_owner, np.zeros(len(owner), np.int64)
-    for _ in range(-(-size // STRIDE)):
-        # The stable sort on four bytes as two on two: sorts of short numbers are radix sorts.
-        front = symbol[row]
-        moved = np.argsort(front.astype(np.uint16), kind="stable")
-        moved = moved[np.argsort((front >> np.uint32(16)).astype(np.uint16)[moved], kind="stable")]
-        turn, front, source = turn[moved], front[moved], block[moved]
+    owner = np.concatenate([np.full(len(s.order), i, np.uint16) for i, s in enumerate(shards)])
+    by_owner = np.arange(len(owner), dtype=np.int32)
+    turn, row, block = owner, by_owner, np.zeros(len(owner), np.int32)
+    steps = [_short(np.concatenate([s.before for s in shards]))] * (size // STRIDE)
+    if size % STRIDE:
+        steps.append(_short(np.concatenate([s.rest for s in shards])))
+    for parts in steps:
+        # Rows go by what stands before them, and stay in their order where that is equal.
+        moved = np.argsort(parts[0][row], kind="stable")
+        if len(parts) > 1:
+            moved = moved[np.argsort(parts[1][row[moved]], kind="stable")]
+        turn, source, front = turn[moved], block[moved], row[moved]
         new = np.zeros(len(row), bool)
-        new[1:] = (front[1:] != front[:-1]) | (source[1:] != source[:-1])
+        new[1:] = source[1:] != source[:-1]
+        for part in parts:
+            symbol = part[front]
+            new[1:] |= symbol[1:] != symbol[:-1]
         # The rows of a shard stand in its own order, whatever the interleave.
         row = np.empty_like(by_owner)
         row[np.argsort(turn, kind="stable")] = by_owner
-        block = np.cumsum(new)
+        block = np.cumsum(new, dtype=np.int32)
     return row, block
 
 
@@ -192,7 +211,7 @@ def repeated_starts(segments: list[tuple[int, int, bytes]], size: int, shard_byt
     offset = np.cumsum([0] + [len(s.order) for s in shards])
     place = np.concatenate([s.order + o for s, o in zip(shards, offset)])[row]
     lengths = np.array([len(d) for _, _, d in segments])
-    padded = lengths + STRIDE + -lengths % STRIDE
+    padded = lengths + len(CLOSE)
     first = np.cumsum(padded) - padded
     starts = covered(int(padded.sum()), first, first + lengths - size + 1)
     real = starts[place]
@@ -216,9 +235,9 @@ def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _twice(data: bytes) -> bool:
-    """Whether a GRAM of the segment comes again in it; if none does, no longer string does."""
-    n = len(data) - GRAM + 1
-    return len({data[i:i + GRAM] for i in range(n)}) < n
+    """Whether an aligned GRAM of the segment stands elsewhere in it too; each string of 2 * GRAM - 1 bytes or more holds one."""
+    return any(
+        data.find(data[i:i + GRAM]) < i or data.find(data[i:i + GRAM], i + 1) >= 0 for i in range(0, len(data) - GRAM + 1, GRAM))
 
 
 def _chosen(docs: DataFrame, size: int, chunk: int, may) -> DataFrame:
