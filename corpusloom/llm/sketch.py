@@ -95,7 +95,7 @@ def repeated(sketches: DataFrame) -> Repeated:
     merged = checkpointed(
         sketches.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, SKETCH))
     total = merged.agg(F.sum("counted")).first()[0] or 0
-    bits = min(MAX_BITMAP_BITS, max(MIN_BITMAP_BITS, (16 * total).bit_length()))
+    bits = min(MAX_BITMAP_BITS, max(MIN_BITMAP_BITS, (64 * total).bit_length()))
 
     def fold(batches):
         for part, cells, wide in rows_of(batches, "part", "cells", "wide"):

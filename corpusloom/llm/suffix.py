@@ -10,8 +10,8 @@ earlier in the same one. Strings never cross documents and are judged on the inp
    nothing but an earlier one; the later ones are settled as spans at once.
 3. Segments with equal names meet in one task, in jobs of bounded size. A job cuts its segments into shards, sorts the
    rotations of each shard, and merges the shards' transforms by refining their interleave: from the order by the first
-   t bytes follows the order by the first t + 8, by a stable sort on the 8 bytes before each rotation, until ``size``
-   bytes are compared (the last step takes what is left over). No rotations are sorted again. Neighbours not split by then have a common prefix of ``size``
+   t bytes follows the order by the first t + 16, by a stable sort on the 16 bytes before each rotation, until ``size``
+   bytes are compared (the last steps take what is left over). No rotations are sorted again. Neighbours not split by then have a common prefix of ``size``
    bytes: a repeated interval, in which all but the first start are removed.
 4. A name with more segments than a job holds is cut again by a second, independent hash, and so on, round by round.
 
@@ -34,11 +34,11 @@ from corpusloom.llm.common import covered, documents, mixed, packed, rows_of, ru
 from corpusloom.llm.sketch import SKETCH, repeated, sketch_of
 from corpusloom.session import checkpointed
 
-GRAM, STRIDE = 32, 8
+GRAM, WORD, STRIDE = 32, 8, 16
 #: What closes a rotation; strings that run over it are never compared.
 CLOSE = bytes(1)
 #: Bytes of text hashed at a time, strings of a segment, bytes of a merge job, of one of its shards, and of a crowded name.
-CHUNK, RUN, JOB, SHARD, CROWDED = 2_000_000, 2048, 400_000, 100_000, 8_000_000
+CHUNK, RUN, JOB, SHARD, CROWDED = 2_000_000, 2048, 130_000, 65_000, 8_000_000
 
 #: Odd factors of the doubling steps.
 FACTORS = {
@@ -148,7 +148,7 @@ class Shard:
             return values[first + np.where(at >= length, at - length, at)]
 
         front, width = data.astype(np.uint64), 1
-        while width < STRIDE:
+        while width < WORD:
             front = front << np.uint64(8 * width) | ahead(front, width)
             width *= 2
         eight, rank = front, _rank(front)
@@ -157,10 +157,9 @@ class Shard:
             rank = _rank(rank * (int(other.max()) + 1) + other)
             width *= 2
         self.order = np.argsort(rank, kind="stable")
-        #: The STRIDE bytes before each rotation, and the last ``size % STRIDE`` of them, in sorted order.
-        before = ahead(eight, length - STRIDE % length)
-        self.before = before[self.order]
-        self.rest = self.before & np.uint64((1 << 8 * (size % STRIDE)) - 1)
+        #: The WORD bytes before each rotation and the WORD bytes before those, in sorted order.
+        self.before = ahead(eight, length - WORD % length)[self.order]
+        self.far = ahead(eight, length - 2 * WORD % length)[self.order]
 
 
 def _short(symbols: np.ndarray) -> list[np.ndarray]:
@@ -172,12 +171,18 @@ def _short(symbols: np.ndarray) -> list[np.ndarray]:
 
 def merge(shards: list[Shard], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all shards, end to end, in merged order, and the number of each row's block of equal ``size``-byte prefixes."""
-    owner = np.concatenate([np.full(len(s.order), i, np.uint16) for i, s in enumerate(shards)])
+    kind = np.uint8 if len(shards) < 256 else np.uint16
+    owner = np.concatenate([np.full(len(s.order), i, kind) for i, s in enumerate(shards)])
     by_owner = np.arange(len(owner), dtype=np.int32)
     turn, row, block = owner, by_owner, np.zeros(len(owner), np.int32)
-    steps = [_short(np.concatenate([s.before for s in shards]))] * (size // STRIDE)
-    if size % STRIDE:
-        steps.append(_short(np.concatenate([s.rest for s in shards])))
+    before, far = np.concatenate([s.before for s in shards]), np.concatenate([s.far for s in shards])
+    low = _rank(before)
+    steps = [_short(_rank(far) * (int(low.max()) + 1) + low)] * (size // STRIDE)
+    rest = size % STRIDE
+    if rest >= WORD:
+        steps.append(_short(low))
+    if rest % WORD:
+        steps.append(_short(before & np.uint64((1 << 8 * (rest % WORD)) - 1)))
     for parts in steps:
         # Rows go by what stands before them, and stay in their order where that is equal.
         moved = np.argsort(parts[0][row], kind="stable")
@@ -240,6 +245,12 @@ def _twice(data: bytes) -> bool:
         data.find(data[i:i + GRAM]) < i or data.find(data[i:i + GRAM], i + 1) >= 0 for i in range(0, len(data) - GRAM + 1, GRAM))
 
 
+def _share(a: bytes, b: bytes, size: int) -> bool:
+    """Whether a string of ``size`` bytes may stand in both: if one does, a block of half of it, aligned in a, stands in b."""
+    half = size // 2
+    return any(a[i:i + half] in b for i in range(0, len(a) - half + 1, half)) if half >= 8 else True
+
+
 def _chosen(docs: DataFrame, size: int, chunk: int, may) -> DataFrame:
     """Segments that may hold repeated strings; of those that are equal in a chunk, the first and the others' spans."""
 
@@ -295,7 +306,12 @@ def _settled(segments: DataFrame, size: int, job: int, crowded: int) -> DataFram
                     rows, kept = distinct(group)
                     if rows:
                         yield _segment_batch(rows)
-                    if len(kept) > 1 or _twice(kept[0][4]):
+                    if len(kept) <= 4:  # names shared by chance do not go into a merge
+                        kept = [
+                            k for i, k in enumerate(kept)
+                            if _twice(k[4]) or any(_share(k[4], o[4], size) for j, o in enumerate(kept) if j != i)
+                        ]
+                    if kept:
                         held += kept
                         held_bytes += sum(len(k[4]) for k in kept)
                 if held and (row is None or held_bytes >= job):

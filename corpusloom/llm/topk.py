@@ -11,7 +11,7 @@ give k rows per query, and Spark ranks those. The bounds of all sizes come from
 
 Cases: vectors that are null or hold null or non-finite components take no part; a shorter vector counts as having
 zeros; an empty one scores 0; rows that repeat an id are one query and candidates each, none of them its own; a null id
-takes no part; fewer than k candidates are all returned.
+takes no part; fewer than k candidates are all returned; a score that leaves 64 bits wraps as long arithmetic does.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import checkpointed
 
 BLOCK, SHARD_ROWS, QUERY_ROWS = 128, 8192, 1024
+NO_NAME = np.iinfo(np.int64).max
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -49,22 +50,24 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     order = np.argsort(ids, kind="stable")
     vectors, ids = vectors[order], ids[order]
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
-    kind = np.float64 if top < 2.0**52 else np.int64  # sums of whole numbers are exact in either
-    if top >= 2.0**62:
-        kind = object
+    exact = top < 2.0**52  # sums of whole numbers are exact in floats then, and products fast
+    kind, flip = (np.float64, np.negative) if exact else (np.int64, np.invert)
     queries, vectors = queries.astype(kind), vectors.astype(kind)
     cuts = list(range(0, len(ids), BLOCK))
     high = np.array([vectors[a:a + BLOCK].max(0) for a in cuts])
     low = np.array([vectors[a:a + BLOCK].min(0) for a in cuts])
     zero = np.zeros_like(queries)
     bound = np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T
-    turn = np.argsort(-bound, axis=1, kind="stable")
-    none = np.iinfo(np.int64).min if kind is not object else -(1 << 200)
-    scores = np.full((len(queries), k), -np.inf if kind is np.float64 else none, kind)
-    names = np.full((len(queries), k), np.iinfo(np.int64).max)
+    if top >= 2.0**62:
+        bound[:] = np.iinfo(np.int64).max  # sums may wrap, so nothing is pruned
+    turn = np.argsort(flip(bound), axis=1, kind="stable")
+    none = -np.inf if exact else np.iinfo(np.int64).min
+    scores = np.full((len(queries), k), none, kind)
+    names = np.full((len(queries), k), NO_NAME)
     active = np.arange(len(queries))
     for step in range(len(cuts)):
-        active = active[(bound[active, turn[active, step]] >= scores[active, k - 1]) | (names[active, k - 1] == np.iinfo(np.int64).max)]
+        open_ = (bound[active, turn[active, step]] >= scores[active, k - 1]) | (names[active, k - 1] == NO_NAME)
+        active = active[open_]
         if not len(active):
             break
         blocks = turn[active, step]
@@ -74,13 +77,13 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
             near = queries[who] @ vectors[a:a + BLOCK].T
             at = np.broadcast_to(ids[a:a + BLOCK], near.shape)
             own = at == query_ids[who][:, None]
-            every = np.concatenate((scores[who], np.where(own, scores.dtype.type(none) if kind is not object and kind is not np.float64 else (-np.inf if kind is np.float64 else none), near)), axis=1)
-            names_of = np.concatenate((names[who], np.where(own, np.iinfo(np.int64).max, at)), axis=1)
-            first = np.lexsort((names_of, -every), axis=1)[:, :k]
+            every = np.concatenate((scores[who], np.where(own, kind(none), near)), axis=1)
+            names_of = np.concatenate((names[who], np.where(own, NO_NAME, at)), axis=1)
+            first = np.lexsort((names_of, flip(every)), axis=1)[:, :k]
             scores[who] = np.take_along_axis(every, first, 1)
             names[who] = np.take_along_axis(names_of, first, 1)
     for i in range(len(queries)):
-        real = names[i] != np.iinfo(np.int64).max
+        real = names[i] != NO_NAME
         yield i, names[i][real].tolist(), [int(s) for s in scores[i][real]]
 
 

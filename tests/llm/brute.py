@@ -91,6 +91,8 @@ def suffix(docs, size=100):
     """doc_id -> (n_bytes, n_removed, n_spans, kept_sha256)"""
     seen, out = set(), {}
     for d, t in sorted(docs, key=lambda x: x[0]):
+        if d in out:
+            continue
         data = (t or "").encode()
         gone = bytearray(len(data))
         for i in range(len(data) - size + 1):
@@ -108,8 +110,8 @@ def line_windows(docs, size=3):
     """doc_id -> text without the lines covered by windows of ``size`` lines that occur earlier."""
     seen, out = set(), {}
     for d, t in sorted(docs, key=lambda x: x[0]):
-        if t is None:
-            out[d] = None
+        if d in out or t is None:
+            out.setdefault(d, None)
             continue
         lines = t.split("\n")
         gone = set()
