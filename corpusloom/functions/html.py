@@ -58,10 +58,53 @@ def element(html: Column, tag: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
 
 
+def _name(piece: Column) -> Column:
+    """Lower-case tag name of a piece that starts with a tag, with the slash of a closing one."""
+    return F.lower(F.regexp_extract(piece, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
+
+
+def inside(html: Column, opening: str) -> Column:
+    """Inner HTML of the first element whose opening tag matches, up to its own closing tag however it is nested; one
+    that is never closed takes the rest, none gives an empty text."""
+    at = F.regexp_instr(html, F.lit(opening))
+
+    def cut(rest):
+        pieces = F.split(rest, "(?=<)")
+        names = F.transform(pieces, _name)
+        return F.get(F.transform(F.array(F.struct(pieces.alias("pieces"), names.alias("names"))), closed), F.lit(0))
+
+    def closed(both):
+        tag = F.get(both["names"], F.lit(0))
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"))
+        # Depth -1 says that the element is closed; n counts the pieces before its closing tag.
+        step = lambda s, name: F.when(s["depth"] < 0, s).otherwise(F.struct(
+            F.when((name == F.concat(F.lit("/"), tag)) & (s["depth"] == 1), -1).otherwise(
+                s["depth"] + F.when(name == tag, 1).when(name == F.concat(F.lit("/"), tag), -1).otherwise(0)).alias("depth"),
+            (s["n"] + F.when((name == F.concat(F.lit("/"), tag)) & (s["depth"] == 1), 0).otherwise(1)).alias("n")))
+        n = F.aggregate(both["names"], start, step, lambda s: s["n"])
+        return F.regexp_replace(F.array_join(F.slice(both["pieces"], 1, n), ""), r"^<[^>]*>", "")
+
+    return F.when(at > 0, cut(html.substr(at, F.length(html)))).otherwise(F.when(html.isNotNull(), F.lit("")))
+
+
+def insides(html: Column, opening: str) -> Column:
+    """Inner HTML of all outermost elements whose opening tag matches, one after the other."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("tag"), F.lit("").alias("out"))
+
+    def step(s, piece):
+        name = _name(piece)
+        depth = s["depth"] + F.when(name == s["tag"], 1).when(name == F.concat(F.lit("/"), s["tag"]), -1).otherwise(0)
+        opened = F.struct(F.lit(1).alias("depth"), name.alias("tag"), F.concat(
+            s["out"], F.lit("\n"), F.regexp_replace(piece, r"^<[^>]*>", "")).alias("out"))
+        going = F.struct(depth.alias("depth"), s["tag"].alias("tag"), F.when(depth == 0, s["out"]).otherwise(
+            F.concat(s["out"], piece)).alias("out"))
+        return F.when(s["depth"] > 0, going).when(piece.rlike(opening), opened).otherwise(s)
+
+    return F.aggregate(F.split(html, "(?=<)"), start, step, lambda s: s["out"])
+
+
 def element_by_id(html: Column, tag: str, attribute: str, value: str) -> Column:
-    return F.regexp_extract(
-        html, rf"""(?is)<{tag}\b[^>]*\b{attribute}\s*=\s*["'](?:[^"']*\s)?{value}(?:\s[^"']*)?["'][^>]*>(.*?)</""", 1
-    )
+    return inside(html, rf"""(?is)<{tag}\b[^>]*\b{attribute}\s*=\s*["'](?:[^"']*\s)?{value}(?:\s[^"']*)?["'][^>]*>""")
 
 
 def meta_content(html: Column, *names: str) -> Column:
@@ -87,21 +130,28 @@ def base_parts(base: Column) -> Column:
         F.regexp_extract(base, r"^([^#]*)", 1).alias("whole"))
 
 
+def without_dots(url: Column) -> Column:
+    """An address without ``.`` and ``..`` steps in its path; steps above the root vanish."""
+    split = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)((?s:.*))$"
+    steps = F.split(F.regexp_extract(url, split, 2), "/")
+    ends = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == ".", done).when(
+        s == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).otherwise(F.concat(done, F.array(s))))
+    return F.concat(F.regexp_extract(url, split, 1), F.array_join(F.concat(kept, ends), "/"), F.regexp_extract(url, split, 3))
+
+
 def resolve(parts: Column, href: Column) -> Column:
     """Absolute form of a link, given the parts of the page address."""
     relative = F.concat(parts["folder"], href)
-    # "./" and "x/../" steps of a relative link are taken out one level at a time.
-    tidy = F.regexp_replace(relative, r"(?<=/)(?:\./)+", "")
-    for _ in range(4):
-        tidy = F.regexp_replace(tidy, r"(?<=[^/:]/)(?!\.\./)[^/?#]+/\.\./", "")
+    rooted = F.concat(parts["origin"], href)
     return (
         F.when(href == "", parts["base"])
         .when(F.startswith(href, F.lit("//")), F.concat(parts["scheme"], F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(parts["origin"], href))
+        .when(F.startswith(href, F.lit("/")), F.when(F.contains(href, F.lit("/.")), without_dots(rooted)).otherwise(rooted))
         .when(F.startswith(href, F.lit("#")), F.concat(parts["whole"], href))
         .when(F.startswith(href, F.lit("?")), F.concat(parts["page"], href))
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(F.contains(href, F.lit("./")), tidy)
+        .when(href.rlike(r"(?:^|/)\.\.?(?:[/?#]|$)"), without_dots(relative))
         .otherwise(relative)
     )
 

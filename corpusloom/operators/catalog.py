@@ -298,29 +298,26 @@ def kpi_table(coverage: DataFrame, hits: DataFrame, aligned: DataFrame, mentions
 
 
 def mine_edits(aligned: DataFrame, draft: str, final: str, threshold: int = 3, longest: int = 30) -> DataFrame:
-    """Word-level replacements between draft and final, short on both sides, counted; frequent ones are proposals.
-
-    Only the alignment of one pair runs in Python (Arrow batches); counting is a grouped Spark aggregate.
+    """What stands between the common first and the common last words of draft and final, short on both sides, counted;
+    frequent pairs are proposals. One replaced stretch of words per pair of texts; pure insertions and deletions are none.
     """
-
-    def pairs(batches):
-        import difflib
-
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for a, b in zip(batch[draft], batch[final]):
-                if not a or not b:
-                    continue
-                old, new = a.split(), b.split()
-                for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, old, new).get_opcodes():
-                    if tag == "replace":
-                        left, right = " ".join(old[i1:i2]), " ".join(new[j1:j2])
-                        if len(left) < longest and len(right) < longest:
-                            rows.append((left, right))
-            yield pd.DataFrame(rows, columns=["original", "refined"], dtype="object")
-
-    found = aligned.select(draft, final).mapInPandas(pairs, "original string, refined string")
-    return found.groupBy("original", "refined").agg(F.count("*").alias("edits")).withColumn(
+    words = aligned.select(*[F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "").alias(n) for c, n in ((draft, "a"), (final, "b"))])
+    size = F.least(F.size("a"), F.size("b"))
+    head = F.coalesce(F.get(F.filter(
+        F.sequence(F.lit(0), size - 1), lambda i: F.get("a", i) != F.get("b", i)), F.lit(0)), size)
+
+    def bound(frame, **columns):
+        # Behind an explode of one row a value is computed once, instead of wherever it is used.
+        row = F.struct(*frame.columns, *[c.alias(n) for n, c in columns.items()])
+        return frame.select(F.explode(F.array(row)).alias("r")).select("r.*")
+
+    counted = bound(words.filter((F.size("a") > 0) & (F.size("b") > 0)), head=head)
+    left = F.least(F.size("a"), F.size("b")) - F.col("head")
+    tail = F.when(left == 0, 0).otherwise(F.coalesce(F.get(F.filter(
+        F.sequence(F.lit(0), F.greatest(left - 1, F.lit(0))),
+        lambda i: F.get("a", F.size("a") - 1 - i) != F.get("b", F.size("b") - 1 - i)), F.lit(0)), left))
+    middle = lambda c: F.array_join(F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail")), " ")
+    found = bound(counted, tail=tail).select(middle("a").alias("original"), middle("b").alias("refined"))
+    short = found.filter(F.length("original").between(1, longest - 1) & F.length("refined").between(1, longest - 1))
+    return short.groupBy("original", "refined").agg(F.count("*").alias("edits")).withColumn(
         "proposed", F.col("edits") >= threshold)

@@ -24,8 +24,8 @@ COST_PRIORITY = 0.002
 COST_READING = 4.0
 COST_UNKNOWN = 60.0
 LAYERS = ("project", "universe", "style", "global")
-LITERAL_TERMS = 256
-CHARMAP_LITERAL = 20000
+HEAD_UNITS = 4
+PRIVATE_USE = 0xF0000
 # --- end of fixed values --------------------------------------------------------------------------------------
 
 
@@ -112,19 +112,26 @@ def match_spans(segments: DataFrame, lexicon: DataFrame, keys: list[str], text:
 
 
 def present_terms(chapters: DataFrame, terms: DataFrame, keys: list[str], text: str = "text",
-                  term: str = "term", literal_limit: int = LITERAL_TERMS) -> DataFrame:
-    """Distinct (keys, term) where the text contains the term.
+                  term: str = "term") -> DataFrame:
+    """Distinct (keys, term) where a text of the chapter contains the term.
 
-    A term list proven short is folded into one row-wise expression over the text; a longer one goes through the
-    span join, which gives the same rows.
+    One path for every list: a term is looked for where its first ``HEAD_UNITS`` characters stand (all of them, if it
+    has fewer). Distinct heads of a chapter meet the terms in an equi join; only the chapters' few candidates are then
+    looked for in the text itself. Null and empty terms, null texts and null keys give no rows.
     """
-    few = [r[0] for r in terms.select(term).where(F.col(term) != "").distinct().limit(literal_limit + 1).collect()]
-    if len(few) <= literal_limit:
-        wanted = F.array(*[F.lit(t) for t in sorted(few)]).cast("array<string>")
-        found = F.filter(wanted, lambda t: F.contains(F.col(text), t))
-        return chapters.select(*keys, F.explode(elements(found)).alias(term))
-    lexicon = terms.select(F.col(term).alias("key")).where(F.col("key") != "").distinct()
-    return match_spans(chapters, lexicon, keys, text).select(*keys, F.col("key").alias(term)).distinct()
+    wanted = terms.select(F.col(term).alias("_term")).filter("_term <> ''").distinct().withColumn(
+        "_head", F.substring("_term", 1, HEAD_UNITS))
+    cut = chapters.select(*keys, F.col(text).alias("_text")).withColumn("_c", F.split("_text", ""))
+
+    def heads(size):
+        return F.transform("_c", lambda c, i: F.concat(c, *[F.coalesce(F.get("_c", i + k), F.lit("")) for k in range(1, size)]))
+
+    every = F.array_distinct(F.flatten(F.array(*[heads(n) for n in range(1, HEAD_UNITS + 1)])))
+    met = cut.select(*keys, F.explode(elements(every)).alias("_head")).join(wanted, "_head").select(*keys, "_term").distinct()
+    packed = met.groupBy(*keys).agg(F.collect_list("_term").alias("_terms"))
+    both = chapters.select(*keys, F.col(text).alias("_text")).join(packed, keys)
+    found = F.filter("_terms", lambda t: F.contains("_text", t))
+    return both.select(*keys, F.explode(found).alias(term)).distinct()
 
 
 def active_universes(chapters: DataFrame, markers: DataFrame | None, keys: list[str], text: str = "text") -> DataFrame:
@@ -299,25 +306,27 @@ def apply_token_rules(tokens: DataFrame, rules: DataFrame, token: str = "token")
     return tokens.join(first, token, "left").withColumn("target", F.coalesce("_new", token)).drop("_new")
 
 
-def map_chars(df: DataFrame, charmap: DataFrame, keys: list[str], text: str = "text",
-              literal_limit: int = CHARMAP_LITERAL) -> DataFrame:
-    """Characters replaced by the map table (trad -> simp).
+def map_chars(df: DataFrame, charmap: DataFrame, text: str = "text") -> DataFrame:
+    """Characters replaced by the map table (trad -> simp), whatever the size of the table.
 
-    A map proven short becomes one ``translate``; a longer one, or one with multi-character values, is joined
-    character by character.
+    A key is one character, so the table is bounded by the characters there are; it reaches the rows as two strings of a
+    scalar subquery. Values of other than one character go through a private-use character each. Null values leave their
+    key as it is; rows, null texts and repeated keys of ``df`` stay as they are.
     """
-    rows = charmap.groupBy("trad").agg(F.min("simp").alias("simp"))
-    few = rows.limit(literal_limit + 1).collect()
-    if len(few) <= literal_limit and all(len(r["trad"]) == 1 and len(r["simp"] or "") == 1 for r in few):
-        pairs = sorted((r["trad"], r["simp"]) for r in few)
-        if not pairs:
-            return df
-        return df.withColumn(text, F.translate(text, "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)))
-    chars = df.select(*keys, F.posexplode_outer(F.split(text, "")).alias("_i", "trad"))
-    mapped = chars.join(rows, "trad", "left").groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_i", F.coalesce("simp", "trad").alias("c")))), lambda s: s["c"]), ""
-    ).alias(text))
-    return df.drop(text).join(mapped, keys)
+    rows = charmap.filter(F.length("trad") == 1).groupBy("trad").agg(F.min("simp").alias("simp")).filter("simp IS NOT NULL")
+    single = rows.filter(F.length("simp") == 1).withColumn("by", F.col("simp"))
+    number = F.row_number().over(Window.orderBy("trad"))
+    other = rows.filter(F.length("simp") != 1).withColumn(
+        "by", F.decode(F.unhex(F.lpad(F.hex(number + PRIVATE_USE), 8, "0")), "UTF-32"))
+    pairs = F.array_sort(F.collect_list(F.struct("trad", "by", "simp")))
+    packed = single.unionByName(other).agg(F.struct(
+        F.array_join(F.transform(pairs, lambda p: p["trad"]), "").alias("old"),
+        F.array_join(F.transform(pairs, lambda p: p["by"]), "").alias("new"),
+        F.filter(pairs, lambda p: p["by"] != p["simp"]).alias("long")).alias("m"))
+    tagged = df.withColumn("_m", packed.scalar())
+    swapped = F.expr(f"translate(`{text}`, _m.old, _m.new)")
+    whole = F.aggregate(F.col("_m.long"), swapped, lambda acc, p: F.replace(acc, p["by"], p["simp"]))
+    return tagged.withColumn(text, whole).drop("_m")
 
 
 def name_origin(entities: DataFrame, tables: DataFrame, name: str = "name") -> DataFrame:

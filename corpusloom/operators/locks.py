@@ -76,7 +76,7 @@ def apply_locks(segments: DataFrame, locks: DataFrame, aliases: DataFrame, keys:
 def present_locks(chapters: DataFrame, locks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Locks (group, raw, target) whose raw form stands in the chapter text."""
     found = present_terms(chapters, locks.select(F.col("raw").alias("term")), keys, text)
-    return found.withColumnRenamed("term", "raw").join(locks, "raw")
+    return found.withColumnRenamed("term", "raw").join(locks.distinct(), "raw")
 
 
 def lock_pack(present: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,15 +147,13 @@ def quoted_candidates(docs: DataFrame, keys: list[str], text: str = "text", quot
 def classify_candidates(candidates: DataFrame, kb: DataFrame, scopes: DataFrame) -> DataFrame:
     """Candidates split into known and unknown with the target and type of the best entry.
 
-    ``kb``: key, target, type, tier, scope, priority, is_active. ``scopes``: (tier, scope) pairs in force. Of the five
-    best entries by (tier desc, priority) the first one in scope wins, else the first one.
+    ``kb``: key, target, type, tier, scope, priority, is_active. ``scopes``: (tier, scope) pairs in force. The best entry
+    in scope by (tier desc, priority, target) wins, else the best one.
     """
-    order = [F.col("tier").desc(), F.col("priority"), F.col("target")]
-    five = top_per_key(kb.filter("is_active"), ["key"], order, 5, "_r")
-    marked = five.join(scopes.withColumn("_in", F.lit(True)), ["tier", "scope"], "left")
+    marked = kb.filter("is_active").join(scopes.distinct().withColumn("_in", F.lit(True)), ["tier", "scope"], "left")
     fits = F.col("scope").isNull() | F.coalesce("_in", F.lit(False))
-    best = marked.groupBy("key").agg(
-        F.min_by(F.struct("target", "type"), F.struct(~fits, F.col("_r"))).alias("_b"))
+    best = marked.groupBy("key").agg(F.min_by(
+        F.struct("target", "type"), F.struct(~fits, -F.col("tier"), F.col("priority"), F.col("target"))).alias("_b"))
     return candidates.join(best, candidates["candidate"] == best["key"], "left").select(
         *candidates.columns, F.when(F.col("_b").isNull(), "unknown").otherwise("known").alias("status"),
         F.col("_b.target").alias("target"), F.col("_b.type").alias("type"))

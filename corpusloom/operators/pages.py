@@ -36,11 +36,9 @@ BOOK_PAGE = r"/\d+(_\d+)?\.html?$"
 BOOK_FOLDER = r"/\d+/$"
 LIST_FOLDER = r"/(class|sort|list|fenlei)/"
 BOOK_TAIL = r"(?s)(\n|连载|全本|完结|阅读|最新).*"
-BOOK_CAP = 15
 CATEGORY_NAME = 10
-CATEGORY_BLOCK = r"""(?is)<(?:nav|div|ul)\b[^>]*\bclass\s*=\s*["'][^"']*(?:nav|menu|header)[^"']*["'][^>]*>(.*?)</(?:nav|div|ul)\s*>"""
+CATEGORY_BLOCK = r"""(?is)^<(?:nav|div|ul)\b[^>]*\bclass\s*=\s*["'][^"']*(?:nav|menu|header)[^"']*["'][^>]*>"""
 CATEGORY_PATHS = ("/sort", "/fenlei", "/top", "list")
-CATEGORY_FALLBACK_LINKS = 30
 CATEGORY_FALLBACK_NAME = 8
 TITLE_BREAK = r"[_\-|]"
 AUTHOR_LABEL = r"^(作者|作家)[:：\s]*"
@@ -48,7 +46,15 @@ AUTHOR_IN_TEXT = r"作者[:：\s]*([^\s/|，。]+)"
 DESCRIPTION_LENGTH = 20
 TEXT_LENGTH = 20
 UNWANTED = ("title", "script", "style", "a", "h1", "ins", "iframe")
-TOC_PAGES, CONTENT_PAGES = 12, 8
+AUTHOR_PLACES = (("class", "author"), ("class", "writer"), ("class", "book-author"), ("id", "author"))
+INTRO_PLACES = (
+    ("id", "intro"), ("class", "intro"), ("class", "book-intro"), ("class", "bookintro"), ("class", "description"),
+    ("class", "desc"), ("id", "bookintro"),
+)
+DEFAULT_CONTAINERS = (
+    ("id", "contentbox"), ("id", "content"), ("class", "content"), ("class", "chapter-content"), ("id", "nr_body"),
+    ("class", "read-content"), ("id", "chaptercontent"), ("class", "panel-body"), ("tag", "article"),
+)
 JS_MARKERS = (
     "@js:", "<js>", '"js"', "jsLib", "bodyJs", "formatJs", "preUpdateJs", "coverDecodeJs", "loginCheckJs",
     "imageDecode", "callBackJs", "java.", "source.", "book.", "chapter.", "cookie.", "cache.",
@@ -70,9 +76,9 @@ LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]*)["']?[^>]*>(.*?)</a\s*>""
 
 def _links(source: Column, base: Column) -> Column:
     """Array of (pos, href, title, url) of the links in a piece of HTML."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(source, F.lit(LINK), F.lit(1)).alias("href"),
-        F.regexp_extract_all(source, F.lit(LINK), F.lit(2)).alias("inner"))
+    # The page is searched once; parts are then taken from each short link.
+    pairs = F.transform(F.regexp_extract_all(source, F.lit(LINK), F.lit(0)), lambda a: F.struct(
+        F.regexp_extract(a, LINK, 1).alias("href"), F.regexp_extract(a, LINK, 2).alias("inner")))
     return F.transform(pairs, lambda p, i: F.struct(
         (i + 1).cast("long").alias("pos"), p["href"].alias("href"), p["inner"].alias("inner"),
         H.resolve(base, p["href"]).alias("url")))
@@ -82,8 +88,10 @@ def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """Links of each page: (key, pos, href, title, url), the first of each absolute address kept. No shuffle."""
     found = pages.select(key, F.col(html).alias("_html"), H.base_parts(F.col(url)).alias("_base")).select(
         key, F.filter(_links(F.col("_html"), F.col("_base")), lambda x: x["href"] != "").alias("_l"))
-    once = found.select(key, "_l", F.transform("_l", lambda x: x["url"]).alias("_u")).select(
-        key, F.filter("_l", lambda x, i: F.array_position(F.col("_u"), x["url"]) == i + 1).alias("_l"))
+    # Sorted by address and place, the first of each address stands behind another address.
+    sorted_ = found.select(key, F.array_sort(F.transform("_l", lambda x: F.struct(x["url"].alias("url"), x["pos"].alias("pos"), x.alias("x")))).alias("_s"))
+    once = sorted_.select(key, F.transform(F.filter("_s", lambda x, i: (i == 0) | ~F.get("_s", i - 1)["url"].eqNullSafe(x["url"])),
+                                           lambda x: x["x"]).alias("_l"))
     rows = once.select(key, F.explode(elements(F.col("_l"))).alias("_x"))
     title = H.inline_text(F.col("_x.inner"))
     return rows.select(key, "_x.pos", "_x.href", title.alias("title"), "_x.url")
@@ -96,24 +104,25 @@ def chapter_links(links: DataFrame, markers=CHAPTER_MARKERS, stop=NAVIGATION_WOR
     return kept.filter(~F.contains(title, F.lit(part))) if part else kept
 
 
-def book_links(links: DataFrame, key: str, order: str = "pos", stop=BOOK_STOP_WORDS, cap: int = BOOK_CAP) -> DataFrame:
-    """Links that look like books by their address, the first of each address, at most ``cap`` per page."""
+def book_links(links: DataFrame, key: str, order: str = "pos", stop=BOOK_STOP_WORDS, cap: int | None = None) -> DataFrame:
+    """Links that look like books by their address, the first of each address; ``cap`` asks for the first few per page."""
     href, title = F.col("href"), strip(F.col("title"))
     looks = href.rlike(BOOK_PATH) | href.rlike(BOOK_PAGE) | (href.rlike(BOOK_FOLDER) & ~href.rlike(LIST_FOLDER))
     named = links.filter(F.length(title).between(2, 30) & ~contains_any(title, stop) & looks).withColumn(
         "title", strip(F.regexp_replace(title, BOOK_TAIL, ""))).filter(F.length("title") >= 2)
     first = named.groupBy(key, "url").agg(F.min(F.struct(order, "title", "href")).alias("_f")).select(
         key, "url", f"_f.{order}", "_f.title", "_f.href")
-    return top_per_key(first, [key], [F.col(order)], cap)
+    return first if cap is None else top_per_key(first, [key], [F.col(order)], cap)
 
 
 def category_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-                   block: str = CATEGORY_BLOCK) -> DataFrame:
-    """Short named links of the navigation blocks; pages without any fall back to list-like links near the top."""
+                   block: str = CATEGORY_BLOCK, fallback_links: int | None = None) -> DataFrame:
+    """Short named links of the navigation blocks, nested lists included; pages without any fall back to list-like links
+    (of their first ``fallback_links``, if given). ``block`` is the pattern of a block's opening tag."""
     base = pages.select(key, F.col(html).alias("_html"), H.base_parts(F.col(url)).alias("_b"))
-    nav = F.array_join(F.regexp_extract_all(F.col("_html"), F.lit(block), F.lit(1)), "\n")
-    both = base.select(key, _links(nav, F.col("_b")).alias("_n"),
-                       F.slice(_links(F.col("_html"), F.col("_b")), 1, CATEGORY_FALLBACK_LINKS).alias("_a"))
+    every = _links(F.col("_html"), F.col("_b"))
+    both = base.select(key, _links(H.insides(F.col("_html"), block), F.col("_b")).alias("_n"),
+                       (every if fallback_links is None else F.slice(every, 1, fallback_links)).alias("_a"))
     rows = both.select(key, F.explode(elements(F.concat(
         F.transform("_n", lambda x: F.struct(F.lit(0).alias("kind"), x.alias("x"))),
         F.transform("_a", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("x")))))).alias("_r"))
@@ -141,14 +150,11 @@ def page_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html
     pick = lambda text, cut: F.when(text.isNotNull(), F.struct(text.alias("t"), F.lit(cut).alias("cut")))
     title = F.coalesce(pick(H.meta_content(doc, "og:title", "twitter:title"), True),
                        pick(inner(H.element(doc, "h1")), False), pick(inner(H.element(doc, "title")), True))
-    labels = [("class", "author"), ("class", "writer"), ("class", "book-author"), ("id", "author")]
     author = F.coalesce(*[or_null(F.regexp_replace(inner(H.element_by_id(body, r"\w+", a, v)), AUTHOR_LABEL, ""))
-                          for a, v in labels])
-    intros = [("id", "intro"), ("class", "intro"), ("class", "book-intro"), ("class", "bookintro"),
-              ("class", "description"), ("class", "desc"), ("id", "bookintro")]
-    intro = [inner(H.element_by_id(body, r"\w+", a, v)) for a, v in intros]
+                          for a, v in AUTHOR_PLACES])
+    intro = [inner(H.element_by_id(body, r"\w+", a, v)) for a, v in INTRO_PLACES]
     description = F.coalesce(H.meta_content(doc, "og:description", "description", "twitter:description"),
-                             *[F.when(F.length(t) >= DESCRIPTION_LENGTH, t) for t in intro])
+                             *[F.when(F.length(t) >= DESCRIPTION_LENGTH, t) for t in intro], *reversed(intro))
     image = F.regexp_extract(doc, r"""(?is)<img\b[^>]*?\b(?:src|data-src|data-original)\s*=\s*["']([^"']+)["']""", 1)
     chosen = rows.select(
         key, "_url", title.alias("_title"), author.alias("_author"), description.alias("_description"),
@@ -166,15 +172,9 @@ def page_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html
         F.col("_url").alias("source_url"))
 
 
-DEFAULT_CONTAINERS = (
-    ("id", "contentbox"), ("id", "content"), ("class", "content"), ("class", "chapter-content"), ("id", "nr_body"),
-    ("class", "read-content"), ("id", "chaptercontent"), ("class", "panel-body"), ("tag", "article"),
-)
-
-
 def container(html: Column, kind: str, value: str) -> Column:
     """Inner HTML of the first matching container."""
-    return H.element(html, value) if kind == "tag" else H.element_by_id(html, "(?:div|article|section)", kind, value)
+    return H.inside(html, rf"(?is)<{value}\b[^>]*>") if kind == "tag" else H.element_by_id(html, "(?:div|article|section)", kind, value)
 
 
 def page_text(pages: DataFrame, rules: DataFrame | None = None, key: str = "page_id", url: str = "url",
@@ -275,7 +275,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
 
 # --- JSON paths -----------------------------------------------------------------------------------------------
 PATH_STEP = re.compile(
-    r"""\.\.(?P<deep>[^.\[]+)|\.(?P<star>\*)|\.(?P<field>[^.\[]+)|\[(?P<all>\*)\]|\[\?\(?@(?:\.(?P<f1>[\w-]+)|\[['"](?P<f2>[^'"]+)['"]\])
+    r"""\.\.(?P<deep>[^.\[*]+)|\.(?P<star>\*)|\.(?P<field>[^.\[]+)|\[(?P<all>\*)\]|\[\?\(?@(?:\.(?P<f1>[\w-]+)|\[['"](?P<f2>[^'"]+)['"]\])
     \s*(?P<op>==|!=|>=|<=|=~|>|<)\s*(?P<want>.+?)\)?\](?=[.\[]|$)|\[(?P<slice>-?\d*:-?\d*)\]|\[(?P<index>-?\d+)\]|\[['"](?P<quoted>[^'"]+)['"]\]""",
     re.X,
 )
@@ -283,25 +283,25 @@ PATH_STEP = re.compile(
 
 def _deep_values(payload: Column, name: str) -> Column:
     """All values of a field at any depth, in document order, as JSON texts (Arrow-batched helper)."""
+
+    def values_of(text: str | None) -> list[str]:
+        try:
+            open_nodes = [json.loads(text or "")]
+        except ValueError:
+            return []
+        found = []
+        while open_nodes:  # the next node in document order is always on top
+            node = open_nodes.pop()
+            if not isinstance(node, (dict, list)):
+                continue
+            if isinstance(node, dict) and name in node:
+                found.append(json.dumps(node[name], ensure_ascii=False))
+            open_nodes += list(node.values() if isinstance(node, dict) else node)[::-1]
+        return found
+
     @F.pandas_udf(ArrayType(StringType()))
     def scan(texts: pd.Series) -> pd.Series:
-        def walk(node):
-            if isinstance(node, dict):
-                if name in node:
-                    yield node[name]
-                for child in node.values():
-                    yield from walk(child)
-            elif isinstance(node, list):
-                for child in node:
-                    yield from walk(child)
-
-        def one(text):
-            try:
-                return [json.dumps(v, ensure_ascii=False) for v in walk(json.loads(text))]
-            except (TypeError, ValueError):
-                return []
-
-        return texts.map(one)
+        return texts.map(values_of)
 
     return scan(payload)
 
@@ -355,7 +355,14 @@ def json_extract(df: DataFrame, payload: str, path: str, out: str = "values") ->
     """
     present = lambda v: v.isNotNull()
     current = F.filter(F.array(F.try_parse_json(F.col(payload))), present)
-    for number, match in enumerate(PATH_STEP.finditer(path.lstrip("$"))):
+    steps, matches = path.strip().removeprefix("$"), []
+    while steps:
+        match = PATH_STEP.match(steps)
+        if match is None:
+            raise ValueError(f"unknown step in path {path}: {steps}")
+        matches.append(match)
+        steps = steps[match.end():]
+    for number, match in enumerate(matches):
         step = match.groupdict()
         name = step["field"] or step["quoted"]
         if step["deep"]:

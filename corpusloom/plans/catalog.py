@@ -276,12 +276,18 @@ def explode_genres(spark, sf_dir):
     return A.explode_genres(part, "genres", ["p_partkey"])
 
 
-@query("a12_mine_edits")
+@query("a12_mine_edits", r"""
+WITH w AS (SELECT list_filter(regexp_split_to_array(text, '[\s\x0b]+'), lambda x: x <> '') AS a, turn FROM conversations),
+p AS (SELECT a, a[:turn % len(a)] || ['x' || a[turn % len(a) + 1]] || a[turn % len(a) + 2:] AS b, turn % len(a) + 1 AS k FROM w WHERE len(a) > 0)
+SELECT a[k] AS original, b[k] AS refined, count(*) AS edits, count(*) >= 2 AS proposed FROM p
+WHERE length(b[k]) < 30 GROUP BY 1, 2""")
 def mine_edits(spark, sf_dir):
-    talk = table(spark, sf_dir, "conversations").filter("role in ('user', 'assistant')")
-    user = talk.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("draft"))
-    reply = talk.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("final"))
-    return A.mine_edits(user.join(reply, ["conv_id", "turn"]), "draft", "final", 2)
+    # The final text is the draft with an x before one word: the one that the turn points at.
+    words = table(spark, sf_dir, "conversations").select(
+        "text", "turn", F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "").alias("a")).filter(F.size("a") > 0)
+    at = F.col("turn") % F.size("a")
+    final = F.array_join(F.transform("a", lambda w, i: F.when(i == at, F.concat(F.lit("x"), w)).otherwise(w)), " ")
+    return A.mine_edits(words.select(F.col("text").alias("draft"), final.alias("final")), "draft", "final", 2)
 
 
 JOBS = """

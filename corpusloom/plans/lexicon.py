@@ -216,7 +216,7 @@ def map_chars(spark, sf_dir):
     charmap = table(spark, sf_dir, "nation").select(
         letters.substr(F.col("n_nationkey") + 1, F.lit(1)).alias("trad"),
         F.char(F.lit(97) + F.col("n_nationkey") % 26).alias("simp")).filter("trad <> ''")
-    return L.map_chars(table(spark, sf_dir, "documents").select("doc_id", "text"), charmap, ["doc_id"])
+    return L.map_chars(table(spark, sf_dir, "documents").select("doc_id", "text"), charmap)
 
 
 @query("g9_merge_runs", """
@@ -230,15 +230,15 @@ def merge_runs(spark, sf_dir):
 LOCKS = r"""
 locks AS (
   SELECT raw, CASE WHEN item % 2 = 0 THEN 'characters' ELSE 'glossary' END AS "group", 'Target' || item AS target FROM (
-    SELECT a[1] AS raw, min(item_id) AS item FROM (
-      SELECT item_id, regexp_split_to_array(trim(text, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\s\x0b]+') AS a FROM benchmark)
-    GROUP BY 1))
+    SELECT raw, min(item_id) AS item FROM (
+      SELECT item_id, unnest(regexp_split_to_array(trim(text, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\s\x0b]+')) AS raw FROM benchmark)
+    WHERE raw <> '' GROUP BY 1))
 """
 
 
 def locks(spark, sf_dir):
-    first = table(spark, sf_dir, "benchmark").select(F.get(L.units(F.col("text"), "token"), F.lit(0)).alias("raw"), "item_id")
-    return first.groupBy("raw").agg(F.min("item_id").alias("item")).select(
+    words = table(spark, sf_dir, "benchmark").select(F.explode(L.units(F.col("text"), "token")).alias("raw"), "item_id")
+    return words.groupBy("raw").agg(F.min("item_id").alias("item")).select(
         "raw", F.when(F.col("item") % 2 == 0, "characters").otherwise("glossary").alias("group"),
         F.concat(F.lit("Target"), "item").alias("target"))
 
@@ -266,7 +266,8 @@ def lock_pack(spark, sf_dir):
     # Read the packs back, so that the JSON itself is what is compared.
     outer = packs.select("doc_id", F.explode(F.from_json("pack", "map<string,string>")).alias("group", "inner"))
     return outer.select("doc_id", "group", F.explode(F.from_json("inner", "map<string,string>")).alias("raw", "target")).groupBy(
-        "doc_id", "group").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "raw", "target"))), ";").alias("entries"))
+        "doc_id", "group").agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("raw", "target"))), lambda e: F.concat_ws("=", e["raw"], e["target"])), ";").alias("entries"))
 
 
 @query("c4_apply_locks", f"""
@@ -334,7 +335,7 @@ WITH kb AS (SELECT p_name AS key, p_type || ' ' || p_partkey AS target, p_brand
 top AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier DESC, priority, target) AS r FROM kb),
 best AS (SELECT key, target, type, row_number() OVER (PARTITION BY key ORDER BY
     CASE WHEN scope IS NULL OR (tier = 2 AND scope = 'Brand#3') OR (tier = 1 AND scope IN ('Brand#4', 'Brand#5')) THEN 0 ELSE 1 END, r) AS n
-  FROM top WHERE r <= 5)
+  FROM top)
 SELECT c.candidate, CASE WHEN b.key IS NULL THEN 'unknown' ELSE 'known' END AS status, b.target, b.type
 FROM (SELECT DISTINCT p_name AS candidate FROM part UNION SELECT c_name FROM customer) c LEFT JOIN best b ON b.key = c.candidate AND b.n = 1""")
 def classify_candidates(spark, sf_dir):

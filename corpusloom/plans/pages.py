@@ -116,7 +116,7 @@ WITH l AS (
     regexp_extract(url, '/([a-z]+)/[0-9]+', 1) || ' ' || page_id AS title FROM pages),
 ok AS (SELECT host, url, min(page_id) AS page_id, arg_min(title, page_id) AS title FROM l
   WHERE regexp_matches(url, '/\\d+(_\\d+)?\\.html?$') OR regexp_matches(url, '/\\d+/$') GROUP BY host, url)
-SELECT host, url, page_id, title FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM ok) WHERE n <= 15""")
+SELECT host, url, page_id, title FROM ok""")
 def book_links(spark, sf_dir):
     plain = F.regexp_replace("url", "[?#].*$", "")
     links = table(spark, sf_dir, "pages").select(
@@ -128,7 +128,7 @@ def book_links(spark, sf_dir):
 @query("w4_category_links", f"""
 WITH {LINKS} SELECT page_id, pos, title AS name, url FROM links WHERE length(title) BETWEEN 1 AND 10 AND NOT contains(href, '#')""")
 def category_links(spark, sf_dir):
-    return W.category_links(table(spark, sf_dir, "pages"), block=r"(?is)<nav\b[^>]*>(.*?)</nav\s*>")
+    return W.category_links(table(spark, sf_dir, "pages"), block=r"(?is)^<nav\b[^>]*>")
 
 
 @query("w5_page_metadata", f"""

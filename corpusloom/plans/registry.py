@@ -44,5 +44,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     import importlib
 
-    for name in ("corpus", "joins", "knowledge", "lexicon", "pages", "quality", "catalog", "streams"):
+    for name in ("corpus", "knowledge", "lexicon", "pages", "quality", "catalog", "streams"):
         importlib.import_module(f"corpusloom.plans.{name}")

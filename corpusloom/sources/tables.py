@@ -18,11 +18,13 @@ OTHER_CHARSETS = ("big5", "shift_jis", "euc-kr", "iso-8859-1", "windows-1252")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a table that arrives in fewer pieces than there are cores.
+    """On one machine: deal out the rows of a table that arrives in fewer pieces than there are cores.
 
-    A text table written as one row group is read by one task, which would then do all the row-wise work alone. A
-    table with enough pieces, which is every large one, is left as it is: no shuffle.
+    A text table written as one row group is read by one task, which would then do all the row-wise work alone. On a
+    cluster nothing is moved; there, tables are written in row groups that tasks can share.
     """
+    if not df.sparkSession.sparkContext.master.startswith("local["):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
