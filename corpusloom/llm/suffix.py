@@ -37,6 +37,8 @@ from corpusloom.session import checkpointed
 GRAM, WORD, STRIDE = 32, 8, 16
 #: What closes a rotation; strings that run over it are never compared.
 CLOSE = bytes(1)
+#: Rows given out at a time.
+GIVEN = 4096
 #: Bytes of text hashed at a time, strings of a segment, bytes of a merge job, of one of its shards, and of a crowded name.
 CHUNK, RUN, JOB, SHARD, CROWDED = 2_000_000, 2048, 130_000, 65_000, 8_000_000
 
@@ -294,28 +296,29 @@ def _settled(segments: DataFrame, size: int, job: int, crowded: int) -> DataFram
         return rows
 
     def settle(batches):
-        held, held_bytes, group, group_bytes, now, over = [], 0, [], 0, None, False
+        held, held_bytes, group, group_bytes, now, over, out = [], 0, [], 0, None, False, []
         for row in itertools.chain(rows_of(batches, "name", "id", "start", "end", "bytes"), [None]):
+            if len(out) >= GIVEN:
+                yield _segment_batch(out)
+                out = []
             if row is not None and row[4] is None:
-                yield _segment_batch([row])
+                out.append(row)
                 continue
             if row is None or row[0] != now:
                 if over:
-                    yield _segment_batch(group)
+                    out += group
                 elif group:
-                    rows, kept = distinct(group)
-                    if rows:
-                        yield _segment_batch(rows)
+                    rows, kept = distinct(group) if len(group) > 1 else ([], group)
+                    out += rows
                     if len(kept) <= 4:  # names shared by chance do not go into a merge
                         kept = [
                             k for i, k in enumerate(kept)
                             if _twice(k[4]) or any(_share(k[4], o[4], size) for j, o in enumerate(kept) if j != i)
                         ]
-                    if kept:
-                        held += kept
-                        held_bytes += sum(len(k[4]) for k in kept)
+                    held += kept
+                    held_bytes += sum(len(k[4]) for k in kept)
                 if held and (row is None or held_bytes >= job):
-                    yield _segment_batch(merged(held))
+                    out += merged(held)
                     held, held_bytes = [], 0
                 if row is None:
                     break
@@ -326,6 +329,7 @@ def _settled(segments: DataFrame, size: int, job: int, crowded: int) -> DataFram
                 over = True
                 yield _segment_batch(group)
                 group, group_bytes = [], 0
+        yield _segment_batch(out)
 
     dealt = segments.repartition("name").sortWithinPartitions("name")
     return dealt.mapInArrow(settle, SEGMENT)
