@@ -3,7 +3,7 @@
 Writer: one record for each page, each record a gzip member of its own. Of records with equal payloads of at least
 ``MIN_REVISIT`` bytes, the one with the largest page id is a ``response``, the others are ``revisit`` records without
 payload that refer to it; smaller payloads are all responses. Records are compressed where the page is read, so only
-compressed bytes are shuffled, into archives by a hash of the page id. Every attempt of a task writes a file of its own
+compressed bytes are shuffled, once, to meet what their page refers to; the tasks of that join write the archives. Every attempt of a task writes a file of its own
 and only the files that successful tasks name are archives, so a task that is run again leaves no double records.
 
 Reader: files are cut into byte ranges. A task looks for the gzip magic in its range, checks a candidate by decoding the
@@ -37,7 +37,7 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
 #: Bytes of a range, of one read, and of compressed data decoded to check a candidate.
 RANGE, BLOCK, PROBE = 32 << 20, 1 << 20, 512
-#: Pages of an archive, about; so many records are held while an archive is written: one.
+#: Pages of an archive at most; one record is held while it is written.
 PAGES_PER_FILE = 20_000
 DATE = "2000-01-01T00:00:00Z"
 RECORDS = ("record_id string, record_type string, uri string, page_id long, payload_bytes long, payload_digest string, "
@@ -98,26 +98,26 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     revisits = again.select(F.col("id").alias("of"), F.col("digest").alias("same"), "target")
     joined = members.join(revisits, (F.col("id") == F.col("of")) & (F.col("digest") == F.col("same")), "left").select(
         "id", "url", "size", "digest", F.when(F.col("target").isNull(), F.col("member")).alias("member"), "target")
-    files = max(1, -(-pages.count() // pages_per_file))
-    dealt = joined.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(files))).repartition("file").sortWithinPartitions("file", "id")
 
     def store(batches):
-        now, sink, made, written = None, None, [], 0
-        for file, i, url, size, digest, member, target in rows_of(batches, "file", "id", "url", "size", "digest", "member", "target"):
-            if file != now:
-                if sink is not None:
-                    sink.close()
-                name = f"{base}/part-{file:06d}-{uuid.uuid4().hex}.warc.gz"
+        sink, made, written = None, [], 0
+        for i, url, size, digest, member, target in rows_of(batches, "id", "url", "size", "digest", "member", "target"):
+            if sink is not None and written >= pages_per_file:
+                sink.close()
+                sink = None
+            if sink is None:
+                name = f"{base}/part-{uuid.uuid4().hex}.warc.gz"
                 fs, path = _opened(name)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
-                sink, now = fs.open_output_stream(path, compression=None), file
+                sink, written = fs.open_output_stream(path, compression=None), 0
                 made.append(name)
             sink.write(member if target is None else record("revisit", i, url, size, digest, None, target))
+            written += 1
         if sink is not None:
             sink.close()
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["path"])
 
-    return sorted(r["path"] for r in dealt.mapInArrow(store, "path string").collect())
+    return sorted(r["path"] for r in joined.mapInArrow(store, "path string").collect())
 
 
 class _Window:
