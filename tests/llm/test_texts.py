@@ -59,8 +59,8 @@ def once(found, docs):
 
 
 def test_substring(spark, docs):
-    for chunk in (substring.CHUNK, 500):
-        found = substring.digests(substring.cut(frame(spark, docs), chunk=chunk))
+    for sizes in ({}, {"chunk": 500}, {"chunk": 100, "bucket_bytes": 1000, "merged": 50}):
+        found = substring.digests(substring.cut(frame(spark, docs), **sizes))
         assert once(rows_by_id(found, "n_words", "n_removed", "kept_sha256"), docs) == B.substring(docs)
 
 
