@@ -112,17 +112,21 @@ def _heads(lines: Column, rules) -> Column:
 
 
 def _blocks(texts: DataFrame, rules, key: str, text: str, need_heading: bool) -> DataFrame:
-    """Row per block of a text: (key, lines, seq, tag, at, stop); block 0 stands before the first heading."""
+    """Row per block of a text: (key, seq, tag, at, first, inside), ``first`` its heading line and ``inside`` the lines below;
+    block 0 stands before the first heading. Blocks are cut inside the row, so a text's lines are copied once."""
     heads = texts.select(key, split_lines(F.col(text)).alias("lines")).withColumn("heads", _heads(F.col("lines"), rules))
     none = F.array(F.lit(None).cast(heads.schema["heads"].dataType.elementType))
-    blocks = F.concat(none, F.col("heads"))
+    def block(head: Column, seq: Column) -> Column:
+        at = F.coalesce(head["at"], F.lit(0))
+        stop = F.coalesce(F.get("heads", seq)["at"], F.size("lines") + 1)
+        return F.struct(
+            head["tag"].alias("tag"), at.alias("at"), F.get("lines", at - 1).alias("first"),
+            F.slice("lines", at + 1, stop - at - 1).alias("inside"))
+
+    blocks = F.transform(F.concat(none, F.col("heads")), block)
     return heads.select(
-        key, "lines", "heads",
-        F.posexplode(F.when(F.size("heads") > (0 if need_heading else -1), blocks)).alias("seq", "head"),
-    ).select(
-        key, "lines", "seq", "head.tag", F.coalesce(F.col("head.at"), F.lit(0)).alias("at"),
-        F.coalesce(F.get("heads", F.col("seq"))["at"], F.size("lines") + 1).alias("stop"),
-    )
+        key, F.posexplode(F.when(F.size("heads") > (0 if need_heading else -1), blocks)).alias("seq", "block"),
+    ).select(key, "seq", "block.*")
 
 
 def split_chapters(texts: DataFrame, rules=HEADING_RULES, key: str = "novel_id", text: str = "text") -> DataFrame:
@@ -130,7 +134,7 @@ def split_chapters(texts: DataFrame, rules=HEADING_RULES, key: str = "novel_id",
 
     The running number counts headings and ignores the printed one; a text without a heading yields no rows.
     """
-    body = strip(F.array_join(F.slice("lines", F.col("at") + 1, F.col("stop") - F.col("at") - 1), "\n"))
+    body = strip(F.array_join("inside", "\n"))
     name = F.rtrim(F.concat(F.format_string("Chapter %04d ", F.col("seq")), safe_title(F.col("tag.title"))))
     return (
         _blocks(texts, rules, key, text, True)
@@ -157,13 +161,12 @@ def split_chapters_table(lines: DataFrame, rules=HEADING_RULES, key: str = "nove
 
 def split_simple(texts: DataFrame, rules, key: str = "novel_id", text: str = "text") -> DataFrame:
     """Second split form: blank lines dropped, empty chapters dropped, default heading before the first one."""
-    inside = F.slice("lines", F.col("at") + 1, F.col("stop") - F.col("at") - 1)
     return (
         _blocks(texts, rules, key, text, False)
         .select(
             key, F.col("seq").cast("long").alias("block"),
-            F.when(F.col("at") > 0, strip(F.get("lines", F.col("at") - 1))).otherwise(DEFAULT_HEADING).alias("heading"),
-            F.filter(inside, lambda x: strip(x) != "").alias("kept"),
+            F.when(F.col("at") > 0, strip(F.col("first"))).otherwise(DEFAULT_HEADING).alias("heading"),
+            F.filter("inside", lambda x: strip(x) != "").alias("kept"),
         )
         .filter(F.size("kept") > 0)
         .select(key, "block", "heading", strip(F.array_join("kept", "\n")).alias("body"))

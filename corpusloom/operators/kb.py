@@ -95,12 +95,12 @@ def reading_map(*ranked: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("value", F.struct("_rank", "value")).alias("value"))
 
 
-def catalog_append(old: DataFrame, new: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """Old and new catalog rows; ``status`` (id, status) sets the state of known ids."""
+def catalog_append(old: DataFrame, new: DataFrame, status: DataFrame | None = None, order: str = "change_no") -> DataFrame:
+    """Old and new catalog rows; ``status`` (id, status, ``order``) sets the state of known ids, the last change of each."""
     rows = old.unionByName(new)
     if status is None:
         return rows
-    change = status.groupBy("id").agg(F.max("status").alias("_status"))
+    change = status.groupBy("id").agg(F.max_by("status", F.struct(order, "status")).alias("_status"))
     return rows.join(change, "id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
 
 

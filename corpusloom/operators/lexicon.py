@@ -30,12 +30,12 @@ PRIVATE_USE = 0xF0000
 
 
 def clean_target(target: Column) -> Column:
-    """Dictionary target cut at ``=``, then at the first ``/``, without numbering, cut at ``;``.
+    """Dictionary target cut at ``=``, then at the first ``/``, then before `` (``, without numbering, cut at ``;``.
 
     A target that starts with ``/`` marks a word that is left out: it becomes empty.
     """
     cut = F.substring_index(target, "=", 1)
-    text = strip(F.substring_index(cut, "/", 1))
+    text = strip(F.substring_index(strip(F.substring_index(cut, "/", 1)), " (", 1))
     text = strip(F.regexp_replace(text, r"^\d+\.\s*", ""))
     head = strip(F.substring_index(text, ";", 1))
     return F.when(head == "", text).otherwise(head)

@@ -9,6 +9,7 @@ from corpusloom.functions.text import strip
 
 # --- fixed values ---------------------------------------------------------------------------------------------
 MIN_RAW_LENGTH = 5
+SET_BY_WRITE = ("confidence", "reviewed")
 # --- end of fixed values --------------------------------------------------------------------------------------
 
 
@@ -52,10 +53,12 @@ def memory_pairs(aligned: DataFrame, scope: Column, raw: str = "raw_text", refin
 
 
 def tm_upsert(tm: DataFrame, new: DataFrame, at: str = "seen_at") -> DataFrame:
-    """Memory after saving ``new``: the last write sets the translation and project, chapter and birth stay.
+    """Memory after saving ``new``: the last write sets the translation, project, ``confidence`` and ``reviewed``; chapter
+    and birth stay.
 
-    Both tables: (raw_hash, raw_text, translated_text, project_scope, chapter_index, hit_count, seen_at). One grouped
-    pass with map-side combine; ``first_at`` and ``last_at`` span the writes.
+    Both tables: (raw_hash, raw_text, translated_text, project_scope, chapter_index, hit_count, seen_at), ``confidence``
+    and ``reviewed`` where a table has them. One grouped pass with map-side combine; ``first_at`` and ``last_at`` span the
+    writes.
     """
     rows = tm.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     oldest = F.struct("_new", at, "translated_text")
@@ -64,6 +67,7 @@ def tm_upsert(tm: DataFrame, new: DataFrame, at: str = "seen_at") -> DataFrame:
         F.min_by("raw_text", oldest).alias("raw_text"),
         F.max_by("translated_text", newest).alias("translated_text"),
         F.max_by("project_scope", newest).alias("project_scope"),
+        *[F.max_by(name, newest).alias(name) for name in SET_BY_WRITE if name in rows.columns],
         F.min_by("chapter_index", oldest).alias("chapter_index"),
         F.coalesce(F.min_by("hit_count", oldest), F.lit(1)).cast("long").alias("hit_count"),
         F.min_by(F.col(at), oldest).alias("first_at"),

@@ -185,10 +185,11 @@ def lookup_terms(spark, sf_dir):
 
 
 @query("p7_clean_target", f"""
-WITH cut AS (SELECT p_partkey, trim(split_part(split_part(p_size || '. ' || p_type || '; ' || p_name || ' / ' || p_brand || '=x', '=', 1), '/', 1), {STRIP}) AS t FROM part)
+WITH cut AS (SELECT p_partkey, trim(split_part(trim(split_part(split_part(p_size || '. ' || p_type || CASE WHEN p_partkey % 3 = 0 THEN ' (' || p_brand || ')' ELSE '; ' END || p_name || ' / ' || p_brand || '=x', '=', 1), '/', 1), {STRIP}), ' (', 1), {STRIP}) AS t FROM part)
 SELECT p_partkey, trim(split_part(trim(regexp_replace(t, '^\\d+\\.\\s*', ''), {STRIP}), ';', 1), {STRIP}) AS target FROM cut""")
 def clean_target(spark, sf_dir):
-    raw = F.concat("p_size", F.lit(". "), "p_type", F.lit("; "), "p_name", F.lit(" / "), "p_brand", F.lit("=x"))
+    between = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" ("), "p_brand", F.lit(")"))).otherwise("; ")
+    raw = F.concat("p_size", F.lit(". "), "p_type", between, "p_name", F.lit(" / "), "p_brand", F.lit("=x"))
     return table(spark, sf_dir, "part").select("p_partkey", L.clean_target(raw).alias("target"))
 
 

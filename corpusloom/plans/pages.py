@@ -9,6 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import corpus as C
 from corpusloom.operators import pages as W
 from corpusloom.plans.registry import query, sql_text, table
+from corpusloom.session import CHARSET_OPTIONS
 from corpusloom.sources import tables as S
 
 STRIP = sql_text(T.STRIP_CHARS)
@@ -51,7 +52,8 @@ SELECT page_id, kind, CASE kind WHEN 'gb' THEN 'gb18030' ELSE 'UTF-8' END AS cha
 FROM pages, (SELECT unnest(['gb', 'utf', 'none']) AS kind)""")
 def decode_pages(spark, sf_dir):
     # The pages as bytes: declared and encoded as gb, as UTF-8, and as UTF-8 without a declared charset.
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    for name, value in CHARSET_OPTIONS.items():
+        spark.conf.set(name, value)
     pages = table(spark, sf_dir, "pages")
 
     def bytes_of(kind, declared, charset):
@@ -224,6 +226,23 @@ def apply_json_rules(spark, sf_dir):
     return W.apply_rules(events, rules, "event_id")
 
 
+# Every link of the navigation list is a record of its own, with an address and, in most, a title.
+@query("w10_list_rules", """
+WITH e AS (
+  SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, unnest(range(1, len(a) + 1)) AS item_no, unnest(a) AS item FROM (
+    SELECT page_id, url, regexp_extract_all(html, '<li>.*?</li>') AS a FROM pages)),
+v AS (
+  SELECT page_id, 'menu' AS source, item_no, 'link' AS field, regexp_extract(item, 'href="([^"]*)"', 1) AS value FROM e WHERE contains(host, '.example.')
+  UNION ALL SELECT page_id, 'menu', item_no, 'long_title', regexp_extract(item, '>([^<>]{4,})</a>', 1) FROM e WHERE contains(host, '.example.'))
+SELECT * FROM v WHERE trim(value) <> ''""")
+def list_rules(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.filter(F.contains(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1), F.lit(".example."))).select(
+        H.url_host(F.col("url")).alias("host"), F.lit("menu").alias("source")).distinct()
+    rule = W.ListRule("menu", "<li>.*?</li>", {"link": 'href="([^"]*)"', "long_title": ">([^<>]{4,})</a>"})
+    return W.extract_records(pages, hosts, [rule])
+
+
 @query("w11_json_extract", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k,
   array_to_string([CAST(json_extract(props, '$.k') AS VARCHAR), CAST(user_id AS VARCHAR)], ',') AS deep,

@@ -8,10 +8,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: What ``decode_pages`` needs in its session: all charsets, and replacement characters for broken bytes.
+CHARSET_OPTIONS = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
+
+
 def local_session(cores: str = "*", partitions: int = 8, app: str = "corpusloom") -> SparkSession:
     """A local session for tests and the bench. On a cluster, pass your own session to the jobs instead."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
+        .config(map=CHARSET_OPTIONS)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")

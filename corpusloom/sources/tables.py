@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read_corpus_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: (novel_id, suffix, text). Bad bytes become the replacement character."""
-    raw = (
-        spark.read.option("pathGlobFilter", CORPUS_GLOB).option("recursiveFileLookup", "true")
-        .text(path, wholetext=True)
-        .withColumn("_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
-    )
-    return raw.select(
+    return named_texts(spark.read.option("pathGlobFilter", CORPUS_GLOB).option("recursiveFileLookup", "true").text(path, wholetext=True))
+
+
+def named_texts(files: DataFrame) -> DataFrame:
+    """Whole files, of a table or a stream, as (novel_id, suffix, text)."""
+    return files.withColumn("_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)).select(
         F.regexp_replace(F.expr("url_decode(replace(_file, '+', '%2B'))"), r"\.[^.]*$", "").alias("novel_id"),
         F.lower(F.regexp_extract("_file", r"\.([^.]*)$", 1)).alias("suffix"),
         F.col("value").alias("text"),
@@ -45,9 +46,13 @@ def read_corpus_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder as (novel_id, line_no, line); HTML is flattened first."""
-    texts = read_corpus_texts(spark, path)
+    return text_lines(plain_texts(read_corpus_texts(spark, path)), "novel_id")
+
+
+def plain_texts(texts: DataFrame) -> DataFrame:
+    """(novel_id, suffix, text) with the text of HTML files flattened."""
     plain = F.when(F.col("suffix").isin("html", "htm", "xhtml"), flatten_html(F.col("text"))).otherwise(F.col("text"))
-    return text_lines(texts.withColumn("text", plain), "novel_id")
+    return texts.withColumn("text", plain)
 
 
 def text_lines(docs: DataFrame, key: str = "novel_id", text: str = "text") -> DataFrame:
@@ -92,10 +97,14 @@ def load_layer_path(spark: SparkSession, path: str, layer: str, scope: str | Non
 
 
 def read_status(spark: SparkSession, path: str, schema: str, items: str | None = None) -> DataFrame:
-    """Status JSON files; a file that is broken gives no rows. ``items`` names an array to unnest."""
-    raw = spark.read.schema(f"{schema}, _bad string").json(
-        path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad"
-    )
+    """Status JSON files; a file that is broken or missing gives no rows. ``items`` names an array to unnest."""
+    shape = f"{schema}, _bad string"
+    try:
+        raw = spark.read.schema(shape).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], shape)
     good = raw.filter(F.col("_bad").isNull()).drop("_bad")
     return good.select("*", F.explode_outer(items).alias("_item")).drop(items).select(
         *[c for c in good.columns if c != items], "_item.*"
@@ -115,12 +124,10 @@ def read_page_bytes(spark: SparkSession, path: str) -> DataFrame:
 def decode_pages(pages: DataFrame, content: str = "content", header: Column | None = None) -> DataFrame:
     """Bytes to text by the declared charset (the gb family reads as gb18030), else UTF-8.
 
-    A declared charset that does not fit the bytes falls back to UTF-8, then gb18030; UTF-8 validity decides.
+    A declared charset that does not fit the bytes falls back to UTF-8, then gb18030; UTF-8 validity decides. The session
+    needs ``CHARSET_OPTIONS`` (``corpusloom.session``): gb18030 is outside the short list that Spark allows by default, and
+    broken bytes shall read as replacement characters instead of failing the job.
     """
-    # gb18030 is outside the short list Spark allows by default, and broken bytes shall read as replacement
-    # characters instead of failing the job.
-    pages.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
-    pages.sparkSession.conf.set("spark.sql.legacy.codingErrorAction", "true")
     head = F.decode(F.substring(F.col(content), 1, CHARSET_HEAD_BYTES), "ISO-8859-1")
     hints = F.concat_ws(" ", header if header is not None else F.lit(""), head)
     declared = F.lower(F.regexp_extract(hints, r"(?i)charset=[\"']?([\w\-]+)", 1))

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.operators import catalog as A
 from corpusloom.operators import corpus as C
 from corpusloom.operators import memory as M
-from corpusloom.sources.tables import CORPUS_GLOB
+from corpusloom.sources.tables import CORPUS_GLOB, named_texts, plain_texts
 
 # --- fixed values ---------------------------------------------------------------------------------------------
 POLL = "300 seconds"
@@ -52,12 +52,10 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, once: bool = Tru
 
 def stream_corpus(spark: SparkSession, folder: str, path: str, checkpoint: str, rules=C.HEADING_RULES,
                   once: bool = True, poll: str = POLL) -> StreamingQuery:
-    """New files of a folder, each taken once, split into chapters."""
-    files = spark.readStream.option("pathGlobFilter", CORPUS_GLOB).text(folder, wholetext=True)
-    named = files.select(
-        F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), r"\.[^.]*$", "").alias("novel_id"),
-        F.col("value").alias("text"))
-    return start_append(C.split_chapters(named, rules), path, checkpoint, once, poll)
+    """New files of a folder and its sub-folders, each taken once, named and flattened as ``read_corpus`` does, split into
+    chapters."""
+    files = spark.readStream.option("pathGlobFilter", CORPUS_GLOB).option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    return start_append(C.split_chapters(plain_texts(named_texts(files)), rules), path, checkpoint, once, poll)
 
 
 def stream_chapters(texts: DataFrame, path: str, checkpoint: str, rules, key: str, once: bool = True) -> StreamingQuery:

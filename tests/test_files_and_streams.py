@@ -27,6 +27,8 @@ def test_read_status(spark, tmp_path):
     schema = "novel_id string, chapters array<struct<index:int,status:string>>"
     rows = S.read_status(spark, str(tmp_path), schema, "chapters").collect()
     assert {(r["novel_id"], r["index"], r["status"]) for r in rows} == {("n", 1, "done"), ("n", 2, "pending")}
+    missing = S.read_status(spark, str(tmp_path / "none.json"), schema, "chapters")
+    assert missing.collect() == [] and missing.columns == ["novel_id", "index", "status"]
 
 
 def test_partitions_are_replaced_alone(spark):
@@ -52,7 +54,13 @@ def test_stream_corpus_takes_each_file_once(spark, tmp_path):
     (tmp_path / "n2.txt").write_text("第1章 C\nz", encoding="utf-8")
     J.stream_corpus(spark, str(tmp_path), out, mark).awaitTermination()
     J.stream_corpus(spark, str(tmp_path), out, mark).awaitTermination()
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "n 3.html").write_text("<p>第1章 D</p><p>a &amp; b</p>", encoding="utf-8")
+    J.stream_corpus(spark, str(tmp_path), out, mark).awaitTermination()
     rows = spark.read.parquet(out).collect()
+    html = [(r.title, r.body) for r in rows if r.novel_id == "n 3"]
+    assert html == [("D", "a & b")]
+    rows = [r for r in rows if r.novel_id != "n 3"]
     assert sorted((r.novel_id, r.seq, r.title, r.body) for r in rows) == [("n1", 1, "A", "x"), ("n1", 2, "B", "y"), ("n2", 1, "C", "z")]
 
 

@@ -225,3 +225,14 @@ def test_select_range_and_first_n(spark):
     pick = lambda *a: [r.i for r in C.select_range(frame, ["n"], [F.col("i")], *a).orderBy("i").collect()]
     assert pick(3, 5) == [2, 3, 4] and pick(None, None, 2) == [0, 1] and pick(8) == [7, 8, 9] and pick(2, 9, 2) == [1, 2]
     assert C.first_n(frame, ["n"], [F.col("i")], 4).count() == 4
+
+
+def test_records_by_rule(spark):
+    body = '<li class="b"><a href="/1">One</a><i>x</i></li>\n<li class="b"><a href="/2"></a></li><li class="b"><b>none</b></li>'
+    pages = spark.createDataFrame(
+        [(1, "https://www.a.example/x", body), (2, "https://b.example/", body), (3, "https://a.example/", None), (4, None, body)],
+        "page_id int, url string, html string")
+    hosts = spark.createDataFrame([("a.example", "s1"), ("a.example", "s2"), ("c.example", "s1")], "host string, source string")
+    rules = [W.ListRule("s1", r"(?s)<li\b.*?</li>", {"url": 'href="([^"]*)"', "name": ">([^<]+)</a>"}), W.ListRule("s2", "<i>.*?</i>", {"tag": "<i>(.*?)</i>"})]
+    out = sorted((r.page_id, r.source, r.item_no, r.field, r.value) for r in W.extract_records(pages, hosts, rules).collect())
+    assert out == [(1, "s1", 1, "name", "One"), (1, "s1", 1, "url", "/1"), (1, "s1", 2, "url", "/2"), (1, "s2", 1, "tag", "x")]

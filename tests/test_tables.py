@@ -100,6 +100,21 @@ def test_memory_lookup_and_upsert(spark):
     assert len(row) == 1 and (row[0].translated_text, row[0].project_scope, row[0].chapter_index, row[0].hit_count) == ("mới", "p3", 7, 4)
 
 
+def test_memory_keeps_review_of_the_last_write(spark):
+    schema = "raw_hash string, raw_text string, translated_text string, project_scope string, chapter_index int, hit_count long, seen_at int, confidence double, reviewed boolean"
+    old = spark.createDataFrame([("h", "r", "cũ", "p", 7, 4, 1, 0.9, True)], schema)
+    new = spark.createDataFrame([("h", "r", "mới", "p", None, None, 2, 0.4, False)], schema)
+    row = M.tm_upsert(old, new).first()
+    assert (row.translated_text, row.confidence, row.reviewed, row.chapter_index) == ("mới", 0.4, False, 7)
+
+
+def test_catalog_takes_the_last_status(spark):
+    old = spark.createDataFrame([(1, "new"), (2, "new")], "id int, status string")
+    changes = spark.createDataFrame([(1, "queued", 1), (1, "done", 2), (3, "done", 1)], "id int, status string, change_no int")
+    rows = K.catalog_append(old, old.limit(0), changes).collect()
+    assert {(r.id, r.status) for r in rows} == {(1, "done"), (2, "new")}
+
+
 def test_layers(spark):
     rows = [("project", "n1", "k", "P", 0, 1, 1), ("universe", "u1", "k", "U", 0, 1, 2), ("style", None, "k", "S", 0, 1, 3), ("global", None, "k", "G", 0, 1, 4),
             ("global", None, "g", "G2", 0, 1, 5), ("global", None, "g", "G3", 1, 9, 6)]
@@ -156,7 +171,7 @@ def test_empty_permissions_allow_nothing(spark):
 
 
 def test_clean_target(spark):
-    cases = {"a/b": "a", "x=y": "x", "1. một; hai": "một", "/": "", "thường": "thường", ";x": ";x"}
+    cases = {"a/b": "a", "x=y": "x", "1. một; hai": "một", "/": "", "thường": "thường", ";x": ";x", "Xanh (tên)": "Xanh", "2. lục (màu); x": "lục"}
     frame = spark.createDataFrame([(c,) for c in cases], "t string")
     assert {r.t: r.c for r in frame.withColumn("c", L.clean_target(F.col("t"))).collect()} == cases
 
