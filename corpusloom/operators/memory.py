@@ -21,19 +21,21 @@ def raw_hash(text: Column) -> Column:
 def tm_lookup(segments: DataFrame, tm: DataFrame, text: str = "text", scope: str = "scope") -> DataFrame:
     """Segments with the remembered translation, the row of the own project first, else any project's row.
 
-    The memory side is reduced to one row per (hash, project) and one per hash first, so neither join multiplies
-    rows however many copies of a text exist.
+    The memory is reduced to one row per (hash, project) and one per hash first, so no join multiplies rows however many
+    copies of a text exist. Only distinct hashes are looked up; the segments then meet what was found in one join.
     """
     rank = F.struct(F.coalesce("project_scope", F.lit("")), F.col("translated_text"))
     own = tm.filter(F.col("project_scope").isNotNull()).groupBy(
         "raw_hash", F.col("project_scope").alias(scope)).agg(F.min("translated_text").alias("_own"))
     anyone = tm.groupBy("raw_hash").agg(F.min_by("translated_text", rank).alias("_any"))
     keyed = segments.withColumn("raw_hash", raw_hash(F.col(text)))
+    found = keyed.select("raw_hash", scope).distinct().join(anyone, "raw_hash").join(own, ["raw_hash", scope], "left").select(
+        F.col("raw_hash").alias("_hash"), F.col(scope).alias("_scope"), "_own", "_any")
     return (
-        keyed.join(own, ["raw_hash", scope], "left").join(anyone, "raw_hash", "left")
+        keyed.join(found, (F.col("raw_hash") == F.col("_hash")) & F.col(scope).eqNullSafe(F.col("_scope")), "left")
         .withColumn("translated_text", F.coalesce("_own", "_any"))
         .withColumn("match", F.when(F.col("_own").isNotNull(), "project").when(F.col("_any").isNotNull(), "any"))
-        .drop("_own", "_any")
+        .drop("_hash", "_scope", "_own", "_any")
     )
 
 

@@ -87,6 +87,15 @@ def stream_hourly(spark, sf_dir):
     return spark.read.parquet(path).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
+@query("t5_stream_live", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_live(spark, sf_dir):
+    path, checkpoint = places(spark, "live")
+    events = J.table_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    J.start_live(J.hourly_counts(events), path, checkpoint).awaitTermination()
+    totals = J.live_totals(spark.read.parquet(path), ["hour", "event_type"])
+    return totals.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
 @query("t5_stream_sessions", """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)

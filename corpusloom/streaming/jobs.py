@@ -33,13 +33,13 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
 
 
 def start_log(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
-              once: bool = True, poll: str = POLL) -> StreamingQuery:
-    """Run ``reduce`` on every batch and keep its result under ``path/batch=<id>``."""
+              once: bool = True, poll: str = POLL, mode: str = "append") -> StreamingQuery:
+    """Run ``reduce`` on every batch and keep its result under ``path/batch=<id>``. ``mode`` is the stream's output mode."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         reduce(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=poll)).start()
 
 
@@ -124,8 +124,19 @@ def progress_from_log(log: DataFrame, keys: list[str]) -> DataFrame:
     return log.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def start_live(counts: DataFrame, path: str, checkpoint: str, once: bool = True, poll: str = POLL) -> StreamingQuery:
+    """Running totals of a streaming aggregate in update mode, open windows included: a batch keeps the totals that it
+    changed. ``live_totals`` reads them at any time."""
+    return start_log(counts, lambda batch: batch, path, checkpoint, once, poll, "update")
+
+
+def live_totals(log: DataFrame, keys: list[str], value: str = "n") -> DataFrame:
+    """The latest total of every key."""
+    return log.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 def hourly_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", delay: str = "10 minutes") -> DataFrame:
-    """Events per hour and type, given out once the hour is behind the watermark."""
+    """Events per hour and type: final once the hour is behind the watermark, changing before that (``start_live``)."""
     return events.withWatermark(at, delay).groupBy(F.window(at, "1 hour").alias("w"), kind).agg(
         F.count("*").alias("n")).select(F.col("w.start").alias("hour"), kind, "n")
 

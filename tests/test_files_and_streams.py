@@ -109,3 +109,26 @@ def test_new_urls_once(spark, tmp_path):
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpusloom.work.dir"))
     assert checkpointed(spark.range(3)).count() == 3
+
+
+def test_live_totals_hold_open_windows(spark, tmp_path):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1, 10, 0)
+    rows = [(at + dt.timedelta(minutes=m), k) for m, k in ((50, "a"), (55, "b"), (5, "a"), (40, "a"))]
+    stream = two_batches(spark, tmp_path, rows, "ts timestamp, event_type string")
+    path, mark = work_dir(spark, "live"), work_dir(spark, "mark")
+    J.start_live(J.hourly_counts(stream, delay="2 hours"), path, mark).awaitTermination()
+    totals = J.live_totals(spark.read.parquet(path), ["hour", "event_type"]).collect()
+    assert {(r.event_type, r.n) for r in totals} == {("a", 3), ("b", 1)} and len({r.hour for r in totals}) == 1
+
+
+def test_memory_lookup_with_null_scopes(spark):
+    from corpusloom.operators import memory as M
+
+    segments = spark.createDataFrame([(1, "same text", "p"), (2, "same text", None), (3, "same text", "q"), (4, None, "p"), (5, "other", "p")],
+                                     "id int, text string, scope string")
+    tm = spark.createDataFrame([("same text", "P", "p"), ("same text", "N", None)], "t string, translated_text string, project_scope string")
+    tm = tm.withColumn("raw_hash", M.raw_hash(F.col("t"))).drop("t")
+    out = {r.id: (r.translated_text, r.match) for r in M.tm_lookup(segments, tm).collect()}
+    assert out == {1: ("P", "project"), 2: ("N", "any"), 3: ("N", "any"), 4: (None, None), 5: (None, None)}
