@@ -67,8 +67,8 @@ def decode_pages(spark, sf_dir):
 @query("s5_read_status", """
 SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""")
 def read_status(spark, sf_dir):
-    # Error events carry a cut-off payload, which has to read as nulls.
-    payload = F.when(F.col("event_type") == "error", F.substring("props", 1, 4)).otherwise(F.col("props"))
+    # Error events carry a payload with a stray bracket, which has to read as nulls.
+    payload = F.when(F.col("event_type") == "error", F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", payload.alias("payload"))
     return S.parse_status(rows, "payload", "k bigint")
 
@@ -112,19 +112,12 @@ def chapter_links(spark, sf_dir):
     return W.chapter_links(W.extract_links(table(spark, sf_dir, "pages")), ("e", "o"), ("the", "de", "of"), "an")
 
 
-@query("w3_book_links", """
-WITH l AS (
-  SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, page_id, regexp_replace(url, '[?#].*$', '') AS url,
-    regexp_extract(url, '/([a-z]+)/[0-9]+', 1) || ' ' || page_id AS title FROM pages),
-ok AS (SELECT host, url, min(page_id) AS page_id, arg_min(title, page_id) AS title FROM l
-  WHERE regexp_matches(url, '/\\d+(_\\d+)?\\.html?$') OR regexp_matches(url, '/\\d+/$') GROUP BY host, url)
-SELECT host, url, page_id, title FROM ok""")
+# The links of the pages, made to point at books.
+@query("w3_book_links", f"""
+WITH {LINKS} SELECT page_id, pos, title, regexp_replace(url, '^([a-z]+://[^/]*)/', '\\1/book/') AS url FROM links WHERE length(title) BETWEEN 2 AND 30""")
 def book_links(spark, sf_dir):
-    plain = F.regexp_replace("url", "[?#].*$", "")
-    links = table(spark, sf_dir, "pages").select(
-        F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), "page_id", plain.alias("url"), plain.alias("href"),
-        F.concat_ws(" ", F.regexp_extract("url", "/([a-z]+)/[0-9]+", 1), "page_id").alias("title"))
-    return W.book_links(links, "host", "page_id").drop("href")
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit('href="/'), F.lit('href="/book/')))
+    return W.book_links(W.extract_links(pages), "page_id").drop("href")
 
 
 @query("w4_category_links", f"""
@@ -161,19 +154,20 @@ def page_text_by_rule(spark, sf_dir):
     return W.page_text(pages, rules, containers=())
 
 
-# The next page of a page is the one with the following number; chains start at the paged addresses.
+# Every four pages in a row are the parts of one article; the whole articles are stitched.
 @query("w7_stitch_pages", """
 WITH RECURSIVE steps AS (
-  SELECT p.url, p.page_id, regexp_extract(p.html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1) AS t FROM pages p),
+  SELECT url, page_id, regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1) AS t FROM pages),
 chain AS (
-  SELECT url AS start_url, page_id, 1 AS hop, t AS text FROM steps WHERE contains(url, 'page=')
-  UNION ALL SELECT c.start_url, s.page_id, c.hop + 1, c.text || chr(10) || chr(10) || s.t FROM chain c JOIN steps s ON s.page_id = c.page_id + 1 WHERE c.hop < 4)
-SELECT start_url, max(hop) AS pages, arg_max(text, hop) AS text FROM chain GROUP BY start_url""")
+  SELECT url AS start_url, page_id, 1 AS hop, t AS text FROM steps WHERE contains(url, 'page=') OR page_id % 4 = 0
+  UNION ALL SELECT c.start_url, s.page_id, c.hop + 1, c.text || chr(10) || chr(10) || s.t FROM chain c JOIN steps s ON s.page_id = c.page_id + 1 WHERE s.page_id % 4 <> 0)
+SELECT start_url, max(hop) AS pages, md5(arg_max(text, hop)) AS digest FROM chain GROUP BY start_url""")
 def stitch_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    following = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
-    linked = pages.select("page_id", "url", H.element(F.col("html"), "title").alias("text")).join(following, "page_id", "left")
-    return W.stitch_pages(pages.filter(F.contains("url", F.lit("page="))), linked, 4)
+    following = pages.filter("page_id % 4 <> 0").select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    linked = pages.select("page_id", "url", H.element(F.col("html"), "article").alias("text")).join(following, "page_id", "left")
+    starts = pages.filter(F.contains("url", F.lit("page=")) | (F.col("page_id") % 4 == 0))
+    return W.stitch_pages(starts, linked, 4).select("start_url", "pages", F.md5("text").alias("digest"))
 
 
 @query("w8_canonical_url", """

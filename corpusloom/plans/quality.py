@@ -68,13 +68,13 @@ def lock_violations(spark, sf_dir):
 
 
 @query("q3_length_faults", """
-WITH r AS (SELECT conv_id, CASE WHEN role = 'assistant' THEN '' ELSE substr(text, 1, 3) END AS refined FROM conversations),
+WITH r AS (SELECT conv_id, CASE WHEN role = 'assistant' THEN '' ELSE coalesce(text, '') END AS refined FROM conversations),
 s AS (SELECT conv_id, count(*) AS segments, CAST(sum(length(refined)) + count(*) - 1 AS BIGINT) AS chars, max(trim(refined) <> '') AS filled FROM r GROUP BY 1)
-SELECT conv_id, segments, chars, CASE WHEN NOT filled THEN 'empty' ELSE 'short' END AS fault FROM s WHERE NOT filled OR chars < 10""")
+SELECT conv_id, segments, chars, CASE WHEN NOT filled THEN 'empty' ELSE 'short' END AS fault FROM s WHERE NOT filled OR chars < 300""")
 def length_faults(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations").select(
-        "conv_id", F.when(F.col("role") == "assistant", "").otherwise(F.substring("text", 1, 3)).alias("refined"))
-    return Q.length_faults(talk, ["conv_id"])
+        "conv_id", F.when(F.col("role") == "assistant", "").otherwise(F.col("text")).alias("refined"))
+    return Q.length_faults(talk, ["conv_id"], short=300)
 
 
 @query("q4_residue_report", f"""
