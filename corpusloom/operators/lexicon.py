@@ -1,8 +1,9 @@
 """Lexicon work: layer resolution, span matching, gloss drafts, mentions, coverage, name origin.
 
-Matching is a chain of equi joins: each position of a segment carries a short window of following units, the prefix
-table bounds the lengths worth trying, and the candidate strings are joined to the lexicon by equality. Lexicons
-below the broadcast threshold are broadcast by Spark itself; larger ones shuffle on the candidate string.
+Matching is a chain of equi joins: each position of a segment carries the following units as one string, the prefix table
+names the lengths worth trying, and the candidate strings are joined to the lexicon by equality. Lexicons below the
+broadcast threshold are broadcast by Spark itself; larger ones shuffle on the candidate string, and a frequent candidate's
+partition is split by Spark's skew join.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ COST_TIER = 0.3
 COST_PRIORITY = 0.002
 COST_READING = 4.0
 COST_UNKNOWN = 60.0
+COST_SCALE = 1_000_000
 LAYERS = ("project", "universe", "style", "global")
 HEAD_UNITS = 4
 PRIVATE_USE = 0xF0000
@@ -91,23 +93,24 @@ def match_spans(segments: DataFrame, lexicon: DataFrame, keys: list[str], text:
 
     ``start`` is a pattern the first unit has to match; ``longest`` saves the pass that finds the longest key.
     """
-    glue = "" if unit == "char" else " "
-    sized = lexicon.withColumn("_u", units(F.col("key"), unit)).withColumn("_n", F.size("_u"))
+    char = unit == "char"
+    sized = lexicon.withColumn("_u", units(F.col("key"), unit)).withColumn("_n", F.size("_u")).filter("_n > 0")
     if longest is None:
         longest = sized.agg(F.max("_n")).first()[0] or 1
-    prefix = sized.groupBy(F.get("_u", F.lit(0)).alias("_head")).agg(F.max("_n").alias("_max"))
-    cut = segments.select(*keys, units(F.col(text), unit).alias("_units"))
-    windows = cut.select(*keys, F.posexplode(F.transform(
-        elements(F.col("_units")), lambda u, i: F.slice("_units", i + 1, longest))).alias("_i", "_w"))
-    first = F.get("_w", F.lit(0))
+    prefix = sized.filter(F.col("_n") <= longest).groupBy(F.get("_u", F.lit(0)).alias("_head")).agg(
+        F.collect_set("_n").alias("_lengths"))
+    placed = segments.select(*keys, units(F.col(text), unit).alias("_units")).select(
+        *keys, "_units", F.posexplode("_units").alias("_i", "_head"))
     if start:
-        windows = windows.filter(first.rlike(start))
-    bounded = windows.withColumn("_head", first).join(prefix, "_head")
-    candidates = bounded.select(
-        *keys, (F.col("_i") + 1).cast("long").alias("pos"), "_w",
-        F.explode(F.sequence(F.lit(1), F.least(F.size("_w"), F.col("_max")))).alias("n_units"),
-    ).select(*keys, "pos", F.col("n_units").cast("long").alias("n_units"),
-             F.array_join(F.slice("_w", 1, F.col("n_units")), glue).alias("key"))
+        placed = placed.filter(F.col("_head").rlike(start))
+    # A place carries the next units as one string; only the lengths that keys of its first unit have are tried.
+    windows = placed.select(
+        *keys, (F.col("_i") + 1).cast("long").alias("pos"), "_head", (F.size("_units") - F.col("_i")).alias("_left"),
+        F.array_join(F.slice("_units", F.col("_i") + 1, longest), "" if char else " ").alias("_w"))
+    candidates = windows.join(prefix, "_head").select(
+        *keys, "pos", "_left", "_w", F.explode("_lengths").alias("_k")).filter("_k <= _left").select(
+        *keys, "pos", F.col("_k").cast("long").alias("n_units"),
+        F.expr("substring(_w, 1, _k)" if char else "substring_index(_w, ' ', _k)").alias("key"))
     return candidates.join(sized.drop("_u", "_n"), "key")
 
 
@@ -160,7 +163,7 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
 
     ``spans``: (keys, pos, n_units, kind, target, tier, priority) with kind ``number``, ``dict`` or ``reading``.
     Units outside the script pass for free, uncovered ones are unknown. Ties fall to number, longest entry, reading,
-    unknown.
+    unknown. Costs are whole millionths, so equal covers are equal whatever the order of adding.
 
     Where no span crosses a boundary the cover falls apart, so a segment is cut into islands of overlapping spans and
     each island is solved on its own: the fold stays short however long a segment is. One shuffle by segment serves
@@ -175,7 +178,7 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
         + COST_PRIORITY * F.coalesce("priority", F.lit(0)))
 
     def choice(cost, rank, n, kind, target):
-        return F.struct(cost.cast("double").alias("cost"), rank.cast("int").alias("ord"), n.cast("int").alias("n"),
+        return F.struct(F.round(cost * COST_SCALE).cast("long").alias("cost"), rank.cast("int").alias("ord"), n.cast("int").alias("n"),
                         kind.alias("kind"), target.alias("tgt"))
 
     none = F.lit(None).cast("string")
@@ -200,7 +203,7 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
         F.transform(F.array_sort(F.filter("_o", lambda o: o["unit"].isNotNull())), lambda o: o["unit"]).alias("_u"))
     # Right to left: (costs from here on, choices from here on); the cost list starts with the end of the island.
     kind = islands.schema["_o"].dataType.elementType["c"].dataType.simpleString()
-    start = F.struct(F.array(F.lit(0.0)).alias("costs"), F.array().cast(f"array<{kind}>").alias("picked"))
+    start = F.struct(F.array(F.lit(0).cast("long")).alias("costs"), F.array().cast(f"array<{kind}>").alias("picked"))
 
     def step(acc, place):
         best = F.array_min(F.transform(

@@ -10,6 +10,7 @@ from corpusloom.operators import kb as K
 from corpusloom.operators import lexicon as L
 from corpusloom.operators import locks as O
 from corpusloom.operators import quality as Q
+from corpusloom.plans.corpus import LINES
 from corpusloom.plans.registry import query, sql_text, table
 
 STRIP = sql_text(T.STRIP_CHARS)
@@ -95,6 +96,34 @@ def coverage(spark, sf_dir):
     return L.coverage(joined, ["source", "doc_id"], F.coalesce("hit", F.lit(False)), F.lit(True), F.col("n"))
 
 
+# The cover: costs in millionths from the end of a line; a place where no pair of tokens starts does not need the next one.
+COVER = f"""
+{LINES}, {LEX},
+tokens AS (
+  SELECT source, doc_id, line_no - 1 AS line_no, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS token, unnest(a[2:] || [NULL]) AS next FROM (
+    SELECT source, doc_id, line_no, regexp_split_to_array(body, '[\\s\\x0b]+') AS a FROM (
+      SELECT source, doc_id, line_no, trim(line, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS body FROM lines JOIN documents USING (doc_id))
+    WHERE body <> '')),
+priced AS (
+  SELECT t.*, a.item IS NOT NULL AS known, CASE WHEN a.item IS NULL THEN 60050000 ELSE 1052000 - 300000 * (a.item % 2) END AS one,
+    2052000 - 300000 * (b.item % 2) AS two
+  FROM tokens t LEFT JOIN lex a ON a.n = 1 AND a.key = token LEFT JOIN lex b ON b.n = 2 AND b.key = token || ' ' || next),
+chosen AS (
+  SELECT doc_id, line_no, pos, 1 AS n, one AS cost, 0 AS beyond FROM priced WHERE two IS NULL
+  UNION ALL
+  SELECT p.doc_id, p.line_no, p.pos, CASE WHEN p.two + c.beyond <= p.one + c.cost THEN 2 ELSE 1 END,
+    least(p.two + c.beyond, p.one + c.cost), c.cost
+  FROM chosen c JOIN priced p ON p.doc_id = c.doc_id AND p.line_no = c.line_no AND p.pos = c.pos - 1 AND p.two IS NOT NULL),
+marked AS (
+  SELECT p.*, c.n, pos - 1 - coalesce(max(CASE WHEN c.n = 1 THEN pos END) OVER (
+    PARTITION BY doc_id, line_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pairs
+  FROM priced p JOIN chosen c USING (doc_id, line_no, pos)),
+cover AS (
+  SELECT source, doc_id, line_no, pos, n AS n_units, CASE n WHEN 2 THEN token || ' ' || next ELSE token END AS src,
+    CASE WHEN n = 2 OR known THEN 'dict' ELSE 'unknown' END AS kind FROM marked WHERE pairs % 2 = 0)
+"""
+
+
 def gloss_tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     lines = docs.select("source", "doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("line_no", "text"))
@@ -105,18 +134,29 @@ def gloss_tokens(spark, sf_dir):
     return L.gloss(lines, known, keys, unit="token", script="."), keys
 
 
-@query("c3_gloss")
+@query("c3_gloss", f"""WITH RECURSIVE {COVER}
+SELECT source, doc_id, line_no, pos, n_units, src, CASE kind WHEN 'dict' THEN 'T:' || src ELSE src END AS tgt, kind FROM cover""")
 def gloss(spark, sf_dir):
     tokens, _ = gloss_tokens(spark, sf_dir)
     return tokens
 
 
-@query("c3_draft_text")
+@query("c3_draft_text", f"""WITH RECURSIVE {COVER}
+SELECT source, doc_id, line_no, string_agg(CASE kind WHEN 'dict' THEN 'T:' || src ELSE src END, ' ' ORDER BY pos) AS draft
+FROM cover GROUP BY ALL""")
 def draft_text(spark, sf_dir):
     tokens, keys = gloss_tokens(spark, sf_dir)
     return L.draft_text(tokens, keys)
 
 
+@query("a5_cover_coverage", f"""WITH RECURSIVE {COVER}
+SELECT source, doc_id, CAST(sum(n_units) AS BIGINT) AS total_units, CAST(sum(CASE kind WHEN 'dict' THEN n_units ELSE 0 END) AS BIGINT) AS matched_units,
+  round(sum(CASE kind WHEN 'dict' THEN n_units ELSE 0 END) / sum(n_units), 4) AS coverage FROM cover GROUP BY ROLLUP (source, doc_id)""")
+def cover_coverage(spark, sf_dir):
+    tokens, _ = gloss_tokens(spark, sf_dir)
+    return L.coverage(tokens, ["source", "doc_id"], F.col("kind") == "dict", F.col("kind") != "pass", F.col("n_units"))
+
+
 @query("a10_promote_candidates", f"""
 WITH {SPANS},
 m AS (SELECT key AS raw, CASE WHEN doc_id % 5 = 0 THEN 'x' || target ELSE target END AS target, type FROM spans WHERE type <> 'term'),
