@@ -6,8 +6,9 @@ discounts. Context totals, discounts and lower orders meet the n-grams in shuffl
 suffix, so the counts are never in one place.
 
 Scoring: the finished probabilities and back-off weights are cut into shards of at most ``SHARD_ENTRIES`` entries by the
-two characters before the predicted one, the same for an n-gram and for all that it backs off to. Each shard is
-broadcast and meets the places of all documents that fall in it; sums over shards give a document's log-likelihood.
+two characters before the predicted one, the same for an n-gram and for all that it backs off to. All shards are broadcast;
+a task scans its documents once and holds one shard at a time, which scores the places that fall in it. So a row stays a
+row, its characters' values stand side by side, and results do not depend on the number of shards.
 
 Decision: a document's mean surprise (nats a character) is drawn towards its language's by ``PRIOR`` characters, so that
 a few characters decide nothing. It is rejected above the ``QUANTILE`` of the trusted documents of its language in the
@@ -27,14 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm.common import mixed, rows_of
 from corpusloom.session import checkpointed
 
 ORDER = 5
 QUANTILE, MARGIN, PRIOR, LEAST, FOLDS = 0.999, 1.15, 100, 50, 5
-#: Symbols scored at a time, n-grams counted in a task before they are sent, entries of a shard, ids that are broadcast.
-CHUNK, HELD, SHARD_ENTRIES, BROADCAST_IDS = 1_000_000, 400_000, 4_000_000, 1_000_000
+#: Symbols scored at a time with one shard and with several, n-grams counted in a task before they are sent, entries of a
+#: shard, ids that are broadcast.
+CHUNK, GROUP, HELD, SHARD_ENTRIES, BROADCAST_IDS = 1_000_000, 8_000_000, 400_000, 4_000_000, 1_000_000
 START, SPACE = 1, 32
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                     0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -180,16 +183,28 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
 
 
 class Shard:
-    """Sorted keys with values; looked up through the start of each key's bucket."""
+    """Keys in order (see ``ordered``) with values; looked up through the start of each key's bucket."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.value = key[order], value[order]
         self.shift = np.uint64(64 - max(8, len(key).bit_length() + 1))
         buckets = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)
-        self.first = np.searchsorted(self.key >> self.shift, buckets).astype(np.int32)
-        self.key = np.append(self.key, np.uint64(0))
-        self.value = np.append(self.value, np.float32(0))
+        self.first = np.searchsorted(key >> self.shift, buckets).astype(np.int32)
+        self.key = np.append(key, np.uint64(0))
+        self.value = np.append(value, np.float32(0))
+
+    @staticmethod
+    def ordered(keys: bytes, values: bytes) -> tuple[bytes, bytes]:
+        key, value = np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float32)
+        order = np.argsort(key)
+        return key[order].tobytes(), value[order].tobytes()
+
+    @classmethod
+    def of(cls, shared) -> Shard:
+        """The shard of a broadcast, whose bytes the worker does not hold on to."""
+        keys, values = shared.value
+        if getattr(shared, "_path", None):  # the worker's file, which is read again when the value is asked for
+            vars(shared).pop("_value", None)
+        return cls(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float32))
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bucket = (key >> self.shift).astype(np.int64)
@@ -255,44 +270,44 @@ def _score(line: np.ndarray, at: np.ndarray, shard: Shard, order: int, unknown:
 
 
 def surprise(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """``docs`` (no, text, ..) to (no, nats, n) by shard; sums over a document's rows are its surprise."""
+    """``docs`` (text, ..) to (.., nats, n): a document row's surprise and its characters, one row for each row."""
     spark = docs.sparkSession
     shards = max(1, -(-model.count() // shard_entries))
     blobs = checkpointed(_blobs(model, shards))
     kept = [c for c in docs.columns if c != "text"]
-    parts = []
+    every = []
     for s in range(shards):
         rows = blobs.filter(F.col("shard") == s).select("keys", "values").collect()
-        table = (b"".join(r["keys"] for r in rows), b"".join(r["values"] for r in rows))
-        shared = spark.sparkContext.broadcast(table)
-
-        def score(batches, shared=shared, s=s):
-            shard = Shard(np.frombuffer(shared.value[0], np.uint64), np.frombuffer(shared.value[1], np.float32))
-            symbols, schema = Symbols(), None
-            for batch in batches:
-                fields = [batch.schema.get_field_index(c) for c in kept]
-                nats, size = [], []
-                for rest, texts in _groups([batch], symbols, (), CHUNK):
-                    line, at = _laid_out(texts, order)
-                    mine = at if shards == 1 else at[_owner(line[at - 1], line[at - 2], shards) == s]
-                    value = np.concatenate(([0.0], np.cumsum(_score(line, mine, shard, order, unknown))))
-                    ends = np.cumsum([order - 1 + len(t) for t in texts])
-                    cut = np.searchsorted(mine, np.concatenate(([0], ends)))
-                    nats.append(-(value[cut[1:]] - value[cut[:-1]]))
-                    size.append(np.diff(cut))
-                if nats:
-                    yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(f) for f in fields), pa.array(np.concatenate(nats)), pa.array(np.concatenate(size).astype(np.int64))],
-                        [*kept, "nats", "n"])
-
-        schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-        parts.append(docs.mapInArrow(score, f"{schema}, nats double, n long"))
-    if shards == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy(*kept).agg(F.sum("nats").alias("nats"), F.sum("n").alias("n"))
+        every.append(spark.sparkContext.broadcast(
+            Shard.ordered(b"".join(r["keys"] for r in rows), b"".join(r["values"] for r in rows))))
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
+
+    def score(batches):
+        symbols, only = Symbols(), Shard.of(every[0]) if shards == 1 else None
+
+        def nats_of(line, at):
+            if shards == 1:
+                return -_score(line, at, only, order, unknown)
+            out, owner = np.zeros(len(at)), _owner(line[at - 1], line[at - 2], shards)
+            for s, shared in enumerate(every):
+                mine = np.flatnonzero(owner == s)
+                if len(mine):
+                    out[mine] = -_score(line, at[mine], Shard.of(shared), order, unknown)
+            return out
+
+        # Shards are loaded anew for every group, so groups are larger then.
+        for rest, texts in _groups(batches, symbols, kept, CHUNK if shards == 1 else GROUP):
+            line, at = _laid_out(texts, order)
+            size = np.array([len(t) for t in texts], np.int64)
+            value, first = nats_of(line, at), np.cumsum(size) - size
+            nats, full = np.zeros(len(texts)), size > 0
+            if full.any():
+                nats[full] = np.add.reduceat(value, first[full])
+            columns = [pa.array(c, k) for c, k in zip(zip(*rest), kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(nats), pa.array(size)], [*kept, "nats", "n"])
+
+    kinds = [to_arrow_type(docs.schema[c].dataType) for c in kept]
+    return docs.mapInArrow(score, f"{schema}, nats double, n long")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -316,9 +331,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = rows.select("id", "lang", "text", F.col("good_id").isNotNull().alias("trusted")).withColumn(
         "calibrates", F.col("trusted") & (fold == 0))
     model, unknown = train(marked.filter("trusted AND NOT calibrates"), order)
-    numbered = marked.withColumn("no", F.xxhash64("text", "id")) if model.count() > shard_entries else marked.withColumn("no", F.lit(0).cast("long"))
-    scored = checkpointed(
-        surprise(numbered.select("id", "lang", "calibrates", "no", "text"), model, unknown, order, shard_entries))
+    scored = checkpointed(surprise(marked.select("id", "lang", "calibrates", "text"), model, unknown, order, shard_entries))
     if model.isEmpty():
         scored = scored.withColumn("n", F.lit(0).cast("long"))
     mean = F.sum("nats") / F.sum("n")

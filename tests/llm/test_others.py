@@ -171,6 +171,21 @@ def test_model_is_kneser_ney(spark, entries):
         assert got[i][1] == want[1] and got[i][0] == pytest.approx(want[0], rel=1e-4)
 
 
+def test_rows_that_repeat_an_id_are_scored_each(spark):
+    words = ["the", "cat", "sat", "on", "a", "mat", "dog", "and"]
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(i, text(), "en") for i in range(300)]
+    rows += [rows[7]] * 4 + [(7, "another text of id 7", "en"), (400, None, "en"), (400, None, "en"), (401, "", None), (401, "", None)]
+    rows += [(None, "zq jx vk", "en")] * 3 + [(None, "the cat", "en"), (None, None, None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    found = [
+        sorted((tuple(r) for r in perplexity.judged(docs, labels, shard_entries=n).collect()), key=str) for n in (4_000_000, 60)
+    ]
+    assert len(found[0]) == len(rows) and found[0] == found[1]
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
     rng = random.Random(1)
