@@ -11,8 +11,9 @@ a task scans its documents once and holds one shard at a time, which scores the
 row, its characters' values stand side by side, and results do not depend on the number of shards.
 
 Decision: a document's mean surprise (nats a character) is drawn towards its language's by ``PRIOR`` characters, so that
-a few characters decide nothing. It is rejected above the ``QUANTILE`` of the trusted documents of its language in the
-calibration fold, which the model has not seen, raised by ``MARGIN``. Languages with fewer than ``LEAST`` such documents
+a few characters decide nothing. The mean of its most surprising ``STRETCH`` characters in a row is drawn alike, so that a
+few odd words in a long text are not averaged away. It is rejected if either is above the ``QUANTILE`` of the same of the
+trusted documents of its language in the calibration fold, which the model has not seen. Languages with fewer than ``LEAST`` such documents
 take the quantile of all languages together; if these are too few, nothing is rejected.
 
 Cases: null, empty and blank texts have no characters, null perplexity, and are kept; a null language is a language of
@@ -34,7 +35,9 @@ from corpusloom.llm.common import mixed, rows_of
 from corpusloom.session import checkpointed
 
 ORDER = 5
-QUANTILE, MARGIN, PRIOR, LEAST, FOLDS = 0.999, 1.15, 100, 50, 5
+QUANTILE, PRIOR, LEAST, FOLDS = 0.999, 100, 50, 5
+#: Characters of the stretch that is judged besides the whole text.
+STRETCH = 16
 #: Symbols scored at a time with one shard and with several, n-grams counted in a task before they are sent, entries of a
 #: shard, ids that are broadcast.
 CHUNK, GROUP, HELD, SHARD_ENTRIES, BROADCAST_IDS = 1_000_000, 8_000_000, 400_000, 4_000_000, 1_000_000
@@ -251,6 +254,20 @@ def _blobs(model: DataFrame, shards: int) -> DataFrame:
     return model.mapInArrow(pack, "shard int, keys binary, values binary")
 
 
+def _peaks(value: np.ndarray, size: np.ndarray, width: int = STRETCH) -> np.ndarray:
+    """Of texts of ``size`` characters, end to end, the largest sum over ``width`` neighbours; shorter texts' whole sums."""
+    edge = np.cumsum(size)
+    out, first = np.zeros(len(size)), edge - size
+    for i in np.flatnonzero((size > 0) & (size < width)).tolist():
+        out[i] = value[first[i]:edge[i]].sum()
+    long = np.flatnonzero(size >= width)
+    if len(long):
+        sums = np.lib.stride_tricks.sliding_window_view(value, width).sum(axis=1)
+        bounds = np.stack([first[long], edge[long] - width + 1], axis=1).ravel()
+        out[long] = np.maximum.reduceat(np.append(sums, -np.inf), bounds)[::2]
+    return out
+
+
 def _score(line: np.ndarray, at: np.ndarray, shard: Shard, order: int, unknown: float) -> np.ndarray:
     """Log probability at the places."""
     out, left = np.zeros(len(at), np.float64), np.arange(len(at))
@@ -270,7 +287,8 @@ def _score(line: np.ndarray, at: np.ndarray, shard: Shard, order: int, unknown:
 
 
 def surprise(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """``docs`` (text, ..) to (.., nats, n): a document row's surprise and its characters, one row for each row."""
+    """``docs`` (text, ..) to (.., nats, n, peak): a document row's surprise, its characters and the surprise of its most
+    surprising stretch, one row for each row."""
     spark = docs.sparkSession
     shards = max(1, -(-model.count() // shard_entries))
     blobs = checkpointed(_blobs(model, shards))
@@ -304,10 +322,11 @@ def surprise(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORD
             if full.any():
                 nats[full] = np.add.reduceat(value, first[full])
             columns = [pa.array(c, k) for c, k in zip(zip(*rest), kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(nats), pa.array(size)], [*kept, "nats", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(nats), pa.array(size), pa.array(_peaks(value, size))], [*kept, "nats", "n", "peak"])
 
     kinds = [to_arrow_type(docs.schema[c].dataType) for c in kept]
-    return docs.mapInArrow(score, f"{schema}, nats double, n long")
+    return docs.mapInArrow(score, f"{schema}, nats double, n long, peak double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -318,9 +337,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-           order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR, least: int = LEAST,
+           order: int = ORDER, quantile: float = QUANTILE, prior: float = PRIOR, least: int = LEAST,
            shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """(id, n_chars, perplexity, score, limit, keep) for every document row."""
+    """(id, n_chars, perplexity, score, limit, peak, peak_limit, keep) for every document row."""
     good = checkpointed(trusted_ids(labels))
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
@@ -339,29 +358,34 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     means = seen.groupBy("lang").agg(mean.alias("mean"), F.count(F.lit(1)).alias("docs"))
     overall = seen.agg(mean.alias("mean"), F.count(F.lit(1)).alias("docs")).first()
     enough = F.col("docs") >= least
+
+    def drawn_to(nats, n):
+        """Mean of ``n`` characters, drawn towards the language's."""
+        return F.when((F.col("n") > 0) & F.col("mean").isNotNull(), (F.col(nats) + F.col("mean") * prior) / (n + prior))
+
     drawn = scored.join(means.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").withColumn(
         "mean", F.when(enough, F.col("mean")).otherwise(F.lit(overall["mean"]))).withColumn(
-        "score", F.when((F.col("n") > 0) & F.col("mean").isNotNull(),
-                        (F.col("nats") + F.col("mean") * prior) / (F.col("n") + prior))).select(
-        "id", "lang", "calibrates", "nats", "n", "score")
+        "score", drawn_to("nats", F.col("n"))).withColumn(
+        "peak", drawn_to("peak", F.least("n", F.lit(STRETCH)))).select("id", "lang", "calibrates", "nats", "n", "score", "peak")
     drawn = checkpointed(drawn)
     calibrating = drawn.filter("calibrates AND score IS NOT NULL")
 
     def limits(frame):
         return frame.agg(
-            F.percentile_approx("score", quantile, 10000).alias("q"), F.count(F.lit(1)).alias("docs"))
+            F.percentile_approx("score", quantile, 10000).alias("q"), F.percentile_approx("peak", quantile, 10000).alias("p"),
+            F.count(F.lit(1)).alias("docs"))
 
     together = limits(calibrating).first()
-    pooled = together["q"] if together["docs"] >= least else None
+    pooled = {c: together[c] if together["docs"] >= least else None for c in ("q", "p")}
     own = limits(calibrating.groupBy("lang")).select(
-        F.col("lang").alias("of"), F.when(F.col("docs") >= least, F.col("q")).alias("q"))
-    limit = F.coalesce("q", F.lit(pooled).cast("double")) * margin
+        F.col("lang").alias("of"), *[F.when(F.col("docs") >= least, F.col(c)).alias(c) for c in ("q", "p")])
     out = drawn.join(own, F.col("lang").eqNullSafe(F.col("of")), "left").select(
-        "id", "n", "nats", "score", limit.alias("limit"))
+        "id", "n", "nats", "score", "peak", *[
+            F.coalesce(c, F.lit(pooled[c]).cast("double")).alias(name) for c, name in (("q", "limit"), ("p", "peak_limit"))])
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nats") / F.col("n"))).alias("perplexity"),
-        F.exp("score").alias("score"), F.exp("limit").alias("limit"),
-        F.coalesce(F.col("score") <= F.col("limit"), F.lit(True)).alias("keep"))
+        F.exp("score").alias("score"), F.exp("limit").alias("limit"), F.exp("peak").alias("peak"), F.exp("peak_limit").alias("peak_limit"),
+        F.coalesce((F.col("score") <= F.col("limit")) & (F.col("peak") <= F.col("peak_limit")), F.lit(True)).alias("keep"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

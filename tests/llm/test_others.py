@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +187,25 @@ def test_rows_that_repeat_an_id_are_scored_each(spark):
     assert len(found[0]) == len(rows) and found[0] == found[1]
 
 
+def test_peaks():
+    rng = np.random.default_rng(1)
+    texts = [rng.random(n) for n in (0, 5, 16, 17, 0, 40, 3)]
+    want = [max((t[i:i + 16].sum() for i in range(max(1, len(t) - 15))), default=0) for t in texts]
+    assert perplexity._peaks(np.concatenate(texts), np.array([len(t) for t in texts])).tolist() == pytest.approx(want)
+
+
+def test_a_few_insults_in_a_long_text(spark):
+    rng = random.Random(4)
+    parts = ["th", "er", "on", "an", "re", "the ", "nd ", "ed, ", "ing ", "of ", "at. "]
+    text = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    rows = [(i, text(rng.randint(50, 900)), "en") for i in range(600)]
+    rows += [(1000 + i, f"{text(1500)}worthless scum, you pathetic clown {text(1500)}", "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    lost = {r.doc_id for r in perplexity.judged(docs, labels).filter("NOT keep").collect()}
+    assert {1000 + i for i in range(5)} <= lost and len(lost) <= 5 + 30
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
     rng = random.Random(1)
