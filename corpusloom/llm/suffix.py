@@ -13,7 +13,9 @@ earlier in the same one. Strings never cross documents and are judged on the inp
    t bytes follows the order by the first t + 16, by a stable sort on the 16 bytes before each rotation, until ``size``
    bytes are compared (the last steps take what is left over). No rotations are sorted again. Neighbours not split by then have a common prefix of ``size``
    bytes: a repeated interval, in which all but the first start are removed.
-4. A name with more segments than a job holds is cut again by a second, independent hash, and so on, round by round.
+4. Segments of a name with more than ``CROWDED`` bytes are cut into their single strings. A second sketch drops those that
+   come once; of equal ones a task sends one, so a passage inside any number of documents is a few rows a task. They
+   meet by a hash of all their bytes and are compared by the bytes.
 
 Hash collisions only add candidates; equality is decided by the transforms on the bytes themselves.
 
@@ -335,23 +337,73 @@ def _settled(segments: DataFrame, size: int, job: int, crowded: int) -> DataFram
     return dealt.mapInArrow(settle, SEGMENT)
 
 
-def _cut_again(segments: DataFrame, size: int, salt: int) -> DataFrame:
-    """Segments of crowded names in runs of the next hash, names mixed with it."""
+def _string_hashes(segments: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all strings of the segments, end to end, and where each segment's begin and end."""
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    grams = gram_hashes(data, 0)
+    count = len(data) - size + 1
+    total = np.zeros(count, np.uint64)
+    for at in [*range(0, size - GRAM, GRAM), size - GRAM]:
+        total = total * FACTORS[8] + grams[at:at + count]
+    lengths = np.array([len(s) for s in segments])
+    first = np.cumsum(lengths) - lengths
+    return mixed(total), first, first + lengths - size + 1
 
-    def again(batches):
+
+def _single(segments: DataFrame, size: int, may, held: int = CHUNK) -> DataFrame:
+    """Segments as single strings that may come twice, named by all their bytes; of equal ones of a task only the first, and
+    spans of the others, as long as the strings held stay below ``held`` bytes."""
+
+    def split(batches):
+        known: dict[bytes, tuple] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            rows = sorted(rows_of([batch], "id", "start", "bytes"), key=lambda s: s[:2])
+            hashes, first, end = _string_hashes([data for _, _, data in rows], size)
+            maybe, names = may.value.may(hashes), hashes.view(np.int64)
+            for (doc, start, data), a, b in zip(rows, first.tolist(), end.tolist()):
+                lost = np.zeros(b - a, bool)
+                for i in np.flatnonzero(maybe[a:b]).tolist():
+                    string, place = data[i:i + size], (doc, start + i)
+                    before = known.get(string)
+                    if before is None:
+                        known[string] = (int(names[a + i]), *place)
+                    elif before[1:] < place:
+                        lost[i] = True
+                    elif before[1:] > place:
+                        out.append((*before, before[2] + size, None))
+                        known[string] = (before[0], *place)
+                out += [(0, doc, start + x, start + y + size - 1, None) for x, y in zip(*(x.tolist() for x in runs(lost)))]
+                if len(known) * size > held:
+                    out += [(*k, k[2] + size, string) for string, k in known.items()]
+                    known.clear()
+                if len(out) >= GIVEN:
+                    yield _segment_batch(out)
+                    out = []
+            yield _segment_batch(out)
+        yield _segment_batch([(*k, k[2] + size, string) for string, k in known.items()])
+
+    return segments.mapInArrow(split, SEGMENT)
+
+
+def _singles_settled(strings: DataFrame) -> DataFrame:
+    """Spans of all strings but the first of equal ones; a task holds the distinct strings of one name, whose bytes differ
+    by chance only."""
+
+    def settle(batches):
+        now, first = None, {}
         for batch in batches:
             out = []
             for name, doc, start, end, data in rows_of([batch], "name", "id", "start", "end", "bytes"):
-                part = Chunk([doc], [data], size, salt)
-                names, _, begin, count = part.segments(lambda n: np.ones(len(n), bool))
-                both = mixed(names ^ mixed(np.full(len(names), name, np.int64).view(np.uint64)))
-                out += [
-                    (n, doc, start + a, start + a + c + size - 1, data[a:a + c + size - 1])
-                    for n, a, c in zip(both.view(np.int64).tolist(), begin.tolist(), count.tolist())
-                ]
+                if name != now:
+                    now, first = name, {}
+                if first.setdefault(data, (doc, start)) != (doc, start):
+                    out.append((name, doc, start, end, None))
             yield _segment_batch(out)
 
-    return segments.mapInArrow(again, SEGMENT)
+    return strings.repartition("name").sortWithinPartitions("name", "id", "start").mapInArrow(settle, SEGMENT)
 
 
 def lost_spans(docs: DataFrame, size: int = 100, chunk: int = CHUNK, job: int = JOB, crowded: int = CROWDED) -> DataFrame:
@@ -363,14 +415,17 @@ def lost_spans(docs: DataFrame, size: int = 100, chunk: int = CHUNK, job: int =
 
     may = docs.sparkSession.sparkContext.broadcast(repeated(docs.mapInArrow(count, SKETCH)))
     found = checkpointed(_settled(_chosen(docs, size, chunk, may), size, job, crowded))
-    spans, salt = found.filter("bytes IS NULL"), 0
-    left = found.filter("bytes IS NOT NULL")
-    while not left.isEmpty():
-        salt += 1
-        # A name that many hashes cannot part is held by one task at last: its segments are all but equal then.
-        found = checkpointed(_settled(_cut_again(left, size, salt), size, job, crowded << salt))
-        spans = spans.unionByName(found.filter("bytes IS NULL"))
-        left = found.filter("bytes IS NOT NULL")
+    spans, left = found.filter("bytes IS NULL"), found.filter("bytes IS NOT NULL")
+    if not left.isEmpty():
+        def count_strings(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield sketch_of(_string_hashes(batch.column(batch.schema.get_field_index("bytes")).to_pylist(), size)[0])
+
+        twice = docs.sparkSession.sparkContext.broadcast(repeated(left.mapInArrow(count_strings, SKETCH)))
+        strings = checkpointed(_single(left, size, twice))
+        spans = spans.unionByName(strings.filter("bytes IS NULL")).unionByName(
+            checkpointed(_singles_settled(strings.filter("bytes IS NOT NULL"))))
     return spans.select("id", "start", "end")
 
 

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, line_dedup, simhash, substring, suffix
+from corpusloom.llm import decontaminate, line_dedup, simhash, sketch, substring, suffix
 from tests.llm import brute as B
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, name string, spans string, words string"
@@ -86,6 +87,24 @@ def test_suffix_other_sizes_and_empty(spark, docs):
     assert {r.n_removed for r in suffix.digests(suffix.cut(frame(spark, rows))).collect()} == {0}
 
 
+def test_suffix_short_passage_in_many_documents(spark):
+    """Every document gives another segment around the passage; crowded ones collapse before they meet."""
+    rng = random.Random(9)
+    other = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(100, 200)))
+    passage = "".join(rng.choice("ijklmnop ") for _ in range(130))
+    rows = [(i, f"{other()}{passage}{other()}") for i in range(300)]
+    rng.shuffle(rows)
+    found = suffix.digests(suffix.cut(frame(spark, rows), chunk=3000, crowded=1200))
+    assert once(rows_by_id(found, "n_bytes", "n_removed", "n_spans", "kept_sha256"), rows) == B.suffix(rows)
+    segments = spark.createDataFrame(
+        [(1, i, 0, len(t), bytearray(t.encode())) for i, t in rows], suffix.SEGMENT).repartition(3)
+    hashes = np.concatenate([suffix._string_hashes([t.encode()], 100)[0] for _, t in rows])
+    table = spark.createDataFrame([(0,)], "x int").coalesce(1).mapInArrow(lambda _: iter([sketch.sketch_of(hashes)]), sketch.SKETCH)
+    may = spark.sparkContext.broadcast(sketch.repeated(table))
+    sent = suffix._single(segments, 100, may).filter("bytes IS NOT NULL").groupBy("name").count().collect()
+    assert len(sent) >= 31 and max(r["count"] for r in sent) <= 3
+
+
 def test_line_windows(spark, docs):
     want = B.line_windows(docs)
     kept = line_dedup.dedup_lines(frame(spark, docs), length_col="n_chars")
