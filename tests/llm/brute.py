@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+import zlib
 
 import xxhash
 
@@ -152,3 +154,107 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         if not over:
             return now
         capped |= over
+
+
+# --- conversations
+
+def damage(rows):
+    """The contract's damage on (conv, turn, role, text)."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        kind = zlib.crc32(":".join(" " if x is None else str(x) for x in (conv, turn)).encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def repair(rows):
+    """(turn, role, text) of one conversation to (gaps, blank, duplicate, truncated, illegal, cost, audit, hash), all edits tried."""
+    rows = sorted(((t, r, x) for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], sha(r[2])))
+    faults, seen = [], set()
+    for _, role, text in rows:
+        body = text.strip(" \t\n\x0b\x0c\r")
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    turns = {t for t, _, _ in rows if t is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    legal = re.compile("(s?(ua)+)?")
+    queue, done = [(0, "", 0, ())], {}
+    best = None
+    while queue:  # cheapest first, then by audit; a place is left once for each end that matters
+        cost, audit, at, out = heapq.heappop(queue)
+        said = "".join(r[:1] for r, _ in out)
+        key = (at, said[-1:], "s" in said)
+        if key in done:
+            continue
+        done[key] = True
+        if at == len(rows) and legal.fullmatch(said):
+            best = (cost, audit, out)
+            break
+        steps = [(3, "I", 0, (name, "")) for name in ("user", "assistant")]
+        if at < len(rows):
+            _, role, text = rows[at]
+            steps.append((4, "D", 1, None))
+            if faults[at] in ("", "truncated"):
+                more = 3 if faults[at] else 0
+                steps += [(more, "K", 1, (role, text)), (3 + more, "R", 1, ("user", text)), (3 + more, "R", 1, ("assistant", text))]
+        for price, edit, moved, line in steps:
+            after = out if line is None else (*out, line)
+            so_far = "".join(r[:1] or "?" for r, _ in after)
+            if re.fullmatch("(s?(ua)*u?)?", so_far):
+                heapq.heappush(queue, (cost + price, audit + edit, at + moved, after))
+    count = faults.count
+    return (gaps, count("blank"), count("duplicate"), count("truncated"), illegal, best[0], best[1],
+            sha("\n".join(f"{r}:{x}" for r, x in best[2])))
+
+
+# --- manifest
+
+def manifest(rows, fanout=3):
+    """(doc_id, source, lang, n_chars, text) rows to the contract's rows, by lists."""
+    def h(*parts):
+        return sha("".join(parts))
+
+    def leaf(row):
+        return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row])
+
+    def grow(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            last = levels[-1]
+            levels.append([h(*last[i:i + fanout]) for i in range(0, len(last), fanout)])
+        return levels
+
+    def path(levels, at):
+        out = []
+        for level in levels[:-1]:
+            first = at // fanout * fanout
+            out.append((level[first:at], level[at + 1:first + fanout]))
+            at //= fanout
+        return out
+
+    sources = {}
+    for row in rows:
+        sources.setdefault(row[1], []).append(row)
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for source in order:
+        mine = sorted(sources[source], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[source] = (mine, grow([leaf(r) for r in mine]))
+    top = grow([trees[s][1][-1][0] for s in order])
+    out = []
+    for k, source in enumerate(order):
+        mine, levels = trees[source]
+        for i, row in enumerate(mine):
+            way = path(levels, i) + path(top, k)
+            even = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0
+            node = leaf((*row[:4], row[4].replace("\n", "") if even and row[4] is not None else row[4]))
+            for left, right in way:
+                node = h(*left, node, *right)
+            proof = h(*[x for left, right in way for x in (*left, *right)])
+            out.append((row[0], levels[0][i], levels[-1][0], top[-1][0], proof, node, node == top[-1][0]))
+    return out
