@@ -7,8 +7,8 @@ are too short to tell. Second pass: an open block takes the label of the nearest
 equal distance a heading takes what follows, a ``near`` block is good, another one is bad.
 
 Where a page marks its article (``article``, ``main`` or that role), blocks outside are bad; inside, only removed places
-and link lists are, a long block with few stop words is open, the article's edges count as decided good blocks, and equal
-distances are good: an article's own short, foreign or tabular blocks stay. Where nothing in a page is decided good, all
+and link lists are, while a paragraph or heading of links and a long block with few stop words are open; the article's edges
+count as decided good blocks, and equal distances are good: an article's own short, foreign or tabular blocks stay. Where nothing in a page is decided good, all
 open blocks are.
 
 Stop words are a parameter, a list for each language; a block counts by the language that fits it best. A page is one
@@ -75,7 +75,7 @@ ENDED_BY_SAME = ((("li",), ("ul", "ol")), (("dt", "dd"), ("dl",)), (("td", "th")
 class Block(NamedTuple):
     text: str
     linked: int
-    heading: bool
+    name: str
     place: str
 
 
@@ -107,18 +107,18 @@ class _Page:
         self.open: Counter[str] = Counter()
         self.place = "body"
         self.parts: list[str] = []
-        self.parts_place, self.begun, self.removed, self.linked, self.link, self.heading = "body", False, False, 0, None, False
+        self.parts_place, self.begun, self.removed, self.linked, self.link, self.name = "body", False, False, 0, None, ""
         self._read(page)
         self._end_block()
 
     def _end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, self.linked, self.heading, self.parts_place))
+            self.blocks.append(Block(text, self.linked, self.name, self.parts_place))
         elif self.removed:
-            self.blocks.append(Block("", 0, False, "gone"))
+            self.blocks.append(Block("", 0, "", "gone"))
         self.parts.clear()
-        self.begun, self.removed, self.linked, self.heading = False, False, 0, False
+        self.begun, self.removed, self.linked, self.name = False, False, 0, ""
 
     def _push(self, name: str, place: str) -> None:
         self.stack.append((name, place))
@@ -158,7 +158,7 @@ class _Page:
         for same, until in ENDED_BY_SAME:
             if name in same and (at := self._last(same, until)) is not None:
                 self._cut(at)
-        self.heading = name in HEADINGS
+        self.name = name
         if name not in VOID:
             self._push(name, _place(name, rest, self.place))
 
@@ -214,7 +214,7 @@ def _first(block: Block, lists: Sequence[frozenset], marked: bool) -> str:
         return "bad"
     size = len(block.text)
     if block.linked > LINKS * size:
-        return "bad"
+        return "short" if marked and (block.name == "p" or block.name in HEADINGS) else "bad"
     if size < SHORT:
         return "short"
     words = WORDS.findall(block.text.lower())
@@ -251,7 +251,7 @@ def _second(blocks: Sequence[Block], labels: Sequence[str], marked: bool) -> lis
             continue
         last = behind
         if before[i][0] == behind[0] and before[i][1] != behind[1]:
-            keep[i] = behind[1] == "good" if blocks[i].heading and not marked else marked or labels[i] == "near"
+            keep[i] = behind[1] == "good" if blocks[i].name in HEADINGS and not marked else marked or labels[i] == "near"
         else:
             keep[i] = min(before[i], behind)[1] == "good"
     return keep
