@@ -63,28 +63,85 @@ def _name(piece: Column) -> Column:
     return F.lower(F.regexp_extract(piece, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(values: Column, block: int = 64) -> Column:
+    """Inclusive sums from the start of an array. Sums of blocks come first, so no step looks back over more than a block."""
+    def summed(items):
+        return F.aggregate(items, F.lit(0), lambda a, x: a + x)
+
+    def in_blocks(array):
+        count = F.ceil(F.size(array) / F.lit(block)).cast("int")
+        return F.transform(F.filter(F.sequence(F.lit(0), count), lambda b: b < count), lambda b: F.slice(array, b * block + 1, block))
+
+    def along(blocks):
+        return let(F.transform(blocks, summed), lambda totals: F.flatten(F.transform(blocks, lambda items, b: let(
+            summed(F.slice(totals, 1, b)), lambda before: F.transform(items, lambda _, i: before + summed(F.slice(items, 1, i + 1)))))))
+
+    return let(let(values, in_blocks), along)
+
+
+def tag_pieces(html: Column, tag: str) -> Column:
+    """A page cut before every opening and closing tag of one name; the first piece stands before the first tag."""
+    return F.split(html, rf"(?i)(?=</?{tag}[\s/>])")
+
+
+def element_spans(pieces: Column, tag: str) -> Column:
+    """(open, close) of the elements of one name over ``tag_pieces``, in the order of their opening tags: the piece that an
+    element's opening tag begins, and the piece that its own closing tag begins (the number of pieces, if it has none).
+
+    Tags are put in order of their depth; each opening one is then followed by its closing one, so that one sort pairs
+    all of a page, nested ones too.
+    """
+    tagged = F.transform(pieces, lambda p: F.when(p.rlike(rf"(?i)^<{tag}[\s/>]"), 1).when(p.rlike(rf"(?i)^</{tag}[\s/>]"), -1).otherwise(0))
+
+    def paired(tags):
+        return F.filter(F.transform(tags, lambda t, i: F.struct(t["at"].alias("open"), F.when(
+            t["opens"] == 1, let(F.get(tags, i + 1), lambda n: F.when((n["level"] == t["level"]) & (n["opens"] == -1), n["at"]).otherwise(-1))
+        ).alias("close"))), lambda s: s["close"].isNotNull())
+
+    def by_level(signs):
+        return let(running_sums(signs), lambda depth: F.array_sort(F.filter(F.transform(signs, lambda s, i: F.struct(
+            F.when(s == 1, F.get(depth, i)).otherwise(F.get(depth, i) + 1).alias("level"), i.alias("at"), s.alias("opens"))),
+            lambda t: t["opens"] != 0)))
+
+    return let(F.size(pieces), lambda size: F.transform(F.array_sort(let(let(tagged, by_level), paired)), lambda s: F.struct(
+        s["open"].alias("open"), F.when(s["close"] < 0, size).otherwise(s["close"]).alias("close"))))
+
+
+def whole_elements(html: Column, tag: str, opening: str) -> Column:
+    """All elements of a name whose opening tag matches, nested ones too, each from its opening tag up to its own closing
+    tag with all that stands in it; one that is never closed takes the rest of the page."""
+    def cut(pieces):
+        spans = F.filter(element_spans(pieces, tag), lambda s: F.get(pieces, s["open"]).rlike(opening))
+        return F.transform(spans, lambda s: F.array_join(F.slice(pieces, s["open"] + 1, s["close"] - s["open"]), ""))
+
+    return let(tag_pieces(html, tag), cut)
+
+
 def inside(html: Column, opening: str) -> Column:
     """Inner HTML of the first element whose opening tag matches, up to its own closing tag however it is nested; one
     that is never closed takes the rest, none gives an empty text."""
     at = F.regexp_instr(html, F.lit(opening))
 
-    def cut(rest):
-        pieces = F.split(rest, "(?=<)")
-        names = F.transform(pieces, _name)
-        return F.get(F.transform(F.array(F.struct(pieces.alias("pieces"), names.alias("names"))), closed), F.lit(0))
-
-    def closed(both):
-        tag = F.get(both["names"], F.lit(0))
-        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"))
+    def closed(pieces):
         # Depth -1 says that the element is closed; n counts the pieces before its closing tag.
-        step = lambda s, name: F.when(s["depth"] < 0, s).otherwise(F.struct(
-            F.when((name == F.concat(F.lit("/"), tag)) & (s["depth"] == 1), -1).otherwise(
-                s["depth"] + F.when(name == tag, 1).when(name == F.concat(F.lit("/"), tag), -1).otherwise(0)).alias("depth"),
-            (s["n"] + F.when((name == F.concat(F.lit("/"), tag)) & (s["depth"] == 1), 0).otherwise(1)).alias("n")))
-        n = F.aggregate(both["names"], start, step, lambda s: s["n"])
-        return F.regexp_replace(F.array_join(F.slice(both["pieces"], 1, n), ""), r"^<[^>]*>", "")
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"))
+        step = lambda s, piece: let(F.when(piece.startswith("</"), -1).otherwise(1) + s["depth"], lambda depth: F.when(
+            s["depth"] < 0, s).otherwise(F.struct(F.when(depth == 0, -1).otherwise(depth).alias("depth"),
+                                                  (s["n"] + F.when(depth == 0, 0).otherwise(1)).alias("n"))))
+        n = F.aggregate(pieces, start, step, lambda s: s["n"])
+        return F.regexp_replace(F.array_join(F.slice(pieces, 1, n), ""), r"^<[^>]*>", "")
+
+    def cut(rest):
+        # Only tags of the element's own name count, so the rest is cut at these alone.
+        tag = F.regexp_extract(rest, r"^<([A-Za-z][A-Za-z0-9]*)", 1)
+        return let(F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"(?![A-Za-z0-9]))"))), closed)
 
-    return F.when(at > 0, cut(html.substr(at, F.length(html)))).otherwise(F.when(html.isNotNull(), F.lit("")))
+    return F.when(at > 0, let(html.substr(at, F.length(html)), cut)).otherwise(F.when(html.isNotNull(), F.lit("")))
 
 
 def insides(html: Column, opening: str) -> Column:
@@ -103,8 +160,18 @@ def insides(html: Column, opening: str) -> Column:
     return F.aggregate(F.split(html, "(?=<)"), start, step, lambda s: s["out"])
 
 
+def _named(tag: str, attribute: str, value: str) -> str:
+    return rf"""(?is)<{tag}\b[^>]*\b{attribute}\s*=\s*["'](?:[^"']*\s)?{value}(?:\s[^"']*)?["'][^>]*>"""
+
+
 def element_by_id(html: Column, tag: str, attribute: str, value: str) -> Column:
-    return inside(html, rf"""(?is)<{tag}\b[^>]*\b{attribute}\s*=\s*["'](?:[^"']*\s)?{value}(?:\s[^"']*)?["'][^>]*>""")
+    return inside(html, _named(tag, attribute, value))
+
+
+def insides_by(html: Column, attribute: str, value: str) -> Column:
+    """Inner HTML of all outermost elements that carry the value; null where a page has none."""
+    opening = _named(r"(?!img\b)\w+", attribute, value)
+    return F.when(html.rlike(opening), insides(html, opening))
 
 
 def meta_content(html: Column, *names: str) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -19,6 +19,7 @@ from corpusloom.functions import html as H
 from corpusloom.functions.keyed import position, top_per_key
 from corpusloom.functions.text import contains_any, elements, replace_first, source_id, squeeze, strip, url_unquote
 from corpusloom.operators.corpus import chapter_index
+from corpusloom.session import checkpointed
 
 # --- fixed values ---------------------------------------------------------------------------------------------
 BLOCK_MARKERS = (
@@ -52,6 +53,10 @@ INTRO_PLACES = (
     ("id", "intro"), ("class", "intro"), ("class", "book-intro"), ("class", "bookintro"), ("class", "description"),
     ("class", "desc"), ("id", "bookintro"),
 )
+COVER_PLACES = (
+    ("class", "cover"), ("class", "book-cover"), ("class", "bookcover"), ("class", "book-img"), ("class", "img_in"), ("id", "fmimg"),
+)
+IMAGE_ADDRESSES = ("src", "data-src", "data-original")
 DEFAULT_CONTAINERS = (
     ("id", "contentbox"), ("id", "content"), ("class", "content"), ("class", "chapter-content"), ("id", "nr_body"),
     ("class", "read-content"), ("id", "chaptercontent"), ("class", "panel-body"), ("tag", "article"),
@@ -156,12 +161,12 @@ def page_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html
     intro = [inner(H.element_by_id(body, r"\w+", a, v)) for a, v in INTRO_PLACES]
     description = F.coalesce(H.meta_content(doc, "og:description", "description", "twitter:description"),
                              *[F.when(F.length(t) >= DESCRIPTION_LENGTH, t) for t in intro], *reversed(intro))
-    image = F.regexp_extract(doc, r"""(?is)<img\b[^>]*?\b(?:src|data-src|data-original)\s*=\s*["']([^"']+)["']""", 1)
+    images = [or_null(first_image(H.insides_by(doc, a, v))) for a, v in COVER_PLACES] + [or_null(first_image(doc))]
     chosen = rows.select(
         key, "_url", title.alias("_title"), author.alias("_author"), description.alias("_description"),
         # Labelled only in running text: looked for in the text without tags.
         or_null(F.regexp_extract(F.regexp_replace(body, H.ANY_TAG, " "), AUTHOR_IN_TEXT, 1)).alias("_named"),
-        F.coalesce(H.meta_content(doc, "og:image", "twitter:image"), or_null(image)).alias("_cover"))
+        F.coalesce(H.meta_content(doc, "og:image", "twitter:image"), *images).alias("_cover"))
     decoded = chosen.select(
         key, "_url", "_cover", F.col("_title.cut").alias("_cut"), H.unescape(F.col("_title.t")).alias("_t"),
         H.unescape(F.coalesce("_author", "_named")).alias("_a"), H.unescape(F.col("_description")).alias("_d"))
@@ -173,6 +178,17 @@ def page_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html
         F.col("_url").alias("source_url"))
 
 
+def first_image(html: Column, names=IMAGE_ADDRESSES) -> Column:
+    """Address of the first image, from the first of its attributes that has one; empty without."""
+    tag = F.regexp_extract(html, r"(?is)<img\b[^>]*>", 0)
+
+    def address(name):
+        found = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+        return F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)])
+
+    return F.coalesce(*[F.nullif(address(n), F.lit("")) for n in names], F.lit(""))
+
+
 def container(html: Column, kind: str, value: str) -> Column:
     """Inner HTML of the first matching container."""
     return H.inside(html, rf"(?is)<{value}\b[^>]*>") if kind == "tag" else H.element_by_id(html, "(?:div|article|section)", kind, value)
@@ -203,26 +219,69 @@ def page_text(pages: DataFrame, rules: DataFrame | None = None, key: str = "page
     return texts.select(key, H.unescape(F.get("_t", F.lit(0))).alias("text"))
 
 
+def pages_in_turn(starts: DataFrame, links: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Pages in the order a reader meets them who queues every page's next links: (start_url, url, hops, turns), no page twice.
+
+    ``links``: url, pos, next_url, any number a page. The order of a start's pages is that of (hops, turns): a page is read at
+    its fewest steps from the start, and among equals after the earliest parent, by the place of the link. ``turns`` are the
+    steps at which another than a page's first link was taken, so a plain chain of any length carries none.
+
+    Steps are doubled: after round k all pages within 2^k steps are known, and the jumps of 2^k steps are joined with
+    themselves. Rounds grow with the logarithm of the longest way, and end when one finds no page, cycles or not.
+    """
+    turn = F.array(F.struct(F.lit(-1).alias("step"), F.col("nth").alias("nth")))
+    plain = F.array().cast("array<struct<step:int,nth:int>>")
+    once = links.filter("next_url IS NOT NULL AND url IS NOT NULL").groupBy("url", "next_url").agg(F.min("pos").alias("pos"))
+    nth = F.row_number().over(Window.partitionBy("url").orderBy("pos", "next_url"))
+    jumps = checkpointed(once.withColumn("nth", nth).select(
+        F.col("url").alias("_from"), F.col("next_url").alias("_to"), F.when(F.col("nth") > 1, turn).otherwise(plain).alias("_turns")))
+    found = checkpointed(starts.select(F.col("url").alias("start_url")).filter("start_url IS NOT NULL").distinct().select(
+        "start_url", F.col("start_url").alias("url"), F.struct(F.lit(0).alias("hops"), plain.alias("turns")).alias("way")))
+    known, reach = found.count(), 1
+
+    def behind(turns, steps):
+        return F.transform(turns, lambda t: F.struct((t["step"] - steps).alias("step"), t["nth"].alias("nth")))
+
+    while True:
+        further = found.join(jumps, found["url"] == jumps["_from"]).select("start_url", F.col("_to").alias("url"), F.struct(
+            (F.col("way.hops") + reach).alias("hops"), F.concat("way.turns", behind("_turns", F.col("way.hops"))).alias("turns")).alias("way"))
+        found = checkpointed(found.unionByName(further).groupBy("start_url", "url").agg(F.min("way").alias("way")))
+        if (now := found.count()) == known:
+            break
+        second = jumps.select(F.col("_from").alias("_to"), F.col("_to").alias("_end"), F.col("_turns").alias("_more"))
+        jumps = checkpointed(jumps.join(second, "_to").groupBy("_from", F.col("_end").alias("_to")).agg(
+            F.min(F.concat("_turns", behind("_more", F.lit(reach)))).alias("_turns")))
+        known, reach = now, reach * 2
+    rows = found.select("start_url", "url", "way.hops", "way.turns")
+    return rows if max_pages is None else top_per_key(rows, ["start_url"], [F.col("hops"), F.col("turns")], max_pages)
+
+
+def contents(starts: DataFrame, links: DataFrame, chapters: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Chapters of lists of contents over several pages: (start_url, ord, chapter_url, title), each chapter where it comes first.
+
+    ``links``: url, pos, next_url; ``chapters``: url, pos, chapter_url, title, the chapters that a page lists.
+    """
+    met = pages_in_turn(starts, links, max_pages).join(chapters.filter("chapter_url <> ''"), "url")
+    first = met.groupBy("start_url", "chapter_url").agg(F.min(F.struct("hops", "turns", "pos", "title")).alias("_f"))
+    rows = first.select("start_url", "chapter_url", "_f.*")
+    numbered = position(rows, ["start_url"], [F.col("turns"), F.col("pos"), F.col("chapter_url")], F.col("hops"), "ord")
+    return numbered.select("start_url", "ord", "chapter_url", "title")
+
+
 def stitch_pages(starts: DataFrame, pages: DataFrame, max_hops: int, glue: str = "\n\n") -> DataFrame:
-    """Follow next-page links from each start address and join the texts in order: (start_url, pages, text).
+    """Follow next-page links from each start address and join the texts in reading order: (start_url, pages, text).
 
-    ``pages``: url, text, next_url, one row per address. A chain ends without a next link, at a page already seen, or
-    after ``max_hops`` pages, so a chain holds a bounded number of texts however many pages there are.
+    ``pages``: url, text, next_url, a row for each next link (null without). A page is read once, and at most ``max_hops`` pages
+    are, so a stitched text holds a bounded number of pages.
     """
     # The walk moves addresses only; texts are fetched once, for the pages that were reached.
-    links = pages.filter(F.col("next_url").isNotNull()).groupBy(F.col("url").alias("_at")).agg(F.min("next_url").alias("_next"))
-    chain = starts.select(F.col("url").alias("start_url")).distinct().select(
-        "start_url", F.col("start_url").alias("_at"), F.array("start_url").alias("_seen"))
-    for _ in range(max_hops - 1):
-        following = F.when(~F.array_contains("_seen", F.coalesce("_next", F.lit(""))), F.col("_next"))
-        chain = chain.join(links, "_at", "left").select("start_url", "_seen", following.alias("_at")).select(
-            "start_url", "_at", F.when(F.col("_at").isNotNull(), F.concat("_seen", F.array("_at"))).otherwise(F.col("_seen")).alias("_seen"))
+    links = pages.select("url", F.lit(1).alias("pos"), "next_url")
     texts = pages.groupBy("url").agg(F.min("text").alias("text"))
-    reached = chain.select("start_url", F.posexplode("_seen").alias("_hop", "url")).join(texts, "url")
+    reached = pages_in_turn(starts, links, max_hops).join(texts, "url")
     joined_text = F.array_join(F.filter(F.transform(
-        F.array_sort(F.collect_list(F.struct("_hop", "text"))), lambda s: s["text"]), lambda t: t != ""), glue)
+        F.array_sort(F.collect_list(F.struct("hops", "turns", "text"))), lambda s: s["text"]), lambda t: t != ""), glue)
     found = reached.groupBy("start_url").agg(F.count("*").alias("pages"), joined_text.alias("text"))
-    return chain.select("start_url").join(found, "start_url", "left").select(
+    return starts.select(F.col("url").alias("start_url")).distinct().join(found, "start_url", "left").select(
         "start_url", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -276,12 +335,16 @@ def apply_rules(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
 
 @dataclass(frozen=True)
 class ListRule:
-    """How a source lists its records: the pattern of a whole element, and per field a pattern with one group that is
-    searched inside the element."""
+    """How a source lists its records, and per field a pattern with one group that is searched inside the element.
+
+    With ``tag``, records are the elements of that name whose opening tag matches ``items``, each with its whole inner
+    tree; elements nested in one another are records of their own. Without, ``items`` is the pattern of a whole flat element.
+    """
 
     source: str
     items: str
     fields: Mapping[str, str]
+    tag: str | None = None
 
 
 def extract_records(pages: DataFrame, hosts: DataFrame, rules: Sequence[ListRule], key: str = "page_id", url: str = "url",
@@ -300,7 +363,8 @@ def extract_records(pages: DataFrame, hosts: DataFrame, rules: Sequence[ListRule
                       for name, pattern in rule.fields.items()]
             return F.struct(F.lit(rule.source).alias("source"), (place + 1).cast("long").alias("item_no"), F.array(*values).alias("values"))
 
-        found = F.transform(F.regexp_extract_all("_body", F.lit(rule.items), F.lit(0)), record)
+        items = H.whole_elements(F.col("_body"), rule.tag, rule.items) if rule.tag else F.regexp_extract_all("_body", F.lit(rule.items), F.lit(0))
+        found = F.transform(items, record)
         return F.when(F.array_contains("_sources", rule.source), found)
 
     every = rows.select(key, F.explode(elements(F.flatten(F.array_compact(F.array(*map(records, rules)))))).alias("_r"))

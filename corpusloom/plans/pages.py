@@ -133,6 +133,20 @@ def page_metadata(spark, sf_dir):
     return W.page_metadata(table(spark, sf_dir, "pages")).drop("description")
 
 
+# Every page gets a logo; two of three a cover in a place of its own, one as a lazily loaded image, the other behind an empty place.
+@query("w5_cover_places", """
+SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || CASE page_id % 3 WHEN 0 THEN '/logo.png' WHEN 1 THEN '/covers/' || page_id || '.jpg'
+  ELSE '/lazy/' || page_id || '.jpg' END AS cover_url FROM pages""")
+def cover_places(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    logo, number = F.lit('<img class="cover" src="/logo.png">'), F.col("page_id").cast("string")
+    place = F.when(F.col("page_id") % 3 == 1, F.concat(
+        F.lit('<p class="cover">no image</p><div class="x book-img"><div><b>new</b></div><img alt="c" src="/covers/'), number, F.lit('.jpg"></div>'))).when(
+        F.col("page_id") % 3 == 2, F.concat(F.lit("<span id='fmimg'><img src='' data-src='/lazy/"), number, F.lit(".jpg'></span>"))).otherwise(F.lit(""))
+    html = F.replace("html", F.lit("<article>"), F.concat(logo, F.lit("<article>"), place))
+    return W.page_metadata(pages.withColumn("html", html)).select("page_id", "cover_url")
+
+
 ARTICLE = without(without("regexp_replace(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), '(?s)<!--.*?-->', '', 'g')",
                           "title", "script", "style"), "a", "h1")
 
@@ -170,6 +184,35 @@ def stitch_pages(spark, sf_dir):
     return W.stitch_pages(starts, linked, 4).select("start_url", "pages", F.md5("text").alias("digest"))
 
 
+# Eight pages in a row are a list of contents: each links the next one, the third one on, and the first again.
+@query("w7_contents", """
+WITH RECURSIVE p AS (SELECT page_id, url, min(page_id) OVER (PARTITION BY url) AS same FROM pages),
+link AS (SELECT a.page_id AS page, 1 AS pos, a.page_id + 1 AS next FROM p a WHERE a.page_id % 8 < 7
+  UNION ALL SELECT page_id, 2, page_id + 3 FROM p WHERE page_id % 8 < 5 UNION ALL SELECT page_id, 3, page_id - page_id % 8 FROM p WHERE page_id % 8 > 0),
+walk AS (SELECT page_id AS start, page_id AS page, 0 AS hops, []::INTEGER[] AS way, [page_id] AS seen FROM p WHERE page_id % 8 < 2
+  UNION ALL SELECT w.start, l.next, w.hops + 1, w.way || [l.pos], w.seen || [l.next] FROM walk w JOIN link l ON l.page = w.page JOIN p ON p.page_id = l.next
+  WHERE NOT list_contains(w.seen, l.next)),
+best AS (SELECT start, page, min({'hops': hops, 'way': way}) AS best FROM walk GROUP BY start, page),
+chapter AS (SELECT page_id AS page, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS item FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">') AS a FROM pages)),
+listed AS (SELECT start, regexp_extract(item, 'href="([^"]*)"', 1) AS chapter_url, min({'best': best, 'pos': pos}) AS f FROM best JOIN chapter USING (page) GROUP BY ALL)
+SELECT 'c' || start AS start_url, row_number() OVER (PARTITION BY start ORDER BY f, chapter_url) AS ord, chapter_url FROM listed WHERE chapter_url <> ''""")
+def contents(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("n", F.col("page_id") % 8)
+
+    def name(number):
+        return F.concat(F.lit("c"), number)
+
+    def linked(pos, allowed, to):
+        return pages.filter(allowed).select(name(F.col("page_id")).alias("url"), F.lit(pos).alias("pos"), to.alias("to"))
+
+    targets = pages.select(F.col("page_id").alias("to"), name(F.col("page_id")).alias("next_url"))
+    number = F.col("page_id")
+    links = linked(1, F.col("n") < 7, number + 1).union(linked(2, F.col("n") < 5, number + 3)).union(linked(3, F.col("n") > 0, number - F.col("n")))
+    items = pages.select(name(number).alias("url"), F.posexplode(F.regexp_extract_all("html", F.lit('<li><a href="([^"]*)">'), F.lit(1))).alias("pos", "chapter_url"))
+    starts = pages.filter("n < 2").select(name(number).alias("url"))
+    return W.contents(starts, links.join(targets, "to"), items.withColumn("title", F.lit(""))).select("start_url", "ord", "chapter_url")
+
+
 @query("w8_canonical_url", """
 SELECT page_id, 'https://' || regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^(www|m|blog)\\.', '') || regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS canonical FROM pages""")
 def canonical_url(spark, sf_dir):
@@ -237,6 +280,34 @@ def list_rules(spark, sf_dir):
     return W.extract_records(pages, hosts, [rule])
 
 
+# The page's menu becomes the inner list of one item, with a tail behind it; items of both levels are records.
+@query("w10_nested_rules", """
+WITH h AS (SELECT page_id, '<ul><li class="top"><a href="/top">t</a>' || regexp_extract(html, '<nav>(.*?)</nav>', 1) || 'tail ' || page_id || '</li><li>last' AS h FROM pages
+  WHERE contains(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '.example.')),
+t AS (SELECT page_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS piece FROM (
+  SELECT page_id, string_split(replace(replace(h, '<li', chr(1) || '<li'), '</li>', chr(1) || '</li>'), chr(1)) AS a FROM h)),
+d AS (SELECT *, CASE WHEN starts_with(piece, '<li') THEN 1 WHEN starts_with(piece, '</li>') THEN -1 ELSE 0 END AS s FROM t),
+e AS (SELECT *, sum(s) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM d),
+span AS (SELECT o.page_id, o.i AS a, coalesce(min(c.i), 1000000) AS b FROM e o LEFT JOIN e c ON c.page_id = o.page_id AND c.i > o.i AND c.s = -1 AND c.depth = o.depth - 1
+  WHERE o.s = 1 GROUP BY ALL),
+item AS (SELECT span.page_id, span.a, row_number() OVER (PARTITION BY span.page_id ORDER BY span.a) AS item_no, string_agg(piece, '' ORDER BY i) AS item
+  FROM span JOIN t ON t.page_id = span.page_id AND t.i >= span.a AND t.i < span.b GROUP BY span.page_id, span.a),
+v AS (SELECT page_id, 'nested' AS source, item_no, 'inner' AS field, regexp_extract(item, 'href="([^"]*)".*href="([^"]*)"', 2) AS value FROM item
+  UNION ALL SELECT page_id, 'nested', item_no, 'tail', regexp_extract(item, '</ul>([^<]*)$', 1) FROM item
+  UNION ALL SELECT page_id, 'nested', item_no, 'size', regexp_extract(item, '^(?s)(.*)$', 1) FROM item
+  UNION ALL SELECT page_id, 'tops', 1, 'size', regexp_extract(item, '^(?s)(.*)$', 1) FROM item WHERE item_no = 1)
+SELECT page_id, source, item_no, field, md5(value) AS digest FROM v WHERE trim(value) <> ''""")
+def nested_rules(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(
+        F.lit('<ul><li class="top"><a href="/top">t</a>'), F.regexp_extract("html", "<nav>(.*?)</nav>", 1), F.lit("tail "), F.col("page_id"), F.lit("</li><li>last")))
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    named = pages.filter(F.contains(host, F.lit(".example."))).select(H.url_host(F.col("url")).alias("host")).distinct()
+    hosts = named.withColumn("source", F.explode(F.array(F.lit("nested"), F.lit("tops"))))
+    rules = [W.ListRule("nested", "^<li", {"inner": 'href="[^"]*".*href="([^"]*)"', "tail": "</ul>([^<]*)$", "size": "(?s)^(.*)$"}, tag="li"),
+             W.ListRule("tops", '^<li class="top"', {"size": "(?s)^(.*)$"}, tag="li")]
+    return W.extract_records(pages, hosts, rules).select("page_id", "source", "item_no", "field", F.md5("value").alias("digest"))
+
+
 @query("w11_json_extract", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k,
   array_to_string([CAST(json_extract(props, '$.k') AS VARCHAR), CAST(user_id AS VARCHAR)], ',') AS deep,

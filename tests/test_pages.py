@@ -97,6 +97,49 @@ def test_stitch_pages(spark):
     assert {r.start_url: r.text for r in W.stitch_pages(starts, pages, 2, "+").collect()}["a"] == "1+2"
 
 
+def test_reading_order_of_many_links(spark):
+    """A queue of next links, read page by page, against the doubled steps: chains, forks, cycles, dead ends, no links."""
+    import random
+    rnd = random.Random(8)
+    links = [(f"l{i}", 0, f"l{i + 1}") for i in range(300)] + [("l300", 0, "l7")]
+    links += [(f"r{rnd.randrange(40)}", rnd.randrange(5), f"r{rnd.randrange(40)}") for _ in range(90)] + [("r1", None, None), (None, 1, "r2"), ("r1", 1, "gone")]
+    frame = spark.createDataFrame(links, "url string, pos int, next_url string")
+    starts = spark.createDataFrame([("l0",), ("l250",), ("r1",), ("r5",), ("alone",), (None,), ("r1",)], "url string")
+    following = {}
+    for url, pos, to in sorted((x for x in links if x[0] and x[2]), key=lambda x: (x[1], x[2])):
+        following.setdefault(url, [])
+        if to not in following[url]:
+            following[url].append(to)
+
+    def queued(start):
+        queue, read = [start], []
+        while queue:
+            page = queue.pop(0)
+            read.append(page)
+            queue += [n for n in following.get(page, []) if n not in read and n not in queue]
+        return read
+
+    got = {}
+    for r in sorted(W.pages_in_turn(starts, frame).collect(), key=lambda r: (r.hops, [tuple(t) for t in r.turns])):
+        got.setdefault(r.start_url, []).append(r.url)
+    assert got == {s: queued(s) for s in ("l0", "l250", "r1", "r5", "alone")}
+    first = W.pages_in_turn(starts, frame, 3).filter("start_url = 'r1'").collect()
+    assert {r.url for r in first} == set(queued("r1")[:3])
+
+
+def test_contents_over_pages(spark):
+    links = spark.createDataFrame([("p1", 0, "p2"), ("p1", 1, "p3"), ("p2", 0, "p3"), ("p3", 0, "p1")], "url string, pos int, next_url string")
+    chapters = spark.createDataFrame(
+        [("p1", 0, "c1", "One"), ("p1", 1, "c2", "Two"), ("p2", 0, "c2", "Two again"), ("p2", 1, "c4", "Four"), ("p3", 0, "c3", "Three"),
+         ("p3", 1, "", "none"), ("p9", 0, "c9", "other")], "url string, pos int, chapter_url string, title string")
+    starts = spark.createDataFrame([("p1",), ("p3",)], "url string")
+    out = {}
+    for r in W.contents(starts, links, chapters).orderBy("start_url", "ord").collect():
+        out.setdefault(r.start_url, []).append((r.ord, r.title))
+    assert out == {"p1": [(1, "One"), (2, "Two"), (3, "Four"), (4, "Three")], "p3": [(1, "Three"), (2, "One"), (3, "Two"), (4, "Four")]}
+    assert W.contents(starts.limit(0), links, chapters).collect() == []
+
+
 def test_canonical_url_and_site(spark):
     pages = spark.createDataFrame([(1, "http://www.a.test/x?y=1", ""), (2, "https://m.b.test/info/7/", "")], "page_id int, url string, site string")
     alias = spark.createDataFrame([("www.a.test", "a.test")], "host string, main_host string")
@@ -236,3 +279,45 @@ def test_records_by_rule(spark):
     rules = [W.ListRule("s1", r"(?s)<li\b.*?</li>", {"url": 'href="([^"]*)"', "name": ">([^<]+)</a>"}), W.ListRule("s2", "<i>.*?</i>", {"tag": "<i>(.*?)</i>"})]
     out = sorted((r.page_id, r.source, r.item_no, r.field, r.value) for r in W.extract_records(pages, hosts, rules).collect())
     assert out == [(1, "s1", 1, "name", "One"), (1, "s1", 1, "url", "/1"), (1, "s1", 2, "url", "/2"), (1, "s2", 1, "tag", "x")]
+
+
+def test_nested_records_by_rule(spark):
+    body = "<ul><li>A<ul><li>B</li></ul>tail</li><LI class=x>C<p>z</ul><link href=l><li>never closed"
+    pages = spark.createDataFrame([(1, "https://a.example/", body), (2, "https://a.example/", "</li><li>q</li></li>"), (3, "https://a.example/", ""),
+                                   (4, "https://a.example/", None)], "page_id int, url string, html string")
+    hosts = spark.createDataFrame([("a.example", "s")], "host string, source string")
+    fields = {"own": "^<[^>]*>([^<]*)", "inner": "<ul><li>([^<]*)", "tail": "</ul>([^<]*)$"}
+    out = sorted(tuple(r) for r in W.extract_records(pages, hosts, [W.ListRule("s", "(?i)^<li", fields, tag="li")]).collect())
+    assert out == [(1, "s", 1, "inner", "B"), (1, "s", 1, "own", "A"), (1, "s", 1, "tail", "tail"), (1, "s", 2, "own", "B"), (1, "s", 3, "own", "C"),
+                   (1, "s", 4, "own", "never closed"), (2, "s", 1, "own", "q")]
+
+
+def test_element_spans_of_random_pages(spark):
+    """Spans against a stack, over well-formed and broken pages."""
+    import random
+    rnd = random.Random(4)
+    pages = ["".join(rnd.choice(["<li>", "</li>", "<li a='b'>", "text", "<ul>", "</ul>", "<LI\n>", "<link>"]) for _ in range(rnd.randrange(200))) for _ in range(60)]
+
+    def plain(html):
+        import re
+        marks = [(m.start(), m[0].startswith("</")) for m in re.finditer(r"(?i)</?li[\s/>]", html)]
+        open_, ends = [], {}
+        for at, closes in marks:
+            if not closes:
+                open_.append(at)
+            elif open_:
+                ends[open_.pop()] = at
+        return [html[at:ends.get(at, len(html))] for at, closes in marks if not closes]
+
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    for r in frame.select("html", H.whole_elements(F.col("html"), "li", "(?i)^<li").alias("found")).collect():
+        assert r.found == plain(r.html)
+
+
+def test_cover_places(spark):
+    pages = [(1, '<img src="/a.png"><div class="big cover"><p><img alt=x data-original=/b.png></p></div>'), (2, '<div class="cover">none</div><IMG data-src="c.png" src="">'),
+             (3, '<div class="covered"><img src="d.png"></div><meta property="og:image" content="/e.png">'), (4, "<p>no image"),
+             (5, '<div class="cover">x</div><i></i><div class="cover"><img src="/second.png"></div><img class="cover" src="/own.png">')]
+    frame = spark.createDataFrame([(i, "https://a.example/x/y", h) for i, h in pages], "page_id int, url string, html string")
+    out = {r.page_id: r.cover_url for r in W.page_metadata(frame).collect()}
+    assert out == {1: "https://a.example/b.png", 2: "https://a.example/x/c.png", 3: "https://a.example/e.png", 4: None, 5: "https://a.example/second.png"}
