@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corpusloom.functions.arrays import let, running_sums
 from corpusloom.functions.text import squeeze, strip
 
 # --- fixed values ---------------------------------------------------------------------------------------------
@@ -63,27 +64,6 @@ def _name(piece: Column) -> Column:
     return F.lower(F.regexp_extract(piece, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def running_sums(values: Column, block: int = 64) -> Column:
-    """Inclusive sums from the start of an array. Sums of blocks come first, so no step looks back over more than a block."""
-    def summed(items):
-        return F.aggregate(items, F.lit(0), lambda a, x: a + x)
-
-    def in_blocks(array):
-        count = F.ceil(F.size(array) / F.lit(block)).cast("int")
-        return F.transform(F.filter(F.sequence(F.lit(0), count), lambda b: b < count), lambda b: F.slice(array, b * block + 1, block))
-
-    def along(blocks):
-        return let(F.transform(blocks, summed), lambda totals: F.flatten(F.transform(blocks, lambda items, b: let(
-            summed(F.slice(totals, 1, b)), lambda before: F.transform(items, lambda _, i: before + summed(F.slice(items, 1, i + 1)))))))
-
-    return let(let(values, in_blocks), along)
-
-
 def tag_pieces(html: Column, tag: str) -> Column:
     """A page cut before every opening and closing tag of one name; the first piece stands before the first tag."""
     return F.split(html, rf"(?i)(?=</?{tag}[\s/>])")

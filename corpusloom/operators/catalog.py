@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import differences
 from corpusloom.functions.keyed import position, top_per_key
 from corpusloom.functions.text import strip
 from corpusloom.operators.corpus import file_index
@@ -298,26 +299,16 @@ def kpi_table(coverage: DataFrame, hits: DataFrame, aligned: DataFrame, mentions
 
 
 def mine_edits(aligned: DataFrame, draft: str, final: str, threshold: int = 3, longest: int = 30) -> DataFrame:
-    """What stands between the common first and the common last words of draft and final, short on both sides, counted;
-    frequent pairs are proposals. One replaced stretch of words per pair of texts; pure insertions and deletions are none.
+    """Replaced stretches of words between draft and final, short on both sides, counted; frequent pairs are proposals.
+
+    All stretches of a pair count, wherever they stand: the words are aligned with the fewest changes inside the row.
+    Pure insertions and deletions are no replacements. Meant for segments: work grows with a pair's changes squared.
     """
     words = aligned.select(*[F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "").alias(n) for c, n in ((draft, "a"), (final, "b"))])
-    size = F.least(F.size("a"), F.size("b"))
-    head = F.coalesce(F.get(F.filter(
-        F.sequence(F.lit(0), size - 1), lambda i: F.get("a", i) != F.get("b", i)), F.lit(0)), size)
-
-    def bound(frame, **columns):
-        # Behind an explode of one row a value is computed once, instead of wherever it is used.
-        row = F.struct(*frame.columns, *[c.alias(n) for n, c in columns.items()])
-        return frame.select(F.explode(F.array(row)).alias("r")).select("r.*")
-
-    counted = bound(words.filter((F.size("a") > 0) & (F.size("b") > 0)), head=head)
-    left = F.least(F.size("a"), F.size("b")) - F.col("head")
-    tail = F.when(left == 0, 0).otherwise(F.coalesce(F.get(F.filter(
-        F.sequence(F.lit(0), F.greatest(left - 1, F.lit(0))),
-        lambda i: F.get("a", F.size("a") - 1 - i) != F.get("b", F.size("b") - 1 - i)), F.lit(0)), left))
-    middle = lambda c: F.array_join(F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail")), " ")
-    found = bound(counted, tail=tail).select(middle("a").alias("original"), middle("b").alias("refined"))
+    changed = words.filter((F.size("a") > 0) & (F.size("b") > 0)).select(
+        "a", "b", F.explode(differences(F.col("a"), F.col("b"))).alias("s"))
+    cut = lambda c: F.array_join(F.slice(c, F.col(f"s.{c}_from") + 1, F.col(f"s.{c}_to") - F.col(f"s.{c}_from")), " ")
+    found = changed.select(cut("a").alias("original"), cut("b").alias("refined"))
     short = found.filter(F.length("original").between(1, longest - 1) & F.length("refined").between(1, longest - 1))
     return short.groupBy("original", "refined").agg(F.count("*").alias("edits")).withColumn(
         "proposed", F.col("edits") >= threshold)

@@ -276,18 +276,27 @@ def explode_genres(spark, sf_dir):
     return A.explode_genres(part, "genres", ["p_partkey"])
 
 
+# A draft's words carry their place, so a text aligns in one way; the final text has words replaced, left out and put in.
 @query("a12_mine_edits", r"""
-WITH w AS (SELECT list_filter(regexp_split_to_array(text, '[\s\x0b]+'), lambda x: x <> '') AS a, turn FROM conversations),
-p AS (SELECT a, a[:turn % len(a)] || ['x' || a[turn % len(a) + 1]] || a[turn % len(a) + 2:] AS b, turn % len(a) + 1 AS k FROM w WHERE len(a) > 0)
-SELECT a[k] AS original, b[k] AS refined, count(*) AS edits, count(*) >= 2 AS proposed FROM p
-WHERE length(b[k]) < 30 GROUP BY 1, 2""")
+WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\s\x0b]+'), lambda x: x <> '') AS a FROM conversations),
+e AS (SELECT conv_id, turn, unnest(range(len(a))) AS i, unnest(a) AS w FROM w),
+k AS (SELECT conv_id, turn, i, w || '_' || i AS old, CASE WHEN (7 * i + turn) % 37 = 0 THEN '' WHEN (7 * i + turn) % 23 < 2 THEN 'x' || w ELSE w || '_' || i END AS new,
+  CASE WHEN (i + turn) % 29 = 0 THEN '+' || i END AS more FROM e),
+g AS (SELECT *, count(*) FILTER (new = old) OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM k),
+s AS (SELECT string_agg(old, ' ' ORDER BY i) FILTER (new <> old) AS original,
+  string_agg(concat_ws(' ', CASE WHEN new <> old THEN nullif(new, '') END, more), ' ' ORDER BY i) FILTER ((new <> old AND new <> '') OR more IS NOT NULL) AS refined
+  FROM g GROUP BY conv_id, turn, n)
+SELECT original, refined, count(*) AS edits, count(*) >= 2 AS proposed FROM s WHERE length(original) BETWEEN 1 AND 29 AND length(refined) BETWEEN 1 AND 29 GROUP BY 1, 2""")
 def mine_edits(spark, sf_dir):
-    # The final text is the draft with an x before one word: the one that the turn points at.
-    words = table(spark, sf_dir, "conversations").select(
-        "text", "turn", F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "").alias("a")).filter(F.size("a") > 0)
-    at = F.col("turn") % F.size("a")
-    final = F.array_join(F.transform("a", lambda w, i: F.when(i == at, F.concat(F.lit("x"), w)).otherwise(w)), " ")
-    return A.mine_edits(words.select(F.col("text").alias("draft"), final.alias("final")), "draft", "final", 2)
+    words = S.spread(table(spark, sf_dir, "conversations")).select("turn", F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "").alias("a"))
+
+    def final(word, i):
+        by = i * 7 + F.col("turn")
+        new = F.when(by % 37 == 0, "").when(by % 23 < 2, F.concat(F.lit("x"), word)).otherwise(F.concat(word, F.lit("_"), i))
+        return F.concat(new, F.when((i + F.col("turn")) % 29 == 0, F.concat(F.lit(" +"), i)).otherwise(""))
+
+    both = words.select(F.array_join(F.transform("a", lambda w, i: F.concat(w, F.lit("_"), i)), " ").alias("draft"), F.array_join(F.transform("a", final), " ").alias("final"))
+    return A.mine_edits(both, "draft", "final", 2)
 
 
 JOBS = """

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import keyed as KY
+from corpusloom.functions.arrays import differences
 from corpusloom.operators import catalog as A
 from corpusloom.operators import lexicon as L
 from corpusloom.operators import locks as O
@@ -158,6 +159,44 @@ def test_mine_edits(spark):
     assert {(r.original, r.refined): (r.edits, r.proposed) for r in rows} == {("b", "x"): (3, True)}
 
 
+def test_mine_every_edit_of_a_pair(spark):
+    words = [f"w{i}" for i in range(16)]
+    final = ["one", *words[1:14], "two", "words", words[15]]
+    rows = A.mine_edits(spark.createDataFrame([(" ".join(words), " ".join(final))], "draft string, final string"), "draft", "final").collect()
+    assert {(r.original, r.refined) for r in rows} == {("w0", "one"), ("w14", "two words")}
+
+
+def test_differences_are_fewest(spark):
+    """Stretches put together give both texts, and no alignment changes fewer words."""
+    rng = random.Random(1)
+    pairs = [([], []), (["a"], []), ([], ["b"]), (["a"], ["b"]), ([f"w{i}" for i in range(3000)], [f"w{i}" for i in range(3000) if i not in (7, 2000)])]
+    for _ in range(120):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(25))]
+        b = list(a) if rng.random() < .6 else [rng.choice("abcd") for _ in range(rng.randrange(25))]
+        for _ in range(rng.randrange(4) if b else 0):
+            b[rng.randrange(len(b))] = rng.choice("abxy")
+        pairs.append((a, b))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(row[j] + 1 if x == y else max(row[j + 1], now[j]))
+            row = now
+        return row[-1]
+
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    for r in frame.select("i", differences(F.col("a"), F.col("b")).alias("found")).collect():
+        a, b = pairs[r.i]
+        x = y = changed = 0
+        for s in r.found:
+            assert a[x:s.a_from] == b[y:s.b_from] and (s.a_to > s.a_from or s.b_to > s.b_from)
+            changed += s.a_to - s.a_from + s.b_to - s.b_from
+            x, y = s.a_to, s.b_to
+        assert a[x:] == b[y:] and (len(a) > 1000 or changed == len(a) + len(b) - 2 * common(a, b))
+
+
 def test_merge_runs(spark):
     rng = random.Random(9)
     rows = sorted({(f"k{rng.randrange(2)}", rng.randrange(120)) for _ in range(150)})
