@@ -1,4 +1,4 @@
-"""Array expressions that built-in functions lack: sums along an array, and the differences of two arrays. All inside the row."""
+"""Array expressions that built-in functions lack: sums along an array, filling one in a fold, differences of two. All inside the row."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
+    """``body`` of a value that is computed once, however often the body names it. What the body gives is copied, so a
+    fold that fills an array does not go through here."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -27,6 +28,37 @@ def running_sums(values: Column, block: int = 64) -> Column:
     return let(let(values, in_blocks), along)
 
 
+def cut(array: Column, start: Column, count: Column) -> Column:
+    """``count`` items from the 0-based place ``start``; unlike ``slice`` it does not copy the whole array each time."""
+    return F.when(count > 0, F.transform(F.sequence(start, start + F.greatest(count, F.lit(1)) - 1), lambda i: F.get(array, i))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def in_blocks(size: Column, block: int) -> Column:
+    """The places 0 .. size - 1 as arrays of up to ``block``."""
+    count = F.ceil(size / F.lit(block)).cast("int")
+    return F.transform(F.filter(F.sequence(F.lit(0), count), lambda b: b < count), lambda b: F.sequence(
+        b * block, F.least(size, (b + 1) * block) - 1))
+
+
+def scanned(blocks: Column, start: Column, step, emit, out: str) -> Column:
+    """What a fold with a small state emits on its way over blocks of items, as one array of type ``out``.
+
+    A fold copies its state at every step, so one that carries all it has emitted takes quadratic time. Here a first
+    pass keeps the state before each block only; a second one starts every block from its state and fills a block's items.
+    ``blocks`` is a column, not an expression; ``emit`` gives an array of no or one item.
+    """
+    # All but the last block are folded for the state behind them.
+    states = F.aggregate(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.struct(start.alias("s"), F.array(start).alias("all")), lambda acc, items: let(
+        F.aggregate(items, acc["s"], step), lambda s: F.struct(s.alias("s"), F.concat(acc["all"], F.array(s)).alias("all"))), lambda acc: acc["all"])
+
+    def filled(items, state):
+        return F.aggregate(items, F.struct(state.alias("s"), F.array().cast(out).alias("out")), lambda acc, item: F.struct(
+            step(acc["s"], item).alias("s"), F.concat(acc["out"], emit(acc["s"], item)).alias("out")), lambda acc: acc["out"])
+
+    return let(states, lambda every: F.flatten(F.transform(blocks, lambda items, i: filled(items, F.get(every, i)))))
+
+
 def _same_ahead(a: Column, b: Column, x: Column, y: Column) -> Column:
     """How many items of ``a`` from x on equal those of ``b`` from y on: slices of falling powers of two are compared."""
     room = F.least(F.size(a) - x, F.size(b) - y)
@@ -47,46 +79,44 @@ def differences(a: Column, b: Column) -> Column:
     diagonal, a second one walks back. Among equal ways items are put in only where that has got further. Work grows with
     the changes squared and hardly with the length, so two long texts with few changes are cheap.
     """
-    point = "array<int>"
+    point, change = "array<int>", "struct<x:int,y:int,out:int>"
 
     def forward(n, m):
         def ahead(x, k):
             return x + _same_ahead(a, b, x, x - k)
 
-        def step(acc, d):
+        def step(trace, d):
+            v = F.element_at(trace, -1)
+            # The end lies on one diagonal, so one point tells whether it was reached.
+            at = n - m + F.size(v) - 1
+            done = (at % 2 == 0) & F.coalesce(F.get(v, (at / 2).cast("int")) >= n, F.lit(False))
+
             def furthest(i):
-                out, into = F.get(acc["v"], i - 1), F.get(acc["v"], i)
+                out, into = F.get(v, i - 1), F.get(v, i)
                 x = F.when(i == 0, into).when(i == d, out + 1).when(out < into, into).otherwise(out + 1)
                 return let(x, lambda at: ahead(at, i * 2 - d))
 
-            now = F.transform(F.sequence(F.lit(0), d), furthest)
-            return F.when(acc["done"], acc).otherwise(let(now, lambda v: F.struct(
-                v.cast(point).alias("v"), F.concat(acc["trace"], F.array(v.cast(point))).alias("trace"),
-                F.exists(F.transform(v, lambda x, i: (x >= n) & (x - (i * 2 - d) >= m)), lambda reached: reached).alias("done"))))
+            return F.when(done, trace).otherwise(F.concat(trace, F.array(F.transform(F.sequence(F.lit(0), d), furthest).cast(point))))
 
-        start = let(F.array(ahead(F.lit(0), F.lit(0))).cast(point), lambda v: F.struct(
-            v.alias("v"), F.array(v).alias("trace"), ((F.get(v, F.lit(0)) >= n) & (F.get(v, F.lit(0)) >= m)).alias("done")))
-        return F.aggregate(F.filter(F.sequence(F.lit(0), n + m), lambda d: d > 0), start, step, lambda acc: acc["trace"])
+        start = F.array(F.array(ahead(F.lit(0), F.lit(0))).cast(point))
+        return F.aggregate(F.filter(F.sequence(F.lit(0), n + m), lambda d: d > 0), start, step)
 
     def back(trace, n, m):
-        none = F.array().cast("array<struct<x:int,y:int,out:int>>")
-
-        def step(acc, d):
+        def step(edits, d):
             before = F.get(trace, d - 1)
+            here_x, here_y = F.coalesce(F.get(edits, F.lit(0))["x"], n), F.coalesce(F.get(edits, F.lit(0))["y"], m)
 
             def chosen(i):
                 out, into = F.get(before, i - 1), F.get(before, i)
                 puts_in = (i == 0) | ((i != d) & (out < into))
-                return let(F.when(puts_in, into).otherwise(out), lambda x: let(
-                    x - (i * 2 - d) - F.when(puts_in, 1).otherwise(-1), lambda y: F.struct(
-                        x.alias("x"), y.alias("y"),
-                        F.concat(F.array(F.struct(x.alias("x"), y.alias("y"), F.when(puts_in, 0).otherwise(1).alias("out"))), acc["edits"]).alias("edits"))))
+                x = F.when(puts_in, into).otherwise(out)
+                return F.struct(x.alias("x"), (x - (i * 2 - d) - F.when(puts_in, 1).otherwise(-1)).alias("y"),
+                                F.when(puts_in, 0).otherwise(1).alias("out")).cast(change)
 
-            return let(((acc["x"] - acc["y"] + d) / 2).cast("int"), chosen)
+            return F.concat(F.array(let(((here_x - here_y + d) / 2).cast("int"), chosen)), edits)
 
-        changes = F.size(trace) - 1
-        start = F.struct(n.alias("x"), m.alias("y"), none.alias("edits"))
-        return F.aggregate(F.filter(F.reverse(F.sequence(F.lit(0), changes)), lambda d: d > 0), start, step, lambda acc: acc["edits"])
+        return F.aggregate(F.filter(F.reverse(F.sequence(F.lit(0), F.size(trace) - 1)), lambda d: d > 0),
+                           F.array().cast(f"array<{change}>"), step)
 
     def stretches(edits):
         def begins(i):

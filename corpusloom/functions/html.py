@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corpusloom.functions.arrays import let, running_sums
+from corpusloom.functions.arrays import cut, let, running_sums
 from corpusloom.functions.text import squeeze, strip
 
 # --- fixed values ---------------------------------------------------------------------------------------------
@@ -95,11 +95,11 @@ def element_spans(pieces: Column, tag: str) -> Column:
 def whole_elements(html: Column, tag: str, opening: str) -> Column:
     """All elements of a name whose opening tag matches, nested ones too, each from its opening tag up to its own closing
     tag with all that stands in it; one that is never closed takes the rest of the page."""
-    def cut(pieces):
+    def whole(pieces):
         spans = F.filter(element_spans(pieces, tag), lambda s: F.get(pieces, s["open"]).rlike(opening))
-        return F.transform(spans, lambda s: F.array_join(F.slice(pieces, s["open"] + 1, s["close"] - s["open"]), ""))
+        return F.transform(spans, lambda s: F.array_join(cut(pieces, s["open"], s["close"] - s["open"]), ""))
 
-    return let(tag_pieces(html, tag), cut)
+    return let(tag_pieces(html, tag), whole)
 
 
 def inside(html: Column, opening: str) -> Column:

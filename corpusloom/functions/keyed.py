@@ -18,6 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once: behind an explode of one row the optimiser cannot put an expression
+    back into every place that names it, the steps of a fold included."""
+    row = F.struct(*df.columns, *[c.alias(n) for n, c in columns.items()])
+    return df.select(F.explode(F.array(row)).alias("_r")).select("_r.*")
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1,
                 rank: str | None = None) -> DataFrame:
     """First ``n`` rows of every key in the given order; ``rank`` keeps the rank as a column."""

@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import names as N
-from corpusloom.functions.keyed import position
+from corpusloom.functions.arrays import cut, in_blocks, let, scanned
+from corpusloom.functions.keyed import bound, position
 from corpusloom.functions.text import (
     CJK, CJK_NUMERAL, HAN_START, HANGUL, HIRAGANA, KATAKANA, LATIN, elements, numeral_value, strip,
 )
+from corpusloom.operators.memory import tm_lookup
+from corpusloom.session import checkpointed
 
 # --- fixed values ---------------------------------------------------------------------------------------------
 COST_DICT = 1.0
@@ -30,6 +33,9 @@ HEAD_UNITS = 4
 PRIVATE_USE = 0xF0000
 # --- end of fixed values --------------------------------------------------------------------------------------
 
+#: Places of a segment that are folded at a time.
+BLOCK = 128
+
 
 def clean_target(target: Column) -> Column:
     """Dictionary target cut at ``=``, then at the first ``/``, then before `` (``, without numbering, cut at ``;``.
@@ -165,9 +171,8 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
     Units outside the script pass for free, uncovered ones are unknown. Ties fall to number, longest entry, reading,
     unknown. Costs are whole millionths, so equal covers are equal whatever the order of adding.
 
-    Where no span crosses a boundary the cover falls apart, so a segment is cut into islands of overlapping spans and
-    each island is solved on its own: the fold stays short however long a segment is. One shuffle by segment serves
-    the grouping, the island numbers and the cover.
+    A segment stays one row: its spans are gathered and put in order by blocks of places, and a fold from the right keeps the
+    costs of the next few places only, as many as the longest span has units. Work is linear in units and spans, however dense.
     """
     glue = "" if unit == "char" else " "
     size = F.col("n_units").cast("int")
@@ -176,78 +181,119 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
     weight = F.when(F.col("kind") == "reading", F.lit(COST_READING + COST_TOKEN)).otherwise(
         COST_DICT * F.col("n_script") + COST_TOKEN - COST_TIER * F.coalesce("tier", F.lit(0))
         + COST_PRIORITY * F.coalesce("priority", F.lit(0)))
+    chosen = "struct<cost:bigint,ord:int,n:int,kind:string,tgt:string>"
 
     def choice(cost, rank, n, kind, target):
         return F.struct(F.round(cost * COST_SCALE).cast("long").alias("cost"), rank.cast("int").alias("ord"), n.cast("int").alias("n"),
-                        kind.alias("kind"), target.alias("tgt"))
+                        kind.alias("kind"), target.alias("tgt")).cast(chosen)
 
     none = F.lit(None).cast("string")
     # Spans that start outside the script do not count: such a unit always passes.
     usable = counted.filter(F.col("key").rlike(f"^{script}")) if "key" in spans.columns else counted
-    found = usable.select(*keys, F.col("pos").cast("int").alias("_pos"), none.alias("_unit"),
-                          choice(weight, order, size, F.col("kind"), F.col("target")).alias("_c"))
-    plain = segments.select(*keys, F.posexplode(elements(units(F.col(text), unit))).alias("_i", "_unit")).select(
-        *keys, (F.col("_i") + 1).alias("_pos"), "_unit", F.when(
-            F.col("_unit").rlike(script),
-            choice(F.lit(COST_UNKNOWN + COST_TOKEN), F.lit(3000), F.lit(1), F.lit("unknown"), none),
-        ).otherwise(choice(F.lit(0.0), F.lit(3000), F.lit(1), F.lit("pass"), none)).alias("_c"))
-    rows = found.unionByName(plain).repartition(*keys)
-    along = Window.partitionBy(*keys).orderBy("_pos")
-    reach = F.max(F.col("_pos") + F.col("_c.n")).over(along.rangeBetween(Window.unboundedPreceding, -1))
-    numbered = rows.withColumn("_reach", reach).withColumn("_island", F.max(
-        F.when(F.col("_reach").isNull() | (F.col("_reach") <= F.col("_pos")), F.col("_pos"))
-    ).over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    islands = numbered.groupBy(*keys, "_island").agg(F.collect_list(F.struct(
-        F.col("_pos").alias("pos"), F.col("_unit").alias("unit"), F.col("_c").alias("c"))).alias("_o")).select(
-        *keys, "_island", "_o",
-        F.transform(F.array_sort(F.filter("_o", lambda o: o["unit"].isNotNull())), lambda o: o["unit"]).alias("_u"))
-    # Right to left: (costs from here on, choices from here on); the cost list starts with the end of the island.
-    kind = islands.schema["_o"].dataType.elementType["c"].dataType.simpleString()
-    start = F.struct(F.array(F.lit(0).cast("long")).alias("costs"), F.array().cast(f"array<{kind}>").alias("picked"))
-
-    def step(acc, place):
-        best = F.array_min(F.transform(
-            F.filter("_o", lambda o: (o["pos"] == place) & (o["c"]["n"] <= F.size(acc["costs"]))),
-            lambda o: F.struct((o["c"]["cost"] + F.get(acc["costs"], o["c"]["n"] - 1)).alias("total"),
-                               o["c"]["ord"].alias("o"), o["c"].alias("c"))))
-        return F.aggregate(F.array(best), acc, lambda a, b: F.struct(
-            F.concat(F.array(b["total"]), a["costs"]).alias("costs"), F.concat(F.array(b["c"]), a["picked"]).alias("picked")))
-
-    last = F.col("_island") + F.size("_u") - 1
-    solved = F.aggregate(F.sequence(last, F.col("_island"), F.lit(-1)), start, step, lambda acc: acc["picked"])
-    # An island of one unit needs no fold: the cheapest choice is the cover.
-    alone = F.array(F.array_min(F.transform("_o", lambda o: F.struct(o["c"]["cost"].alias("t"), o["c"]["ord"].alias("o"), o["c"].alias("c"))))["c"])
-    picked = islands.select(*keys, "_island", "_u", F.when(F.size("_u") == 1, alone).otherwise(solved).alias("_picked"))
-    walk = F.aggregate(
-        F.sequence(F.lit(0), F.size("_picked") - 1),
-        F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at")),
-        lambda acc, i: F.when(i == acc["next"], F.struct(
-            (i + F.get("_picked", i)["n"]).alias("next"), F.concat(acc["at"], F.array(i)).alias("at"))).otherwise(acc),
-        lambda acc: acc["at"])
-    at = F.when(F.size("_u") == 1, F.array(F.lit(0))).otherwise(walk)
-    tokens = picked.select(*keys, "_island", "_u", "_picked", F.explode(at).alias("_i")).withColumn(
-        "_t", F.get("_picked", F.col("_i")))
-    src = F.array_join(F.slice("_u", F.col("_i") + 1, F.col("_t.n")), glue)
-    return tokens.select(
-        *keys, (F.col("_island") + F.col("_i")).cast("long").alias("pos"), F.col("_t.n").cast("long").alias("n_units"),
-        src.alias("src"), F.when(F.col("_t.kind").isin("pass", "unknown"), src).otherwise(F.col("_t.tgt")).alias("tgt"),
-        F.col("_t.kind").alias("kind"))
+    # Spans are gathered by blocks of places, a segment's blocks then into its row.
+    block = F.floor((F.col("pos") - 1) / BLOCK).cast("int").alias("block")
+    span = F.struct((-F.col("pos")).cast("int").alias("at"), F.lit(0).alias("own"), choice(weight, order, size, F.col("kind"), F.col("target")).alias("c"))
+    mine = [F.col(k).alias(f"_{k}") for k in keys]
+    packed = usable.select(*mine, block, span.alias("s")).groupBy(*[f"_{k}" for k in keys], "block").agg(F.collect_list("s").alias("s")).groupBy(
+        *[f"_{k}" for k in keys]).agg(F.collect_list(F.struct("block", "s")).alias("_s"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    rows = bound(segments.select(*keys, F.col(text).alias("_text")), _u=units(F.col("_text"), unit)).filter(F.size("_u") > 0).join(packed, same, "left")
+    unknown = choice(F.lit(COST_UNKNOWN + COST_TOKEN), F.lit(3000), F.lit(1), F.lit("unknown"), none)
+    passed = choice(F.lit(0.0), F.lit(3000), F.lit(1), F.lit("pass"), none)
+    place, total = f"array<struct<at:int,own:int,c:{chosen}>>", f"struct<total:bigint,o:int,c:{chosen}>"
+
+    def places(items):
+        """A block's places, the last first; the spans that start at a place stand before its own unit."""
+        own = F.transform(items, lambda i: F.struct((-(i + 1)).cast("int").alias("at"), F.lit(1).alias("own"), F.when(
+            F.get("_u", i).rlike(script), unknown).otherwise(passed).alias("c"))).cast(place)
+        here = F.get(F.filter("_s", lambda s: s["block"] == F.floor(F.get(items, F.lit(0)) / BLOCK)), F.lit(0))["s"].cast(place)
+        return F.sort_array(F.concat(own, F.coalesce(here, F.array().cast(place))))
+
+    lined = bound(rows.select(*keys, "_u", "_s"), _blocks=F.transform(in_blocks(F.size("_u"), BLOCK), lambda i: i)).withColumn(
+        "_o", F.transform(F.reverse("_blocks"), places))
+    lined = bound(lined.select(*keys, "_u", "_blocks", "_o"))
+    lined = bound(lined, _longest=F.array_max(F.transform("_o", lambda b: F.array_max(F.transform(b, lambda x: x["c"]["n"])))))
+    start = F.struct(F.array(F.lit(0).cast("long")).alias("ring"), F.lit(None).cast(total).alias("best"))
+
+    def best_of(state, o):
+        behind = F.get(state["ring"], o["c"]["n"] - 1)
+        return F.least(state["best"], F.when(behind.isNotNull(), F.struct(
+            (o["c"]["cost"] + behind).alias("total"), o["c"]["ord"].alias("o"), o["c"].alias("c")).cast(total)))
+
+    def step(state, o):
+        best = best_of(state, o)
+        return F.when(o["own"] == 1, F.struct(
+            F.concat(F.array(best["total"]), F.slice(state["ring"], 1, F.col("_longest") - 1)).alias("ring"), F.lit(None).cast(total).alias("best"))
+        ).otherwise(F.struct(state["ring"].alias("ring"), best.alias("best")))
+
+    def chosen_here(state, o):
+        return F.when(o["own"] == 1, F.array(best_of(state, o)["c"])).otherwise(F.array().cast(f"array<{chosen}>"))
+
+    picked = bound(lined, _picked=F.reverse(scanned(F.col("_o"), start, step, chosen_here, f"array<{chosen}>"))).select(*keys, "_u", "_blocks", "_picked")
+    at = scanned(F.col("_blocks"), F.lit(0), lambda following, i: F.when(i == following, i + F.get("_picked", i)["n"]).otherwise(following),
+                 lambda following, i: F.when(i == following, F.array(i)).otherwise(F.array().cast("array<int>")), "array<int>")
+
+    def token(i):
+        def named(c):
+            src = F.when(c["n"] == 1, F.get("_u", i)).otherwise(F.array_join(cut(F.col("_u"), i, c["n"]), glue))
+            return F.struct((i + 1).cast("long").alias("pos"), c["n"].cast("long").alias("n_units"), src.alias("src"),
+                            F.when(c["kind"].isin("pass", "unknown"), src).otherwise(c["tgt"]).alias("tgt"), c["kind"].alias("kind"))
+
+        return let(F.get("_picked", i), named)
+
+    tokens = bound(picked, _at=at).select(*keys, F.transform("_at", token).alias("_t"))
+    return tokens.select(*keys, F.inline("_t"))
 
 
 def draft_text(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Draft line of a segment: targets in order, words parted by a space, passed characters kept as they are."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "kind", F.coalesce("tgt", F.lit("")).alias("tgt"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("letters"))
 
-    def step(acc, t):
-        passed = t["kind"] == "pass"
-        letters = passed & t["tgt"].rlike(r"^[\p{L}\p{N}]+$")
-        spaced = (acc["out"] != "") & ~acc["out"].rlike(r"(?U)\s$") & F.when(passed, letters & ~acc["letters"]).otherwise(True)
-        return F.struct(F.concat(acc["out"], F.when(spaced, " ").otherwise(""), t["tgt"]).alias("out"),
-                        letters.alias("letters"))
+    def letters(t):
+        return (t["kind"] == "pass") & t["tgt"].rlike(r"^[\p{L}\p{N}]+$")
+
+    def piece(filled):
+        def spaced(t, i):
+            before = F.get(filled, i - 1)
+            parted = (i > 0) & ~before["tgt"].rlike(r"(?U)\s$") & F.when(
+                t["kind"] == "pass", letters(t) & ~letters(before)).otherwise(True)
+            return F.concat(F.when(parted, " ").otherwise(""), t["tgt"])
+
+        return F.array_join(F.transform(filled, spaced), "")
+
+    return tokens.groupBy(*keys).agg(ordered.alias("_t")).select(*keys, strip(let(F.filter("_t", lambda t: t["tgt"] != ""), piece)).alias("draft"))
 
-    text = F.aggregate(F.filter(ordered, lambda t: t["tgt"] != ""), start, step, lambda acc: acc["out"])
-    return tokens.groupBy(*keys).agg(strip(text).alias("draft"))
+
+def gloss_chain(segments: DataFrame, entries: DataFrame, memory: DataFrame, keys: list[str], charmap: DataFrame | None = None,
+                readings: DataFrame | None = None, text: str = "text", scope: str = "scope", script: str = HAN_START) -> DataFrame:
+    """Drafts of segments from all there is: (keys, via, draft, total_units, matched_units).
+
+    Characters are mapped first. A segment that the memory holds is its translation as it stands (via ``memory``); the others
+    are covered by numbers, entries (key, target, tier, priority) and readings (one character: key, target) at the least
+    cost (via ``cover``). An empty segment has an empty draft. ``matched_units`` are the script's units that a number, an entry, a
+    reading or the memory covers, of ``total_units`` in the script.
+    """
+    mapped = segments if charmap is None else map_chars(segments, charmap, text)
+    looked = tm_lookup(mapped, memory, text, scope)
+    in_script = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda u: u.rlike(script))).cast("long")
+    known = looked.filter("translated_text IS NOT NULL").select(
+        *keys, F.lit("memory").alias("via"), F.col("translated_text").alias("draft"), in_script.alias("total_units"), in_script.alias("matched_units"))
+    rest = looked.filter("translated_text IS NULL").select(*keys, text)
+    spans = match_spans(rest, entries, keys, text, start=script).select(*keys, "pos", "n_units", "key", F.lit("dict").alias("kind"), "target", "tier", "priority")
+    numbers = numeral_spans(rest, keys, text).withColumn("kind", F.lit("number"))
+    spans = spans.unionByName(numbers, allowMissingColumns=True)
+    if readings is not None:
+        read = match_spans(rest, readings.filter(F.length("key") == 1).select("key", "target"), keys, text, start=script, longest=1)
+        spans = spans.unionByName(read.withColumn("kind", F.lit("reading")), allowMissingColumns=True)
+    tokens = checkpointed(gloss(rest, spans, keys, text, script=script))
+    counted = tokens.groupBy(*keys).agg(
+        F.sum(F.when(F.col("kind") != "pass", F.col("n_units")).otherwise(0)).cast("long").alias("total_units"),
+        F.sum(F.when(F.col("kind").isin("number", "dict", "reading"), F.col("n_units")).otherwise(0)).cast("long").alias("matched_units"))
+    drafts = draft_text(tokens, keys).join(counted, keys)
+    covered = rest.select(*keys).join(drafts, keys, "left").select(
+        *keys, F.lit("cover").alias("via"), F.coalesce("draft", F.lit("")).alias("draft"), *[
+            F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total_units", "matched_units")])
+    return known.unionByName(covered)
 
 
 def coverage(tokens: DataFrame, keys: list[str], matched: Column, counted: Column, size: Column) -> DataFrame:
