@@ -34,7 +34,9 @@ PRIVATE_USE = 0xF0000
 # --- end of fixed values --------------------------------------------------------------------------------------
 
 #: Places of a segment that are folded at a time.
-BLOCK = 128
+BLOCK = 64
+#: More than the spans that start in a block.
+IN_BLOCK = 1 << 20
 
 
 def clean_target(target: Column) -> Column:
@@ -200,7 +202,7 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
     rows = bound(segments.select(*keys, F.col(text).alias("_text")), _u=units(F.col("_text"), unit)).filter(F.size("_u") > 0).join(packed, same, "left")
     unknown = choice(F.lit(COST_UNKNOWN + COST_TOKEN), F.lit(3000), F.lit(1), F.lit("unknown"), none)
     passed = choice(F.lit(0.0), F.lit(3000), F.lit(1), F.lit("pass"), none)
-    place, total = f"array<struct<at:int,own:int,c:{chosen}>>", f"struct<total:bigint,o:int,c:{chosen}>"
+    place, total = f"array<struct<at:int,own:int,c:{chosen}>>", "struct<total:bigint,ord:int,no:int>"
 
     def places(items):
         """A block's places, the last first; the spans that start at a place stand before its own unit."""
@@ -212,24 +214,29 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
     lined = bound(rows.select(*keys, "_u", "_s"), _blocks=F.transform(in_blocks(F.size("_u"), BLOCK), lambda i: i)).withColumn(
         "_o", F.transform(F.reverse("_blocks"), places))
     lined = bound(lined.select(*keys, "_u", "_blocks", "_o"))
-    lined = bound(lined, _longest=F.array_max(F.transform("_o", lambda b: F.array_max(F.transform(b, lambda x: x["c"]["n"])))))
+    # The fold sees numbers only; what it takes is named by block and place in it. Equal totals fall to the first in order.
+    numbers = F.transform("_o", lambda b, j: F.transform(b, lambda x, i: F.struct(
+        x["own"].alias("own"), x["c"]["cost"].alias("cost"), x["c"]["ord"].alias("ord"), x["c"]["n"].alias("n"), (j * IN_BLOCK + i).alias("no"))))
+    lined = bound(lined, _e=numbers)
+    lined = bound(lined, _longest=F.array_max(F.transform("_e", lambda b: F.array_max(F.transform(b, lambda x: x["n"])))))
     start = F.struct(F.array(F.lit(0).cast("long")).alias("ring"), F.lit(None).cast(total).alias("best"))
 
     def best_of(state, o):
-        behind = F.get(state["ring"], o["c"]["n"] - 1)
-        return F.least(state["best"], F.when(behind.isNotNull(), F.struct(
-            (o["c"]["cost"] + behind).alias("total"), o["c"]["ord"].alias("o"), o["c"].alias("c")).cast(total)))
+        return F.least(state["best"], F.struct((o["cost"] + F.get(state["ring"], o["n"] - 1)).alias("total"), o["ord"].alias("ord"), o["no"].alias("no")).cast(total))
 
     def step(state, o):
-        best = best_of(state, o)
+        # A span that runs over the end of the segment does not count.
+        best = F.when(F.size(state["ring"]) >= o["n"], best_of(state, o)).otherwise(state["best"])
         return F.when(o["own"] == 1, F.struct(
             F.concat(F.array(best["total"]), F.slice(state["ring"], 1, F.col("_longest") - 1)).alias("ring"), F.lit(None).cast(total).alias("best"))
         ).otherwise(F.struct(state["ring"].alias("ring"), best.alias("best")))
 
     def chosen_here(state, o):
-        return F.when(o["own"] == 1, F.array(best_of(state, o)["c"])).otherwise(F.array().cast(f"array<{chosen}>"))
+        return F.when(o["own"] == 1, F.array(best_of(state, o)["no"])).otherwise(F.array().cast("array<int>"))
 
-    picked = bound(lined, _picked=F.reverse(scanned(F.col("_o"), start, step, chosen_here, f"array<{chosen}>"))).select(*keys, "_u", "_blocks", "_picked")
+    taken = F.transform(F.reverse(scanned(F.col("_e"), start, step, chosen_here, "array<int>")), lambda no: F.get(
+        F.get("_o", (no / IN_BLOCK).cast("int")), no % IN_BLOCK)["c"])
+    picked = bound(lined, _picked=taken).select(*keys, "_u", "_blocks", "_picked")
     at = scanned(F.col("_blocks"), F.lit(0), lambda following, i: F.when(i == following, i + F.get("_picked", i)["n"]).otherwise(following),
                  lambda following, i: F.when(i == following, F.array(i)).otherwise(F.array().cast("array<int>")), "array<int>")
 
