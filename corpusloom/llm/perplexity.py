@@ -13,8 +13,9 @@ row, its characters' values stand side by side, and results do not depend on the
 Decision: a document's mean surprise (nats a character) is drawn towards its language's by ``PRIOR`` characters, so that
 a few characters decide nothing. The mean of its most surprising ``STRETCH`` characters in a row is drawn alike, so that a
 few odd words in a long text are not averaged away. It is rejected if either is above the ``QUANTILE`` of the same of the
-trusted documents of its language in the calibration fold, which the model has not seen. Languages with fewer than ``LEAST`` such documents
-take the quantile of all languages together; if these are too few, nothing is rejected.
+trusted documents of its language in the calibration fold, which the model has not seen. A language's mean and quantile
+are drawn towards those of all languages together, which count as much as ``POOLED`` documents: there is no least number
+of documents, and a language without any takes the pooled limit.
 
 Cases: null, empty and blank texts have no characters, null perplexity, and are kept; a null language is a language of
 its own; a label that comes twice counts as trusted if all its rows say so; without trusted text nothing is rejected;
@@ -35,7 +36,7 @@ from corpusloom.llm.common import mixed, rows_of
 from corpusloom.session import checkpointed
 
 ORDER = 5
-QUANTILE, PRIOR, LEAST, FOLDS = 0.999, 100, 50, 5
+QUANTILE, PRIOR, POOLED, FOLDS = 0.999, 100, 50, 5
 #: Characters of the stretch that is judged besides the whole text.
 STRETCH = 16
 #: Symbols scored at a time with one shard and with several, n-grams counted in a task before they are sent, entries of a
@@ -337,7 +338,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-           order: int = ORDER, quantile: float = QUANTILE, prior: float = PRIOR, least: int = LEAST,
+           order: int = ORDER, quantile: float = QUANTILE, prior: float = PRIOR, pooled: float = POOLED,
            shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """(id, n_chars, perplexity, score, limit, peak, peak_limit, keep) for every document row."""
     good = checkpointed(trusted_ids(labels))
@@ -353,37 +354,38 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = checkpointed(surprise(marked.select("id", "lang", "calibrates", "text"), model, unknown, order, shard_entries))
     if model.isEmpty():
         scored = scored.withColumn("n", F.lit(0).cast("long"))
+    return decided(scored, quantile, prior, pooled).withColumnRenamed("id", id_col)
+
+
+def decided(scored: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR, pooled: float = POOLED) -> DataFrame:
+    """``judged``'s columns from (id, lang, calibrates, nats, n, peak): the limits and what they keep."""
     mean = F.sum("nats") / F.sum("n")
     seen = scored.filter("calibrates AND n > 0")
-    means = seen.groupBy("lang").agg(mean.alias("mean"), F.count(F.lit(1)).alias("docs"))
-    overall = seen.agg(mean.alias("mean"), F.count(F.lit(1)).alias("docs")).first()
-    enough = F.col("docs") >= least
+    means = seen.groupBy(F.col("lang").alias("of")).agg(mean.alias("own"), F.count(F.lit(1)).alias("docs"))
+    overall = seen.agg(mean.alias("mean")).first()["mean"]
+    of_lang = F.col("lang").eqNullSafe(F.col("of"))
+
+    def towards(own, all_together):
+        """A language's value of ``docs`` documents, drawn towards the pooled one."""
+        docs = F.coalesce("docs", F.lit(0))
+        return (F.coalesce(F.col(own) * docs, F.lit(0.0)) + F.lit(all_together).cast("double") * pooled) / (docs + pooled)
 
     def drawn_to(nats, n):
         """Mean of ``n`` characters, drawn towards the language's."""
         return F.when((F.col("n") > 0) & F.col("mean").isNotNull(), (F.col(nats) + F.col("mean") * prior) / (n + prior))
 
-    drawn = scored.join(means.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").withColumn(
-        "mean", F.when(enough, F.col("mean")).otherwise(F.lit(overall["mean"]))).withColumn(
+    drawn = scored.join(means, of_lang, "left").withColumn("mean", towards("own", overall)).withColumn(
         "score", drawn_to("nats", F.col("n"))).withColumn(
         "peak", drawn_to("peak", F.least("n", F.lit(STRETCH)))).select("id", "lang", "calibrates", "nats", "n", "score", "peak")
     drawn = checkpointed(drawn)
     calibrating = drawn.filter("calibrates AND score IS NOT NULL")
-
-    def limits(frame):
-        return frame.agg(
-            F.percentile_approx("score", quantile, 10000).alias("q"), F.percentile_approx("peak", quantile, 10000).alias("p"),
-            F.count(F.lit(1)).alias("docs"))
-
-    together = limits(calibrating).first()
-    pooled = {c: together[c] if together["docs"] >= least else None for c in ("q", "p")}
-    own = limits(calibrating.groupBy("lang")).select(
-        F.col("lang").alias("of"), *[F.when(F.col("docs") >= least, F.col(c)).alias(c) for c in ("q", "p")])
-    out = drawn.join(own, F.col("lang").eqNullSafe(F.col("of")), "left").select(
-        "id", "n", "nats", "score", "peak", *[
-            F.coalesce(c, F.lit(pooled[c]).cast("double")).alias(name) for c, name in (("q", "limit"), ("p", "peak_limit"))])
+    quantiles = [F.percentile_approx(c, quantile, 10000).alias(name) for c, name in (("score", "q"), ("peak", "p"))]
+    together = calibrating.agg(*quantiles).first()
+    own = calibrating.groupBy(F.col("lang").alias("of")).agg(*quantiles, F.count(F.lit(1)).alias("docs"))
+    out = drawn.join(own, of_lang, "left").select(
+        "id", "n", "nats", "score", "peak", *[towards(c, together[c]).alias(name) for c, name in (("q", "limit"), ("p", "peak_limit"))])
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nats") / F.col("n"))).alias("perplexity"),
+        "id", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nats") / F.col("n"))).alias("perplexity"),
         F.exp("score").alias("score"), F.exp("limit").alias("limit"), F.exp("peak").alias("peak"), F.exp("peak_limit").alias("peak_limit"),
         F.coalesce((F.col("score") <= F.col("limit")) & (F.col("peak") <= F.col("peak_limit")), F.lit(True)).alias("keep"))
 

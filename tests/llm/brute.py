@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 
@@ -156,6 +157,39 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         capped |= over
 
 
+# --- quality
+
+def decisions(rows, quantile=0.999, prior=100, pooled=50, stretch=16):
+    """(id, lang, calibrates, nats, n, peak) rows to {id: keep} by lists."""
+    def limit(values):
+        return sorted(values)[max(math.ceil(quantile * len(values)), 1) - 1]
+
+    seen = [r for r in rows if r[2] and r[4] > 0]
+    if not seen:
+        return {r[0]: True for r in rows}
+    langs = {r[1] for r in rows}
+    size = {g: sum(r[1] == g for r in seen) for g in langs}
+    overall = sum(r[3] for r in seen) / sum(r[4] for r in seen)
+    drawn = {}
+    for lang in langs:
+        mine = [r for r in seen if r[1] == lang]
+        own = sum(r[3] for r in mine) / sum(r[4] for r in mine) if mine else 0
+        mean = (own * size[lang] + overall * pooled) / (size[lang] + pooled)
+        for i, g, _, nats, n, peak in rows:
+            if g == lang and n > 0:
+                drawn[i] = ((nats + mean * prior) / (n + prior), (peak + mean * prior) / (min(n, stretch) + prior))
+    keep = {r[0]: True for r in rows}
+    for part in (0, 1):
+        all_together = limit([drawn[r[0]][part] for r in seen])
+        for lang in langs:
+            values = [drawn[r[0]][part] for r in seen if r[1] == lang]
+            bound = ((limit(values) * len(values) if values else 0) + all_together * pooled) / (len(values) + pooled)
+            for r in rows:
+                if r[1] == lang and r[0] in drawn and drawn[r[0]][part] > bound * (1 + 1e-12):
+                    keep[r[0]] = False
+    return keep
+
+
 # --- conversations
 
 def damage(rows):

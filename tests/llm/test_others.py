@@ -206,13 +206,32 @@ def test_a_few_insults_in_a_long_text(spark):
     assert {1000 + i for i in range(5)} <= lost and len(lost) <= 5 + 30
 
 
+def test_decisions_of_scores(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["en", "en", "de", None, "rare"]) if i else "alone", bool(i and rng.random() < 0.4), 0.0, 0 if i % 17 == 3 else rng.randrange(1, 900)) for i in range(400)]
+    rows = [(i, g, c, n * rng.gauss(2.2, 0.2), n, min(n, 16) * rng.gauss(3.5, 0.5)) for i, g, c, _, n in rows]
+    schema = "id long, lang string, calibrates boolean, nats double, n long, peak double"
+    for part in (rows, rows[:9], rows[:1], [(i, g, False, *r) for i, g, _, *r in rows]):
+        found = {r.id: r.keep for r in perplexity.decided(spark.createDataFrame(part, schema)).collect()}
+        assert found == B.decisions(part)
+    assert not all(B.decisions(rows).values())
+
+
+def test_production_values_reject_on_the_smallest_table(spark):
+    docs, labels = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_classifier(spark, docs, SF_DIR).collect()}
+    bad = {r.doc_id for r in labels.filter("quality = 0 OR toxic = 1").collect()}
+    clean = {r.doc_id for r in labels.filter("quality = 1 AND toxic = 0").collect()}
+    assert len(bad - kept) >= len(bad) / 2 and len(clean & kept) >= 0.95 * len(clean)
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
     rng = random.Random(1)
     junk = [(70_000 + i, "".join(chr(rng.randint(33, 126)) for _ in range(600)), "en", "s", 600) for i in range(5)]
     odd = [(80_000, None, "en", "s", 0), (80_001, "", None, None, 0), (80_002, "x", "xx", "s", 1)]
     more = docs.unionByName(spark.createDataFrame(junk + odd, docs.schema)).withColumn("keep", F.lit("no")).withColumn("n", F.lit(1))
-    kept = perplexity.accepted(more, labels, least=10)
+    kept = perplexity.accepted(more, labels)
     assert kept.columns == more.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert not ids & {j[0] for j in junk} and {o[0] for o in odd} <= ids
