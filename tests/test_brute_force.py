@@ -13,6 +13,7 @@ from corpusloom.functions.arrays import differences
 from corpusloom.operators import catalog as A
 from corpusloom.operators import lexicon as L
 from corpusloom.operators import locks as O
+from corpusloom.operators import memory as M
 
 
 def test_position_and_running_total_with_a_hot_key(spark):
@@ -123,6 +124,20 @@ def test_long_gloss_segment_stays_linear(spark):
     assert tokens.count() == 20000
 
 
+def test_gloss_chain(spark):
+    """Map, memory, numbers, entries and readings: a remembered segment is its translation, the others their cheapest cover."""
+    segments = spark.createDataFrame(
+        [(1, "甲乙丙一二丁x", "p"), (2, "记住了", "p"), (3, "", "p"), (4, None, "q"), (5, "戊 abc", "q"), (6, "記住了", "q")], "id int, text string, scope string")
+    entries = spark.createDataFrame([("甲乙", "AB", 0, 0), ("乙丙", "BC", 0, 0), ("丙", "C", 1, 0)], "key string, target string, tier int, priority int")
+    readings = spark.createDataFrame([("丁", "đinh"), ("丙", "bính"), ("戊己", "none")], "key string, target string")
+    charmap = spark.createDataFrame([("記", "记")], "trad string, simp string")
+    memory = segments.filter("id = 2").select(M.raw_hash(F.col("text")).alias("raw_hash"), F.lit("p").alias("project_scope"), F.lit("kept in mind").alias("translated_text"))
+    rows = L.gloss_chain(segments, entries, memory, ["id"], charmap, readings).collect()
+    assert sorted((r.id, r.via, r.draft, r.total_units, r.matched_units) for r in rows) == [
+        (1, "cover", "AB C 12 đinh x", 6, 6), (2, "memory", "kept in mind", 3, 3), (3, "cover", "", 0, 0), (4, "cover", "", 0, 0),
+        (5, "cover", "戊 abc", 1, 0), (6, "memory", "kept in mind", 3, 3)]
+
+
 def test_draft_text(spark):
     rows = [(1, 1, "dict", "Phương Nguyên"), (1, 3, "dict", "tu luyện"), (1, 5, "pass", "a"), (1, 6, "pass", "b"),
             (1, 7, "pass", "，"), (1, 8, "dict", ""), (1, 9, "dict", "linh khí"), (1, 11, "pass", "。")]
