@@ -117,6 +117,15 @@ def test_line_windows(spark, docs):
     assert line_dedup.report(frame(spark, docs).limit(0)).collect() == []
 
 
+def test_lines_of_an_id_with_two_texts(spark):
+    same, own = "a\nb\nc\nd", "e\nf\ng\nh"
+    rows = [(1, same), (2, same), (2, own), (2, own), (3, own), (4, None), (4, same)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    assert kept == sorted([(1, same), (2, ""), (2, own), (2, own), (3, ""), (4, None), (4, "")], key=str)
+    assert sorted((r.doc_id, r.n_removed) for r in line_dedup.report(docs).collect()) == [(1, 0), (2, 0), (2, 0), (2, 4), (3, 4), (4, 0), (4, 4)]
+
+
 def test_line_windows_need_no_python(spark, docs):
     plan = line_dedup.dedup_lines(frame(spark, docs))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
