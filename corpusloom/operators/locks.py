@@ -52,10 +52,12 @@ def replace_pairs(text: Column, pairs: Column) -> Column:
 def lock_pairs(locks: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
     """Replacement list per chapter from its locks that must be kept letter by letter, aliases included."""
     strong = locks.withColumn("target", target_text(F.col("target"))).filter(is_foreign_like(F.col("target")))
-    own = strong.select(*keys, F.col("raw").alias("src"), F.col("target").alias("dst"))
-    other = strong.join(aliases, "raw").filter((F.col("alias") != "") & (F.col("alias") != F.col("target"))).select(
-        *keys, F.col("alias").alias("src"), F.col("target").alias("dst"))
-    once = own.unionByName(other).groupBy(*keys, "src").agg(F.min("dst").alias("dst"))
+    # The forms of a raw name travel as one list, so the locks found in the texts are worked out once.
+    forms = aliases.filter("alias <> ''").groupBy("raw").agg(F.collect_set("alias").alias("_aliases"))
+    other = F.filter(F.coalesce("_aliases", F.array().cast("array<string>")), lambda a: a != F.col("target"))
+    once = strong.join(forms, "raw", "left").select(
+        *keys, F.explode(F.concat(F.array("raw"), other)).alias("src"), F.col("target").alias("dst")).groupBy(
+        *keys, "src").agg(F.min("dst").alias("dst"))
     return once.groupBy(*keys).agg(longest_first(F.collect_list(F.struct("src", "dst"))).alias("_pairs"))
 
 

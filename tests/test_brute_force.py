@@ -145,14 +145,18 @@ def test_draft_text(spark):
     assert L.draft_text(frame, ["id"]).first().draft == "Phương Nguyên tu luyện ab， linh khí。"
 
 
-def test_present_terms(spark):
-    docs = spark.createDataFrame([(1, "abcdef"), (1, "abzz"), (2, "xxcdxx"), (3, ""), (4, "zz"), (5, None), (None, "ab")], "id int, text string")
-    terms = ["ab", "cd", "f", "abcdef", "q", "zz", "", None, "ab", "defg"]
-    want = {(1, "ab"), (1, "cd"), (1, "f"), (1, "abcdef"), (1, "zz"), (2, "cd"), (4, "zz")}
-    for more in (0, 12_000):
-        frame = spark.createDataFrame([(t,) for t in terms + [f"no{i}" for i in range(more)]], "term string")
-        found = L.present_terms(docs, frame, ["id"]).collect()
+@pytest.mark.parametrize("in_row", [L.IN_ROW, 0])
+def test_present_terms(spark, in_row):
+    docs = spark.createDataFrame([(1, "abcdef"), (1, "abzz"), (2, "xxcdxx"), (3, ""), (4, "zz"), (5, None), (None, "ab"),
+                                  (6, "a\r\nb \U00020000\U00020001\U00020002龍 a"), (6, "?")], "id int, text string")
+    terms = ["ab", "cd", "f", "abcdef", "q", "zz", "", None, "ab", "defg", "\r\nb", "\U00020001\U00020002龍 a", "\U00020001", "a\nb", "??"]
+    want = {(1, "ab"), (1, "cd"), (1, "f"), (1, "abcdef"), (1, "zz"), (2, "cd"), (4, "zz"), (6, "\r\nb"),
+            (6, "\U00020001\U00020002龍 a"), (6, "\U00020001")}
+    for more in (0, 12_000):  # the many share one head, and chapter 2 holds none of them
+        frame = spark.createDataFrame([(t,) for t in terms + [f"xxcd{i}" for i in range(more)]], "term string")
+        found = L.present_terms(docs, frame, ["id"], in_row=in_row).collect()
         assert {(r.id, r.term) for r in found} == want and len(found) == len(want)
+    assert L.present_terms(docs, frame.limit(0), ["id"], in_row=in_row).count() == 0
 
 
 def test_map_chars(spark):
