@@ -441,16 +441,14 @@ def name_origin(entities: DataFrame, tables: DataFrame, name: str = "name") -> D
         .join(lookup("korean_surname", "_first", "_ks"), "_first", "left")
         .join(lookup("hanja_surname", "_first", "_hs"), "_first", "left")
     )
-    prefixes = tables.filter(F.col("kind") == "japanese_prefix")
-    lengths = sorted(r[0] for r in prefixes.select(F.length("key")).distinct().collect())
-    for size in lengths:
-        found = prefixes.filter(F.length("key") == size).groupBy(F.col("key").alias(f"_p{size}")).agg(
-            F.min_by(F.struct("ord", "value", F.col("key").alias("key")), "ord").alias(f"_j{size}"))
-        out = out.withColumn(f"_p{size}", F.substring("_n", 1, size)).join(found, f"_p{size}", "left").drop(f"_p{size}")
-    hits = [F.col(f"_j{size}") for size in lengths]
-    best = F.array_min(F.filter(F.array(*hits), lambda h: h.isNotNull())) if hits else F.lit(None).cast(
-        "struct<ord:int,value:string,key:string>")
-    out = out.withColumn("_best", best).withColumn(
+    # All leading strings of the distinct names against one table, the best one of each name back.
+    prefixes = tables.filter((F.col("kind") == "japanese_prefix") & (F.col("key") != "")).select(
+        F.col("key").alias("_p"), F.struct("ord", "value", "key").alias("_hit"))
+    leads = F.transform(F.sequence(F.lit(1), F.length("_n")), lambda i: F.substring("_n", 1, i))
+    best = base.select("_n").filter("_n <> ''").distinct().select("_n", F.explode(leads).alias("_p")).join(
+        prefixes, "_p").groupBy("_n").agg(F.min("_hit").alias("_best"))
+    out = out.join(best, "_n", "left")
+    out = out.withColumn(
         "_rest", F.when(F.col("_best").isNull(), F.col("_n")).otherwise(
             F.expr("substring(_n, length(_best.key) + 1)")))
     out = out.join(lookup("japanese_given", "_rest", "_given"), "_rest", "left")

@@ -35,7 +35,7 @@ def longest_first(pairs: Column) -> Column:
     """Replacement pairs ordered by source length, longest first, then by source."""
     keyed = F.transform(pairs, lambda p: F.struct((-F.length(p["src"])).alias("n"), p["src"].alias("src"),
                                                   p["dst"].alias("dst")))
-    return F.transform(F.array_sort(keyed), lambda p: F.struct(p["src"].alias("src"), p["dst"].alias("dst")))
+    return F.transform(F.sort_array(keyed), lambda p: F.struct(p["src"].alias("src"), p["dst"].alias("dst")))
 
 
 def literal_pairs(mapping: dict[str, str]) -> Column:
@@ -55,10 +55,12 @@ def lock_pairs(locks: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFra
     # The forms of a raw name travel as one list, so the locks found in the texts are worked out once.
     forms = aliases.filter("alias <> ''").groupBy("raw").agg(F.collect_set("alias").alias("_aliases"))
     other = F.filter(F.coalesce("_aliases", F.array().cast("array<string>")), lambda a: a != F.col("target"))
-    once = strong.join(forms, "raw", "left").select(
-        *keys, F.explode(F.concat(F.array("raw"), other)).alias("src"), F.col("target").alias("dst")).groupBy(
-        *keys, "src").agg(F.min("dst").alias("dst"))
-    return once.groupBy(*keys).agg(longest_first(F.collect_list(F.struct("src", "dst"))).alias("_pairs"))
+    # One shuffle by chapter; of several targets of a form the least one, next to each other in the ordered list, stays.
+    listed = strong.join(forms, "raw", "left").select(
+        *keys, F.explode(F.concat(F.array("raw"), other)).alias("src"), F.col("target").alias("dst")).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct((-F.length("src")).alias("n"), "src", "dst"))).alias("_all"))
+    first = F.filter("_all", lambda p, i: (i == 0) | (p["src"] != F.get("_all", i - 1)["src"]))
+    return listed.select(*keys, F.transform(first, lambda p: F.struct(p["src"].alias("src"), p["dst"].alias("dst"))).alias("_pairs"))
 
 
 def apply_locks(segments: DataFrame, locks: DataFrame, aliases: DataFrame, keys: list[str],
