@@ -134,11 +134,10 @@ def runnable(projects: DataFrame, locks: DataFrame, key: str) -> DataFrame:
 
     An empty permission table allows none. ``locks``: key, flag.
     """
-    any_allowed, rows = locks.agg(F.max("flag"), F.count("*")).first()  # two scalars
-    if rows == 0:
-        return projects.limit(0)
+    any_allowed = locks.agg(F.max("flag")).scalar()
+    filled = locks.agg(F.count("*") > 0).scalar()
     joined = projects.join(locks.select(key, "flag"), key, "left")
-    return joined.filter(F.coalesce("flag", F.lit(not any_allowed))).select(*projects.columns)
+    return joined.filter(filled & F.coalesce("flag", ~any_allowed, F.lit(True))).select(*projects.columns)
 
 
 def cap_per_site(found: DataFrame, site: str, order: list[Column], n: int = SITE_CAP) -> DataFrame:

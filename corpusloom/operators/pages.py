@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from corpusloom.functions import html as H
-from corpusloom.functions.keyed import position, top_per_key
+from corpusloom.functions.keyed import bound, position, top_per_key
 from corpusloom.functions.text import contains_any, elements, replace_first, source_id, squeeze, strip, url_unquote
 from corpusloom.operators.corpus import chapter_index
 from corpusloom.session import checkpointed
@@ -375,35 +375,36 @@ def extract_records(pages: DataFrame, hosts: DataFrame, rules: Sequence[ListRule
 
 # --- JSON paths -----------------------------------------------------------------------------------------------
 PATH_STEP = re.compile(
-    r"""\.\.(?P<deep>[^.\[*]+)|\.(?P<star>\*)|\.(?P<field>[^.\[]+)|\[(?P<all>\*)\]|\[\?\(?@(?:\.(?P<f1>[\w-]+)|\[['"](?P<f2>[^'"]+)['"]\])
-    \s*(?P<op>==|!=|>=|<=|=~|>|<)\s*(?P<want>.+?)\)?\](?=[.\[]|$)|\[(?P<slice>-?\d*:-?\d*)\]|\[(?P<index>-?\d+)\]|\[['"](?P<quoted>[^'"]+)['"]\]""",
+    r"""\.\.(?P<deep>[^.\[*]+)|\.\.\[['"]?(?P<inner>[^'"\]*]+)['"]?\]|\.(?P<star>\*)|\.(?P<field>[^.\[]+)|\[(?P<all>\*)\]|\[\?\(?@(?:\.(?P<f1>[\w-]+)|\[['"](?P<f2>[^'"]+)['"]\])
+    \s*(?P<op>==|!=|>=|<=|=~|>|<)\s*(?P<want>.+?)\)?\](?=[.\[]|$)|\[(?P<slice>-?\d*:-?\d*(?::-?\d*)?)\]|\[(?P<index>-?\d+)\]|\[['"](?P<quoted>[^'"]+)['"]\]""",
     re.X,
 )
 
 
-def _deep_values(payload: Column, name: str) -> Column:
-    """All values of a field at any depth, in document order, as JSON texts (Arrow-batched helper)."""
+def _deep_values(payloads: Column, name: str) -> Column:
+    """All values of a field at any depth of an array of JSON texts, in their order, as JSON texts (Arrow-batched helper)."""
 
-    def values_of(text: str | None) -> list[str]:
-        try:
-            open_nodes = [json.loads(text or "")]
-        except ValueError:
-            return []
+    def values_of(texts) -> list[str]:
         found = []
-        while open_nodes:  # the next node in document order is always on top
-            node = open_nodes.pop()
-            if not isinstance(node, (dict, list)):
+        for text in texts:
+            try:
+                open_nodes = [json.loads(text or "")]
+            except ValueError:
                 continue
-            if isinstance(node, dict) and name in node:
-                found.append(json.dumps(node[name], ensure_ascii=False))
-            open_nodes += list(node.values() if isinstance(node, dict) else node)[::-1]
+            while open_nodes:  # the next node in document order is always on top
+                node = open_nodes.pop()
+                if not isinstance(node, (dict, list)):
+                    continue
+                if isinstance(node, dict) and name in node:
+                    found.append(json.dumps(node[name], ensure_ascii=False))
+                open_nodes += list(node.values() if isinstance(node, dict) else node)[::-1]
         return found
 
     @F.pandas_udf(ArrayType(StringType()))
     def scan(texts: pd.Series) -> pd.Series:
         return texts.map(values_of)
 
-    return scan(payload)
+    return scan(payloads)
 
 
 def _children(value: Column) -> Column:
@@ -435,14 +436,26 @@ def _item(place: int):
     return lambda value: F.try_element_at(F.try_variant_get(value, "$", "array<variant>"), F.lit(place))
 
 
-def _slice(low: str, high: str):
+def _slice(low: str, high: str, step: str = ""):
+    by = int(step) if step else 1
+    if by == 0:
+        raise ValueError("a slice needs a step other than 0")
+
     def cut(value):
         items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
         size = F.size(items)
-        bound = lambda n: F.least(F.lit(n), size) if n >= 0 else F.greatest(size + n, F.lit(0))
-        start = bound(int(low)) if low else F.lit(0)
-        stop = bound(int(high)) if high else size
-        return F.slice(items, start + 1, F.greatest(stop - start, F.lit(0)))
+        # Backwards, places run from the last one to one before the first.
+        least, most = (F.lit(0), size) if by > 0 else (F.lit(-1), size - 1)
+
+        def edge(n: str, without: Column) -> Column:
+            if not n:
+                return without
+            return F.least(F.lit(int(n)), most) if int(n) >= 0 else F.greatest(size + int(n), least)
+
+        start, stop = (edge(low, least), edge(high, most)) if by > 0 else (edge(low, most), edge(high, least))
+        if by > 0:
+            return F.filter(items, lambda _, i: (i >= start) & (i < stop) & ((i - start) % by == 0))
+        return F.reverse(F.filter(items, lambda _, i: (i <= start) & (i > stop) & ((start - i) % -by == 0)))
 
     return cut
 
@@ -450,25 +463,42 @@ def _slice(low: str, high: str):
 def json_extract(df: DataFrame, payload: str, path: str, out: str = "values") -> DataFrame:
     """Values of a JSON path as an array of texts: fields, ``[*]``, indexes (also negative), slices, filters, ``..field``.
 
-    Steps run on variants inside the row. Fields of an object come in name order under ``*``; a deep scan has to be
-    the first step.
+    Steps run on variants inside the row. Fields of an object come in name order under ``*``. A deep scan may be any step; it
+    follows the order of the document after fields and indexes from the start, name order inside objects after other steps.
     """
     present = lambda v: v.isNotNull()
     current = F.filter(F.array(F.try_parse_json(F.col(payload))), present)
     steps, matches = path.strip().removeprefix("$"), []
+    if steps and steps[0] not in ".[":
+        steps = "." + steps
     while steps:
         match = PATH_STEP.match(steps)
         if match is None:
             raise ValueError(f"unknown step in path {path}: {steps}")
         matches.append(match)
         steps = steps[match.end():]
+    plain = "$"  # the path so far while it names one value
+    rows = df
     for number, match in enumerate(matches):
         step = match.groupdict()
         name = step["field"] or step["quoted"]
-        if step["deep"]:
-            if number:
-                raise ValueError("a deep scan has to be the first step of a path")
-            current = F.transform(_deep_values(F.col(payload), step["deep"]), lambda t: F.try_parse_json(t))
+        deep = step["deep"] or step["inner"]
+        before = plain
+        if not name and (not step["index"] or int(step["index"]) < 0):
+            plain = None
+        elif plain:
+            plain += f"['{name}']" if name else f"[{step['index']}]"
+        if deep:
+            held = F.transform(current, lambda v: F.to_json(v))
+            if before == "$":
+                held = F.array(F.col(payload))
+            elif before:
+                # The value as it stands in the document; a text value that looks like JSON is no tree.
+                held = F.when(F.get(held, 0).rlike(r"^[\[{]"), F.array(F.get_json_object(payload, before)))
+            rows = rows if before == "$" else bound(rows, _held=F.coalesce(held, F.array().cast("array<string>"))).withColumnRenamed(
+                "_held", f"_held{number}")
+            held = held if before == "$" else F.col(f"_held{number}")
+            current = F.transform(_deep_values(held, deep), lambda t: F.try_parse_json(t))
         elif name:
             current = F.filter(F.transform(current, _field(name)), present)
         elif step["star"] or step["all"]:
@@ -483,7 +513,7 @@ def json_extract(df: DataFrame, payload: str, path: str, out: str = "values") ->
             items = F.flatten(F.transform(current, _children))
             current = F.filter(items, _tester(*test))
     texts = F.transform(current, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
-    return df.withColumn(out, F.coalesce(texts, F.array().cast("array<string>")))
+    return rows.select(*[c for c in df.columns if c != out], F.coalesce(texts, F.array().cast("array<string>")).alias(out))
 
 
 def _tester(name: str, op: str, want: str):

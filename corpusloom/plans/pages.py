@@ -311,7 +311,8 @@ def nested_rules(spark, sf_dir):
 @query("w11_json_extract", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k,
   array_to_string([CAST(json_extract(props, '$.k') AS VARCHAR), CAST(user_id AS VARCHAR)], ',') AS deep,
-  CASE WHEN CAST(json_extract(props, '$.k') AS INT) >= 50 THEN CAST(event_id AS VARCHAR) ELSE '' END AS big, CAST(user_id AS VARCHAR) AS last
+  CASE WHEN CAST(json_extract(props, '$.k') AS INT) >= 50 THEN CAST(event_id AS VARCHAR) ELSE '' END AS big, CAST(user_id AS VARCHAR) AS last,
+  event_id || ',-1' AS inner_ids, array_to_string([CAST(user_id AS VARCHAR), CAST(json_extract(props, '$.k') AS VARCHAR)], ',') AS backwards
 FROM events""")
 def json_extract(spark, sf_dir):
     # A nested record per event: the payload as first item of a list, the user as second.
@@ -321,8 +322,11 @@ def json_extract(spark, sf_dir):
     out = W.json_extract(events, "payload", "$.box.items[0].k", "k")
     out = W.json_extract(out, "payload", "$..k", "deep")
     out = W.json_extract(out, "payload", "$.box.items[-1].k", "last")
+    out = W.json_extract(out, "payload", "$.box..id", "inner_ids")
+    out = W.json_extract(out, "payload", "$.box.items[::-1].k", "backwards")
     wide = W.json_extract(out, "payload", "$.box['items'][?(@.k >= 50)].id", "big")
     return wide.select(
+        F.array_join("inner_ids", ",").alias("inner_ids"), F.array_join("backwards", ",").alias("backwards"),
         "event_id", F.array_join("k", ",").alias("k"), F.array_join("deep", ",").alias("deep"),
         F.array_join(F.filter("big", lambda v: v != "-1"), ",").alias("big"), F.array_join("last", ",").alias("last"))
 

@@ -153,7 +153,7 @@ def test_canonical_url_and_site(spark):
 
 STORE = json.dumps({"shop": {"lamp": [
     {"name": "oil", "watt": 4, "type-of": "old"}, {"name": "arc", "watt": 60, "type-of": "new"}, {"name": "led", "watt": 90, "type-of": "old"}],
-    "attic": {"lamp": [{"name": "gas", "watt": 2}]}}, "rows": [{"id": "u"}, {"id": "v"}]})
+    "attic": {"lamp": [{"name": "gas", "watt": 2}]}}, "rows": [{"id": "u"}, {"id": "v"}], "note": '{"name": "text"}'})
 
 
 @pytest.mark.parametrize("path, want", [
@@ -171,6 +171,17 @@ STORE = json.dumps({"shop": {"lamp": [
     ("$.rows[-1].id", ["v"]),
     ("$.rows[9].id", []),
     ("$.none", []),
+    ("$.shop.lamp[::2].name", ["oil", "led"]),
+    ("$.shop.lamp[1:9:2].name", ["arc"]),
+    ("$.shop.lamp[::-1].name", ["led", "arc", "oil"]),
+    ("$.shop.lamp[-1:0:-1].name", ["led", "arc"]),
+    ("$.shop.lamp[9:-9:-2].name", ["led", "oil"]),
+    ("$.shop..name", ["oil", "arc", "led", "gas"]),
+    ("$.shop.lamp[1]..['type-of']", ["new"]),
+    ("$.shop.lamp[-2:]..watt", ["60", "90"]),
+    ("$..lamp..name", ["oil", "arc", "led", "gas"]),
+    ("$.note..name", []),
+    ("rows[0]..id", ["u"]),
 ])
 def test_json_paths(spark, path, want):
     frame = spark.createDataFrame([(STORE,), ("{broken",)], "p string")
@@ -180,7 +191,7 @@ def test_json_paths(spark, path, want):
 
 def test_unknown_json_steps_raise(spark):
     frame = spark.createDataFrame([(STORE,)], "p string")
-    for path in ("$.rows[0,1]", "$.rows[0:2:2]", "$..*"):
+    for path in ("$.rows[0,1]", "$.rows[::0]", "$..*"):
         with pytest.raises(ValueError):
             W.json_extract(frame, "p", path)
 
