@@ -84,6 +84,21 @@ def write_table(spark, sf_dir):
         F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
 
 
+@query("s8_write_snapshot", """
+SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity,
+  count(*) FILTER (NOT (l_returnflag = 'A' AND l_linestatus = 'F')) AS kept FROM lineitem GROUP BY 1, 2""")
+def write_snapshot(spark, sf_dir):
+    items, path = table(spark, sf_dir, "lineitem"), work_dir(spark, "snapshots")
+    first = S.write_snapshot(items, path, "l_returnflag")
+    S.write_snapshot(items.filter("l_returnflag = 'A' and l_linestatus <> 'F'"), path, "l_returnflag")
+    # Both states are read: the first one is still whole, the second one lacks the closed lines of flag A.
+    both = S.read_snapshot(spark, path, first).withColumn("_old", F.lit(1)).unionByName(
+        S.read_snapshot(spark, path).withColumn("_old", F.lit(0)))
+    return both.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("_old").alias("n"), F.sum(F.when(F.col("_old") == 1, F.col("l_quantity"))).cast("long").alias("quantity"),
+        F.sum(1 - F.col("_old")).alias("kept"))
+
+
 @query("a9_home", f"""
 WITH t AS (SELECT *, {STATUS} AS status FROM orders)
 SELECT o_custkey, count(*) FILTER (status = 'done') AS completed_chapters, count(*) FILTER (status <> 'done') > 0 AS ongoing, max(o_orderdate) AS updated_at

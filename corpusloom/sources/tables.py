@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,6 +187,54 @@ def write_table(df: DataFrame, path: str, *partition: str) -> None:
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
+def _snapshots(spark: SparkSession, path: str):
+    """File system of the table, its folder of snapshots and their numbers, in order."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/_snapshots")
+    files = folder.getFileSystem(context)
+    names = [f.getPath().getName() for f in files.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "*.json")) or []]
+    return files, folder, sorted(int(n.removesuffix(".json")) for n in names)
+
+
+def _listed(spark: SparkSession, path: str, number: int) -> dict[str, str]:
+    return json.loads(spark.read.text(f"{path}/_snapshots/{number}.json", wholetext=True).first()[0])
+
+
+def write_snapshot(df: DataFrame, path: str, *partition: str) -> int:
+    """Replace the touched partitions (the table, if it has none) in one step; returns the number of the new snapshot.
+
+    Files go to folders of their own, and a list of the folders that make up the table is put in place by renaming one
+    file, so readers see the old table or the new one. A failed write leaves files that no list names. No rows touch no
+    partition. For one writer at a time: a second one that ends later fails and changes nothing.
+    """
+    spark = df.sparkSession
+    files, folder, numbers = _snapshots(spark, path)
+    number = numbers[-1] + 1 if numbers else 1
+    listed = _listed(spark, path, numbers[-1]) if numbers else {}
+    token = f"s{number}-{uuid.uuid4().hex[:12]}"
+    df.withColumn("_snapshot", F.lit(token)).write.mode("append").partitionBy(*partition, "_snapshot").parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for found in files.globStatus(hadoop.Path("/".join([path, *["*"] * len(partition), f"_snapshot={token}"]))) or []:
+        parts = found.getPath().toString().split("/")[-1 - len(partition):]
+        listed["/".join(parts[:-1])] = "/".join(parts)
+    draft, final = hadoop.Path(folder, f".{token}"), hadoop.Path(folder, f"{number}.json")
+    out = files.create(draft)
+    out.write(bytearray(json.dumps(listed), "utf-8"))
+    out.close()
+    if files.exists(final) or not files.rename(draft, final):
+        raise RuntimeError(f"snapshot {number} of {path} was written by another job")
+    return number
+
+
+def read_snapshot(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The table as of a snapshot, the last one when None; later replacements do not reach the rows read."""
+    last = _snapshots(spark, path)[2]
+    if not last:
+        raise FileNotFoundError(f"no snapshot below {path}")
+    listed = _listed(spark, path, number or last[-1])
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{p}" for p in sorted(listed.values())]).drop("_snapshot")
+
+
 def write_catalog(parts: DataFrame, path: str) -> None:
     """Nested catalog rows as JSON lines."""
     parts.write.mode("overwrite").json(path)

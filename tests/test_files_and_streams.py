@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.session import checkpointed, work_dir
@@ -132,3 +133,28 @@ def test_memory_lookup_with_null_scopes(spark):
     tm = tm.withColumn("raw_hash", M.raw_hash(F.col("t"))).drop("t")
     out = {r.id: (r.translated_text, r.match) for r in M.tm_lookup(segments, tm).collect()}
     assert out == {1: ("P", "project"), 2: ("N", "any"), 3: ("N", "any"), 4: (None, None), 5: (None, None)}
+
+
+def test_snapshots(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        S.read_snapshot(spark, path)
+    rows = lambda frame: sorted(tuple(r) for r in frame.select("n", "m", "v").collect())
+    frame = lambda data: spark.createDataFrame(data, "n string, m int, v int")
+    assert S.write_snapshot(frame([("a", 1, 1), ("b/ c", 1, 2), (None, 2, 3)]), path, "n", "m") == 1
+    pinned = S.read_snapshot(spark, path)
+    assert S.write_snapshot(frame([("b/ c", 1, 5), ("d", 1, 6)]), path, "n", "m") == 2
+    old = [("a", 1, 1), ("b/ c", 1, 2)]
+    new = [("a", 1, 1), ("b/ c", 1, 5), ("d", 1, 6)]
+    assert rows(pinned.na.drop()) == old and rows(S.read_snapshot(spark, path, 1).na.drop()) == old
+    assert rows(S.read_snapshot(spark, path).na.drop()) == new and pinned.filter("n is null").count() == 1
+    # A write that fails half way changes nothing, and the next one goes on from the last snapshot.
+    broken = frame([("a", 1, 9), ("d", 1, 0)]).withColumn("v", F.when(F.col("v") > 0, F.col("v")).otherwise(F.raise_error(F.lit("no")).cast("int")))
+    with pytest.raises(Exception, match="no"):
+        S.write_snapshot(broken, path, "n", "m")
+    assert rows(S.read_snapshot(spark, path).na.drop()) == new
+    assert S.write_snapshot(frame([]), path, "n", "m") == 3 and rows(S.read_snapshot(spark, path).na.drop()) == new
+    plain = str(tmp_path / "u")
+    S.write_snapshot(frame([("a", 1, 1)]), plain)
+    S.write_snapshot(frame([("b", 1, 2)]), plain)
+    assert rows(S.read_snapshot(spark, plain)) == [("b", 1, 2)] and rows(S.read_snapshot(spark, plain, 1)) == [("a", 1, 1)]
