@@ -441,13 +441,15 @@ def name_origin(entities: DataFrame, tables: DataFrame, name: str = "name") -> D
         .join(lookup("korean_surname", "_first", "_ks"), "_first", "left")
         .join(lookup("hanja_surname", "_first", "_hs"), "_first", "left")
     )
-    # All leading strings of the distinct names against one table, the best one of each name back.
-    prefixes = tables.filter((F.col("kind") == "japanese_prefix") & (F.col("key") != "")).select(
-        F.col("key").alias("_p"), F.struct("ord", "value", "key").alias("_hit"))
-    leads = F.transform(F.sequence(F.lit(1), F.length("_n")), lambda i: F.substring("_n", 1, i))
-    best = base.select("_n").filter("_n <> ''").distinct().select("_n", F.explode(leads).alias("_p")).join(
-        prefixes, "_p").groupBy("_n").agg(F.min("_hit").alias("_best"))
-    out = out.join(best, "_n", "left")
+    # One lookup per length that prefixes have: no name is multiplied, and only the tables can be the built side of a join.
+    prefixes = tables.filter((F.col("kind") == "japanese_prefix") & (F.col("key") != ""))
+    lengths = sorted(prefixes.agg(F.collect_set(F.length("key"))).first()[0])
+    for n in lengths:
+        hits = prefixes.filter(F.length("key") == n).groupBy(F.col("key").alias("_lead")).agg(
+            F.min(F.struct("ord", "value", "key")).alias(f"_hit{n}"))
+        out = out.withColumn("_lead", F.substring("_n", 1, n)).join(hits, "_lead", "left").drop("_lead")
+    none = F.lit(None).cast(prefixes.select(F.struct("ord", "value", "key").alias("s")).schema["s"].dataType)
+    out = out.withColumn("_best", F.least(none, none, *[F.col(f"_hit{n}") for n in lengths]))
     out = out.withColumn(
         "_rest", F.when(F.col("_best").isNull(), F.col("_n")).otherwise(
             F.expr("substring(_n, length(_best.key) + 1)")))

@@ -24,6 +24,19 @@ def test_name_origin(spark):
     assert {r.name: (r.origin, r.converted) for r in L.name_origin(frame, tables).collect()} == cases
 
 
+def test_name_origin_never_multiplies_names(spark):
+    """Leading strings of names are no rows, so no side made of names can be broadcast; the first prefix in order wins."""
+    tables = spark.createDataFrame([("japanese_prefix", 1, "大筒", "Ots"), ("japanese_prefix", 0, "大筒木", "Otsutsuki"), ("japanese_prefix", 2, "大", "O"),
+                                    ("japanese_given", 0, "健", "Takeru")], "kind string, ord int, key string, value string")
+    frame = spark.createDataFrame([("大筒木健",), ("大筒健",), ("大健",), ("健",), ("",), (None,)], "name string")
+    out = L.name_origin(frame, tables)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.name: r.converted for r in out.collect()} == {
+        "大筒木健": "OtsutsukiTakeru", "大筒健": "OtsTakeru", "大健": "OTakeru", "健": None, "": None, None: None}
+    bare = L.name_origin(frame, tables.filter("kind <> 'japanese_prefix'")).collect()
+    assert [r.converted for r in bare if r.name == "大健"] == [None]
+
+
 def test_locked_names_are_enforced(spark):
     raw = spark.createDataFrame([(1, "培特 和 佐藤健")], "ch int, text string")
     locks = spark.createDataFrame([("培特", "Pette Chinar", "characters"), ("佐藤健", "Sato Takeru", "characters"), ("赵奇", "Triệu Kỳ", "characters")],
