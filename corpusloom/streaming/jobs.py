@@ -24,12 +24,13 @@ POLL = "300 seconds"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A table folder as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A table as a stream of files, whether it is one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(sf_dir)
+    # A stream starts from a folder or a pattern, so one file is named by a pattern that only it fits.
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def start_log(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,

@@ -48,6 +48,22 @@ def test_lexicon_from_files(spark):
     assert [r.target for r in S.load_lexicon_path(spark, path).collect()] == ["Phương Nguyên"]
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_table_stream_reads_a_file_or_a_folder(spark, tmp_path, files):
+    """A large table is a folder of files; other tables beside it are not read."""
+    path, other = tmp_path / "pages.parquet", tmp_path / "pagesx.parquet"
+    rows = spark.range(30).selectExpr("id AS page_id", "concat('u', id) AS url")
+    rows.repartition(files).write.parquet(str(tmp_path / "made"))
+    rows.write.parquet(str(other))
+    if files == 1:
+        next((tmp_path / "made").glob("*.parquet")).rename(path)
+    else:
+        (tmp_path / "made").rename(path)
+    out, mark = work_dir(spark, "out"), work_dir(spark, "mark")
+    J.start_append(J.table_stream(spark, str(tmp_path), "pages"), out, mark).awaitTermination()
+    assert sorted(r.page_id for r in spark.read.parquet(out).collect()) == list(range(30))
+
+
 def test_stream_corpus_takes_each_file_once(spark, tmp_path):
     out, mark = work_dir(spark, "out"), work_dir(spark, "mark")
     (tmp_path / "n1.txt").write_text("第1章 A\nx\n第2章 B\ny", encoding="utf-8")
