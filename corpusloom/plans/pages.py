@@ -177,11 +177,16 @@ chain AS (
   UNION ALL SELECT c.start_url, s.page_id, c.hop + 1, c.text || chr(10) || chr(10) || s.t FROM chain c JOIN steps s ON s.page_id = c.page_id + 1 WHERE s.page_id % 4 <> 0)
 SELECT start_url, max(hop) AS pages, md5(arg_max(text, hop)) AS digest FROM chain GROUP BY start_url""")
 def stitch_pages(spark, sf_dir):
+    # An address may hold several pages, which are parts of different articles: the walk goes over page numbers. Of an address's
+    # articles the one of most pages stays, then that of the smallest number.
+    number = F.col("page_id").cast("string")
     pages = table(spark, sf_dir, "pages")
-    following = pages.filter("page_id % 4 <> 0").select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
-    linked = pages.select("page_id", "url", H.element(F.col("html"), "article").alias("text")).join(following, "page_id", "left")
-    starts = pages.filter(F.contains("url", F.lit("page=")) | (F.col("page_id") % 4 == 0))
-    return W.stitch_pages(starts, linked, 4).select("start_url", "pages", F.md5("text").alias("digest"))
+    following = pages.filter("page_id % 4 <> 0").select((F.col("page_id") - 1).alias("page_id"), number.alias("next_url"))
+    linked = pages.select("page_id", number.alias("url"), H.element(F.col("html"), "article").alias("text")).join(following, "page_id", "left")
+    starts = pages.filter(F.contains("url", F.lit("page=")) | (F.col("page_id") % 4 == 0)).select("page_id", F.col("url").alias("start"), number.alias("url"))
+    whole = W.stitch_pages(starts, linked, 4).withColumnRenamed("start_url", "url").join(starts, "url")
+    longest = F.max_by(F.struct("pages", F.md5("text").alias("digest")), F.struct("pages", -F.col("page_id"))).alias("_w")
+    return whole.groupBy(F.col("start").alias("start_url")).agg(longest).select("start_url", "_w.pages", "_w.digest")
 
 
 # Eight pages in a row are a list of contents: each links the next one, the third one on, and the first again.

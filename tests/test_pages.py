@@ -1,5 +1,6 @@
 """Links, metadata, text, addresses, rules, source lists on small literal pages."""
 
+import hashlib
 import json
 
 import pytest
@@ -88,6 +89,18 @@ def test_html_to_lines(spark):
     assert [x for x in lines if x] == ["第1章 A&B", "x", "y", "z"]
 
 
+def test_stitched_articles_stay_apart_under_one_address(spark, tmp_path):
+    """Pages 0 to 3 and 4 to 7 are two articles; page 4 has the address of page 1, page 8 that of page 0 and no second page."""
+    from corpusloom.plans import pages as plans
+
+    urls = ["u0", "u1", "u2", "u3", "u1", "u5", "u6", "u7", "u0"]
+    spark.createDataFrame([(i, u, f"<article>t{i}</article>") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(
+        str(tmp_path / "pages.parquet"))
+    digest = {t: hashlib.md5(t.encode()).hexdigest() for t in ("t0\n\nt1\n\nt2\n\nt3", "t4\n\nt5\n\nt6\n\nt7")}
+    got = {(r.start_url, r.pages, r.digest) for r in plans.stitch_pages(spark, str(tmp_path)).collect()}
+    assert got == {("u0", 4, digest["t0\n\nt1\n\nt2\n\nt3"]), ("u1", 4, digest["t4\n\nt5\n\nt6\n\nt7"])}
+
+
 def test_stitch_pages(spark):
     pages = spark.createDataFrame(
         [("a", "1", "b"), ("b", "2", "c"), ("c", "3", "a"), ("d", "4", None), ("e", "", "d")], "url string, text string, next_url string")
