@@ -8,8 +8,6 @@ partition is split by Spark's skew join.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from corpusloom.functions.keyed import bound, position
 from corpusloom.functions.text import (
     CJK, CJK_NUMERAL, HAN_START, HANGUL, HIRAGANA, KATAKANA, LATIN, elements, numeral_value, strip,
 )
+from corpusloom.functions.terms import terms_in
 from corpusloom.operators.memory import tm_lookup
 from corpusloom.session import checkpointed
 
@@ -37,11 +36,8 @@ PRIVATE_USE = 0xF0000
 
 #: Places of a segment that are folded at a time.
 BLOCK = 64
-#: Bytes of a term list that may go to every row, and the slots it is dealt to there.
+#: Bytes of a term list that may go to every row.
 IN_ROW = 1 << 20
-SLOTS = 1 << 14
-#: Characters of a text that are compared with a term at once.
-WINDOW = 8
 #: More than the spans that start in a block.
 IN_BLOCK = 1 << 20
 
@@ -133,31 +129,18 @@ def present_terms(chapters: DataFrame, terms: DataFrame, keys: list[str], text:
                   term: str = "term", in_row: int = IN_ROW) -> DataFrame:
     """Distinct (keys, term) where a text of the chapter contains the term.
 
-    The distinct starts (``WINDOW`` characters from every place) of a text name the terms that may stand there by their
-    first ``HEAD_UNITS`` characters (all of them, if a term has fewer). A list of at most ``in_row`` bytes goes to the rows
-    as a table of slots by the head's hash: terms no longer than a start are settled by it, only longer ones are looked
-    for in the text, candidates are never rows and no text moves. A longer list meets the distinct heads in an equi join,
-    and its candidates are looked for in the text. Both give the same rows. Null and empty terms, null texts and null
-    keys give none.
+    A list of at most ``in_row`` bytes goes to the rows and is looked for by ``terms_in``; no text moves. A longer list meets the distinct heads of the texts (``HEAD_UNITS`` characters from every place,
+    all of a shorter term) in an equi join, and its candidates are looked for in the text. Both give the same rows. Null and
+    empty terms, null texts and null keys give none.
     """
     wanted = terms.select(F.col(term).alias("_term")).filter("_term <> ''").distinct().withColumn(
         "_head", F.substring("_term", 1, HEAD_UNITS))
     rows = chapters.select(*keys, F.col(text).alias("_text")).dropna(subset=[*keys, "_text"])
-    cut = bound(rows, _starts=F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{1,{WINDOW}}}))"), F.lit(1))))
-    known = wanted.agg(F.sum(F.octet_length("_term") + 16), F.collect_set(F.length("_head"))).first()
-    if (known[0] or 0) <= in_row:
-        slots = _slots(wanted)
-
-        def held(size: int):
-            def one(start: Column) -> Column:
-                here = F.get(slots, _slot(F.substring(start, 1, size)))
-                return F.filter(here, lambda t: F.startswith(start, t) | (F.startswith(t, start) & F.contains(F.col("_text"), t)))
-
-            return F.array_compact(F.transform("_starts", one))
-
-        none = F.array().cast("array<array<string>>")
-        found = bound(cut, _found=F.array_distinct(F.flatten(F.concat(none, *[held(n) for n in sorted(known[1])]))))
-        return found.select(*keys, F.explode("_found").alias(term)).distinct()
+    known = wanted.agg(F.sum(F.octet_length("_term") + 16)).first()[0] or 0
+    if known <= in_row:
+        listed = rows.select(*keys, terms_in(F.col("_text"), [t for t, _ in wanted.collect()]).alias("_found"))
+        return listed.select(*keys, F.explode("_found").alias(term)).distinct()
+    cut = bound(rows, _starts=F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{1,{HEAD_UNITS}}}))"), F.lit(1))))
     heads = F.array_distinct(F.flatten(F.array(*[F.transform("_starts", _first(n)) for n in range(1, HEAD_UNITS + 1)])))
     met = cut.select(*keys, F.explode(elements(heads)).alias("_head")).join(wanted, "_head").select(*keys, "_term").distinct()
     packed = met.groupBy(*keys).agg(F.collect_list("_term").alias("_terms"))
@@ -169,19 +152,6 @@ def _first(n: int):
     return lambda text: F.substring(text, 1, n)
 
 
-def _slot(head: Column) -> Column:
-    return F.pmod(F.xxhash64(head), F.lit(SLOTS)).cast("int")
-
-
-def _slots(wanted: DataFrame) -> Column:
-    """The terms as one constant array by the slot of their head, null where none falls; of a checked size."""
-    slots: list[list[str] | None] = [None] * SLOTS
-    for place, found in wanted.groupBy(_slot(F.col("_head"))).agg(F.collect_list("_term")).collect():
-        slots[place] = found
-    # A text that the optimiser folds into one value; a subquery may not stand in a lambda.
-    return F.from_json(F.lit(json.dumps(slots)), "array<array<string>>")
-
-
 def active_universes(chapters: DataFrame, markers: DataFrame | None, keys: list[str], text: str = "text") -> DataFrame:
     """Universes whose marker occurs in the chapter. ``markers``: marker, universe (the usual ones when None)."""
     if markers is None:

@@ -159,6 +159,34 @@ def test_present_terms(spark, in_row):
     assert L.present_terms(docs, frame.limit(0), ["id"], in_row=in_row).count() == 0
 
 
+def test_terms_in_pieces_of_a_batch():
+    """Pieces cut texts and rows anywhere, and terms of all lengths up to 40 bytes are found in their own row only."""
+    import numpy as np
+
+    from corpusloom.functions import terms as W
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("ab龍") for _ in range(draw.choice([0, 1, 5, 60, 400]))) for _ in range(60)]
+    wanted = sorted({"".join(draw.choice("ab龍") for _ in range(n)).encode() for n in range(1, 8) for _ in range(8)}
+                    | {t[i:i + n].encode() for t in texts if len(t) >= 60 for i, n in ((3, 9), (8, 16), (20, 20), (0, 40))})
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    want = [r * len(wanted) + i for r, t in enumerate(texts) for i, w in enumerate(wanted) if w in t.encode()]
+    whole = W.PIECE, W.MARKS
+    try:
+        for W.PIECE, W.MARKS in (whole, (64, 1 << 26), (100, 0)):
+            assert W._pairs(W._by_length(wanted), len(wanted), data, offsets).tolist() == want
+    finally:
+        W.PIECE, W.MARKS = whole
+
+
+def test_a_text_is_looked_at_once(spark):
+    docs = spark.createDataFrame([(1, "ab"), (1, "bc")], "id int, text string").repartition(2)
+    found = L.present_terms(docs, spark.createDataFrame([("b",), ("c",)], "term string"), ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+    assert sorted(found.collect()) == [(1, "b"), (1, "c")]
+
+
 def test_map_chars(spark):
     docs = spark.createDataFrame([(1, "見龍在田"), (2, ""), (3, "龍龍"), (3, "見"), (None, "龍"), (4, None)], "id int, text string")
     pairs = [("見", "见"), ("龍", "龙"), ("田", "(田)"), ("在", ""), ("x", None)]
