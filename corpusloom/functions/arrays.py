@@ -34,31 +34,6 @@ def cut(array: Column, start: Column, count: Column) -> Column:
         F.array().cast("array<string>"))
 
 
-def in_blocks(size: Column, block: int) -> Column:
-    """The places 0 .. size - 1 as arrays of up to ``block``."""
-    count = F.ceil(size / F.lit(block)).cast("int")
-    return F.transform(F.filter(F.sequence(F.lit(0), count), lambda b: b < count), lambda b: F.sequence(
-        b * block, F.least(size, (b + 1) * block) - 1))
-
-
-def scanned(blocks: Column, start: Column, step, emit, out: str) -> Column:
-    """What a fold with a small state emits on its way over blocks of items, as one array of type ``out``.
-
-    A fold copies its state at every step, so one that carries all it has emitted takes quadratic time. Here a first
-    pass keeps the state before each block only; a second one starts every block from its state and fills a block's items.
-    ``blocks`` is a column, not an expression; ``emit`` gives an array of no or one item.
-    """
-    # All but the last block are folded for the state behind them.
-    states = F.aggregate(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.struct(start.alias("s"), F.array(start).alias("all")), lambda acc, items: let(
-        F.aggregate(items, acc["s"], step), lambda s: F.struct(s.alias("s"), F.concat(acc["all"], F.array(s)).alias("all"))), lambda acc: acc["all"])
-
-    def filled(items, state):
-        return F.aggregate(items, F.struct(state.alias("s"), F.array().cast(out).alias("out")), lambda acc, item: F.struct(
-            step(acc["s"], item).alias("s"), F.concat(acc["out"], emit(acc["s"], item)).alias("out")), lambda acc: acc["out"])
-
-    return let(states, lambda every: F.flatten(F.transform(blocks, lambda items, i: filled(items, F.get(every, i)))))
-
-
 def _same_ahead(a: Column, b: Column, x: Column, y: Column) -> Column:
     """How many items of ``a`` from x on equal those of ``b`` from y on: slices of falling powers of two are compared."""
     room = F.least(F.size(a) - x, F.size(b) - y)

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import names as N
-from corpusloom.functions.arrays import cut, in_blocks, let, scanned
+from corpusloom.functions.arrays import cut, let
 from corpusloom.functions.keyed import bound, position
 from corpusloom.functions.text import (
     CJK, CJK_NUMERAL, HAN_START, HANGUL, HIRAGANA, KATAKANA, LATIN, elements, numeral_value, strip,
 )
+from corpusloom.functions.spans import PASS, UNKNOWN, cover, covered_by, spans_in
 from corpusloom.functions.terms import terms_in
 from corpusloom.operators.memory import tm_lookup
 from corpusloom.session import checkpointed
@@ -34,12 +35,9 @@ HEAD_UNITS = 4
 PRIVATE_USE = 0xF0000
 # --- end of fixed values --------------------------------------------------------------------------------------
 
-#: Places of a segment that are folded at a time.
-BLOCK = 64
+COST_OF_UNKNOWN = round((COST_UNKNOWN + COST_TOKEN) * COST_SCALE)
 #: Bytes of a term list that may go to every row.
 IN_ROW = 1 << 20
-#: More than the spans that start in a block.
-IN_BLOCK = 1 << 20
 
 
 def clean_target(target: Column) -> Column:
@@ -98,31 +96,41 @@ def units(text: Column, unit: str) -> Column:
     return F.filter(parts, lambda u: u != "")
 
 
+def _listed(lexicon: DataFrame, unit: str, start: str | None, longest: int | None) -> DataFrame:
+    """The lexicon's rows with the first unit and the number of units of their key, those that a text can hold."""
+    sized = lexicon.withColumn("_u", units(F.col("key"), unit))
+    sized = sized.filter((F.size("_u") > 0) & (F.col("key") == F.array_join("_u", "" if unit == "char" else " ")))
+    sized = sized.withColumn("_head", F.get("_u", F.lit(0))).withColumn("_n", F.size("_u")).drop("_u")
+    if start:
+        sized = sized.filter(F.col("_head").rlike(start))
+    return sized if longest is None else sized.filter(F.col("_n") <= longest)
+
+
 def match_spans(segments: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text", unit: str = "char",
-                start: str | None = None, longest: int | None = None) -> DataFrame:
+                start: str | None = None, longest: int | None = None, in_row: int = IN_ROW) -> DataFrame:
     """Every place where a lexicon key stands in a segment: (keys, pos, n_units, key, lexicon columns).
 
-    ``start`` is a pattern the first unit has to match; ``longest`` saves the pass that finds the longest key.
+    ``start`` is a pattern the first unit has to match; ``longest`` leaves out keys of more units. Keys of at most ``in_row``
+    bytes go to the rows and are looked for by ``spans_in``; a longer list meets the places in equi joins. Both give the same rows.
     """
     char = unit == "char"
-    sized = lexicon.withColumn("_u", units(F.col("key"), unit)).withColumn("_n", F.size("_u")).filter("_n > 0")
-    if longest is None:
-        longest = sized.agg(F.max("_n")).first()[0] or 1
-    prefix = sized.filter(F.col("_n") <= longest).groupBy(F.get("_u", F.lit(0)).alias("_head")).agg(
-        F.collect_set("_n").alias("_lengths"))
+    wanted = _listed(lexicon, unit, start, longest).select("key", "_head", "_n").distinct()
+    known, most = wanted.agg(F.sum(F.octet_length("key") + F.octet_length("_head") + 16), F.max("_n")).first()
+    if (known or 0) <= in_row:
+        listed = segments.select(*keys, spans_in(F.col(text), [tuple(r) for r in wanted.collect()], unit).alias("_found"))
+        return listed.select(*keys, F.inline("_found")).join(lexicon, "key")
+    prefix = wanted.groupBy("_head").agg(F.collect_set("_n").alias("_lengths"))
     placed = segments.select(*keys, units(F.col(text), unit).alias("_units")).select(
         *keys, "_units", F.posexplode("_units").alias("_i", "_head"))
-    if start:
-        placed = placed.filter(F.col("_head").rlike(start))
     # A place carries the next units as one string; only the lengths that keys of its first unit have are tried.
     windows = placed.select(
         *keys, (F.col("_i") + 1).cast("long").alias("pos"), "_head", (F.size("_units") - F.col("_i")).alias("_left"),
-        F.array_join(F.slice("_units", F.col("_i") + 1, longest), "" if char else " ").alias("_w"))
+        F.array_join(F.slice("_units", F.col("_i") + 1, most), "" if char else " ").alias("_w"))
     candidates = windows.join(prefix, "_head").select(
         *keys, "pos", "_left", "_w", F.explode("_lengths").alias("_k")).filter("_k <= _left").select(
         *keys, "pos", F.col("_k").cast("long").alias("n_units"),
         F.expr("substring(_w, 1, _k)" if char else "substring_index(_w, ' ', _k)").alias("key"))
-    return candidates.join(sized.drop("_u", "_n"), "key")
+    return candidates.join(lexicon, "key")
 
 
 def present_terms(chapters: DataFrame, terms: DataFrame, keys: list[str], text: str = "text",
@@ -172,6 +180,14 @@ def numeral_spans(segments: DataFrame, keys: list[str], text: str = "text") -> D
         "n_units", F.length("key").cast("long")).withColumn("target", F.format_string("%.0f", numeral_value(F.col("key"))))
 
 
+def _entry_cost(n: Column) -> Column:
+    return COST_DICT * n + COST_TOKEN - COST_TIER * F.coalesce("tier", F.lit(0)) + COST_PRIORITY * F.coalesce("priority", F.lit(0))
+
+
+def _millionths(cost: Column) -> Column:
+    return F.round(cost * COST_SCALE).cast("long")
+
+
 def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "text", unit: str = "char",
           script: str = HAN_START) -> DataFrame:
     """Least-cost cover of each segment: one row per token (keys, pos, n_units, src, tgt, kind).
@@ -180,89 +196,62 @@ def gloss(segments: DataFrame, spans: DataFrame, keys: list[str], text: str = "t
     Units outside the script pass for free, uncovered ones are unknown. Ties fall to number, longest entry, reading,
     unknown. Costs are whole millionths, so equal covers are equal whatever the order of adding.
 
-    A segment stays one row: its spans are gathered and put in order by blocks of places, and a fold from the right keeps the
-    costs of the next few places only, as many as the longest span has units. Work is linear in units and spans, however dense.
+    A segment stays one row: its spans are gathered into it in order, and an Arrow helper walks from the right over numbers only
+    (``functions/spans.py:cover``). Work is linear in units and spans, however dense.
     """
     glue = "" if unit == "char" else " "
     size = F.col("n_units").cast("int")
     order = F.when(F.col("kind") == "number", 0).when(F.col("kind") == "dict", 1000 - size).otherwise(2000)
     counted = spans if "n_script" in spans.columns else spans.withColumn("n_script", F.col("n_units"))
-    weight = F.when(F.col("kind") == "reading", F.lit(COST_READING + COST_TOKEN)).otherwise(
-        COST_DICT * F.col("n_script") + COST_TOKEN - COST_TIER * F.coalesce("tier", F.lit(0))
-        + COST_PRIORITY * F.coalesce("priority", F.lit(0)))
-    chosen = "struct<cost:bigint,ord:int,n:int,kind:string,tgt:string>"
-
-    def choice(cost, rank, n, kind, target):
-        return F.struct(F.round(cost * COST_SCALE).cast("long").alias("cost"), rank.cast("int").alias("ord"), n.cast("int").alias("n"),
-                        kind.alias("kind"), target.alias("tgt")).cast(chosen)
-
-    none = F.lit(None).cast("string")
+    weight = F.when(F.col("kind") == "reading", F.lit(COST_READING + COST_TOKEN)).otherwise(_entry_cost(F.col("n_script")))
+    place = "struct<at:int,cost:bigint,ord:int,n:int,kind:string,tgt:string>"
     # Spans that start outside the script do not count: such a unit always passes.
     usable = counted.filter(F.col("key").rlike(f"^{script}")) if "key" in spans.columns else counted
-    # Spans are gathered by blocks of places, a segment's blocks then into its row.
-    block = F.floor((F.col("pos") - 1) / BLOCK).cast("int").alias("block")
-    span = F.struct((-F.col("pos")).cast("int").alias("at"), F.lit(0).alias("own"), choice(weight, order, size, F.col("kind"), F.col("target")).alias("c"))
-    mine = [F.col(k).alias(f"_{k}") for k in keys]
-    packed = usable.select(*mine, block, span.alias("s")).groupBy(*[f"_{k}" for k in keys], "block").agg(F.collect_list("s").alias("s")).groupBy(
-        *[f"_{k}" for k in keys]).agg(F.collect_list(F.struct("block", "s")).alias("_s"))
+    span = F.struct((F.col("pos") - 1).alias("at"), _millionths(weight).alias("cost"), order.alias("ord"), size.alias("n"),
+                    F.col("kind"), F.col("target").alias("tgt")).cast(place)
+    mine = [f"_{k}" for k in keys]
+    packed = usable.select(*[F.col(k).alias(f"_{k}") for k in keys], span.alias("s")).groupBy(*mine).agg(F.sort_array(F.collect_list("s")).alias("_s"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    rows = bound(segments.select(*keys, F.col(text).alias("_text")), _u=units(F.col("_text"), unit)).filter(F.size("_u") > 0).join(packed, same, "left")
-    unknown = choice(F.lit(COST_UNKNOWN + COST_TOKEN), F.lit(3000), F.lit(1), F.lit("unknown"), none)
-    passed = choice(F.lit(0.0), F.lit(3000), F.lit(1), F.lit("pass"), none)
-    place, total = f"array<struct<at:int,own:int,c:{chosen}>>", "struct<total:bigint,ord:int,no:int>"
-
-    def places(items):
-        """A block's places, the last first; the spans that start at a place stand before its own unit."""
-        own = F.transform(items, lambda i: F.struct((-(i + 1)).cast("int").alias("at"), F.lit(1).alias("own"), F.when(
-            F.get("_u", i).rlike(script), unknown).otherwise(passed).alias("c"))).cast(place)
-        here = F.get(F.filter("_s", lambda s: s["block"] == F.floor(F.get(items, F.lit(0)) / BLOCK)), F.lit(0))["s"].cast(place)
-        return F.sort_array(F.concat(own, F.coalesce(here, F.array().cast(place))))
-
-    lined = bound(rows.select(*keys, "_u", "_s"), _blocks=F.transform(in_blocks(F.size("_u"), BLOCK), lambda i: i)).withColumn(
-        "_o", F.transform(F.reverse("_blocks"), places))
-    lined = bound(lined.select(*keys, "_u", "_blocks", "_o"))
-    # The fold sees numbers only; what it takes is named by block and place in it. Equal totals fall to the first in order.
-    numbers = F.transform("_o", lambda b, j: F.transform(b, lambda x, i: F.struct(
-        x["own"].alias("own"), x["c"]["cost"].alias("cost"), x["c"]["ord"].alias("ord"), x["c"]["n"].alias("n"), (j * IN_BLOCK + i).alias("no"))))
-    lined = bound(lined, _e=numbers)
-    lined = bound(lined, _longest=F.array_max(F.transform("_e", lambda b: F.array_max(F.transform(b, lambda x: x["n"])))))
-    start = F.struct(F.array(F.lit(0).cast("long")).alias("ring"), F.lit(None).cast(total).alias("best"))
-
-    def best_of(state, o):
-        return F.least(state["best"], F.struct((o["cost"] + F.get(state["ring"], o["n"] - 1)).alias("total"), o["ord"].alias("ord"), o["no"].alias("no")).cast(total))
-
-    def step(state, o):
-        # A span that runs over the end of the segment does not count.
-        best = F.when(F.size(state["ring"]) >= o["n"], best_of(state, o)).otherwise(state["best"])
-        return F.when(o["own"] == 1, F.struct(
-            F.concat(F.array(best["total"]), F.slice(state["ring"], 1, F.col("_longest") - 1)).alias("ring"), F.lit(None).cast(total).alias("best"))
-        ).otherwise(F.struct(state["ring"].alias("ring"), best.alias("best")))
-
-    def chosen_here(state, o):
-        return F.when(o["own"] == 1, F.array(best_of(state, o)["no"])).otherwise(F.array().cast("array<int>"))
-
-    taken = F.transform(F.reverse(scanned(F.col("_e"), start, step, chosen_here, "array<int>")), lambda no: F.get(
-        F.get("_o", (no / IN_BLOCK).cast("int")), no % IN_BLOCK)["c"])
-    picked = bound(lined, _picked=taken).select(*keys, "_u", "_blocks", "_picked")
-    at = scanned(F.col("_blocks"), F.lit(0), lambda following, i: F.when(i == following, i + F.get("_picked", i)["n"]).otherwise(following),
-                 lambda following, i: F.when(i == following, F.array(i)).otherwise(F.array().cast("array<int>")), "array<int>")
-
-    def token(i):
-        def named(c):
-            src = F.when(c["n"] == 1, F.get("_u", i)).otherwise(F.array_join(cut(F.col("_u"), i, c["n"]), glue))
-            return F.struct((i + 1).cast("long").alias("pos"), c["n"].cast("long").alias("n_units"), src.alias("src"),
-                            F.when(c["kind"].isin("pass", "unknown"), src).otherwise(c["tgt"]).alias("tgt"), c["kind"].alias("kind"))
-
-        return let(F.get("_picked", i), named)
-
-    tokens = bound(picked, _at=at).select(*keys, F.transform("_at", token).alias("_t"))
-    return tokens.select(*keys, F.inline("_t"))
+    joined = segments.select(*keys, F.col(text).alias("_text")).join(packed, same, "left")
+    rows = bound(joined.select(*keys, "_text", F.coalesce("_s", F.array().cast(f"array<{place}>")).alias("_s")), _u=units(F.col("_text"), unit)).filter(
+        F.size("_u") > 0).drop("_text")
+    picked = rows.select(*keys, "_u", "_s", cover(F.transform("_u", lambda u: u.rlike(script)), "_s", COST_OF_UNKNOWN).alias("_at"))
 
+    def token(t):
+        def named(s):
+            n = F.coalesce(s["n"], F.lit(1))
+            src = F.when(n == 1, F.get("_u", t["at"])).otherwise(F.array_join(cut(F.col("_u"), t["at"], n), glue))
+            return F.struct((t["at"] + 1).cast("long").alias("pos"), n.cast("long").alias("n_units"), src.alias("src"),
+                            F.when(t["span"] < 0, src).otherwise(s["tgt"]).alias("tgt"),
+                            F.when(t["span"] == UNKNOWN, "unknown").when(t["span"] == PASS, "pass").otherwise(s["kind"]).alias("kind"))
 
-def draft_text(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Draft line of a segment: targets in order, words parted by a space, passed characters kept as they are."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "kind", F.coalesce("tgt", F.lit("")).alias("tgt"))))
+        return let(F.get("_s", t["span"]), named)
+
+    # Bound, so that the filter ``inline`` brings along does not build the tokens again.
+    return bound(picked, _t=F.transform("_at", token)).select(*keys, F.inline("_t"))
+
+
+def gloss_rows(segments: DataFrame, entries: DataFrame, keys: list[str], text: str = "text", unit: str = "char",
+               script: str = HAN_START, longest: int | None = None, in_row: int = IN_ROW) -> DataFrame:
+    """Least-cost cover of each segment by entries (key, target, tier, priority) alone: (keys, tokens), tokens as ``gloss`` gives them.
 
+    Entries of at most ``in_row`` bytes go to the rows, where spans are found and weighed, so nothing moves; more of them go by
+    ``match_spans`` and ``gloss``. Both give the same rows, none for a segment without units. ``keys`` tell segments apart.
+    """
+    listed = _listed(entries, unit, f"^{script}", longest).select(
+        "key", "_head", "_n", _millionths(_entry_cost(F.col("_n"))).alias("_cost"), (1000 - F.col("_n")).alias("_ord"), "target")
+    known = listed.agg(F.sum(F.octet_length("key") + F.octet_length("_head") + F.octet_length(F.coalesce("target", F.lit(""))) + 16)).first()[0]
+    if (known or 0) <= in_row:
+        own = F.transform(units(F.coalesce(F.col(text), F.lit("")), unit), lambda u: u.rlike(script))
+        found = covered_by(F.col(text), own, [tuple(r) for r in listed.collect()], unit, COST_OF_UNKNOWN)
+        return segments.select(*keys, found.alias("tokens")).filter(F.size("tokens") > 0)
+    spans = match_spans(segments, entries, keys, text, unit, f"^{script}", longest, in_row).withColumn("kind", F.lit("dict"))
+    return gloss(segments, spans, keys, text, unit, script).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "n_units", "src", "tgt", "kind"))).alias("tokens"))
+
+
+def draft(tokens: Column) -> Column:
+    """Draft line of tokens in order: targets, words parted by a space, passed characters kept as they are."""
     def letters(t):
         return (t["kind"] == "pass") & t["tgt"].rlike(r"^[\p{L}\p{N}]+$")
 
@@ -275,7 +264,13 @@ def draft_text(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
         return F.array_join(F.transform(filled, spaced), "")
 
-    return tokens.groupBy(*keys).agg(ordered.alias("_t")).select(*keys, strip(let(F.filter("_t", lambda t: t["tgt"] != ""), piece)).alias("draft"))
+    return strip(let(F.filter(tokens, lambda t: F.coalesce(t["tgt"], F.lit("")) != ""), piece))
+
+
+def draft_text(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Draft line of a segment from its tokens, one row each."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "kind", "tgt")))
+    return tokens.groupBy(*keys).agg(ordered.alias("_t")).select(*keys, draft(F.col("_t")).alias("draft"))
 
 
 def gloss_chain(segments: DataFrame, entries: DataFrame, memory: DataFrame, keys: list[str], charmap: DataFrame | None = None,

@@ -124,37 +124,38 @@ cover AS (
 """
 
 
-def gloss_tokens(spark, sf_dir):
+def gloss_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     lines = docs.select("source", "doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("line_no", "text"))
     keys = ["source", "doc_id", "line_no"]
-    found = L.match_spans(lines, lexicon(spark, sf_dir), keys, unit="token", longest=2)
-    known = found.select(*keys, "pos", "n_units", F.lit("dict").alias("kind"), "target",
-                         (F.col("item") % 2).cast("int").alias("tier"), F.lit(1).alias("priority"))
-    return L.gloss(lines, known, keys, unit="token", script="."), keys
+    entries = lexicon(spark, sf_dir).select("key", "target", (F.col("item") % 2).cast("int").alias("tier"), F.lit(1).alias("priority"))
+    return L.gloss_rows(lines, entries, keys, unit="token", script=".", longest=2), keys
+
+
+def gloss_tokens(spark, sf_dir):
+    rows, keys = gloss_rows(spark, sf_dir)
+    return rows.select(*keys, F.inline("tokens"))
 
 
 @query("c3_gloss", f"""WITH RECURSIVE {COVER}
 SELECT source, doc_id, line_no, pos, n_units, src, CASE kind WHEN 'dict' THEN 'T:' || src ELSE src END AS tgt, kind FROM cover""")
 def gloss(spark, sf_dir):
-    tokens, _ = gloss_tokens(spark, sf_dir)
-    return tokens
+    return gloss_tokens(spark, sf_dir)
 
 
 @query("c3_draft_text", f"""WITH RECURSIVE {COVER}
 SELECT source, doc_id, line_no, string_agg(CASE kind WHEN 'dict' THEN 'T:' || src ELSE src END, ' ' ORDER BY pos) AS draft
 FROM cover GROUP BY ALL""")
 def draft_text(spark, sf_dir):
-    tokens, keys = gloss_tokens(spark, sf_dir)
-    return L.draft_text(tokens, keys)
+    rows, keys = gloss_rows(spark, sf_dir)
+    return rows.select(*keys, L.draft(F.col("tokens")).alias("draft"))
 
 
 @query("a5_cover_coverage", f"""WITH RECURSIVE {COVER}
 SELECT source, doc_id, CAST(sum(n_units) AS BIGINT) AS total_units, CAST(sum(CASE kind WHEN 'dict' THEN n_units ELSE 0 END) AS BIGINT) AS matched_units,
   round(sum(CASE kind WHEN 'dict' THEN n_units ELSE 0 END) / sum(n_units), 4) AS coverage FROM cover GROUP BY ROLLUP (source, doc_id)""")
 def cover_coverage(spark, sf_dir):
-    tokens, _ = gloss_tokens(spark, sf_dir)
-    return L.coverage(tokens, ["source", "doc_id"], F.col("kind") == "dict", F.col("kind") != "pass", F.col("n_units"))
+    return L.coverage(gloss_tokens(spark, sf_dir), ["source", "doc_id"], F.col("kind") == "dict", F.col("kind") != "pass", F.col("n_units"))
 
 
 @query("a10_promote_candidates", f"""

@@ -114,6 +114,32 @@ def test_spans_and_gloss(spark, texts, entries):
         assert price(mine) == pytest.approx(total) and (mine == want or price(mine) == pytest.approx(price(want)))
 
 
+@pytest.mark.parametrize("unit", ["char", "token"])
+def test_spans_and_cover_by_row_and_by_join(spark, unit):
+    """A lexicon in the rows and one that is joined give the same spans and the same cover, keys with many entries included."""
+    draw = random.Random(11)
+    words = ["甲", "乙", "x", "丙\U00020001", "1."]
+    texts = [draw.choice(["", " ", "\u3000"]).join([draw.choice(words) + draw.choice(["", " ", "\x1c", "\xa0", "\n"]) for _ in range(draw.choice([0, 1, 7, 70]))])
+             for _ in range(40)] + [None, "", " \n"]
+    entries = [("甲", "a", 0, 1), ("甲", "b", 1, 0), ("甲", None, 1, 0), ("甲 乙", "ab", 0, 0), ("甲乙", "AB", 0, 0), ("x", "", 0, 0), ("乙 x 甲", "c", 2, 5),
+               ("乙x甲", "C", 2, 5), ("x  x", "never as a token", 0, 0), ("", "none", 0, 0), ("1.\x1c甲", "d", 0, 9), (None, "none", 0, 0)]
+    segments = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    lexicon = spark.createDataFrame(entries, "key string, target string, tier int, priority int")
+    for start, longest in ((None, None), ("[甲x]", 2)):
+        row, join = (L.match_spans(segments, lexicon, ["id"], unit=unit, start=start, longest=longest, in_row=n) for n in (L.IN_ROW, 0))
+        assert row.columns == join.columns and sorted(map(repr, row.collect())) == sorted(map(repr, join.collect())) != []
+    script = "[甲乙丙]"
+    row, join = (L.gloss_rows(segments, lexicon, ["id"], unit=unit, script=script, in_row=n) for n in (L.IN_ROW, 0))
+    assert sorted(map(repr, row.collect())) == sorted(map(repr, join.collect())) != []
+    assert row.count() < len(texts) and L.gloss_rows(segments, lexicon.limit(0), ["id"], unit=unit).count() == row.count()
+
+
+def test_cover_of_bytes_that_are_no_text(spark):
+    broken = spark.sql("SELECT 1 AS id, cast(X'E794B220FFC320E794B2' AS string) AS text")
+    rows = L.gloss_rows(broken, spark.createDataFrame([("甲", "a", 0, 0)], "key string, target string, tier int, priority int"), ["id"], unit="token")
+    assert rows.selectExpr("id", "transform(tokens, t -> hex(t.src)) s").first().s == ["E794B2", "FFC3", "E794B2"]
+
+
 def test_long_gloss_segment_stays_linear(spark):
     text = "甲乙" * 20000
     segments = spark.createDataFrame([(1, text)], "id int, text string")

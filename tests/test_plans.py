@@ -45,6 +45,14 @@ def test_row_wise_jobs_do_not_shuffle(spark):
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)]" in plan_of(C.segment_manifest(kept, "doc_id"))
 
 
+@pytest.mark.parametrize("name", ["j6_match_spans", "c3_gloss", "c3_draft_text"])
+def test_places_of_a_text_do_not_move(spark, name):
+    """A small lexicon goes to the rows: neither places nor spans nor tokens are shuffled, only the lexicon is."""
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
+    assert "ArrowEvalPython" in plan and "hashpartitioning(source" not in plan and "SortMergeJoin" not in plan
+    assert all("key" in line or "RoundRobin" in line or "Broadcast" in line for line in plan.splitlines() if "Exchange" in line)
+
+
 def test_heading_tests_run_once_per_line(spark):
     """An exploded column must not be computed a second time by a filter below its projection."""
     from corpusloom.operators import corpus as C
