@@ -307,8 +307,10 @@ def gloss_chain(segments: DataFrame, entries: DataFrame, memory: DataFrame, keys
 
 def coverage(tokens: DataFrame, keys: list[str], matched: Column, counted: Column, size: Column) -> DataFrame:
     """Matched share per group and over all coarser groups (rollup); 1.0 where nothing has to be matched."""
-    total, hit = F.sum(F.when(counted, size).otherwise(0)), F.sum(F.when(counted & matched, size).otherwise(0))
-    return tokens.rollup(*keys).agg(
+    # Groups are summed first: a rollup would take every token once for each of its levels.
+    summed = tokens.groupBy(*keys).agg(F.sum(F.when(counted, size).otherwise(0)).alias("_total"), F.sum(F.when(counted & matched, size).otherwise(0)).alias("_hit"))
+    total, hit = F.sum("_total"), F.sum("_hit")
+    return summed.rollup(*keys).agg(
         total.cast("long").alias("total_units"), hit.cast("long").alias("matched_units"),
         F.when(total == 0, F.lit(1.0)).otherwise(F.round(hit / total, 4)).alias("coverage"))
 
