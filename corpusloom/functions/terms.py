@@ -1,4 +1,4 @@
-"""Which terms of a bounded list stand in a text: an Arrow helper that looks at all texts of a batch at once.
+"""Which terms of a bounded list stand in a text, and replacements in it: Arrow helpers that take a batch of texts at once.
 
 UTF-8 keeps places apart, so a term stands in a text when its bytes do. For every length that terms have, the bytes from each
 place on are one number; a table of slots leaves the places where a term may start, and equal numbers settle them (terms of
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Bytes of text looked at together, and pairs of row and term that are marked in one table.
 PIECE = 1 << 20
 MARKS = 1 << 26
+#: Bytes of replaced texts that are given back together.
+GIVEN = 1 << 26
 SLOT_BITS = 18
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,3 +128,39 @@ def terms_in(text: Column, terms: list[str]) -> Column:
 
     # A filter on the array, as ``explode`` brings one along, would else look at the texts a second time, below other steps.
     return found.asNondeterministic()(text)
+
+
+def _bytes(values: pa.Array) -> list[bytes | None]:
+    """The values as bytes; equal ones are one object."""
+    coded = values.cast(pa.large_binary()).dictionary_encode()
+    known = [*coded.dictionary.to_pylist(), None]
+    return [known[i] for i in coded.indices.fill_null(len(known) - 1).to_pylist()]
+
+
+def replaced_in(text: Column, pairs: Column) -> Column:
+    """A text after the replacements ``pairs`` (src, dst; an array, never null), one after the other, each at every place from the left.
+
+    A pair with a null or an empty src replaces nothing. Null texts stay null.
+    """
+
+    @F.arrow_udf("string")
+    def done(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, lists in batches:
+            offsets = lists.offsets.to_pylist()
+            given = [(s, d) if s and d is not None else None for s, d in zip(_bytes(lists.values.field(0)), _bytes(lists.values.field(1)))]
+            out, size = [], 0
+            for row, data in enumerate(texts.cast(pa.large_binary())):
+                value = data.as_py()
+                if value is not None:
+                    for pair in given[offsets[row]:offsets[row + 1]]:
+                        if pair:
+                            # Most pairs are there, so one pass that cuts is less than one that counts and one that replaces.
+                            value = pair[1].join(value.split(pair[0]))
+                    size += len(value)
+                out.append(value)
+                if size > GIVEN:
+                    yield pa.array(out, pa.binary()).cast(pa.string(), safe=False)
+                    out, size = [], 0
+            yield pa.array(out, pa.binary()).cast(pa.string(), safe=False)
+
+    return done.asNondeterministic()(text, pairs)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.keyed import last_n_before, top_per_key
+from corpusloom.functions.terms import replaced_in
 from corpusloom.functions.text import CJK, LATIN, elements, is_foreign_like, strip, target_text
 from corpusloom.operators.lexicon import present_terms
 
@@ -71,7 +72,7 @@ def apply_locks(segments: DataFrame, locks: DataFrame, aliases: DataFrame, keys:
     """
     joined = segments.join(lock_pairs(locks, aliases, keys), keys, "left")
     none = F.array().cast("array<struct<src:string,dst:string>>")
-    replaced = replace_pairs(F.col(text), F.coalesce("_pairs", none))
+    replaced = replaced_in(F.col(text), F.coalesce("_pairs", none))
     if overrides:
         replaced = replace_pairs(replaced, literal_pairs(overrides))
     return joined.withColumn(text, replaced).drop("_pairs")

@@ -114,6 +114,27 @@ def test_spans_and_gloss(spark, texts, entries):
         assert price(mine) == pytest.approx(total) and (mine == want or price(mine) == pytest.approx(price(want)))
 
 
+def test_replaced_in(spark):
+    """Replacements in their order equal SQL's, whatever a batch gives back at a time; pairs without a source do nothing."""
+    from corpusloom.functions import terms as W
+
+    draw = random.Random(3)
+    words = ["a", "aa", "ab", "龍", "b龍", "T", "\U00020001"]
+    pairs = [[(draw.choice(words), draw.choice(["Ta", "", "龍b", "\U00020001"])) for _ in range(draw.choice([0, 1, 6]))] for _ in range(60)]
+    rows = [(i, "".join(draw.choice("aab龍T\U00020001") for _ in range(draw.choice([0, 3, 60]))), p) for i, p in enumerate(pairs)] + [(60, None, [("a", "b")])]
+    frame = spark.createDataFrame(rows, "id int, text string, p array<struct<src:string,dst:string>>").repartition(2)
+    want = {r.id: r.text for r in frame.select("id", O.replace_pairs(F.col("text"), F.col("p")).alias("text")).collect()}
+    whole = W.GIVEN
+    try:
+        for W.GIVEN in (whole, 50):
+            got = frame.select("id", W.replaced_in(F.col("text"), F.col("p")).alias("text")).collect()
+            assert {r.id: r.text for r in got} == want and len(got) == len(rows)
+    finally:
+        W.GIVEN = whole
+    odd = spark.createDataFrame([("abc", [("", "x"), (None, "x"), ("b", None), ("c", "d")])], "text string, p array<struct<src:string,dst:string>>")
+    assert odd.select(W.replaced_in(F.col("text"), F.col("p")).alias("t")).first().t == "abd"
+
+
 @pytest.mark.parametrize("unit", ["char", "token"])
 def test_spans_and_cover_by_row_and_by_join(spark, unit):
     """A lexicon in the rows and one that is joined give the same spans and the same cover, keys with many entries included."""
