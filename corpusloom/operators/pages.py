@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from corpusloom.functions import html as H
+from corpusloom.functions.arrays import let
 from corpusloom.functions.keyed import bound, position, top_per_key
 from corpusloom.functions.text import contains_any, elements, replace_first, source_id, squeeze, strip, url_unquote
 from corpusloom.operators.corpus import chapter_index
@@ -147,13 +148,13 @@ def flag_blocked(pages: DataFrame, markers=BLOCK_MARKERS, html: str = "html") ->
 
 def page_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Title, author, description and cover of a page, each from the first source that has one."""
-    or_null = lambda text: F.nullif(text, F.lit(""))
+    or_null = H.or_null
     inner = lambda text: or_null(squeeze(F.regexp_replace(text, H.ANY_TAG, " ")))
     rows = pages.select(key, F.col(url).alias("_url"), F.col(html).alias("_doc")).withColumn(
         "_body", H.drop_elements(H.drop_comments(F.col("_doc")), ("script", "style")))
     doc, body = F.col("_doc"), F.col("_body")
     # Candidates are cut out of the page first; only the chosen small texts have their references decoded.
-    pick = lambda text, cut: F.when(text.isNotNull(), F.struct(text.alias("t"), F.lit(cut).alias("cut")))
+    pick = lambda text, cut: let(text, lambda t: F.when(t.isNotNull(), F.struct(t.alias("t"), F.lit(cut).alias("cut"))))
     title = F.coalesce(pick(H.meta_content(doc, "og:title", "twitter:title"), True),
                        pick(inner(H.element(doc, "h1")), False), pick(inner(H.element(doc, "title")), True))
     author = F.coalesce(*[or_null(F.regexp_replace(inner(H.element_by_id(body, r"\w+", a, v)), AUTHOR_LABEL, ""))
@@ -180,13 +181,12 @@ def page_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
 def first_image(html: Column, names=IMAGE_ADDRESSES) -> Column:
     """Address of the first image, from the first of its attributes that has one; empty without."""
-    tag = F.regexp_extract(html, r"(?is)<img\b[^>]*>", 0)
-
-    def address(name):
+    def address(tag, name):
         found = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
         return F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)])
 
-    return F.coalesce(*[F.nullif(address(n), F.lit("")) for n in names], F.lit(""))
+    tag = F.regexp_extract(html, r"(?is)<img\b[^>]*>", 0)
+    return let(tag, lambda t: F.coalesce(*[H.or_null(address(t, n)) for n in names], F.lit("")))
 
 
 def container(html: Column, kind: str, value: str) -> Column:

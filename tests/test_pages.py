@@ -345,3 +345,9 @@ def test_cover_places(spark):
     frame = spark.createDataFrame([(i, "https://a.example/x/y", h) for i, h in pages], "page_id int, url string, html string")
     out = {r.page_id: r.cover_url for r in W.page_metadata(frame).collect()}
     assert out == {1: "https://a.example/b.png", 2: "https://a.example/x/c.png", 3: "https://a.example/e.png", 4: None, 5: "https://a.example/second.png"}
+
+
+def test_metadata_texts_are_computed_once(spark):
+    """A null for an empty text must not name the text twice: with steps around it, it would be computed many times."""
+    plan = W.page_metadata(spark.createDataFrame([(1, "u", "<h1>a</h1>")], "page_id int, url string, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<h1\\b") == 1 and plan.count("og:image") <= 2
