@@ -358,12 +358,17 @@ def merge_runs(chars: DataFrame, keys: list[str], pos: str, width: int = 4096) -
         F.min(pos).alias("run_start"), F.max(pos).alias("run_end"), F.count("*").alias("n")).drop("_island")
 
 
-def apply_token_rules(tokens: DataFrame, rules: DataFrame, token: str = "token") -> DataFrame:
-    """Literal rule table on tokens: the first rule by priority, then id, replaces the target."""
+def apply_token_rules(tokens: DataFrame, rules: DataFrame, token: str = "token", many: bool = False) -> DataFrame:
+    """Literal rule table on tokens: the first rule by priority, then id, replaces the target.
+
+    ``many``: rules come from a large table, too many to broadcast but far fewer than tokens. Their partitions are then hashed, so that
+    the tokens are not sorted.
+    """
     usable = rules.filter(F.col("enabled") & (F.col("rule_type") == "replace"))
     first = usable.groupBy(F.col("pattern").alias(token)).agg(
         F.min_by("replacement", F.struct("priority", "id")).alias("_new"))
-    return tokens.join(first, token, "left").withColumn("target", F.coalesce("_new", token)).drop("_new")
+    joined = tokens.join(first.hint("shuffle_hash") if many else first, token, "left")
+    return joined.withColumn("target", F.coalesce("_new", token)).drop("_new")
 
 
 def map_chars(df: DataFrame, charmap: DataFrame, text: str = "text") -> DataFrame:

@@ -243,7 +243,7 @@ def token_rules(spark, sf_dir):
     rules = tokens.filter("source = 'src1'").groupBy(F.col("token").alias("pattern"), F.col("doc_id").alias("id")).count().select(
         "pattern", F.concat(F.lit("r"), "id").alias("replacement"), F.lit("replace").alias("rule_type"),
         F.lit(1).alias("priority"), "id", F.lit(True).alias("enabled"))
-    return L.apply_token_rules(tokens.drop("source"), rules)
+    return L.apply_token_rules(tokens.drop("source"), rules, many=True)
 
 
 @query("j17_map_chars", """

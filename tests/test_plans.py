@@ -53,6 +53,11 @@ def test_places_of_a_text_do_not_move(spark, name):
     assert all("key" in line or "RoundRobin" in line or "Broadcast" in line for line in plan.splitlines() if "Exchange" in line)
 
 
+def test_tokens_are_not_sorted_for_their_rules(spark):
+    plan = plan_of(QUERIES["j16_token_rules"](spark, SF_DIR))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_coverage_sums_before_the_rollup(spark):
     plan = plan_of(QUERIES["a5_coverage"](spark, SF_DIR))
     assert plan.index("Expand") < plan.index("BroadcastHashJoin") and "HashAggregate" in plan[plan.index("Expand"):plan.index("BroadcastHashJoin")]
