@@ -72,3 +72,9 @@ def test_heading_tests_run_once_per_line(spark):
     plan = C.split_chapters(docs, rules, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
     # One test and one title extraction (read twice: empty or not), all in one place.
     assert 1 <= plan.count("only-one-mention") <= 3
+
+
+def test_gate_works_out_its_violations_once(spark):
+    plan = plan_of(QUERIES["q8_gate"](spark, SF_DIR))
+    # The segments are joined once, the counts once.
+    assert plan.count("FullOuter") == 2

@@ -89,6 +89,27 @@ def test_reconcile(spark):
     assert out == {(4, "missing"), (9, "extra"), (2, "duplicate"), (3, "empty"), (3, "segment_id"), (1, "out_of_order"), (2, "out_of_order")}
 
 
+def test_reconcile_in_one_cell_and_in_many(spark):
+    raw_rows = [(c, i, f"s{i}") for c in (1, 2, None) for i in (1, 2, 3, 4, 5, 6)]
+    refined_rows = [(1, 9, 1, "s1", "x"), (1, 9, 2, "s2", "x"), (1, 1, 3, "x", "x"), (1, 4, 5, "s5", None), (1, 3, 6, "s6", "x"), (1, 8, 6, "s6", "x"),
+                    (2, 1, 1, "s1", "x"), (2, 2, 2, "s2", "x"), (2, 0, 8, None, "x"), (3, 1, 1, "s1", "x"), (None, 1, 2, "s2", "x")]
+    raw = spark.createDataFrame(raw_rows, "c int, id int, segment_id string")
+    refined = spark.createDataFrame(refined_rows, "c int, pos int, id int, segment_id string, text string")
+    # By pos, chapter 1 is 3, 6, 5, 1, 2: none of its known ids keeps its place.
+    want = [(1, 4, "missing"), (1, 3, "segment_id"), (1, 5, "empty"), (1, 6, "duplicate"), *[(1, i, "out_of_order") for i in (1, 2, 3, 5, 6)],
+            *[(2, i, "missing") for i in (3, 4, 5, 6)], (2, 8, "extra"), (3, 1, "extra"), *[(None, i, "missing") for i in (1, 2, 3, 4, 5, 6)], (None, 2, "extra")]
+    for width in (4096, 3, 1):
+        assert sorted(str(tuple(r)) for r in Q.reconcile(raw, refined, ["c"], width).collect()) == sorted(map(str, want))
+
+
+def test_gate(spark):
+    rows = [("a", "error", f"m{i}") for i in range(9, 0, -1)] + [("a", "warning", "a"), ("b", "warning", "w"), ("b", None, "n"), ("c", "error", None), ("c", "error", "z"), (None, "error", "y")]
+    want = {("a", 9, 1, "m1 | m2 | m3 | m4 | m5", False), ("b", 0, 1, "", True), ("c", 2, 0, "z", False), (None, 1, 0, "y", False)}
+    given = spark.createDataFrame(rows, "k string, level string, message string")
+    for frame in (given, given.withColumn("cell", F.length("message").cast("long")), given.withColumn("cell", F.xxhash64("message"))):
+        assert {tuple(r) for r in Q.gate(frame, ["k"]).collect()} == want
+
+
 def test_promotion(spark):
     sightings = [("方元", "Phương Nguyên", "character")] * 3 + [("方元", "方", "character")] * 4 + [("灵气", "linh khí", "item")] * 2 + [(" ", "x", "item"), ("宗", "tông", "sect"), ("宗", "tông", "sect"), ("宗", "tông", "sect")]
     known = spark.createDataFrame([("方元", "Phuong", "character"), ("宗", "tông", "sect")], "key string, target string, type string")
