@@ -36,8 +36,9 @@ PRIVATE_USE = 0xF0000
 # --- end of fixed values --------------------------------------------------------------------------------------
 
 COST_OF_UNKNOWN = round((COST_UNKNOWN + COST_TOKEN) * COST_SCALE)
-#: Bytes of a term list that may go to every row.
+#: Bytes of a term list that may go to every row, and of a lexicon with its columns that every executor may hold.
 IN_ROW = 1 << 20
+HELD = 8 << 20
 
 
 def clean_target(target: Column) -> Column:
@@ -106,19 +107,30 @@ def _listed(lexicon: DataFrame, unit: str, start: str | None, longest: int | Non
     return sized if longest is None else sized.filter(F.col("_n") <= longest)
 
 
+def _held(lexicon: DataFrame) -> bool:
+    """Whether all rows of a lexicon are at most ``HELD`` bytes; other types than flat ones are not weighed."""
+    if any(t.startswith(("array", "map", "struct", "variant")) for _, t in lexicon.dtypes):
+        return False
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(0) for c, t in lexicon.dtypes]
+    return (lexicon.agg(F.sum(sum(sizes, F.lit(16 * len(sizes))))).first()[0] or 0) <= HELD
+
+
 def match_spans(segments: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text", unit: str = "char",
                 start: str | None = None, longest: int | None = None, in_row: int = IN_ROW) -> DataFrame:
     """Every place where a lexicon key stands in a segment: (keys, pos, n_units, key, lexicon columns).
 
     ``start`` is a pattern the first unit has to match; ``longest`` leaves out keys of more units. Keys of at most ``in_row``
     bytes go to the rows and are looked for by ``spans_in``; a longer list meets the places in equi joins. Both give the same rows.
+    Spans found in the rows get the columns of a lexicon of at most ``HELD`` bytes where they are; they outnumber the tokens.
     """
     char = unit == "char"
-    wanted = _listed(lexicon, unit, start, longest).select("key", "_head", "_n").distinct()
+    entries = _listed(lexicon, unit, start, longest)
+    wanted = entries.select("key", "_head", "_n").distinct()
     known, most = wanted.agg(F.sum(F.octet_length("key") + F.octet_length("_head") + 16), F.max("_n")).first()
     if (known or 0) <= in_row:
         listed = segments.select(*keys, spans_in(F.col(text), [tuple(r) for r in wanted.collect()], unit).alias("_found"))
-        return listed.select(*keys, F.inline("_found")).join(lexicon, "key")
+        entries = entries.select(*lexicon.columns)
+        return listed.select(*keys, F.inline("_found")).join(F.broadcast(entries) if _held(entries) else lexicon, "key")
     prefix = wanted.groupBy("_head").agg(F.collect_set("_n").alias("_lengths"))
     placed = segments.select(*keys, units(F.col(text), unit).alias("_units")).select(
         *keys, "_units", F.posexplode("_units").alias("_i", "_head"))

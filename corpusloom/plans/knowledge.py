@@ -220,9 +220,10 @@ tm AS (
 
 
 def doc_memory(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id", "left_semi").select(
-        M.raw_hash(F.col("text")).alias("raw_hash"),
+    # Texts are hashed first, so that the join moves hashes.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", M.raw_hash(F.col("text")).alias("raw_hash"))
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select(
+        "raw_hash",
         F.concat(F.lit("T"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("translated_text"),
         F.col("source").alias("project_scope"))
 

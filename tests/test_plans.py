@@ -78,3 +78,17 @@ def test_gate_works_out_its_violations_once(spark):
     plan = plan_of(QUERIES["q8_gate"](spark, SF_DIR))
     # The segments are joined once, the counts once.
     assert plan.count("FullOuter") == 2
+
+
+def test_spans_of_a_small_lexicon_and_texts_of_the_memory_do_not_move(spark):
+    from corpusloom.plans.knowledge import doc_memory
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES["j6_match_spans"](spark, SF_DIR))
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        join = doc_memory(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().children().apply(0)
+        assert join.nodeName() == "Join" and "text#" not in join.output().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
