@@ -2,7 +2,8 @@
 
 UTF-8 keeps places apart, so a term stands in a text when its bytes do. For every length that terms have, the bytes from each
 place on are one number; a table of slots leaves the places where a term may start, and equal numbers settle them (terms of
-over 16 bytes are compared byte by byte there). Work is linear in the bytes and in the places found.
+over 16 bytes are compared byte by byte there). Work is linear in the bytes and in the places found. Terms without blanks are
+looked for in the distinct words of some texts instead of in every byte: texts repeat their words, and such a term stands inside one.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 #: Bytes of text looked at together, and pairs of row and term that are marked in one table.
 PIECE = 1 << 20
 MARKS = 1 << 26
+#: Bytes of texts whose words are gathered together, and the last byte that parts words.
+GATHERED = 1 << 23
+BLANK = 0x20
+#: Pairs of terms that share a number of bits.
+CELL = 64
 #: Bytes of replaced texts that are given back together.
 GIVEN = 1 << 26
 SLOT_BITS = 18
@@ -80,9 +86,23 @@ class _OfLength:
             yield found, term
 
 
-def _by_length(terms: list[bytes]) -> list[_OfLength]:
-    sizes = np.array([len(t) for t in terms])
-    return [_OfLength(int(size), np.flatnonzero(sizes == size), terms) for size in np.unique(sizes)]
+def _by_length(terms: list[bytes], kept: np.ndarray | None = None) -> list[_OfLength]:
+    sizes = np.array([len(t) for t in terms], np.int64)
+    sizes = sizes if kept is None else np.where(kept, sizes, 0)
+    return [_OfLength(int(size), np.flatnonzero(sizes == size), terms) for size in np.unique(sizes) if size]
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in order, each once. (``np.unique`` hashes them, which takes many times longer.)"""
+    codes = np.sort(codes)
+    return codes[np.flatnonzero(np.diff(codes, prepend=-1))]
+
+
+def _laid_out(texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array without nulls, and where its values start and end in them."""
+    _, places, values = texts.buffers()
+    offsets = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    return np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8), offsets
 
 
 def _pairs(lengths: list[_OfLength], count: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -102,34 +122,118 @@ def _pairs(lengths: list[_OfLength], count: int, data: np.ndarray, offsets: np.n
             for place, term in length.places(piece, eight, row, stop - start):
                 code = row[place].astype(np.int64) * count + term
                 if marks is None:
-                    out.append(np.unique(code) + low * count)
+                    out.append(_distinct(code) + low * count)
                 else:
                     marks[code] = True
         if marks is not None:
             out.append(np.flatnonzero(marks) + low * count)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    return _distinct(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def _of_each(first: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the entries of all ``ids``, an id's being from ``first`` of it up to that of the next, and how many each has."""
+    size = np.diff(first)[ids]
+    return np.arange(size.sum()) + np.repeat(first[ids] - np.cumsum(size) + size, size), size
+
+
+def _pairs_by_word(lengths: list[_OfLength], count: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The pairs of ``_pairs`` for terms without blanks. A word goes up to the next byte that is none after one that is, so
+    such a term stands in a text when it stands in one of its words; each distinct word is looked at once."""
+    low, high = int(offsets[0]), int(offsets[-1])
+    blank, starts = data[low:high] <= BLANK, np.zeros(high - low + 1, bool)
+    starts[1:-1] = blank[:-1] & ~blank[1:]
+    starts[offsets - low] = True
+    cuts = np.flatnonzero(starts) + low
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), cuts.size - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+    distinct = _laid_out(words.dictionary)
+    # Where few words come again (or are not parted by blanks), the texts themselves are hardly more to look at.
+    if 2 * int(distinct[1][-1]) > high - low:
+        return _pairs(lengths, count, data, offsets)
+    word, term = np.divmod(_pairs(lengths, count, *distinct), count)
+    first = np.searchsorted(word, np.arange(len(words.dictionary) + 1))
+    ids = words.indices.to_numpy()
+    row = np.repeat(np.arange(offsets.size - 1), np.diff(np.searchsorted(cuts, offsets)))
+    upto, out = np.cumsum(np.diff(first)[ids]), []
+    steps = np.searchsorted(upto, np.arange(0, upto[-1] if upto.size else 0, PIECE), "right").tolist()
+    for start, stop in zip(steps, [*steps[1:], ids.size]):
+        at, size = _of_each(first, ids[start:stop])
+        out.append(_distinct(np.repeat(row[start:stop] * count, size) + term[at]))
+    return _distinct(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def _found(inside: list[_OfLength], across: list[_OfLength], count: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sorted distinct row * count + term of a batch; ``inside``: the terms without blanks, ``across``: the others."""
+    out, low = [_pairs(across, count, data, offsets)] if across else [], 0
+    while inside and low < offsets.size - 1:
+        high = max(int(np.searchsorted(offsets, offsets[low] + GATHERED, "right")) - 1, low + 1)
+        out.append(_pairs_by_word(inside, count, data, offsets[low:high + 1]) + low * count)
+        low = high
+    return _distinct(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+class _Terms:
+    """Terms laid out for the search, and the places of the list where each of them stands; empty ones are none."""
+
+    def __init__(self, listed: list[str]):
+        self.terms = sorted({t.encode() for t in listed if t})
+        known = {t: i for i, t in enumerate(self.terms)}
+        ids = np.array([known.get(t.encode(), len(known)) for t in listed], np.int64)
+        self.places = np.argsort(ids, kind="stable")
+        self.first = np.searchsorted(ids[self.places], np.arange(len(known) + 1))
+        blank = np.array([min(t) <= BLANK for t in self.terms], bool)
+        self.inside, self.across = _by_length(self.terms, ~blank), _by_length(self.terms, blank)
+
+    def found(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row and term of the distinct pairs of a batch, in order."""
+        data, offsets = _laid_out(batch.fill_null("").cast(pa.large_binary()))
+        return np.divmod(_found(self.inside, self.across, len(self.terms), data, offsets), max(len(self.terms), 1))
+
+    def cells(self, batch: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every row's cells (row * ``width`` + cell) of ``CELL`` places of the list where a term is found, with a bit for each."""
+        row, term = self.found(batch)
+        at, size = _of_each(self.first, term)
+        code = np.sort(np.repeat(row * (width * CELL), size) + self.places[at])
+        start = np.flatnonzero(np.diff(code // CELL, prepend=-1))
+        bits = np.left_shift(np.int64(1), code % CELL)
+        return code[start] // CELL, np.bitwise_or.reduceat(bits, start) if start.size else bits
 
 
 def terms_in(text: Column, terms: list[str]) -> Column:
     """The distinct ``terms`` (none of them empty) that a text contains, as an array; none for null."""
-    wanted = sorted({t.encode() for t in terms})
 
     @F.arrow_udf("array<string>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lengths, names = _by_length(wanted), pa.array([t.decode() for t in wanted], pa.string())
+        wanted = _Terms(terms)
+        names = pa.array([t.decode() for t in wanted.terms], pa.string())
         for batch in batches:
-            texts = batch.fill_null("").cast(pa.large_binary())
-            _, places, values = texts.buffers()
-            offsets = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1]
-            data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
-            row, term = np.divmod(_pairs(lengths, len(wanted), data, offsets) if lengths else np.zeros(0, np.int64), max(len(wanted), 1))
-            ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+            row, term = wanted.found(batch)
+            ends = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(term)))
 
     # A filter on the array, as ``explode`` brings one along, would else look at the texts a second time, below other steps.
     return found.asNondeterministic()(text)
 
 
+def pairs_in(text: Column, other: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Which of numbered pairs of terms stand in two texts: an array of (cell, first, second), with the bits of ``CELL`` pairs of which
+    ``text`` contains the first term and ``other`` the second. Cells without a bit are left out; nulls and empty terms give none."""
+
+    @F.arrow_udf("array<struct<cell: int, first: bigint, second: bigint>>")
+    def found(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        sides, width = [_Terms([p[i] for p in pairs]) for i in (0, 1)], -(-len(pairs) // CELL) or 1
+        for batch in batches:
+            marked = [side.cells(texts, width) for side, texts in zip(sides, batch)]
+            cells = _distinct(np.concatenate([cell for cell, _ in marked]))
+            bits = np.zeros((2, cells.size), np.int64)
+            for of, (cell, given) in zip(bits, marked):
+                of[np.searchsorted(cells, cell)] = given
+            ends = np.searchsorted(cells, np.arange(len(batch[0]) + 1) * width).astype(np.int32)
+            rows = pa.StructArray.from_arrays([pa.array((cells % width).astype(np.int32)), *map(pa.array, bits)], ["cell", "first", "second"])
+            yield pa.ListArray.from_arrays(pa.array(ends), rows)
+
+    return found.asNondeterministic()(text, other)
+
+
 def _bytes(values: pa.Array) -> list[bytes | None]:
     """The values as bytes; equal ones are one object."""
     coded = values.cast(pa.large_binary()).dictionary_encode()

@@ -226,6 +226,39 @@ def test_terms_in_pieces_of_a_batch():
         W.PIECE, W.MARKS = whole
 
 
+def test_terms_in_distinct_words(monkeypatch):
+    """Terms with and without blanks are found in any batch, and the bytes looked at are those of its distinct words."""
+    import numpy as np
+
+    from corpusloom.functions import terms as W
+
+    def batch(texts):
+        return np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+
+    def found(wanted, texts):
+        blank = np.array([min(w) <= W.BLANK for w in wanted], bool)
+        return W._found(W._by_length(wanted, ~blank), W._by_length(wanted, blank), len(wanted), *batch(texts)).tolist()
+
+    draw = random.Random(7)
+    letters = "ab龍 \n\x00\u00a0\u3000"
+    texts = ["", " ", "a", " a", "a ", *("".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 5, 60, 400]))) for _ in range(60)), ""]
+    wanted = sorted({"".join(draw.choice(letters) for _ in range(n)).encode() for n in range(1, 8) for _ in range(12)}
+                    | {t[i:i + n].encode() for t in texts if len(t) >= 60 for i, n in ((3, 9), (8, 16), (0, 40))})
+    want = [r * len(wanted) + i for r, t in enumerate(texts) for i, w in enumerate(wanted) if w in t.encode()]
+    for gathered, piece, marks in ((W.GATHERED, W.PIECE, W.MARKS), (1, 64, 1 << 26), (500, 100, 0)):
+        for name, value in (("GATHERED", gathered), ("PIECE", piece), ("MARKS", marks)):
+            monkeypatch.setattr(W, name, value)
+        assert found(wanted, texts) == want
+        assert found([b"a"], ["", ""]) == [] and found([b"a"], []) == [] and found([], texts) == []
+    monkeypatch.undo()
+
+    looked, places = [], W._OfLength.places
+    monkeypatch.setattr(W._OfLength, "places", lambda self, data, *rest: looked.append(data.size - 16) or places(self, data, *rest))
+    many = [" ".join(draw.choice("one two three four".split()) for _ in range(50)) for _ in range(200)]
+    assert found([b"hre"], many) == [r for r, t in enumerate(many) if "hre" in t]
+    assert sum(looked) <= len("one two three four ") + len("one two three four")
+
+
 def test_a_text_is_looked_at_once(spark):
     docs = spark.createDataFrame([(1, "ab"), (1, "bc")], "id int, text string").repartition(2)
     found = L.present_terms(docs, spark.createDataFrame([("b",), ("c",)], "term string"), ["id"])

@@ -1,6 +1,7 @@
 """Knowledge base, memory, locks, quality gates and state rules on literal rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,29 @@ def test_lock_violations(spark):
     assert {(r.ch, r.raw) for r in Q.lock_violations(seg, locks, ["ch"], strict=True).collect()} == {(1, "培特"), (2, "赵奇")}
 
 
+def test_lock_violations_by_bits_and_by_joins(spark):
+    """Chapters of many rows, over 64 locks, targets and raw forms that locks share, a lock twice; pairs move once, as bits."""
+    draw = random.Random(11)
+    letters = "abcd "
+    forms = sorted({"".join(draw.choice(letters) for _ in range(draw.choice([2, 2, 3, 5]))) for _ in range(170)})
+    pairs = [(raw, f"Target{i % 40}") for i, raw in enumerate(forms) if raw.strip()]
+    pairs += [(pairs[0][0], "Target7"), (pairs[1][0], "Other"), pairs[2], pairs[2]]
+    rows = [(draw.choice([1, 2, 3, 4, None]), draw.choice([None, "", *("".join(draw.choice(letters) for _ in range(40)) for _ in range(9))]),
+             draw.choice([None, "", *(" ".join(f"Target{draw.randrange(60)}" for _ in range(4)) for _ in range(9))])) for _ in range(60)]
+    rows += [(5, "ab cd", None), (6, None, "Target1"), (7, " ".join(raw for raw, _ in pairs), "")]
+    seg = spark.createDataFrame(rows, "ch int, text string, refined string")
+    locks = spark.createDataFrame([(r, t, "characters") for r, t in pairs], "raw string, target string, group string")
+    of = {ch: [[r[i] or "" for r in rows if r[0] == ch] for i in (1, 2)] for ch in range(1, 8)}
+    want = sorted((ch, raw, target) for ch, (texts, given) in of.items() for raw, target in pairs
+                  if any(raw in t for t in texts) and not any(target in t for t in given))
+    for in_row in (1 << 20, 0):
+        assert sorted(tuple(r) for r in Q.lock_violations(seg, locks, ["ch"], in_row=in_row).collect()) == want
+    found = Q.lock_violations(seg, locks, ["ch"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ArrowEvalPython") == 1 and "SortMergeJoin" not in plan
+    assert Q.lock_violations(seg, locks.limit(0), ["ch"]).count() == 0
+
+
 def test_lock_merge_prefers_latin(spark):
     rows = [("c", "甲", "汉", 0, 1), ("c", "甲", "Latin (x)", 1, 1), ("c", "甲", "Other", 2, 1), ("c", "乙", "  ", 0, 1), ("c", "丙", "一", 0, 2), ("c", "丙", "二", 1, 1)]
     frame = spark.createDataFrame(rows, "g string, raw string, target string, source_rank int, seq int")
