@@ -214,6 +214,40 @@ def terms_in(text: Column, terms: list[str]) -> Column:
     return found.asNondeterministic()(text)
 
 
+def _gaps(row: np.ndarray, term: np.ndarray, count: int) -> pa.BinaryArray:
+    """Each row's numbers in order, as a binary of the steps from one to the next (the first from -1): as many bytes of 255 as there
+    are in it, and the rest."""
+    step = np.where(np.diff(row, prepend=-1) == 0, np.diff(term, prepend=-1), term + 1)
+    ends = np.cumsum(np.concatenate([[0], step // 255 + 1]))
+    data = np.full(ends[-1], 255, np.uint8)
+    data[ends[1:] - 1] = step % 255
+    offsets = ends[np.searchsorted(row, np.arange(count + 1))].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def numbers(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Place in the array and number of all that binaries of ``numbers_in`` hold; null ones hold none."""
+    data, offsets = _laid_out(packed.fill_null(b"").cast(pa.large_binary()))
+    low = int(offsets[0])
+    data = data[low:int(offsets[-1])]
+    last, total = np.flatnonzero(data != 255), np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
+    row = np.searchsorted(offsets - low, last, "right") - 1
+    return row, total[last + 1] - total[offsets[row] - low] - 1
+
+
+def numbers_in(text: Column, terms: list[str]) -> Column:
+    """Which of ``terms`` (distinct, in order of their bytes, none empty) a text contains: their places in the list as a binary that
+    ``numbers`` reads, about a byte for each; an empty one for null."""
+
+    @F.arrow_udf("binary")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        wanted = _Terms(terms)
+        for batch in batches:
+            yield _gaps(*wanted.found(batch), len(batch))
+
+    return found.asNondeterministic()(text)
+
+
 def pairs_in(text: Column, other: Column, pairs: list[tuple[str, str]]) -> Column:
     """Which of numbered pairs of terms stand in two texts: an array of (cell, first, second), with the bits of ``CELL`` pairs of which
     ``text`` contains the first term and ``other`` the second. Cells without a bit are left out; nulls and empty terms give none."""

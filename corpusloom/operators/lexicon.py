@@ -18,7 +18,7 @@ from corpusloom.functions.text import (
     CJK, CJK_NUMERAL, HAN_START, HANGUL, HIRAGANA, KATAKANA, LATIN, elements, numeral_value, strip,
 )
 from corpusloom.functions.spans import PASS, UNKNOWN, cover, covered_by, spans_in
-from corpusloom.functions.terms import terms_in
+from corpusloom.functions.terms import numbers_in, terms_in
 from corpusloom.operators.memory import tm_lookup
 from corpusloom.session import checkpointed
 
@@ -168,6 +168,11 @@ def present_terms(chapters: DataFrame, terms: DataFrame, keys: list[str], text:
     return both.select(*keys, F.explode("_found").alias(term)).distinct()
 
 
+def packed_terms(chapters: DataFrame, terms: list[str], keys: list[str], text: str = "text") -> DataFrame:
+    """The rows of ``present_terms``, packed: (keys, found) for every text, the terms in it by their numbers in ``terms`` (``numbers_in``)."""
+    return chapters.dropna(subset=[*keys, text]).select(*keys, numbers_in(F.col(text), terms).alias("found"))
+
+
 def _first(n: int):
     return lambda text: F.substring(text, 1, n)
 

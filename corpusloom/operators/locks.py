@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.keyed import last_n_before, top_per_key
+from corpusloom.functions.locked import locked_in
 from corpusloom.functions.terms import replaced_in
 from corpusloom.functions.text import CJK, LATIN, elements, is_foreign_like, strip, target_text
-from corpusloom.operators.lexicon import present_terms
+from corpusloom.operators.lexicon import IN_ROW, packed_terms, present_terms
 
 # --- fixed values ---------------------------------------------------------------------------------------------
 CONTEXT_EVENTS = 5
@@ -50,38 +53,78 @@ def replace_pairs(text: Column, pairs: Column) -> Column:
     return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["src"], p["dst"]))
 
 
-def lock_pairs(locks: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
-    """Replacement list per chapter from its locks that must be kept letter by letter, aliases included."""
+class Present(NamedTuple):
+    """Locks that stand in chapters: as ``rows`` (keys, raw and the other columns of the locks), and ``packed`` (keys, found), where a row
+    names the raw forms of one text by their numbers in ``raws``; ``locks`` has the locks themselves."""
+
+    rows: DataFrame
+    packed: DataFrame
+    raws: list[str]
+    locks: DataFrame
+
+
+def _written(locks: DataFrame, aliases: DataFrame, columns: list[str]) -> DataFrame:
+    """What is written for locks that must be kept letter by letter, aliases included: (columns, src, dst)."""
     strong = locks.withColumn("target", target_text(F.col("target"))).filter(is_foreign_like(F.col("target")))
     # The forms of a raw name travel as one list, so the locks found in the texts are worked out once.
     forms = aliases.filter("alias <> ''").groupBy("raw").agg(F.collect_set("alias").alias("_aliases"))
     other = F.filter(F.coalesce("_aliases", F.array().cast("array<string>")), lambda a: a != F.col("target"))
+    return strong.join(forms, "raw", "left").select(
+        *columns, F.explode(F.concat(F.array("raw"), other)).alias("src"), F.col("target").alias("dst"))
+
+
+def lock_pairs(locks: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
+    """Replacement list per chapter from its locks that must be kept letter by letter, aliases included."""
     # One shuffle by chapter; of several targets of a form the least one, next to each other in the ordered list, stays.
-    listed = strong.join(forms, "raw", "left").select(
-        *keys, F.explode(F.concat(F.array("raw"), other)).alias("src"), F.col("target").alias("dst")).groupBy(*keys).agg(
+    listed = _written(locks, aliases, keys).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct((-F.length("src")).alias("n"), "src", "dst"))).alias("_all"))
     first = F.filter("_all", lambda p, i: (i == 0) | (p["src"] != F.get("_all", i - 1)["src"]))
     return listed.select(*keys, F.transform(first, lambda p: F.struct(p["src"].alias("src"), p["dst"].alias("dst"))).alias("_pairs"))
 
 
-def apply_locks(segments: DataFrame, locks: DataFrame, aliases: DataFrame, keys: list[str],
-                overrides: dict[str, str], text: str = "text") -> DataFrame:
+def apply_locks(segments: DataFrame, locks: DataFrame | Present, aliases: DataFrame, keys: list[str],
+                overrides: dict[str, str], text: str = "text", in_row: int = 4 * IN_ROW) -> DataFrame:
     """Locked names and their aliases written as locked, longest first, then the canonical overrides.
 
-    ``locks`` holds the locks present in each chapter (``keys``), so a list is bounded by one chapter's text.
+    ``locks`` holds the locks present in each chapter (``keys``), so a list is bounded by one chapter's text. Packed ones meet the
+    segments as numbers, and the replacements of all locks, if they are at most ``in_row`` bytes, go to the rows. Both give the same rows.
     """
-    joined = segments.join(lock_pairs(locks, aliases, keys), keys, "left")
-    none = F.array().cast("array<struct<src:string,dst:string>>")
-    replaced = replaced_in(F.col(text), F.coalesce("_pairs", none))
+    packed = locks if isinstance(locks, Present) else None
+    if packed:
+        written = _written(packed.locks, aliases, ["raw"]).distinct()
+        size = written.agg(F.sum(F.octet_length("src") + F.octet_length("dst") + 32)).first()[0] or 0
+        packed, locks = packed if size <= in_row else None, locks.rows
+    if packed:
+        number, of = {raw: i for i, raw in enumerate(packed.raws)}, [[] for _ in packed.raws]
+        rows = [r for r in written.collect() if r["raw"] in number]
+        pairs = sorted({(r["src"], r["dst"]) for r in rows}, key=lambda p: (-len(p[0]), p[0].encode(), p[1].encode()))
+        place = {p: i for i, p in enumerate(pairs)}
+        for r in rows:
+            of[number[r["raw"]]].append(place[r["src"], r["dst"]])
+        joined = segments.join(packed.packed.groupBy(*keys).agg(F.collect_list("found").alias("_found")), keys, "left")
+        replaced = locked_in(F.col(text), F.col("_found"), pairs, of)
+    else:
+        joined = segments.join(lock_pairs(locks, aliases, keys), keys, "left")
+        replaced = replaced_in(F.col(text), F.coalesce("_pairs", F.array().cast("array<struct<src:string,dst:string>>")))
     if overrides:
         replaced = replace_pairs(replaced, literal_pairs(overrides))
-    return joined.withColumn(text, replaced).drop("_pairs")
+    return joined.withColumn(text, replaced).drop("_found", "_pairs")
+
 
+def present_locks(chapters: DataFrame, locks: DataFrame, keys: list[str], text: str = "text", packed: bool = False,
+                  in_row: int = IN_ROW) -> DataFrame | Present:
+    """Locks (group, raw, target) whose raw form stands in the chapter text.
 
-def present_locks(chapters: DataFrame, locks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Locks (group, raw, target) whose raw form stands in the chapter text."""
+    ``packed`` gives raw forms of at most ``in_row`` bytes as numbers beside the rows, for ``apply_locks``: a text's are one short binary.
+    """
     found = present_terms(chapters, locks.select(F.col("raw").alias("term")), keys, text)
-    return found.withColumnRenamed("term", "raw").join(locks.distinct(), "raw")
+    rows = found.withColumnRenamed("term", "raw").join(locks.distinct(), "raw")
+    if packed:
+        raws = locks.filter("raw <> ''").select("raw").distinct()
+        if (raws.agg(F.sum(F.octet_length("raw") + 16)).first()[0] or 0) <= in_row:
+            listed = sorted((r for r, in raws.collect()), key=str.encode)
+            return Present(rows, packed_terms(chapters, listed, keys, text), listed, locks.distinct())
+    return rows
 
 
 def lock_pack(present: DataFrame, keys: list[str]) -> DataFrame:

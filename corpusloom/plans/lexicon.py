@@ -320,7 +320,7 @@ FROM documents d LEFT JOIN pairs USING (doc_id)""")
 def apply_locks(spark, sf_dir):
     docs, all_locks = table(spark, sf_dir, "documents").select("doc_id", "text"), locks(spark, sf_dir)
     none = spark.createDataFrame([], "raw string, alias string")
-    return O.apply_locks(docs, O.present_locks(docs, all_locks, ["doc_id"]), none, ["doc_id"], {})
+    return O.apply_locks(docs, O.present_locks(docs, all_locks, ["doc_id"], packed=True), none, ["doc_id"], {})
 
 
 @query("g4_merge_locks", """

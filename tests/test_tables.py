@@ -49,6 +49,44 @@ def test_locked_names_are_enforced(spark):
     assert done == {1: "Pette Chinar gặp Sato Takeru.", 2: "Green"}
 
 
+def plain_locked(text, present, aliases):
+    """``present``: (raw, target) of a chapter; targets of three Latin letters or more are kept."""
+    found = {}
+    for raw, target in present:
+        for src in [raw, *(a for r, a in aliases if r == raw and a not in (None, "", target))]:
+            found[src] = min(found.get(src, target), target, key=str.encode)
+    for src in sorted(found, key=lambda s: (-len(s), s.encode())):
+        text = text.replace(src, found[src])
+    return text
+
+
+@pytest.mark.parametrize("letters, targets", [
+    ("abT ", ["Tab1", "bTa", "abab", "Tobaa2", "Ta b3"]),  # targets hold sources, and meet their neighbours
+    ("abcg ", ["Target1", "Target22", "Tacab3"]), ("abgr", ["Target1", "Target22"]), ("龍鳳é ", ["Long1", "Elaü", "용 용"]),
+])
+def test_locks_applied_from_numbers_and_from_rows(spark, letters, targets):
+    """Several texts of a chapter, null keys and texts, targets that share a source, aliases that stand where their raw form does not."""
+    draw = random.Random(len(letters))
+    word = lambda low, high: "".join(draw.choice(letters) for _ in range(draw.randint(low, high)))
+    names = sorted({w for w in (word(1, 5) for _ in range(400)) if w.strip()})
+    locks = [(raw, draw.choice(targets), draw.choice("cg")) for raw in names] + [(names[0], t, "c") for t in targets] + [(names[1], "x", "c"), (names[2], None, "c")]
+    aliases = [(raw, draw.choice([word(1, 3), "arg", "", None])) for raw in names[::9]]
+    rows = [(i, draw.choice([*range(40), None]), draw.choice([None, "", *(word(0, 60) for _ in range(9))])) for i in range(120)]
+    rows += [(200 + i, 50 + i, word(2, 9)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "id int, ch int, text string").repartition(3)
+    kept = {(r, t) for r, t, _ in locks if t and len(t) > 2}
+    of = {ch: {(r, t) for r, t in kept if any(c == ch and x and r in x for _, c, x in rows)} for ch in {c for _, c, _ in rows if c is not None}}
+    want = {i: x and plain_locked(x, of.get(ch, ()), aliases) for i, ch, x in rows}
+    listed = spark.createDataFrame(locks, "raw string, target string, group string")
+    alias = spark.createDataFrame(aliases, "raw string, alias string")
+    for packed, in_row in ((False, 1 << 20), (True, 1 << 20), (True, 0)):
+        out = O.apply_locks(frame, O.present_locks(frame, listed, ["ch"], packed=packed), alias, ["ch"], {}, in_row=in_row)
+        # What moves is a text and a short binary, not a row for each lock of it.
+        assert ("Generate" in out._jdf.queryExecution().optimizedPlan().toString()) != (packed and in_row > 0)
+        got = out.collect()
+        assert {r.id: r.text for r in got} == want and len(got) == len(rows), (packed, in_row)
+
+
 def test_lock_violations(spark):
     locks = spark.createDataFrame([("培特", "Pette Chinar", "characters"), ("赵奇", "Triệu Kỳ", "characters"), ("城", "City Hall", "characters")],
                                   "raw string, target string, group string")
