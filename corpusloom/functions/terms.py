@@ -44,7 +44,7 @@ class _OfLength:
     """The terms of one length in bytes, by the slot of their first and last eight bytes."""
 
     def __init__(self, size: int, ids: np.ndarray, terms: list[bytes]):
-        self.size, self.longer = size, {int(i): np.frombuffer(terms[i], np.uint8) for i in ids} if size > 16 else None
+        self.size, self.ids, self.longer = size, ids, {int(i): np.frombuffer(terms[i], np.uint8) for i in ids} if size > 16 else None
         self.mask = np.uint64((1 << 8 * min(size, 8)) - 1)
         # The tail of a long term ends at its sixteenth byte.
         self.shift = max(min(size, 16) - 8, 0)
@@ -64,21 +64,25 @@ class _OfLength:
             self.layers.append(layer)
             ids, slots = np.delete(ids, kept), np.delete(slots, kept)
 
-    def places(self, data: np.ndarray, eight: np.ndarray, row: np.ndarray, starts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(place, term) of the places before ``starts`` where a term stands inside one row."""
+    def places(self, data: np.ndarray, eight: np.ndarray, row: np.ndarray, starts: int, near: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, term) of the places before ``starts`` where a term stands inside one row; ``near``: the only places to look at."""
         count = min(starts, row.size - self.size + 1)
         if count <= 0:
             return
-        head = eight[:count] & self.mask
-        tail = eight[self.shift:self.shift + count] if self.shift else None
+        near = near if near is None else near[:np.searchsorted(near, count)]
+        head = eight[:count] & self.mask if near is None else eight[near] & self.mask
+        tail = None if not self.shift else eight[self.shift:self.shift + count] if near is None else eight[near + self.shift]
         slots = _mixed(head, tail)
-        at = np.flatnonzero(self.filled[slots])
-        at = at[row[at] == row[at + self.size - 1]]
+        kept = np.flatnonzero(self.filled[slots])
+        at = kept if near is None else near[kept]
+        inside = row[at] == row[at + self.size - 1]
+        kept, at = kept[inside], at[inside]
+        head, tail, slots = head[kept], None if tail is None else tail[kept], slots[kept]
         for layer in self.layers:
-            term = layer[slots[at]]
-            same = (term >= 0) & (self.first[term] == head[at])
+            term = layer[slots]
+            same = (term >= 0) & (self.first[term] == head)
             if tail is not None:
-                same &= self.last[term] == tail[at]
+                same &= self.last[term] == tail
             found, term = at[same], term[same]
             if self.longer:
                 same = np.fromiter((np.array_equal(data[p:p + self.size], self.longer[t]) for p, t in zip(found.tolist(), term.tolist())), bool, found.size)
@@ -105,9 +109,15 @@ def _laid_out(texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8), offsets
 
 
-def _pairs(lengths: list[_OfLength], count: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sorted distinct row * count + term of a batch. Pieces overlap by the longest term, so no place is lost between two."""
-    longest, end, out = max(n.size for n in lengths), int(offsets[-1]), []
+def _places(lengths: list[_OfLength], data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Iterator[tuple[np.ndarray, ...]]]]:
+    """For every piece of a batch: its rows from one to before another, and all (row from the first, place, term) where a term starts in
+    it. Pieces overlap by the longest term, so no place is lost between two."""
+    longest, end = max((n.size for n in lengths), default=1), int(offsets[-1])
+    # Terms of eight bytes and more are looked for only where the first eight of one stand.
+    long = [n for n in lengths if n.size >= 8]
+    heads = np.zeros(1 << SLOT_BITS, bool)
+    for n in long:
+        heads[_mixed(n.first[n.ids], None)] = True
     for start in range(int(offsets[0]), end, PIECE):
         stop = min(start + PIECE, end)
         upto = min(stop + longest - 1, end)
@@ -117,14 +127,22 @@ def _pairs(lengths: list[_OfLength], count: int, data: np.ndarray, offsets: np.n
         row = np.repeat(np.arange(high - low, dtype=np.int32), np.diff(ends))
         piece = np.concatenate([data[start:upto], np.zeros(16, np.uint8)])
         eight = _numbers(piece)
+        near = np.flatnonzero(heads[_mixed(eight[:stop - start], None)]) if long else None
+        yield low, high, ((row[place], place + start, term) for n in lengths
+                          for place, term in n.places(piece, eight, row, stop - start, near if n.size >= 8 else None))
+
+
+def _pairs(lengths: list[_OfLength], count: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sorted distinct row * count + term of a batch."""
+    out = []
+    for low, high, found in _places(lengths, data, offsets):
         marks = np.zeros((high - low) * count, bool) if (high - low) * count <= MARKS else None
-        for length in lengths:
-            for place, term in length.places(piece, eight, row, stop - start):
-                code = row[place].astype(np.int64) * count + term
-                if marks is None:
-                    out.append(_distinct(code) + low * count)
-                else:
-                    marks[code] = True
+        for row, _, term in found:
+            code = row.astype(np.int64) * count + term
+            if marks is None:
+                out.append(_distinct(code) + low * count)
+            else:
+                marks[code] = True
         if marks is not None:
             out.append(np.flatnonzero(marks) + low * count)
     return _distinct(np.concatenate(out)) if out else np.zeros(0, np.int64)
@@ -136,22 +154,27 @@ def _of_each(first: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(size.sum()) + np.repeat(first[ids] - np.cumsum(size) + size, size), size
 
 
-def _pairs_by_word(lengths: list[_OfLength], count: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The pairs of ``_pairs`` for terms without blanks. A word goes up to the next byte that is none after one that is, so
-    such a term stands in a text when it stands in one of its words; each distinct word is looked at once."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray]:
+    """Where the words of a batch start (and the last ends), the distinct ones, and which each is. A word goes up to the next byte that
+    is no blank after one that is, so what has no blanks stands in a text when it stands in one of its words."""
     low, high = int(offsets[0]), int(offsets[-1])
     blank, starts = data[low:high] <= BLANK, np.zeros(high - low + 1, bool)
     starts[1:-1] = blank[:-1] & ~blank[1:]
     starts[offsets - low] = True
     cuts = np.flatnonzero(starts) + low
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), cuts.size - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
-    distinct = _laid_out(words.dictionary)
+    return cuts, words.dictionary, words.indices.to_numpy()
+
+
+def _pairs_by_word(lengths: list[_OfLength], count: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The pairs of ``_pairs`` for terms without blanks; each distinct word is looked at once."""
+    cuts, words, ids = _words(data, offsets)
+    distinct = _laid_out(words)
     # Where few words come again (or are not parted by blanks), the texts themselves are hardly more to look at.
-    if 2 * int(distinct[1][-1]) > high - low:
+    if 2 * int(distinct[1][-1]) > int(offsets[-1] - offsets[0]):
         return _pairs(lengths, count, data, offsets)
     word, term = np.divmod(_pairs(lengths, count, *distinct), count)
-    first = np.searchsorted(word, np.arange(len(words.dictionary) + 1))
-    ids = words.indices.to_numpy()
+    first = np.searchsorted(word, np.arange(len(words) + 1))
     row = np.repeat(np.arange(offsets.size - 1), np.diff(np.searchsorted(cuts, offsets)))
     upto, out = np.cumsum(np.diff(first)[ids]), []
     steps = np.searchsorted(upto, np.arange(0, upto[-1] if upto.size else 0, PIECE), "right").tolist()
@@ -214,7 +237,7 @@ def terms_in(text: Column, terms: list[str]) -> Column:
     return found.asNondeterministic()(text)
 
 
-def _gaps(row: np.ndarray, term: np.ndarray, count: int) -> pa.BinaryArray:
+def packed(row: np.ndarray, term: np.ndarray, count: int) -> pa.BinaryArray:
     """Each row's numbers in order, as a binary of the steps from one to the next (the first from -1): as many bytes of 255 as there
     are in it, and the rest."""
     step = np.where(np.diff(row, prepend=-1) == 0, np.diff(term, prepend=-1), term + 1)
@@ -225,9 +248,9 @@ def _gaps(row: np.ndarray, term: np.ndarray, count: int) -> pa.BinaryArray:
     return pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def numbers(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def numbers(binaries: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Place in the array and number of all that binaries of ``numbers_in`` hold; null ones hold none."""
-    data, offsets = _laid_out(packed.fill_null(b"").cast(pa.large_binary()))
+    data, offsets = _laid_out(binaries.fill_null(b"").cast(pa.large_binary()))
     low = int(offsets[0])
     data = data[low:int(offsets[-1])]
     last, total = np.flatnonzero(data != 255), np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
@@ -243,7 +266,7 @@ def numbers_in(text: Column, terms: list[str]) -> Column:
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         wanted = _Terms(terms)
         for batch in batches:
-            yield _gaps(*wanted.found(batch), len(batch))
+            yield packed(*wanted.found(batch), len(batch))
 
     return found.asNondeterministic()(text)
 

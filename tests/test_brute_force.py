@@ -135,6 +135,61 @@ def test_replaced_in(spark):
     assert odd.select(W.replaced_in(F.col("text"), F.col("p")).alias("t")).first().t == "abd"
 
 
+def test_numbers_packed_and_read_again():
+    """Steps around multiples of 255, rows without numbers, and a slice of the array."""
+    import numpy as np
+
+    from corpusloom.functions.terms import numbers, packed
+
+    lists = [[0], [], [254, 255, 256], [253, 508, 763, 764], [], [0, 255, 510, 100_000], [1_000_000], []]
+    row = np.array([i for i, own in enumerate(lists) for _ in own], np.int64)
+    binaries = packed(row, np.array([n for own in lists for n in own], np.int64), len(lists))
+    for low in (0, 2, 7):
+        got = list(zip(*(x.tolist() for x in numbers(binaries.slice(low)))))
+        assert got == [(i, n) for i, own in enumerate(lists[low:]) for n in own]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"GATHERED": 300, "GIVEN": 500, "CHOSEN": 100, "KEPT": 10, "PIECE": 64}])
+def test_locks_written_into_texts(monkeypatch, sizes):
+    """Texts out of pieces equal one replacement after the other: sources that overlap, stand in targets or reach into their neighbours, empty
+    targets, blanks in sources, targets that share a source, locks that stand in no text, texts without words that come again."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.functions import locked as W
+    from corpusloom.functions.terms import packed
+
+    draw, ways = random.Random(8), Counter()
+    for name, value in sizes.items():
+        monkeypatch.setattr(W, name, value)
+    single, part = W._Writer.one_by_one, W._Writer._part
+    monkeypatch.setattr(W._Writer, "one_by_one", lambda *a: ways.update(single=len(a[2]) > 0) or single(*a))
+    monkeypatch.setattr(W._Writer, "_part", lambda *a: ways.update(["own" if np.array_equal(a[4], np.arange(a[1].size)) else "shared"]) or part(*a))
+    cases = [(letters, targets) for letters in ("abT ", "abcg ", "abgr", "龍鳳é ", "aT\n b", "xyzabc龍용 ")
+             for targets in (["T1", "T22", "T333"], ["Tab1", "bTa", "ab"], ["", "X"], ["Long", "용", "Qa龍1"], ["Z1aab2", "Z3 a4b5", "Zcabc9"])]
+    for letters, targets in cases * 3:
+        word = lambda low, high: "".join(draw.choice(letters) for _ in range(draw.randint(low, high)))  # noqa: E731, B023
+        names = sorted({w for w in (word(1, draw.choice([2, 6])) for _ in range(draw.choice([1, 5, 80]))) if w.strip() in (w, "")} | {"a"}, key=str.encode)
+        names = [n for n in names if " " not in n] if draw.random() < 0.5 else names
+        pairs = sorted({(n, draw.choice(targets)) for n in names for _ in range(draw.choice([1, 1, 3]))}, key=lambda p: (-len(p[0]), p[0].encode(), p[1].encode()))
+        of = [[i for i, p in enumerate(pairs) if p[0] == n][:draw.choice([1, 2])] + [draw.randrange(len(pairs))] * (draw.random() < 0.1) for n in names]
+        known = [word(1, 8).strip() or "a" for _ in range(20)]
+        texts = [draw.choice([None, "", word(0, 40), *[" ".join(draw.choice(known) for _ in range(draw.choice([5, 60])))] * 5]) for _ in range(draw.choice([1, 60]))]
+        strange = draw.random() < 0.3
+        found = [draw.choice([None, [], [sorted(draw.sample(range(len(of)), draw.randint(0, len(of)))) for _ in range(2)]]) if strange else
+                 [[i for i, n in enumerate(names) if n in (t or "")]] for t in texts]
+        lists = [f and [packed(np.zeros(len(own), np.int64), np.array(own, np.int64), 1)[0].as_py() for own in f] for f in found]
+        given = W._Writer(pairs, of).written(pa.array(["x", *texts]).slice(1), pa.array([[b""], *lists], pa.list_(pa.binary())).slice(1))
+        for text, own, got in zip(texts, found, (t for some in given for t in some.to_pylist()), strict=True):
+            best = {}
+            for source, target in sorted({pairs[p] for some in own or [] for n in some for p in of[n]}, reverse=True):
+                best[source] = target
+            for source in sorted(best, key=lambda s: (-len(s), s.encode())):
+                text = text and text.replace(source, best[source])
+            assert got == text
+    assert ways["single"] and ways["own"] and ways["shared"]
+
+
 @pytest.mark.parametrize("unit", ["char", "token"])
 def test_spans_and_cover_by_row_and_by_join(spark, unit):
     """A lexicon in the rows and one that is joined give the same spans and the same cover, keys with many entries included."""
