@@ -97,10 +97,9 @@ class _Writer:
             target[i, empty] = source[i, empty] = not d
         return np.packbits(target, axis=1), np.packbits(source, axis=1)
 
-    def used(self, found: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    def used(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Row and pair of all that is to be replaced, in order; of several targets of a source only the least."""
-        which, number = numbers(found.flatten())
-        row = np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy())[which]
+        row, number = numbers(found)
         at, size = _of_each(self.first, number)
         row, pair = np.divmod(_distinct(np.repeat(row * len(self.pairs), size) + self.listed[at]), max(len(self.pairs), 1))
         other = (np.diff(row, prepend=-1) != 0) | (np.diff(self.source[pair], prepend=-1) != 0)
@@ -291,17 +290,15 @@ class _Writer:
                 yield out if (np.diff(rows) > 0).all() else out.take(pa.array(np.argsort(rows)))
                 low, size, single = i + 1, 0, {}
 
-    def written(self, texts: pa.Array, found: pa.ListArray) -> Iterator[pa.Array]:
-        row, pair = self.used(found)
+    def written(self, texts: pa.Array, found: pa.Array) -> Iterator[pa.Array]:
         data = texts.fill_null("").cast(pa.large_binary())
         ends, low = _laid_out(data)[1], 0
         if not len(texts):
             yield texts
         while low < len(texts):
             high = int(np.searchsorted(ends, ends[low] + GATHERED, "right")) - 1
-            high = max(min(high, low + TABLE // max(self.size.size, 1), len(texts)), low + 1)
-            start, stop = np.searchsorted(row, [low, high])
-            for some in self._some(data.slice(low, high - low), row[start:stop] - low, pair[start:stop]):
+            count = max(min(high, low + TABLE // max(self.size.size, 1), len(texts)), low + 1) - low
+            for some in self._some(data.slice(low, count), *self.used(found.slice(low, count))):
                 given = some.cast(pa.binary()).cast(pa.string(), safe=False)
                 null = texts.slice(low, len(given)).is_null()
                 yield pc.if_else(null, pa.scalar(None, pa.string()), given) if texts.null_count else given
@@ -311,7 +308,7 @@ class _Writer:
 def locked_in(text: Column, found: Column, pairs: list[tuple[str, str]], of: list[list[int]]) -> Column:
     """A text after the replacements of its locks, one after the other, each at every place from the left.
 
-    ``found``: what ``numbers_in`` gave for the texts of a chapter, as an array (null: none). ``of`` has for each of its numbers the
+    ``found``: the numbers of ``numbers_in`` for a text's chapter (null: none). ``of`` has for each of its numbers the
     places of its replacements in ``pairs`` (source, target), which are distinct and ordered by length of the source, longest first,
     source and target. Of several targets of a source the first is written. Null texts stay null.
     """
@@ -319,7 +316,7 @@ def locked_in(text: Column, found: Column, pairs: list[tuple[str, str]], of: lis
     @F.arrow_udf("string")
     def done(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         writer = _Writer(pairs, of)
-        for texts, lists in batches:
-            yield from writer.written(texts, lists)
+        for texts, found in batches:
+            yield from writer.written(texts, found)
 
     return done.asNondeterministic()(text, found)

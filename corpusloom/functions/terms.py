@@ -271,6 +271,20 @@ def numbers_in(text: Column, terms: list[str]) -> Column:
     return found.asNondeterministic()(text)
 
 
+def merged_numbers(binaries: Column) -> Column:
+    """All numbers of an array of binaries of ``numbers_in``, each once, as one such binary."""
+
+    @F.arrow_udf("binary")
+    def merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            which, number = numbers(lists.flatten())
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())[which]
+            count = int(number.max(initial=0)) + 1
+            yield packed(*np.divmod(_distinct(row * count + number), count), len(lists))
+
+    return merged(binaries)
+
+
 def pairs_in(text: Column, other: Column, pairs: list[tuple[str, str]]) -> Column:
     """Which of numbered pairs of terms stand in two texts: an array of (cell, first, second), with the bits of ``CELL`` pairs of which
     ``text`` contains the first term and ``other`` the second. Cells without a bit are left out; nulls and empty terms give none."""

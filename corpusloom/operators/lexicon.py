@@ -18,7 +18,7 @@ from corpusloom.functions.text import (
     CJK, CJK_NUMERAL, HAN_START, HANGUL, HIRAGANA, KATAKANA, LATIN, elements, numeral_value, strip,
 )
 from corpusloom.functions.spans import PASS, UNKNOWN, cover, covered_by, spans_in
-from corpusloom.functions.terms import numbers_in, terms_in
+from corpusloom.functions.terms import merged_numbers, numbers_in, terms_in
 from corpusloom.operators.memory import tm_lookup
 from corpusloom.session import checkpointed
 
@@ -169,8 +169,15 @@ def present_terms(chapters: DataFrame, terms: DataFrame, keys: list[str], text:
 
 
 def packed_terms(chapters: DataFrame, terms: list[str], keys: list[str], text: str = "text") -> DataFrame:
-    """The rows of ``present_terms``, packed: (keys, found) for every text, the terms in it by their numbers in ``terms`` (``numbers_in``)."""
-    return chapters.dropna(subset=[*keys, text]).select(*keys, numbers_in(F.col(text), terms).alias("found"))
+    """The rows of ``present_terms`` packed, one for each chapter: (keys, found), the terms by their numbers in ``terms`` (``numbers_in``).
+
+    A chapter's texts are put together by partition first, so that no row gathers more than a partition holds, or a list from each.
+    """
+    found = chapters.dropna(subset=[*keys, text]).select(*keys, numbers_in(F.col(text), terms).alias("found"))
+    for by in ([*keys, "_part"], keys):
+        found = found.withColumn("_part", F.spark_partition_id()).groupBy(*by).agg(F.collect_list("found").alias("found")).withColumn(
+            "found", merged_numbers(F.col("found")))
+    return found
 
 
 def _first(n: int):

@@ -55,7 +55,7 @@ def replace_pairs(text: Column, pairs: Column) -> Column:
 
 class Present(NamedTuple):
     """Locks that stand in chapters: as ``rows`` (keys, raw and the other columns of the locks), and ``packed`` (keys, found), where a row
-    names the raw forms of one text by their numbers in ``raws``; ``locks`` has the locks themselves."""
+    names all raw forms of a chapter by their numbers in ``raws``; ``locks`` has the locks themselves."""
 
     rows: DataFrame
     packed: DataFrame
@@ -101,7 +101,7 @@ def apply_locks(segments: DataFrame, locks: DataFrame | Present, aliases: DataFr
         place = {p: i for i, p in enumerate(pairs)}
         for r in rows:
             of[number[r["raw"]]].append(place[r["src"], r["dst"]])
-        joined = segments.join(packed.packed.groupBy(*keys).agg(F.collect_list("found").alias("_found")), keys, "left")
+        joined = segments.join(packed.packed.withColumnRenamed("found", "_found"), keys, "left")
         replaced = locked_in(F.col(text), F.col("_found"), pairs, of)
     else:
         joined = segments.join(lock_pairs(locks, aliases, keys), keys, "left")
@@ -115,7 +115,7 @@ def present_locks(chapters: DataFrame, locks: DataFrame, keys: list[str], text:
                   in_row: int = IN_ROW) -> DataFrame | Present:
     """Locks (group, raw, target) whose raw form stands in the chapter text.
 
-    ``packed`` gives raw forms of at most ``in_row`` bytes as numbers beside the rows, for ``apply_locks``: a text's are one short binary.
+    ``packed`` gives raw forms of at most ``in_row`` bytes as numbers beside the rows, for ``apply_locks``: a chapter's are one short binary.
     """
     found = present_terms(chapters, locks.select(F.col("raw").alias("term")), keys, text)
     rows = found.withColumnRenamed("term", "raw").join(locks.distinct(), "raw")

@@ -176,13 +176,13 @@ def test_locks_written_into_texts(monkeypatch, sizes):
         known = [word(1, 8).strip() or "a" for _ in range(20)]
         texts = [draw.choice([None, "", word(0, 40), *[" ".join(draw.choice(known) for _ in range(draw.choice([5, 60])))] * 5]) for _ in range(draw.choice([1, 60]))]
         strange = draw.random() < 0.3
-        found = [draw.choice([None, [], [sorted(draw.sample(range(len(of)), draw.randint(0, len(of)))) for _ in range(2)]]) if strange else
-                 [[i for i, n in enumerate(names) if n in (t or "")]] for t in texts]
-        lists = [f and [packed(np.zeros(len(own), np.int64), np.array(own, np.int64), 1)[0].as_py() for own in f] for f in found]
-        given = W._Writer(pairs, of).written(pa.array(["x", *texts]).slice(1), pa.array([[b""], *lists], pa.list_(pa.binary())).slice(1))
+        found = [draw.choice([None, [], sorted(draw.sample(range(len(of)), draw.randint(0, len(of))))]) if strange else
+                 [i for i, n in enumerate(names) if n in (t or "")] for t in texts]
+        binaries = [f and packed(np.zeros(len(f), np.int64), np.array(f, np.int64), 1)[0].as_py() for f in found]
+        given = W._Writer(pairs, of).written(pa.array(["x", *texts]).slice(1), pa.array([b"", *(b or None for b in binaries)], pa.binary()).slice(1))
         for text, own, got in zip(texts, found, (t for some in given for t in some.to_pylist()), strict=True):
             best = {}
-            for source, target in sorted({pairs[p] for some in own or [] for n in some for p in of[n]}, reverse=True):
+            for source, target in sorted({pairs[p] for n in own or [] for p in of[n]}, reverse=True):
                 best[source] = target
             for source in sorted(best, key=lambda s: (-len(s), s.encode())):
                 text = text and text.replace(source, best[source])

@@ -79,6 +79,9 @@ def test_locks_applied_from_numbers_and_from_rows(spark, letters, targets):
     want = {i: x and plain_locked(x, of.get(ch, ()), aliases) for i, ch, x in rows}
     listed = spark.createDataFrame(locks, "raw string, target string, group string")
     alias = spark.createDataFrame(aliases, "raw string, alias string")
+    # However many texts a chapter has, each of them meets one list of its locks.
+    lists = O.present_locks(frame, listed, ["ch"], packed=True).packed.collect()
+    assert sorted(r.ch for r in lists) == sorted({c for _, c, x in rows if c is not None and x is not None})
     for packed, in_row in ((False, 1 << 20), (True, 1 << 20), (True, 0)):
         out = O.apply_locks(frame, O.present_locks(frame, listed, ["ch"], packed=packed), alias, ["ch"], {}, in_row=in_row)
         # What moves is a text and a short binary, not a row for each lock of it.
